@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.llm import decontaminate, html, jaccard, packing, quality, sharding, url_filter
+from cuespark.llm import decontaminate, html, jaccard, line_dedup, packing, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rule_ensemble, op3_link_graph, op4_ngram_jaccard, op5_block_rules, op7_external_shuffle, op8_cgk_decontamination, op9_hilbert_packing)
+    f.__name__: f for f in (op1_rule_ensemble, op3_link_graph, op4_ngram_jaccard, op5_block_rules, op7_external_shuffle, op8_cgk_decontamination, op9_hilbert_packing, op10_minhash_lines)
 }
 
 ORACLE_SQL: dict[str, str] = {}
