@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.llm import decontaminate, html, jaccard, line_dedup, packing, quality, sharding, url_filter
+from cuespark.llm import decontaminate, embedding_dedup, html, jaccard, line_dedup, packing, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rule_ensemble, op3_link_graph, op4_ngram_jaccard, op5_block_rules, op7_external_shuffle, op8_cgk_decontamination, op9_hilbert_packing, op10_minhash_lines)
+    f.__name__: f for f in (op1_rule_ensemble, op3_link_graph, op4_ngram_jaccard, op5_block_rules, op6_rotated_codes, op7_external_shuffle, op8_cgk_decontamination, op9_hilbert_packing, op10_minhash_lines)
 }
 
 ORACLE_SQL: dict[str, str] = {}
