@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.llm import decontaminate, embedding_dedup, html, jaccard, line_dedup, packing, quality, sharding, url_filter
+from cuespark.llm import decontaminate, embedding_dedup, html, jaccard, line_dedup, packing, quality, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_blockwise_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -50,7 +54,7 @@ def op10_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rule_ensemble, op3_link_graph, op4_ngram_jaccard, op5_block_rules, op6_rotated_codes, op7_external_shuffle, op8_cgk_decontamination, op9_hilbert_packing, op10_minhash_lines)
+    f.__name__: f for f in (op1_rule_ensemble, op2_blockwise_suffixes, op3_link_graph, op4_ngram_jaccard, op5_block_rules, op6_rotated_codes, op7_external_shuffle, op8_cgk_decontamination, op9_hilbert_packing, op10_minhash_lines)
 }
 
 ORACLE_SQL: dict[str, str] = {}
