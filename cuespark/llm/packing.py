@@ -27,7 +27,7 @@ END_ID = 1
 LENGTH = 2048
 DIMS, BITS = 3, 12
 TEXTS_AT_ONCE = 256
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 _BEFORE_WORD = re.compile(r"(?= \S)")
 
@@ -41,9 +41,10 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """Ids of whole texts as little-endian bytes, with the ids of words remembered.
 
-    The vocabulary's pattern always starts a new piece at a space before a visible character, so
-    a text may be cut there and its parts encoded one by one. ``words`` maps a part without its
-    leading space to its ids.
+    The vocabulary's pattern starts a new piece at a space before a visible character, and keeps
+    a line feed between visible characters apart, so a text may be cut there and its words
+    encoded one by one. Unknown words are encoded many at a time, as the lines of one text. A
+    text with any other white space is cut before its words only and not remembered.
     """
 
     def __init__(self, path: str):
@@ -52,27 +53,46 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
+        self.feed = self._plain(["\n"])[0]
+        self.first: dict[str, bytes] = {}  # words at the start of a line
+        self.later: dict[str, bytes] = {}  # words after a space
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
+        feed = int(np.frombuffer(self.feed, self.dtype)[0])
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = np.array(self.inner.encode("\n".join([lead + w for w in some]), add_special_tokens=False).ids, self.dtype)
+            cuts = np.flatnonzero(ids == feed).tolist()
+            if len(cuts) != len(some) - 1:
+                known.update(zip(some, self._plain([lead + w for w in some]), strict=True))
+                continue
+            raw, wide, at = ids.tobytes(), self.dtype.itemsize, 0
+            for w, cut in zip(some, [*cuts, len(ids)], strict=True):
+                known[w] = raw[at * wide : cut * wide]
+                at = cut + 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        words = self.words
-        new = set().union(*(p[1:] for p in parts)).difference(words)
-        odd = {w for w in new if not w or w[0].isspace()}
-        new = list(new - odd)
-        words.update(zip(new, self._plain([" " + w for w in new]), strict=True))
+        if len(self.first) + len(self.later) > CACHED_WORDS:
+            self.first.clear()
+            self.later.clear()
+        parts = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        for known, used, lead in (
+            (self.first, {line[0] for t in parts for line in t}, ""),
+            (self.later, set().union(*(line[1:] for t in parts for line in t)), " "),
+        ):
+            new = used.difference(known)
+            bad = {w for w in new if w.split() != [w]}
+            self._learn(known, list(new - bad), lead)
+        first, later = self.first, self.later
         out: list[bytes] = []
-        heads = self._plain([p[0] for p in parts])
-        for p, head in zip(parts, heads, strict=True):
-            if odd and not odd.isdisjoint(p[1:]):
-                out.append(b"".join(self._plain(_BEFORE_WORD.split(" ".join(p)))))
-            else:
-                out.append(head + b"".join(map(words.__getitem__, p[1:])))
+        for text, lines in zip(texts, parts, strict=True):
+            try:
+                out.append(self.feed.join([first[p[0]] + b"".join(map(later.__getitem__, p[1:])) for p in lines]))
+            except KeyError:
+                out.append(b"".join(self._plain(_BEFORE_WORD.split(text))))
         return out
 
 
@@ -167,21 +187,24 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
     placed = ids.drop("curve").join(layout(ids.select("row", "curve", "n")), "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, place, raw = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            which, start, size, out = [], [], [], []
-            for k in range(batch.num_rows):
-                width = len(raw[k]) // n[k]
-                one = np.frombuffer(raw[k], f"<u{width}").astype("<u4")
-                edges = [0, *range(length - int(place[k]) % length, int(n[k]), length), int(n[k])]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    which.append(k), start.append(a), size.append(b - a), out.append(one[a:b].tobytes())
-            w, s = np.array(which, np.int64), np.array(start, np.int64)
-            at = place[w] + s
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(w)), pa.array(s), pa.array(size, pa.int64()), pa.array(n[w]), pa.array(at // length), pa.array(at % length), pa.array(out, pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+        for whole in batches:
+            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(i, TEXTS_AT_ONCE)
+                n, place, raw = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+                which, start, size, out = [], [], [], []
+                for k in range(batch.num_rows):
+                    width = len(raw[k]) // n[k]
+                    one = np.frombuffer(raw[k], f"<u{width}").astype("<u4")
+                    edges = [0, *range(length - int(place[k]) % length, int(n[k]), length), int(n[k])]
+                    for a, b in zip(edges, edges[1:], strict=False):
+                        which.append(k), start.append(a), size.append(b - a), out.append(one[a:b].tobytes())
+                w, s = np.array(which, np.int64), np.array(start, np.int64)
+                at = place[w] + s
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(w)), pa.array(s), pa.array(size, pa.int64()), pa.array(n[w])]
+                    + [pa.array(at // length), pa.array(at % length), pa.array(out, pa.binary())],
+                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return placed.select("doc_id", "n", "place", "ids").mapInArrow(
