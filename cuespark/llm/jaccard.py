@@ -6,16 +6,17 @@ at least one part (pigeonhole), and its fingerprint is a key that both hold. k d
 size band; a set that may link with the band below also holds that band's keys. Sets for which
 too many parts are empty hold their prefix elements as keys as well, so no link is lost.
 
-Keys only say which sets meet. Sets that meet, directly or through others, form a cluster;
-each set goes once to the tile of its cluster, and large clusters are cut into tiles by size
-band and hash. In a tile, bitmaps of hashed elements bound each overlap from above (every
-differing bit is a differing element); pairs that pass are intersected exactly as sorted
-arrays. Pairs already in one component are skipped, so a group of near copies costs about one
-intersection a member. In a second round only documents outside a cluster's largest component
-visit its other tiles.
-
-Equal sets are joined by their digest and never compared. Repeated keys inside an Arrow batch
-leave it once, so a key held by a third of all rows reaches the shuffle once a batch.
+Keys only say which sets meet. First each set is held against the first of every key it holds,
+and the links found are joined to components. What is left are keys whose members are in
+several components; these are the tiles, cut by size band and chunk where they are large. In a
+tile, bitmaps of hashed elements bound each overlap from above (every differing bit is a
+differing element), for pairs of different components only. All pairs that pass a bound are
+intersected exactly, as sorted arrays. A group of near copies thus costs a few intersections a
+member, and no tile emits pairs of sets that are joined already.
+
+Equal sets are joined by their digest and never compared. A key that several rows of an Arrow
+batch hold leaves the batch once, so a key held by a third of all rows reaches the shuffle once
+a batch.
 
 Defined cases: null or wordless text is the empty set, linked with nothing; a null doc_id is
 returned with a null component; repeated ids are one node; with fewer than ``width`` words the
@@ -48,7 +49,7 @@ SLICE_BYTES = 2 << 20
 BAND_GROWTH = 1.5
 SPARE_PARTS = 3
 BITMAP_BITS = 2048
-TILE_ROWS = 512
+TILE_ROWS = 4096
 
 
 class Threshold:
@@ -139,7 +140,8 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def set_keys(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Rows of three kinds: 0 a document's size and digest, 1 a key that a document holds, 2 a known meeting."""
+    """Rows of three kinds: 0 a document's size and digest, 1 a key that a document holds, 2 a meeting
+    inside a batch, with its key as h1. Only rows of kind 1 are to be grouped by ``key``."""
     names = ["kind", "key", "doc", "lead", "n", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +169,10 @@ def set_keys(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             new = np.ones(len(r), bool)
             new[1:] = k[1:] != k[:-1]
             lead = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))] if len(r) else r
-            met = np.unique(np.stack([ids[r[~new]], ids[lead[~new]]]), axis=1)
             copies = np.flatnonzero(same != np.arange(len(ids)))
-            u = np.concatenate([met[0], ids[copies]])
-            v = np.concatenate([met[1], ids[same[copies]]])
+            u = np.concatenate([ids[r[~new]], ids[copies]])
+            v = np.concatenate([ids[lead[~new]], ids[same[copies]]])
+            met = np.concatenate([k[~new], np.zeros(len(copies), np.uint64)])
             n, a, b = np.concatenate(sizes), np.concatenate(d1), np.concatenate(d2)
             z = lambda m: np.zeros(m, np.int64)
             m0, m1, m2 = len(ids), int(new.sum()), len(u)
@@ -181,7 +183,7 @@ def set_keys(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                     pa.array(np.concatenate([ids, ids[r[new]], u])),
                     pa.array(np.concatenate([ids, ids[r[new]], v])),
                     pa.array(np.concatenate([n.astype(np.int64), z(m1), z(m2)])),
-                    _i64(np.concatenate([a, z(m1).view(np.uint64), z(m2).view(np.uint64)])),
+                    _i64(np.concatenate([a, z(m1).view(np.uint64), met])),
                     _i64(np.concatenate([b, z(m1).view(np.uint64), z(m2).view(np.uint64)])),
                 ],
                 names,
@@ -233,100 +235,111 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(open_)
 
 
-def _tile_links(table: pa.Table, t: Threshold) -> tuple[list[int], list[int]]:
-    """Links that join the components of one tile. ``comp`` holds what is joined already; probes
-    (other tiles' documents) are compared with the tile's own only."""
-    doc, n, comp = (table.column(c).to_numpy() for c in ("doc", "n", "comp"))
-    own = ~table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+def _tile_pairs(table: pa.Table, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components in a tile whose bitmaps allow a link."""
+    rep, n, comp, side = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "side"))
     order = np.argsort(n, kind="stable")
-    doc, n, comp, own = doc[order], n[order], comp[order].copy(), own[order]
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(doc), -1)[order]
-    raw = table.column("elements").to_pylist()
-    sets = [np.frombuffer(raw[k], np.uint64) for k in order]
+    rep, n, comp, side = rep[order], n[order], comp[order], side[order]
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(rep), -1)[order]
     low = np.searchsorted(n, t.smallest_partner(n), "left")
     u, v = [], []
-    for i in range(1, len(doc)):
-        a = low[i]
-        if a >= i:
-            continue
-        other = (comp[a:i] != comp[i]) & (own[a:i] | own[i])
-        j = np.flatnonzero(other) + a
-        if not len(j):
-            continue
-        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-        total = n[j] + n[i]
-        bound = (total - differ) // 2
-        ok = bound >= t.least_overlap(total)
-        for x in j[ok][np.argsort(-bound[ok], kind="stable")]:
-            if comp[x] == comp[i]:
-                continue
-            both = len(np.intersect1d(sets[x], sets[i], assume_unique=True))
-            if t.links(both, int(n[x]), int(n[i])):
-                u.append(int(doc[i]))
-                v.append(int(doc[x]))
-                comp[comp == comp[x]] = comp[i]
-    return u, v
+    for i in range(1, len(rep)):
+        j = np.arange(low[i], i)
+        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
+        if len(j):
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            total = n[j] + n[i]
+            j = j[(total - differ) // 2 >= t.least_overlap(total)]
+            u.append(np.full(len(j), rep[i]))
+            v.append(rep[j])
+    return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64),) * 2
 
 
-def tile_links(tiles: DataFrame, threshold: int) -> DataFrame:
-    """(u, v) from rows (tile, doc, n, comp, probe, bits, elements)."""
+def tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) with a < b from rows (tile, rep, n, comp, side, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(threshold)
         for table in runs(batches, "tile"):
-            u, v = _tile_links(table, t)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u, v = _tile_pairs(table, t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
     dealt = tiles.repartition(shuffle_width(tiles.sparkSession), "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) that link: bitmaps first, then the sorted arrays of those whose bound allows it."""
+    end = lambda x, *c: sets.select(F.col("rep").alias(x), *[F.col(k).alias(k + "_" + x) for k in c])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Threshold(threshold)
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((na + nb - differ) // 2 >= t.least_overlap(na + nb)))
+
+    def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Threshold(threshold)
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                keep.append(t.links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
+    first = pairs.join(end("a", "n", "bits"), "a").join(end("b", "n", "bits"), "b").where(near).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    passed = stored(first.mapInArrow(bounded, "a long, b long"), "bounded")
+    second = passed.join(end("a", "elements"), "a").join(end("b", "elements"), "b").select("a", "b", "elements_a", "elements_b")
+    return stored(second.mapInArrow(intersected, "a long, b long"), "exact")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     by_key = Window.partitionBy("kind", "key").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = set_keys(docs, width, threshold).withColumn("lead", F.when(F.col("kind") == 1, F.first("doc").over(by_key)).otherwise(F.col("lead")))
-    held = stored(held.where("kind = 0 or lead <> doc").drop("key"), "held")
-    sizes = held.where("kind = 0")
-    met = connected_components(held.where("kind > 0").select(F.col("doc").alias("u"), F.col("lead").alias("v")))
-    # one document stands for each set
-    sets = sizes.where("n > 0").join(met.withColumnRenamed("node", "doc"), "doc")
-    reps = stored(sets.groupBy("component", "n", "h1", "h2").agg(F.min("doc").alias("rep")), "reps")
-    width_of = reps.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = stored(held.where("kind = 0 or lead <> doc"), "held")
+    sizes = held.where("kind = 0").select("doc", "n", "h1", "h2")
+    meets = held.where("kind > 0").select(F.when(F.col("kind") == 2, F.col("h1")).otherwise(F.col("key")).alias("key"), "doc", "lead")
+    # one document stands for each set; only documents that met another take part
+    met = stored(meets.select("doc", "lead").distinct(), "met")
+    nodes = met.select("doc").unionByName(met.select(F.col("lead").alias("doc"))).distinct()
+    sets = stored(sizes.where("n > 0").join(nodes, "doc"), "nodes")
+    reps = sets.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
+    rep_of = stored(sets.join(reps, ["n", "h1", "h2"]).groupBy("doc").agg(F.min("rep").alias("rep")), "reps")
+    end = lambda c, to: rep_of.select(F.col("doc").alias(c), F.col("rep").alias(to))
+    by_rep = met.join(end("doc", "x"), "doc").join(end("lead", "y"), "lead").where("x <> y")
+    star = stored(by_rep.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star")
+    wanted = star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct()
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
+    arrays = stored(set_arrays(wanted.join(text, "rep"), width).dropDuplicates(["rep", "elements"]), "sets")
+    links = exact_links(star, arrays, threshold)
+    joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # keys whose members are still in several components
+    comp_of = rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp"))
+    comp_of = stored(comp_of, "comps")
+    first = comp_of.select(F.col("doc").alias("lead"), F.col("comp").alias("lead_comp"))
+    apart = met.join(comp_of, "doc").join(first, "lead").where("comp <> lead_comp").select("doc", "lead")
+    open_keys = meets.join(apart, ["doc", "lead"], "left_semi").select("key").where("key <> 0").distinct()
+    inside = meets.join(open_keys, "key", "left_semi")
+    inside = inside.select("key", "doc").unionByName(inside.select("key", F.col("lead").alias("doc"))).join(comp_of, "doc").select("key", "rep", "comp").distinct()
+    inside = stored(inside, "open")
+    crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
+    bits = arrays.select("rep", "n", "bits")
+    open_ = inside.join(crowd.select("key", F.ceil(F.col("m") / tile_rows).cast("int").alias("chunks")), "key").join(bits, "rep")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("long")
-    tiles = reps.join(width_of, "component").select(
-        F.col("rep").alias("doc"), "component", band.alias("band"), "m",
-        F.when(F.col("m") <= tile_rows, F.xxhash64("component"))
-        .otherwise(F.xxhash64("component", band, F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / tile_rows)))).alias("tile"),
-    )
-    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    arrays = stored(set_arrays(tiles.join(text, "doc"), width), "sets")
-    cells = arrays.withColumn("comp", F.col("doc")).withColumn("probe", F.lit(False))
-    links = stored(tile_links(cells, threshold), "links")
-    large = arrays.where(F.col("m") > tile_rows)
-    if not large.isEmpty():
-        joined = connected_components(links).withColumnRenamed("node", "doc").withColumnRenamed("component", "comp")
-        now = stored(large.select("doc", "component", "band", "tile").distinct().join(joined, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "now")
-        main = now.groupBy("component", "comp").count().groupBy("component").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        away = now.join(main, "component").where("comp <> main").select("doc", "component", "band", F.col("tile").alias("home"))
-        places = now.select("component", "band", "tile").distinct()
-        near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-        visits = (
-            away.select("doc", "component", "home", near).join(places, ["component", "band"]).where("tile <> home")
-            .select("doc", F.col("tile").alias("to")).distinct()
-        )
-        state = now.select("doc", "comp")
-        full = large.dropDuplicates(["doc", "elements"]).join(state, "doc")
-        probes = full.join(visits, "doc").withColumn("tile", F.col("to")).drop("to").withColumn("probe", F.lit(True))
-        visited = visits.select(F.col("to").alias("tile")).distinct()
-        own = full.join(visited, "tile").withColumn("probe", F.lit(False))
-        second = tile_links(own.unionByName(probes), threshold)
-        links = links.unionByName(stored(second, "links"))
-    final = connected_components(links)
-    rep_of = sets.select("doc", "component", "n", "h1", "h2").join(reps, ["component", "n", "h1", "h2"]).groupBy("doc").agg(F.min("rep").alias("rep"))
-    place = rep_of.join(final.withColumnRenamed("node", "rep").withColumnRenamed("component", "root"), "rep", "left")
-    place = place.select("doc", F.coalesce("root", "rep").alias("root"))
+    cells = open_.withColumn("band", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))))
+    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
+    tiles = cells.select("rep", "n", "comp", "bits", side.alias("side"), F.xxhash64("key", "band", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"))
+    more = stored(tile_pairs(tiles, threshold).join(star, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(exact_links(more, arrays, threshold))
+        joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    place = rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("root"))
     known = sizes.join(place, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text")
     counts = set_arrays(unnamed, width).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
