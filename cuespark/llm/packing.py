@@ -14,6 +14,7 @@ any length is cut over as many sequences as it needs; an empty table gives no pi
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,17 +44,27 @@ class WordTokenizer:
 
     The vocabulary's pattern starts a new piece at a space before a visible character, and keeps
     a line feed between visible characters apart, so a text may be cut there and its words
-    encoded one by one. Unknown words are encoded many at a time, as the lines of one text. A
-    text with any other white space is cut before its words only and not remembered.
+    encoded one by one. An unknown word of letters, with marks after it, is two pieces and goes
+    straight to the merges; other unknown words are encoded many at a time, as the lines of one
+    text. A text with any other white space is cut before its words only and not remembered.
     """
 
+    MARKS = ".,!?;:#$%&*|()\"'"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.feed = self._plain(["\n"])[0]
+        self.tails: dict[str, bytes] = {"": b""}
+        self.model = self.inner.model
+        # byte-level vocabularies write bytes that have no visible Latin-1 sign from U+0100 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.signs = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
+        self.lead = chr(self.signs[32])
         self.first: dict[str, bytes] = {}  # words at the start of a line
         self.later: dict[str, bytes] = {}  # words after a space
 
@@ -61,6 +72,20 @@ class WordTokenizer:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
+        sign, pieces, tails, rest = self.lead * len(lead), self.model.tokenize, self.tails, []
+        for w in words:
+            base = w.rstrip(self.MARKS)
+            if not base.isalpha():
+                rest.append(w)
+                continue
+            tail = w[len(base) :]
+            if tail not in tails:
+                if len(tails) > CACHED_WORDS:
+                    tails.clear()
+                tails[tail] = self._plain([tail])[0]
+            text = base if base.isascii() else base.encode().decode("latin-1").translate(self.signs)
+            known[w] = array(self.code, [x.id for x in pieces(sign + text)]).tobytes() + tails[tail]
+        words = rest
         feed = int(np.frombuffer(self.feed, self.dtype)[0])
         for i in range(0, len(words), 512):
             some = words[i : i + 512]
