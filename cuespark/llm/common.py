@@ -38,6 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast: some 30 MB.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` (a stored table) to be broadcast if it has at most ``rows`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

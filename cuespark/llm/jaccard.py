@@ -40,6 +40,7 @@ from cuespark.llm.common import (
     mix64,
     pieces,
     shuffle_width,
+    small,
     stored,
     utf8_parts,
     word_shingles,
@@ -48,7 +49,7 @@ from cuespark.llm.common import (
 SLICE_BYTES = 2 << 20
 BAND_GROWTH = 1.5
 SPARE_PARTS = 3
-BITMAP_BITS = 2048
+BITMAP_BITS = (512, 1 << 17)  # at least and at most; between them, 8 to 16 bits an element
 TILE_ROWS = 4096
 
 
@@ -193,6 +194,26 @@ def set_keys(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 
 
+def bitmap(elements: np.ndarray) -> bytes:
+    """Bits of hashed elements, a power of two of them."""
+    size = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (8 * max(1, len(elements)) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(mix64(elements) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded_bits(x: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same elements have in ``words`` 64-bit words."""
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded_bits(x, words) ^ folded_bits(y, words)).sum(dtype=np.int64))
+
+
 def set_arrays(docs: DataFrame, width: int) -> DataFrame:
     """(doc, extra columns, n, bits, elements) with the sorted set as bytes."""
     kept = [c for c in docs.columns if c != "text"]
@@ -202,13 +223,10 @@ def set_arrays(docs: DataFrame, width: int) -> DataFrame:
             at = batch.schema.get_field_index("text")
             for i, j, rows, hashes, n in _sets(batch.column(at), width):
                 ends = np.cumsum(n)
-                bits = np.zeros((j - i, BITMAP_BITS), np.uint8)
-                bits[rows, (mix64(hashes) % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
-                packed = np.packbits(bits, axis=1)
+                sets = [hashes[e - m : e] for e, m in zip(ends, n, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
-                    + [pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary())]
-                    + [pa.array([hashes[e - m : e].tobytes() for e, m in zip(ends, n, strict=True)], pa.binary())],
+                    + [pa.array(n.astype(np.int64)), pa.array([bitmap(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
                     [*kept, "n", "bits", "elements"],
                 )
 
@@ -240,18 +258,23 @@ def _tile_pairs(table: pa.Table, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
     rep, n, comp, side = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "side"))
     order = np.argsort(n, kind="stable")
     rep, n, comp, side = rep[order], n[order], comp[order], side[order]
-    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(rep), -1)[order]
+    raw = table.column("bits").to_pylist()
+    bits = [np.frombuffer(raw[k], np.uint64) for k in order]
+    words = np.array([len(x) for x in bits])  # grows with n, so equal lengths stand together
+    spans = [(np.searchsorted(words, w), np.searchsorted(words, w, "right")) for w in np.unique(words)]
+    tables = [np.stack(bits[a:b]) for a, b in spans]
     low = np.searchsorted(n, t.smallest_partner(n), "left")
     u, v = [], []
     for i in range(1, len(rep)):
-        j = np.arange(low[i], i)
-        j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
-        if len(j):
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            total = n[j] + n[i]
-            j = j[(total - differ) // 2 >= t.least_overlap(total)]
-            u.append(np.full(len(j), rep[i]))
-            v.append(rep[j])
+        for (a, b), rows in zip(spans, tables, strict=True):
+            j = np.arange(max(a, low[i]), min(b, i))
+            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
+            if len(j):
+                differ = np.bitwise_count(rows[j - a] ^ folded_bits(bits[i], rows.shape[1])).sum(1, dtype=np.int64)
+                total = n[j] + n[i]
+                j = j[(total - differ) // 2 >= t.least_overlap(total)]
+                u.append(np.full(len(j), rep[i]))
+                v.append(rep[j])
     return (np.concatenate(u), np.concatenate(v)) if u else (np.zeros(0, np.int64),) * 2
 
 
@@ -270,15 +293,19 @@ def tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
 
 def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The (a, b) that link: bitmaps first, then the sorted arrays of those whose bound allows it."""
-    end = lambda x, *c: sets.select(F.col("rep").alias(x), *[F.col(k).alias(k + "_" + x) for k in c])
+
+    def ends(some: DataFrame, *c: str) -> DataFrame:
+        """The columns ``c`` of both sets of each pair; the sets move only where they belong to a pair."""
+        some = small(some)
+        one = lambda x: sets.select(F.col("rep").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in c]).join(some, x)
+        return one("a").join(one("b"), ["a", "b"]).select("a", "b", *[f"{k}_{x}" for x in "ab" for k in c])
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(threshold)
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((na + nb - differ) // 2 >= t.least_overlap(na + nb)))
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            differ = np.array([differing(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 5))) for k in range(batch.num_rows)], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((total - differ) // 2 >= t.least_overlap(total)))
 
     def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(threshold)
@@ -290,9 +317,8 @@ def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
-    first = pairs.join(end("a", "n", "bits"), "a").join(end("b", "n", "bits"), "b").where(near).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    passed = stored(first.mapInArrow(bounded, "a long, b long"), "bounded")
-    second = passed.join(end("a", "elements"), "a").join(end("b", "elements"), "b").select("a", "b", "elements_a", "elements_b")
+    passed = stored(ends(pairs, "n", "bits").where(near).mapInArrow(bounded, "a long, b long").distinct(), "bounded")
+    second = ends(passed, "elements")
     return stored(second.mapInArrow(intersected, "a long, b long"), "exact")
 
 
@@ -313,9 +339,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     end = lambda c, to: rep_of.select(F.col("doc").alias(c), F.col("rep").alias(to))
     by_rep = met.join(end("doc", "x"), "doc").join(end("lead", "y"), "lead").where("x <> y")
     star = stored(by_rep.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star")
-    wanted = star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct()
+    wanted = stored(star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct(), "wanted")
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
-    arrays = stored(set_arrays(wanted.join(text, "rep"), width).dropDuplicates(["rep", "elements"]), "sets")
+    arrays = stored(set_arrays(text.join(small(wanted), "rep"), width), "sets")
     links = exact_links(star, arrays, threshold)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # keys whose members are still in several components
@@ -326,7 +352,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     open_keys = meets.join(apart, ["doc", "lead"], "left_semi").select("key").where("key <> 0").distinct()
     inside = meets.join(open_keys, "key", "left_semi")
     inside = inside.select("key", "doc").unionByName(inside.select("key", F.col("lead").alias("doc"))).join(comp_of, "doc").select("key", "rep", "comp").distinct()
-    inside = stored(inside, "open")
+    inside = stored(inside, "inside")
     crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
     bits = arrays.select("rep", "n", "bits")
     open_ = inside.join(crowd.select("key", F.ceil(F.col("m") / tile_rows).cast("int").alias("chunks")), "key").join(bits, "rep")
