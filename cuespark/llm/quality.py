@@ -134,11 +134,11 @@ def fit_rules(
     return Rules(float(lasso.intercept), [(float(w), rules[k]) for k, w in enumerate(weights) if abs(w) > 1e-6])
 
 
-def with_score(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``; every other column is kept."""
+def with_score(docs: DataFrame, rules: Rules, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the probability of label 1; every other column is kept."""
     used = {name for _, tests in rules.terms for name, _, _ in tests}
     stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(f"`{text}`")).items() if k in used] or [F.lit(0).alias("none")])
-    return docs.withColumn("__s", stats).withColumn("score", rules.score("__s.")).drop("__s")
+    return docs.withColumn("__s", stats).withColumn(out, rules.score("__s.")).drop("__s")
 
 
 def held_out() -> Column:
