@@ -6,9 +6,9 @@ at least one part (pigeonhole), and its fingerprint is a key that both hold. k d
 size band; a set that may link with the band below also holds that band's keys. Sets for which
 too many parts are empty hold their prefix elements as keys as well, so no link is lost.
 
-Keys only say which sets meet. First each set is held against the first of every key it holds,
-and the links found are joined to components. What is left are keys whose members are in
-several components; these are the tiles, cut by size band and chunk where they are large. In a
+Keys only say which sets meet. First each set is held against one that it met, and the links found are
+joined to components. Then the other firsts of its keys follow, where they are in another
+component, and what is left are keys whose members are in several components; these are the tiles, cut by size band and chunk where they are large. In a
 tile, bitmaps of hashed elements bound each overlap from above (every differing bit is a
 differing element), for pairs of different components only. All pairs that pass a bound are
 intersected exactly, as sorted arrays. A group of near copies thus costs a few intersections a
@@ -338,11 +338,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     rep_of = stored(sets.join(reps, ["n", "h1", "h2"]).groupBy("doc").agg(F.min("rep").alias("rep")), "reps")
     end = lambda c, to: rep_of.select(F.col("doc").alias(c), F.col("rep").alias(to))
     by_rep = met.join(end("doc", "x"), "doc").join(end("lead", "y"), "lead").where("x <> y")
-    star = stored(by_rep.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star")
+    pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    by_rep = stored(by_rep.select("x", "y").distinct(), "star")
+    star = stored(pair(by_rep), "star")
+    # one meeting a set comes first; the others are looked at only if they still cross components
+    first_star = stored(pair(by_rep.groupBy("x").agg(F.min("y").alias("y"))), "star")
     wanted = stored(star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct(), "wanted")
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
     arrays = stored(set_arrays(text.join(small(wanted), "rep"), width), "sets")
-    links = exact_links(star, arrays, threshold)
+    links = exact_links(first_star, arrays, threshold)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # keys whose members are still in several components
     comp_of = rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -361,7 +365,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     cells = cells.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
     tiles = cells.select("rep", "n", "comp", "bits", side.alias("side"), F.xxhash64("key", "band", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"))
-    more = stored(tile_pairs(tiles, threshold).join(star, ["a", "b"], "left_anti"), "pairs")
+    more = tile_pairs(tiles, threshold).join(star, ["a", "b"], "left_anti")
+    of = lambda x: comp_of.where("doc = rep").select(F.col("rep").alias(x), F.col("comp").alias("comp_" + x))
+    rest = star.join(first_star, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
+    more = stored(more.unionByName(rest), "pairs")
     if not more.isEmpty():
         links = links.unionByName(exact_links(more, arrays, threshold))
         joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
