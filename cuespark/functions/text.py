@@ -194,7 +194,7 @@ def speakable(c: Column) -> Column:
 
 def strip_source_residue(c: Column, separators: Sequence[str] = ("=>", "->", "|", "/", ":")) -> Column:
     """For text that mixes scripts: the last part without CJK at the first separator found, else the text without CJK."""
-    cases = [F.when(c.contains(s), F.element_at(F.filter(F.transform(F.split(c, F.lit("\\Q" + s + "\\E")), F.trim), lambda p: (p != "") & ~has_cjk(p)), -1)) for s in separators]
+    cases = [F.when(c.contains(s), F.element_at(F.filter(F.transform(F.split(c, F.lit("\\Q" + s + "\\E")), lambda p: F.trim(p)), lambda p: (p != "") & ~has_cjk(p)), -1)) for s in separators]
     bare = collapse(F.regexp_replace(c, r"[\x{3000}-\x{9fff}\x{ff00}-\x{ffef}]+", " "))
     latin = bare.rlike(r"\p{IsLatin}")
     return F.when(~has_cjk(c), c).otherwise(F.coalesce(*cases, F.when(latin, bare), c))

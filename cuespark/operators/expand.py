@@ -1,0 +1,163 @@
+"""One row to many: splitters, chunkers, blocks of time, training examples, and folds over words."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from cuespark.operators.sequence import KEY, _greedy
+
+WORDS = "array<string>"
+
+
+def packed_words(text: Column, limit: int) -> Column:
+    """Words of a text packed greedily into pieces of at most ``limit`` characters (a longer word stands alone)."""
+
+    def add(acc: Column, w: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits = (F.size(acc) > 0) & (F.length(last) + F.length(w) + 1 <= limit)
+        return F.when(fits, F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.concat(last, F.lit(" "), w))).otherwise(F.array_append(acc, w))
+
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return F.aggregate(words, F.array().cast(WORDS), lambda acc, w: F.when(F.size(acc) == 0, F.array(w)).otherwise(add(acc, w)))
+
+
+def split_caption(df: DataFrame, limit: int = 72) -> DataFrame:
+    """Sentences; those over the limit by words. Adds (piece_no, piece)."""
+    sentences = F.split("text", r"(?<=[.!?…])\s+")
+    pieces = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(packed_words(s, limit))))
+    return df.select("*", F.posexplode(F.filter(pieces, lambda p: p != "")).alias("piece_no", "piece"))
+
+
+def split_units(df: DataFrame, limit: int) -> DataFrame:
+    """Sentences, those over the limit cut at every ``limit`` characters."""
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda k: F.substring(s, k * limit + 1, F.lit(limit)))
+    pieces = F.flatten(F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s != ""), cut))
+    return df.select("*", F.posexplode(pieces).alias("piece_no", "piece"))
+
+
+def allocate_time(parts: DataFrame, order: str = "piece_no", weight: str = "weight") -> DataFrame:
+    """The interval of each cue shared over its parts by weight, in whole milliseconds; the last part ends with it."""
+    w = Window.partitionBy(KEY, "cue_no").orderBy(order)
+    total = F.sum(weight).over(Window.partitionBy(KEY, "cue_no"))
+    span = F.col("end_ms") - F.col("start_ms")
+    upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda x: (F.col("start_ms") + F.floor(span * x / total)).cast("long")
+    return parts.withColumn("part_start", at(upto - F.col(weight))).withColumn("part_end", at(upto))
+
+
+def timeline_blocks(df: DataFrame, block_ms: int) -> DataFrame:
+    """(…, block_start, block_end) for every block of an interval [0, duration_ms)."""
+    out = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("duration_ms") - 1, F.lit(0)), F.lit(block_ms).cast("long"))).alias("block_start"))
+    return out.withColumn("block_end", F.least(F.col("block_start") + block_ms, "duration_ms"))
+
+
+def session_splits(df: DataFrame, trigger_ms: int, most_ms: int) -> DataFrame:
+    """One session up to the trigger, else as many equal ones as keep each within ``most_ms``."""
+    n = F.when(F.col("duration_ms") <= trigger_ms, 1).otherwise(F.ceil(F.col("duration_ms") / most_ms)).cast("int")
+    out = df.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("session"))
+    at = lambda k: F.floor(F.col("duration_ms") * k / F.col("n")).cast("long")
+    return out.withColumn("offset_ms", at(F.col("session"))).withColumn("session_end", at(F.col("session") + 1)).drop("n")
+
+
+def parse_indexed_reply(replies: DataFrame, expected: str = "expected") -> DataFrame:
+    """Replies (reply_id, expected, reply) with ``[n] text`` markers to rows; of several texts of a number the longest; ``status`` tells a count mismatch."""
+    pieces = F.split(F.regexp_replace("reply", r"\[(\d+)\]\s*", "\u0001$1\u0002"), "\u0001")
+    r = replies.select("reply_id", expected, F.posexplode(pieces).alias("pos", "p")).where("instr(p, '\u0002') > 0")
+    r = r.select("reply_id", expected, "pos", F.substring_index("p", "\u0002", 1).cast("long").alias("n"), F.regexp_replace(F.substring_index("p", "\u0002", -1), r"^\s+|\s+$", "").alias("text"))
+    r = r.where((F.col("text") != "") & F.col("n").between(1, F.col(expected)))
+    best = r.groupBy("reply_id", expected, "n").agg(F.max_by("text", F.struct(F.length("text"), -F.col("pos"))).alias("text"))
+    got = F.count(F.lit(1)).over(Window.partitionBy("reply_id"))
+    return best.withColumn("status", F.when(got == F.col(expected), "ok").otherwise("BLOCK_COUNT_MISMATCH"))
+
+
+def training_examples(df: DataFrame, limit: int, least: int = 8) -> DataFrame:
+    """(text, codes) to ``target`` of speech tokens, cut to the limit, and ``labels`` padded with -100 before the target."""
+    kept = F.slice("codes", F.lit(1), F.greatest(F.lit(least), F.lit(limit) - F.length("text")))
+    out = df.withColumn("kept", kept)
+    target = F.array_join(F.transform("kept", lambda k: F.concat(F.lit("<|speech_"), k.cast("string"), F.lit("|>"))), "")
+    labels = F.concat(F.array_repeat(F.lit(-100), F.length("text").cast("int")), F.transform("kept", lambda k: k.cast("int")))
+    return out.withColumn("target", target).withColumn("labels", labels).drop("kept")
+
+
+def per_row(df: DataFrame, f: Callable[[str], list], schema: str, text: str = "text") -> DataFrame:
+    """Rows of ``f(text)`` for splitters whose cuts depend on earlier cuts; texts go to Python in Arrow batches."""
+
+    @F.pandas_udf(f"array<struct<{schema}>>")
+    def run(x: pd.Series) -> pd.Series:
+        names = [c.split(":")[0] for c in schema.split(",")]
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in f(t)] for t in x.fillna("")])
+
+    kept = [c for c in df.columns if c not in {s.split(":")[0] for s in schema.split(",")}]
+    return df.withColumn("__r", run(F.col(text))).select(*kept, F.inline("__r"))
+
+
+def cut_near(text: str, limit: int, least: float = 0.55) -> list[str]:
+    """Chunks of at most ``limit`` characters that end at a sentence, a clause or a space no earlier than ``least`` of it."""
+    out, rest = [], text.strip()
+    while len(rest) > limit:
+        window, floor = rest[: limit + 1], int(limit * least)
+        ends = (max((m.end() for m in re.finditer(p, window) if m.end() >= floor), default=0) for p in (r"[.!?…](?=\s)", r"[,;:](?=\s)", r"\s"))
+        at = next((e for e in ends if e), limit)
+        out.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [x for x in [*out, rest] if x]
+
+
+def chunk_text(df: DataFrame, limit: int) -> DataFrame:
+    return per_row(df, lambda t: list(enumerate(cut_near(t, limit))), "chunk_no:int,chunk:string")
+
+
+def pause_timeline(df: DataFrame, limit: int) -> DataFrame:
+    """Pieces with the pause after each, in seconds: by the final mark, none after the last."""
+
+    def run(t: str) -> list:
+        parts = [p for s in re.split(r"(?<=[.!?…])\s+", t) for p in cut_near(s, limit)]
+        pause = lambda p: 0.24 if p[-1] in ".!?…" else 0.16 if p[-1] in ";:" else 0.14 if p[-1] == "," else 0.08
+        return [(k, p, 0.0 if k == len(parts) - 1 else pause(p)) for k, p in enumerate(parts)]
+
+    return per_row(df, run, "piece_no:int,piece:string,pause:double")
+
+
+def wrapped(text: Column, width: int = 42, lines: int = 2) -> Column:
+    """At most ``lines`` lines of packed words; what is left over stays on the last."""
+    p = packed_words(text, width)
+    return F.when(F.size(p) <= lines, F.array_join(p, "\n")).otherwise(F.concat(F.array_join(F.slice(p, 1, lines - 1), "\n"), F.lit("\n"), F.array_join(F.slice(p, F.lit(lines), F.size(p)), " ")))
+
+
+def points_split(segments: DataFrame, cuts: DataFrame, margin_ms: int = 1500) -> DataFrame:
+    """Segments (media_id, a_id, a_start, a_end) cut at the points inside them; pieces are numbered in time."""
+    from cuespark.operators.joins import points_in
+
+    inner = points_in(segments, cuts, margin_ms).select(KEY, "a_id", F.col("at_ms").alias("at"))
+    edges = segments.select(KEY, "a_id", F.col("a_start").alias("at")).unionByName(inner).distinct()
+    w = Window.partitionBy(KEY, "a_id").orderBy("at")
+    ends = segments.select(KEY, "a_id", "a_end")
+    out = edges.withColumn("next", F.lead("at").over(w)).withColumn("piece_no", F.row_number().over(w).cast("long")).join(ends, [KEY, "a_id"])
+    return out.select(KEY, "a_id", "piece_no", F.col("at").alias("start_ms"), F.coalesce("next", "a_end").alias("end_ms"))
+
+
+def cues_from_words(words: DataFrame, limit: int, least_ms: int) -> DataFrame:
+    """Words (media_id, cue_no, start_ms, end_ms, text) to cues: up to the character limit, ended by a sentence's end."""
+    rows = words.select(KEY, "start_ms", "cue_no", "end_ms", (F.length("text") + 1).cast("long").alias("size"))
+    return _greedy(rows, lambda g, c: g["size"] + c["size"] <= limit)
+
+
+def stitch_shorts(segments: DataFrame, gap_ms: int = 900, short_ms: int = 2500, most_ms: int = 9000) -> DataFrame:
+    """Short neighbours joined from left to right while the whole stays within ``most_ms``."""
+    rows = segments.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"))
+    short = lambda x: x["end_ms"] - x["start_ms"] <= short_ms
+    return _greedy(rows, lambda g, c: (c["start_ms"] - g["end_ms"] <= gap_ms) & short(g) & short(c) & (c["end_ms"] - g["start_ms"] <= most_ms))
+
+
+def length_batches(rows: DataFrame, shards: int) -> DataFrame:
+    """Batches of rows (media_id, cue_no, chars) by length in each shard: 8, 6, 4 or 2 rows as they grow longer."""
+    r = rows.withColumn("shard", F.pmod(F.xxhash64(KEY, "cue_no"), F.lit(shards)))
+    size = F.when(F.col("chars") <= 50, 8).when(F.col("chars") <= 100, 6).when(F.col("chars") <= 200, 4).otherwise(2)
+    r = r.withColumn("size", size)
+    n = F.row_number().over(Window.partitionBy("shard", "size").orderBy("chars", KEY, "cue_no"))
+    return r.withColumn("batch", F.floor((n - 1) / F.col("size")).cast("long"))

@@ -657,3 +657,298 @@ def _(spark, d):
     from cuespark.streaming.jobs import activity_sessions
 
     return activity_sessions(intervals(spark, d), "4 hours")
+
+
+# --- sources, sinks, expansion, jobs -----------------------------------------------------
+
+from cuespark.operators import expand as ex  # noqa: E402
+from cuespark.plans import jobs  # noqa: E402
+from cuespark.sources import readers as rd  # noqa: E402
+from cuespark.sources import writers as wr  # noqa: E402
+
+_FIT = """(SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY s, cue_no) AS cue_no, s AS start_ms, end_ms, text FROM (
+  SELECT *, greatest(start_ms, coalesce(max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_ms)) AS s FROM cues) WHERE end_ms > s)"""
+
+
+@query("src1_read_srt", f"SELECT media_id, cue_no, start_ms, end_ms, text FROM {_FIT}", CUES)
+def _(spark, d):
+    return rd.parse_srt(wr.srt_text(cues(spark, d))).select("media_id", "cue_no", "start_ms", "end_ms", "text")
+
+
+@query("src2_srt_blocks", "SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no)::VARCHAR AS number, start_ms, end_ms, text FROM cues", CUES)
+def _(spark, d):
+    return rd.parse_blocks(wr.srt_text(cues(spark, d)), "required").select("media_id", "number", "start_ms", "end_ms", "text")
+
+
+@query("src3_subtitle_blocks", "SELECT media_id, 'WEBVTT' AS header, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) AS block_no, text FROM cues", CUES)
+def _(spark, d):
+    files = wr.srt_text(cues(spark, d)).select("media_id", F.concat(F.lit("WEBVTT\n\n"), "content").alias("content"))
+    return rd.parse_subtitle_blocks(files).select("media_id", "header", "block_no", "text")
+
+
+@query("src4_asr_json", "SELECT media_id, cue_no - 1 AS segment_no, start_ms, CASE WHEN cue_no % 5 = 0 THEN start_ms + 50 ELSE end_ms END AS end_ms, text FROM cues", CUES)
+def _(spark, d):
+    c = cues(spark, d)
+    word = F.struct(F.col("text").alias("word"), (F.col("start_ms") / 1000).alias("start"), F.when(F.col("cue_no") % 5 == 0, F.col("start_ms") / 1000).otherwise(F.col("end_ms") / 1000).alias("end"))
+    seg = F.struct("cue_no", F.col("text").alias("text"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), F.array(word).alias("words"))
+    files = c.groupBy("media_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(seg)).alias("segments"))).alias("content"))
+    return rd.parse_asr_json(files).select("media_id", F.col("segment_no").cast("long").alias("segment_no"), "start_ms", "end_ms", "text")
+
+
+@query("src6_draft_json", "SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) AS cue_no, start_ms, end_ms, text FROM cues", CUES)
+def _(spark, d):
+    c = cues(spark, d)
+    one = F.struct("cue_no", F.col("cue_no").cast("string").alias("id"), F.lit("fr").alias("language"), F.col("text").alias("recognize_text"))
+    seg = F.struct("cue_no", F.col("cue_no").cast("string").alias("material_id"), F.struct((F.col("start_ms") * 1000).alias("start"), (F.col("duration_ms") * 1000).alias("duration")).alias("target_timerange"))
+    g = c.groupBy("media_id").agg(F.array_sort(F.collect_list(one)).alias("texts"), F.array_sort(F.collect_list(seg)).alias("segments"))
+    j = F.struct(F.struct("texts").alias("materials"), F.array(F.struct(F.lit("text").alias("type"), "segments")).alias("tracks"))
+    return rd.parse_draft_json(g.select("media_id", F.to_json(j).alias("content")), "fr").select("media_id", "cue_no", "start_ms", "end_ms", "text")
+
+
+@query("src7_utterances", "SELECT media_id, start_ms + 5000 AS start_ms, end_ms + 5000 AS end_ms, text, start_ms + 5000 AS first_word FROM cues", CUES)
+def _(spark, d):
+    u = F.struct(F.col("text").alias("text"), F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"), F.array(F.struct(F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"))).alias("words"))
+    rows = cues(spark, d).groupBy("media_id").agg(F.collect_list(u).alias("utterances"))
+    return rd.utterances(rows, F.lit(5000)).select("media_id", "start_ms", "end_ms", "text", F.col("words")[0]["start_ms"].alias("first_word"))
+
+
+@query("src8_pipe_metadata", r"SELECT printf('clip_%06d.wav', cue_no) AS file, cue_no AS number, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM cues", CUES)
+def _(spark, d):
+    return rd.pipe_metadata(cues(spark, d).select(F.format_string("clip_%06d.wav|%s", "cue_no", "text").alias("value"))).select("file", "number", "text")
+
+
+@query("src9_encoded_metadata", "SELECT l_orderkey AS k, count(*) AS n, CASE WHEN count(*) < 3 THEN 'parse_or_codes' END AS reason FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list("l_linenumber")).alias("codes"))
+    m = rd.encoded_metadata(g.select(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.lit("t"), "codes").alias("value")), 3)
+    return m.select(F.col("file").cast("long").alias("k"), F.size("codes").cast("long").alias("n"), "reason")
+
+
+@query("src11_links", "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
+def _(spark, d):
+    return rd.parse_links(table(spark, d, "pages").select("page_id", F.concat(F.lit("see "), "url", F.lit(" now")).alias("value")), "page_id")
+
+
+@query("src12_page_state", "SELECT page_id, url AS state FROM pages")
+def _(spark, d):
+    p = table(spark, d, "pages")
+    page = F.concat(F.lit('<script id="RENDER_DATA" type="application/json">'), F.url_encode("url"), F.lit("</script>"), "html")
+    return rd.page_state(p.select("page_id", page.alias("html"))).select("page_id", "state")
+
+
+@query("src14_pair_markers", "SELECT media_id, s.t AS start_ms, e.t AS end_ms FROM (SELECT media_id, start_ms AS t, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS n FROM intervals) s JOIN (SELECT media_id, end_ms AS t, row_number() OVER (PARTITION BY media_id ORDER BY end_ms, event_id) AS n FROM intervals) e USING (media_id, n)", INTERVALS)
+def _(spark, d):
+    i = intervals(spark, d).where("end_ms >= start_ms")
+    ev = i.select("media_id", F.struct(F.col("start_ms").alias("t"), F.lit(0).alias("k"), "event_id").alias("pos"), F.col("start_ms").alias("at_ms"), F.lit("start").alias("kind")).unionByName(
+        i.select("media_id", F.struct(F.col("end_ms").alias("t"), F.lit(1).alias("k"), "event_id").alias("pos"), F.col("end_ms").alias("at_ms"), F.lit("end").alias("kind"))
+    )
+    return rd.pair_markers(ev)
+
+
+@query("src15_text_units", "SELECT media_id, line_no, text FROM lines WHERE media_id IN (SELECT media_id FROM lines GROUP BY media_id HAVING count(*) > 1)", LINES)
+def _(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), "text")
+    many = lines(spark, d).groupBy("media_id").count().where("count > 1").select("media_id")
+    n = Window.partitionBy("media_id").orderBy("line_no")
+    numbered = lines(spark, d).withColumn("unit_no", F.row_number().over(n) - 1).select("media_id", "unit_no", "line_no")
+    return rd.text_units(docs.join(many, "media_id")).join(numbered, ["media_id", "unit_no"]).select("media_id", "line_no", F.col("unit").alias("text"))
+
+
+_STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+
+
+@query("snk1_srt_text", f"""SELECT media_id, string_agg(n || chr(10) || {_STAMP.format('start_ms')} || ' --> ' || {_STAMP.format('end_ms')} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS content FROM (
+  SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) AS n FROM cues) GROUP BY media_id""", CUES)
+def _(spark, d):
+    return wr.srt_text(cues(spark, d))
+
+
+@query("snk2_subtitle_text", """SELECT media_id, string_agg(cue_no || chr(10) || '-' || chr(10) || CASE WHEN cue_no % 2 = 0 THEN 'T' ELSE text END || chr(10), chr(10) ORDER BY cue_no) AS content FROM cues GROUP BY media_id""", CUES)
+def _(spark, d):
+    b = cues(spark, d).select("media_id", F.lit("").alias("header"), F.col("cue_no").alias("block_no"), F.lit("-").alias("timing"), "text", F.when(F.col("cue_no") % 2 == 0, "T").alias("translated"))
+    return wr.subtitle_text(b)
+
+
+@query("snk4_report_json", """SELECT speaker, count(*) AS total, sum(cue_no)::BIGINT AS checks FROM cues GROUP BY speaker""", CUES)
+def _(spark, d):
+    r = wr.report_json(cues(spark, d), "speaker", ["cue_no"], ["media_id", "cue_no"])
+    j = F.from_json("report", "struct<total:long,rows:array<struct<cue_no:long>>>")
+    return r.select("speaker", j["total"].alias("total"), F.aggregate(j["rows"]["cue_no"], F.lit(0).cast("long"), lambda a, x: a + x).alias("checks"))
+
+
+@query("snk5_upsert_cache", "SELECT o_custkey, arg_max(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS o_totalprice FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return wr.upsert_cache(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_totalprice")
+
+
+@query("snk6_manifest", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS index, p_size > 10 AS ok FROM part")
+def _(spark, d):
+    return wr.manifest(table(spark, d, "part"), "p_size > 10", ["p_partkey"], "p_brand").select("p_brand", "p_partkey", "index", "ok")
+
+
+@query("exp1_split_caption")
+def _(spark, d):
+    return ex.split_caption(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "piece_no", "piece")
+
+
+@query("exp2_split_units", "SELECT media_id, cue_no, k AS piece_no, substr(text, (k * 50 + 1)::BIGINT, 50) AS piece FROM (SELECT media_id, cue_no, text, unnest(range((length(text) + 49) // 50)) AS k FROM cues)", CUES)
+def _(spark, d):
+    return ex.split_units(cues(spark, d), 50).select("media_id", "cue_no", F.col("piece_no").cast("long").alias("piece_no"), "piece")
+
+
+@query("exp3_pause_timeline")
+def _(spark, d):
+    return ex.pause_timeline(table(spark, d, "conversations").select("conv_id", "turn", "text"), 65)
+
+
+@query("exp5_chunk_text")
+def _(spark, d):
+    return ex.chunk_text(table(spark, d, "documents").select("doc_id", "text"), 220)
+
+
+@query("exp8_wrap_lines")
+def _(spark, d):
+    return cues(spark, d).select("media_id", "cue_no", ex.wrapped(F.col("text")).alias("text"))
+
+
+@query("exp9_allocate_time", """SELECT media_id, cue_no, k AS piece_no, start_ms + (end_ms - start_ms) * least(k * 50, n) // n AS part_start, start_ms + (end_ms - start_ms) * least((k + 1) * 50, n) // n AS part_end FROM (
+  SELECT *, length(text) AS n, unnest(range((length(text) + 49) // 50)) AS k FROM cues)""", CUES)
+def _(spark, d):
+    parts = ex.split_units(cues(spark, d), 50).withColumn("weight", F.length("piece"))
+    return ex.allocate_time(parts).select("media_id", "cue_no", F.col("piece_no").cast("long").alias("piece_no"), "part_start", "part_end")
+
+
+@query("exp10_timeline_blocks", "SELECT media_id, event_id, k * 600000 AS block_start, least((k + 1) * 600000, d) AS block_end FROM (SELECT media_id, event_id, end_ms - start_ms AS d, unnest(range(greatest(0, end_ms - start_ms - 1) // 600000 + 1)) AS k FROM intervals)", INTERVALS)
+def _(spark, d):
+    return ex.timeline_blocks(intervals(spark, d).select("media_id", "event_id", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms")), 600000).drop("duration_ms")
+
+
+@query("exp10_session_splits", "SELECT media_id, k AS session, m * k // n AS offset_ms, m * (k + 1) // n AS session_end FROM (SELECT *, unnest(range(n)) AS k FROM (SELECT media_id, max(end_ms) AS m, CASE WHEN max(end_ms) <= 60000 THEN 1 ELSE (max(end_ms) + 39999) // 40000 END AS n FROM cues GROUP BY media_id))", CUES)
+def _(spark, d):
+    s = ex.session_splits(cues(spark, d).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms")), 60000, 40000)
+    return s.select("media_id", F.col("session").cast("long").alias("session"), "offset_ms", "session_end")
+
+
+@query("exp11_indexed_reply", "SELECT media_id AS reply_id, cue_no AS n, text, CASE WHEN media_id % 2 = 0 THEN 'ok' ELSE 'BLOCK_COUNT_MISMATCH' END AS status FROM cues WHERE NOT contains(text, '[')", CUES)
+def _(spark, d):
+    c = cues(spark, d).where("not contains(text, '[')")
+    reply = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda x: F.concat(F.lit("["), x["cue_no"].cast("string"), F.lit("] "), x["text"])), "\n")
+    r = c.groupBy(F.col("media_id").alias("reply_id")).agg((F.max("cue_no") + F.col("reply_id") % 2).alias("expected"), reply.alias("reply"))
+    return ex.parse_indexed_reply(r).select("reply_id", "n", "text", "status")
+
+
+@query("exp12_training_examples", "SELECT media_id, string_agg('<|speech_' || cue_no || '|>', '' ORDER BY cue_no) AS target, max(length(speaker)) + count(*) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS r FROM cues WHERE speaker = 'user') WHERE r <= 40 - length(speaker) GROUP BY media_id", CUES)
+def _(spark, d):
+    c = cues(spark, d).where("speaker = 'user'").groupBy("media_id").agg(F.array_sort(F.collect_list("cue_no")).alias("codes"), F.max("speaker").alias("text"))
+    return ex.training_examples(c, 40).select("media_id", "target", F.size("labels").cast("long").alias("labels"))
+
+
+@query("exp7_points_split", "SELECT media_id, a_id, row_number() OVER (PARTITION BY media_id, a_id ORDER BY pt) AS piece_no, pt AS start_ms FROM (SELECT media_id, a_id, a_start AS pt FROM a UNION SELECT a.media_id, a_id, b_start FROM a JOIN b ON a.media_id = b.media_id AND b_start > a_start + 300 AND b_start < a_end - 300) x", CUES, _A, _B)
+def _(spark, d):
+    a, b = _sides(spark, d)
+    return ex.points_split(a.drop("a_key"), b.select("media_id", F.col("b_start").alias("at_ms")).distinct(), 300).select("media_id", "a_id", "piece_no", "start_ms")
+
+
+_G20, _V20 = _greedy_sql(_SIZED.format("length(text) + 1", "cues"), "gz + r.size <= 200")
+_SHORT = "ge - gs <= 2500 AND r.end_ms - r.start_ms <= 2500"
+_G22, _V22 = _greedy_sql(_SIZED.format("1", "slots"), f"r.start_ms - ge <= 900 AND {_SHORT} AND r.end_ms - gs <= 9000")
+
+
+@query("seq20_cues_from_words", _G20, CUES, _V20)
+def _(spark, d):
+    return ex.cues_from_words(cues(spark, d), 200, 0).select("media_id", "members", "first", "last", "size")
+
+
+@query("seq22_stitch_shorts", _G22, SLOTS, _V22)
+def _(spark, d):
+    return ex.stitch_shorts(slots(spark, d)).select("media_id", "members", "first", "last", "size")
+
+
+@query("seq18_length_batches")
+def _(spark, d):
+    return ex.length_batches(cues(spark, d).select("media_id", "cue_no", F.length("text").alias("chars")), 8)
+
+
+@query("mat1_lcs_coverage")
+def _(spark, d):
+    w = Window.partitionBy("media_id").orderBy("cue_no")
+    c = cues(spark, d).withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
+    pair = c.select("media_id", "cue_no", F.slice(tx.compare_tokens(F.col("text")), 1, 24).alias("e"), F.slice(tx.compare_tokens(F.col("nxt")), 1, 24).alias("a"))
+    return pair.select("media_id", "cue_no", F.round(st.lcs_coverage(F.col("e"), F.col("a")), 6).alias("coverage"))
+
+
+@query("mat4_cheap_gate")
+def _(spark, d):
+    f = st.signal_features(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("samples")))
+    return st.cheap_gate(f).select("vec_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("mat5_staged_gate", "SELECT media_id, cue_no, CASE WHEN audio_ms <= duration_ms * 1.2 THEN 'fast' WHEN cue_no % 2 = 0 THEN 'heavy' ELSE 'retry' END AS outcome FROM slots", SLOTS)
+def _(spark, d):
+    s = slots(spark, d).withColumn("reasons", tx.flags(("long", F.col("audio_ms") > F.col("duration_ms") * 1.2)))
+    return st.staged_gate(s, lambda x: x.withColumn("ok", F.col("cue_no") % 2 == 0)).select("media_id", "cue_no", "outcome")
+
+
+@query("mat6_clip_score", "SELECT media_id, cue_no, (1 - least(1.0, duration_ms / audio_ms)) * 120 + 12 * (cue_no % 3) + CASE WHEN label = 'R' THEN 1400 ELSE 0 END + CASE WHEN audio_ms > 6000 THEN 1000 ELSE 0 END AS score FROM slots", SLOTS)
+def _(spark, d):
+    s = slots(spark, d)
+    x = s.select("media_id", "cue_no", F.least(F.lit(1.0), F.col("duration_ms") / F.col("audio_ms")).alias("coverage"), (F.col("cue_no") % 3).alias("extra_prefix"), (F.col("label") == "R").alias("filler"), F.lit(0.0).alias("last_deficit"), (F.col("audio_ms") > 6000).alias("hard"))
+    return st.clip_score(x).select("media_id", "cue_no", "score")
+
+
+@query("mat7_unexplained_activity", f"""SELECT media_id, s AS start_ms, e AS end_ms FROM (SELECT media_id, lag(end_ms) OVER w AS s, start_ms AS e FROM ({_ISLANDS.format(0, "(SELECT media_id, start_ms, end_ms FROM slots) x")}) WINDOW w AS (PARTITION BY media_id ORDER BY start_ms)) WHERE e > s""", SLOTS)
+def _(spark, d):
+    s = slots(spark, d)
+    return sq.subtract_intervals(s.groupBy("media_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")), s)
+
+
+@query("agg11_worker_metrics", "SELECT job, count(*) AS requests, count_if(failed)::BIGINT AS failures, arg_max(status, event_id)::BIGINT AS state FROM attempts GROUP BY job", ATTEMPTS)
+def _(spark, d):
+    return attempts(spark, d).groupBy("job").agg(F.count(F.lit(1)).alias("requests"), st.count_if(F.col("failed")).alias("failures"), F.max_by("status", "event_id").cast("long").alias("state"))
+
+
+@query("agg13_group_by_profile", "SELECT coalesce(nullif(speaker, 'user'), '__default__') AS profile, count(*) AS n, sum(duration_ms)::BIGINT AS ms FROM cues GROUP BY 1", CUES)
+def _(spark, d):
+    return cues(spark, d).groupBy(F.coalesce(F.nullif("speaker", F.lit("user")), F.lit("__default__")).alias("profile")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
+
+
+@query("agg16_eta", "SELECT job, count(*) AS done, round(avg(score), 6) AS avg_s, round(avg(score) * (500 - count(*)), 4) AS eta_s FROM attempts GROUP BY job", ATTEMPTS)
+def _(spark, d):
+    n, avg = F.count(F.lit(1)), F.avg("score")
+    return attempts(spark, d).groupBy("job").agg(n.alias("done"), F.round(avg, 6).alias("avg_s"), F.round(avg * (500 - n), 4).alias("eta_s"))
+
+
+@query("rnk3_best_rendition", "SELECT p_type, arg_max(p_partkey, {'s': p_size, 'p': p_retailprice, 'k': -p_partkey}) AS p_partkey FROM part GROUP BY p_type")
+def _(spark, d):
+    key = F.struct(F.col("p_size"), F.col("p_retailprice"), -F.col("p_partkey"))
+    return table(spark, d, "part").groupBy("p_type").agg(F.max_by("p_partkey", key).alias("p_partkey"))
+
+
+@query("rnk5_take_first", "SELECT media_id, cue_no FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS r FROM cues WHERE length(text) > 20) WHERE r <= 5", CUES)
+def _(spark, d):
+    return st.take_first(cues(spark, d).where("length(text) > 20"), ["media_id"], [F.col("cue_no")], 5).select("media_id", "cue_no")
+
+
+@query("jon6_best_overlap_match")
+def _(spark, d):
+    m = jo.overlap_join(*_sides(spark, d), pad_ms=600).withColumn("ratio", F.round(st.similarity_ratio(F.col("a_key"), F.col("b_key")), 6))
+    return st.pick_best(m, ["media_id", "a_id"], [F.desc("ratio"), F.col("b_id")]).select("media_id", "a_id", "b_id", "ratio")
+
+
+@query("udf1_apply_model", "SELECT media_id, cue_no, length(text)::BIGINT AS n FROM cues", CUES)
+def _(spark, d):
+    out = jobs.apply_model(cues(spark, d).select("media_id", "cue_no", "text"), lambda _, f: f.assign(n=f["text"].str.len())[["n"]], "n long", batch=256)
+    return out.select("media_id", "cue_no", "n")
+
+
+@query("udf2_apply_blocks", "SELECT media_id, cue_no, CASE WHEN contains(text, ',') THEN text ELSE upper(replace(text, 'ß', 'ss')) END AS reply FROM cues WHERE NOT regexp_matches(text, '[^ -~]')", CUES)
+def _(spark, d):
+    c = cues(spark, d).where(~F.col("text").rlike("[^ -~]")).select("media_id", "cue_no", "text")
+    return jobs.apply_blocks(c, lambda texts: [t.upper() for t in texts if "," not in t], 16).select("media_id", "cue_no", "reply")
+
+
+@query("udf3_correct_tracks")
+def _(spark, d):
+    c = cues(spark, d).select("media_id", "cue_no", "text")
+    return jobs.correct_tracks(c, lambda s: s.where("length(text) < 8").select(F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct().orderBy("wrong").limit(20), lambda t: [x.strip() + "." for x in t])
