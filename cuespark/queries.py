@@ -952,3 +952,63 @@ def _(spark, d):
 def _(spark, d):
     c = cues(spark, d).select("media_id", "cue_no", "text")
     return jobs.correct_tracks(c, lambda s: s.where("length(text) < 8").select(F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct().orderBy("wrong").limit(20), lambda t: [x.strip() + "." for x in t])
+
+
+# --- groups whose steps depend on the text so far ----------------------------------------
+
+from cuespark.operators import grouping as gr  # noqa: E402
+
+
+@query("seq12_group_smart")
+def _(spark, d):
+    return gr.group_smart(cues(spark, d))
+
+
+@query("seq13_group_natural")
+def _(spark, d):
+    return gr.group_natural(cues(spark, d))
+
+
+_G15, _V15 = _greedy_sql(_SIZED.format("length(text) + 1", "cues"), "NOT (ge - gs >= 3000 AND gz - 1 >= 35) AND r.start_ms - ge BETWEEN 0 AND 350 AND r.end_ms - gs <= 8500")
+
+
+@query("seq15_build_chunks", _G15.replace("GROUP BY media_id, gno", "GROUP BY media_id, gno HAVING max(end_ms) - min(start_ms) BETWEEN 3000 AND 8500 AND sum(size) > 35"), CUES, _V15)
+def _(spark, d):
+    return gr.build_chunks(cues(spark, d)).select("media_id", "members", "first", "last", "size")
+
+
+@query("seq19_segment_words")
+def _(spark, d):
+    return gr.segment_words(cues(spark, d))
+
+
+@query("seq21_merge_short")
+def _(spark, d):
+    return gr.merge_short(cues(spark, d))
+
+
+@query("seq23_merge_tiny")
+def _(spark, d):
+    return gr.merge_tiny(cues(spark, d))
+
+
+@query("seq24_finalize_cues")
+def _(spark, d):
+    return gr.finalize_cues(cues(spark, d), ("license",))
+
+
+@query("exp4_split_long_cues")
+def _(spark, d):
+    return gr.split_long_cues(cues(spark, d)).select("media_id", "cue_no", "piece_no", "piece", "part_start", "part_end")
+
+
+@query("exp6_split_for_reading")
+def _(spark, d):
+    return gr.split_for_reading(cues(spark, d)).select("media_id", "cue_no", "piece_no", "piece", "part_start", "part_end")
+
+
+@query("src5_funasr_segments", "SELECT media_id, cue_no AS row_no, start_ms, end_ms, regexp_replace(text, '\\s+', '', 'g') AS text FROM cues", CUES)
+def _(spark, d):
+    s = F.array(F.struct(F.concat(F.lit("<|zh|>"), "text").alias("text"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end")))
+    rows = cues(spark, d).select("media_id", F.col("cue_no").alias("row_no"), s.alias("sentences"), "text", "end_ms")
+    return gr.funasr_segments(rows).select("media_id", "row_no", "start_ms", "end_ms", "text")

@@ -128,3 +128,19 @@ def test_cache_feed_drops_known_prints(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream.cache_feed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["fingerprint"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_groups(spark):
+    from cuespark.operators import grouping as gr
+
+    rows = [(1, 1, 0, 1000, "Hello there", "a"), (1, 2, 1100, 2000, "my friend.", "a"), (1, 3, 2050, 2500, "Yes.", "b"), (1, 4, 9000, 12000, "A whole new sentence here.", "b"), (1, 5, 12050, 13000, "sentence here. And more", "b")]
+    c = spark.createDataFrame(rows, "media_id long, cue_no long, start_ms long, end_ms long, text string, speaker string")
+    got = lambda df: [(r["text"], r["members"]) for r in df.orderBy("group_no").collect()]
+    assert got(gr.group_smart(c))[0] == ("Hello there my friend. Yes.", 3)
+    assert got(gr.group_natural(c))[0] == ("Hello there, my friend.", 2)
+    assert got(gr.merge_short(c))[0][0] == "Hello there my friend. Yes." or got(gr.merge_short(c))[0][1] >= 2
+    assert got(gr.finalize_cues(c))[-1] == ("And more", 1)
+    assert got(gr.merge_tiny(c))[0] == ("Hello there my friend.", 2)
+    assert gr.readable_pieces("one two three, four five six", 16) == ["one two three,", "four five six"]
+    pieces = gr.split_for_reading(c, 12).where("cue_no = 4").orderBy("piece_no").collect()
+    assert pieces[0]["part_start"] == 9000 and pieces[-1]["part_end"] == 12000
