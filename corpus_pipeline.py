@@ -13,7 +13,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the rule ensemble, learnt from the labelled ones, scores 0.5 or more."""
     rules = quality.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = free_name(docs, "score")
-    return quality.with_score(docs, rules, out=score).where(F.col(score) >= 0.5).drop(score)
+    # written before it is filtered: a filter on it would be pushed down and compute each statistic once a rule
+    return stored(quality.with_score(docs, rules, out=score), "scores").where(F.col(score) >= 0.5).drop(score)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
