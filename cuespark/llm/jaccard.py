@@ -209,13 +209,19 @@ def folded_bits(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
+def quarter(bits: bytes) -> bytes:
+    """A coarser bitmap for the tiles, where each set stands many times; its bound holds as well."""
+    x = np.frombuffer(bits, np.uint64)
+    return folded_bits(x, max(BITMAP_BITS[0] // 64, len(x) // 4)).tobytes()
+
+
 def differing(x: np.ndarray, y: np.ndarray) -> int:
     words = min(len(x), len(y))
     return int(np.bitwise_count(folded_bits(x, words) ^ folded_bits(y, words)).sum(dtype=np.int64))
 
 
 def set_arrays(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, extra columns, n, bits, elements) with the sorted set as bytes."""
+    """(extra columns, n, bits, few_bits, elements) with the sorted set as bytes."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +230,16 @@ def set_arrays(docs: DataFrame, width: int) -> DataFrame:
             for i, j, rows, hashes, n in _sets(batch.column(at), width):
                 ends = np.cumsum(n)
                 sets = [hashes[e - m : e] for e, m in zip(ends, n, strict=True)]
+                bits = [bitmap(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
-                    + [pa.array(n.astype(np.int64)), pa.array([bitmap(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    [*kept, "n", "bits", "elements"],
+                    + [pa.array(n.astype(np.int64)), pa.array(bits, pa.binary()), pa.array([quarter(x) for x in bits], pa.binary())]
+                    + [pa.array([x.tobytes() for x in sets], pa.binary())],
+                    [*kept, "n", "bits", "few_bits", "elements"],
                 )
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, f"{fields}, n long, bits binary, elements binary")
+    return docs.mapInArrow(run, f"{fields}, n long, bits binary, few_bits binary, elements binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -358,7 +366,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     inside = inside.select("key", "doc").unionByName(inside.select("key", F.col("lead").alias("doc"))).join(comp_of, "doc").select("key", "rep", "comp").distinct()
     inside = stored(inside, "inside")
     crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
-    bits = arrays.select("rep", "n", "bits")
+    bits = arrays.select("rep", "n", F.col("few_bits").alias("bits"))
     open_ = inside.join(crowd.select("key", F.ceil(F.col("m") / tile_rows).cast("int").alias("chunks")), "key").join(bits, "rep")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("long")
     cells = open_.withColumn("band", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))))
