@@ -3,11 +3,13 @@
 Native: DataFrame functions only. A line is compared in its folded form (trimmed, lower case,
 runs of blanks as one space). Its signature holds the ``SKETCH`` smallest hashes of its character
 shingles; every pair of them is a band, so two lines meet if two of their smallest hashes agree
-(of signatures as similar as 0.8 in 99 of 100 cases, of 0.65 in 94). In each band a line is held against
-the band's first line and its predecessor in the order of the next smallest hash, so a crowded
-band costs two comparisons a line; lengths that differ too much are passed over. Pairs are
-verified by the exact Jaccard similarity of their distinct character 5-shingles, and verified
-pairs are joined by distributed components.
+(of signatures as similar as 0.8 in 99 of 100 cases, of 0.65 in 94). In each band a line is held first against
+the band's first line and its predecessor in the order of the next smallest hash, which joins most
+groups at two comparisons a line. A band of more than three lines whose members then still lie in
+several components is reopened: all its pairs across components are compared in tiles of bounded
+size, so every two lines that meet in a band are decided. Pairs are verified by the exact Jaccard
+similarity of their distinct character 5-shingles (their counts, and in tiles a bitmap, bound it
+before), and verified pairs are joined by distributed components.
 
 Long lines take their shingles at word starts, short ones at every character; lengths near the
 border take both, so that near-equal lines always share a scheme.
@@ -37,7 +39,8 @@ SKETCH = 5
 SHORT_CHARS, LONG_CHARS = 150, 120  # lines up to the first use every character, from the second on word starts
 SHINGLE, ANCHORED = 9, 16
 VERIFIED = 5
-LENGTH_SHARE = 0.7  # of the longer line's characters
+TILE = 128  # lines a chunk of a reopened band
+WORDS = 8  # of 64 bits in a line's bitmap of shingles
 
 
 def folded_line(line: Column) -> Column:
@@ -91,14 +94,64 @@ def folded(lines: DataFrame, min_chars: int) -> DataFrame:
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b) node pairs that meet in a band of ``keys(node, n, key, rank)``, n being the length."""
+    """(a, b) node pairs that meet in a band of ``keys(node, key, rank)``: each node with the first and its predecessor."""
     inside = Window.partitionBy("key").orderBy("rank", "node")
-    me = F.struct("node", "n")
-    first = F.first(me).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = keys.select("node", "n", first.alias("x"), F.lag(me, 1).over(inside).alias("y"))
-    pairs = met.select("node", "n", F.explode(F.array("x", "y")).alias("o")).where("o.node <> node")
-    pairs = pairs.where(F.least("n", "o.n") >= LENGTH_SHARE * F.greatest("n", "o.n"))
-    return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+    first = F.first("node").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = keys.select("node", first.alias("x"), F.lag("node", 1).over(inside).alias("y"))
+    pairs = met.select("node", F.explode(F.array("x", "y")).alias("o")).where("o <> node")
+    return pairs.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+
+
+def _bitmap(grams: Column) -> Column:
+    """``WORDS`` words of bits of hashed shingles; the bits that differ between two sets bound their similarity."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
+    word = lambda k: F.aggregate(F.filter(grams, lambda x: F.pmod(x, F.lit(WORDS)) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    return F.array(*[word(k) for k in range(WORDS)])
+
+
+def crossing_pairs(inside: DataFrame, bits: DataFrame, similarity: float, tile: int | None = None) -> DataFrame:
+    """(a, b) of different components in a band of ``inside(key, node, comp)`` whose ``bits(node, m, bits)`` allow the similarity.
+
+    A component of more than ``tile`` lines has chunks of its own, the others share chunks; tiles
+    are pairs of chunks of a band, without those inside one component.
+    """
+    tile = tile or TILE
+    whole = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("w"))
+    rest = F.sum(F.when(F.col("w") <= tile, F.col("w")).otherwise(0))
+    crowd = whole.groupBy("key").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("comps"), rest.alias("rest")).where("all > 3 and comps > 1").select("key", "rest")
+    sizes = whole.join(crowd, "key").withColumn("own", F.when(F.col("w") > tile, F.col("comp")))
+    members = inside.join(sizes, ["key", "comp"]).join(bits, "node")
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.ceil(n / tile))
+    chunk = F.when(F.col("own").isNotNull(), part("node", F.col("w"))).otherwise(part("comp", F.greatest("rest", F.lit(1))))
+    chunk = F.xxhash64("own", chunk).alias("chunk")
+    packs = members.groupBy("key", "own", chunk).agg(F.collect_list(F.struct("node", "comp", "m", "bits")).alias("some"))
+    packs = stored(packs, "packs")
+    one = lambda x: packs.select("key", F.col("chunk").alias("c" + x), F.col("some").alias(x))
+    names = packs.select("key", "chunk", "own")
+    tiles = names.select("key", F.col("chunk").alias("cx"), F.col("own").alias("ox")).join(names.select("key", F.col("chunk").alias("cy"), F.col("own").alias("oy")), "key")
+    tiles = tiles.where("cx <= cy and not (ox is not null and oy is not null and ox = oy)").select("key", "cx", "cy")
+    share = (1 - similarity) / (1 + similarity) + 1e-9
+
+    def allowed(x: Column, y: Column) -> Column:
+        total = x["m"] + y["m"]
+        differ = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(1, WORDS)), F.bit_count(x["bits"][0].bitwiseXOR(y["bits"][0])))
+        apart = (x["comp"] != y["comp"]) & ((F.col("cx") != F.col("cy")) | (x["node"] < y["node"]))
+        return apart & (F.abs(x["m"] - y["m"]) <= share * total) & (differ <= share * total)
+
+    ends = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: allowed(x, y)), lambda y: ends(x, y))))
+    return tiles.join(one("x"), ["key", "cx"]).join(one("y"), ["key", "cy"]).select(F.inline(found)).distinct()
+
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose ``texts(node, line, m)`` are similar enough, m being the distinct shingles."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("ta"), F.col("m").alias("ma")), texts.select(F.col("node").alias("b"), F.col("line").alias("tb"), F.col("m").alias("mb"))
+    # a lambda's argument is evaluated once, so each set is built once a pair
+    sets = F.array(F.struct(F.array_distinct(_grams(F.col("ta"), VERIFIED)).alias("a"), F.array_distinct(_grams(F.col("tb"), VERIFIED)).alias("b")))
+    both = F.transform(sets, lambda p: F.size(F.array_intersect(p["a"], p["b"])))
+    alike = F.transform(both, lambda n: n >= similarity * (F.col("ma") + F.col("mb") - n))[0]
+    near = F.least("ma", "mb") >= similarity * F.greatest("ma", "mb")
+    return pairs.join(left, "a").join(right, "b").where(near & alike).select("a", "b")
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,17 +169,24 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     nodes = stored(seen.groupBy("node").agg(F.min(F.struct(spot.alias("spot"), "n", "s0", "s1")).alias("f"), F.count(F.lit(1)).alias("copies")).select("node", "f.*", "copies"), "nodes")
     none = F.array().cast("array<struct<key:long,rank:long>>")
     bands = F.concat(F.coalesce(F.when(F.col("s0").isNotNull(), _bands(F.col("s0"), 0)), none), F.coalesce(F.when(F.col("s1").isNotNull(), _bands(F.col("s1"), 1)), none))
-    pairs = stored(candidate_pairs(nodes.select("node", "n", F.inline(bands))), "pairs")
+    pairs = stored(candidate_pairs(nodes.select("node", F.inline(bands))), "pairs")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ends = stored(ends.join(nodes.select("node", "spot.*"), "node"), "ends")
-    texts = stored(folded(raw_lines(docs).join(small(ends), ["doc_id", "mark", "line_no"]), min_chars).select("node", "line").dropDuplicates(["node"]), "texts")
-    left, right = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    # a lambda's argument is evaluated once, so each set is built once a pair
-    sets = F.array(F.struct(F.array_distinct(_grams(F.col("ta"), VERIFIED)).alias("a"), F.array_distinct(_grams(F.col("tb"), VERIFIED)).alias("b")))
-    sizes = F.transform(sets, lambda p: F.struct((F.size(p["a"]) + F.size(p["b"])).alias("sum"), F.size(F.array_intersect(p["a"], p["b"])).alias("both")))
-    alike = F.transform(sizes, lambda q: q["both"] >= similarity * (q["sum"] - q["both"]))[0]
-    verified = pairs.join(left, "a").join(right, "b").where(alike)
-    return places, nodes.select("node", "spot", "copies"), connected_components(verified.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = folded(raw_lines(docs).join(small(ends), ["doc_id", "mark", "line_no"]), min_chars).select("node", "line").dropDuplicates(["node"])
+    texts = stored(found.withColumn("m", F.size(F.array_distinct(_grams(F.col("line"), VERIFIED)))), "texts")
+    verified = stored(verified_pairs(pairs, texts, similarity), "verified")
+    links = lambda v: connected_components(v.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = links(verified)
+    # every member of a band of two or more is in ends; bands still in several components are reopened
+    comps = ends.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    inside = stored(nodes.join(small(stored(comps, "comps")), "node").select("node", "comp", F.inline(bands)).select("key", "node", "comp"), "inside")
+    crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 3 and lo <> hi")
+    inside = stored(inside.join(crowd.select("key"), "key", "left_semi"), "inside")
+    crowded = stored(texts.join(inside.select("node").distinct(), "node", "left_semi").select("node", "m", _bitmap(_grams(F.col("line"), VERIFIED)).alias("bits")), "bits")
+    more = stored(crossing_pairs(inside, crowded, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        groups = links(verified.unionByName(verified_pairs(more, texts, similarity)))
+    return places, nodes.select("node", "spot", "copies"), groups
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:

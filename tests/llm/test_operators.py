@@ -395,3 +395,40 @@ def test_line_recall(docs):
     want = {k for k, x in enumerate(lines) if len(x) >= 24 and find(parent, k) != k}
     got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(list(enumerate(lines)))).where("n_removed = 1").collect()}
     assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_line_recall_in_crowded_bands(docs, monkeypatch):
+    """Lines of one frame meet in the same bands; each has one near copy there."""
+    monkeypatch.setattr(line_dedup, "TILE", 16)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 6)))
+    frame, pairs = [word() for _ in range(11)], []
+    grams = lambda x: {x[k : k + 5] for k in range(len(x) - 4)}
+    while len(pairs) < 400:
+        w = frame + [word() for _ in range(7)]
+        v = list(w)
+        v[11 + rng.randrange(7)] = word()
+        a, b = " ".join(w), " ".join(v)
+        if max(len(a), len(b)) < line_dedup.LONG_CHARS and 0.8 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 1:
+            pairs.append((a, b))
+    lines = [a for a, _ in pairs] + [b for _, b in pairs]
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(list(enumerate(lines)))).where("n_removed = 1").collect()}
+    assert got <= set(range(400, 800)) and len(got) >= 0.99 * 400
+
+
+def test_line_counts_and_not_lengths_bound_the_similarity(docs):
+    """Equal sets of shingles are similar whatever the lengths."""
+    unit = "abcdefghijklmnopqrstuvwxyz0123456789"
+    lines = [unit * 2, unit * 3]
+    assert [r["n_removed"] for r in line_dedup.dedup_lines(docs(list(enumerate(lines)))).orderBy("doc_id").collect()][1] == 1
+
+
+def test_crossing_pairs_are_all_pairs_across_components(spark):
+    rng = random.Random(2)
+    members = [(k, n, c) for k in range(3) for n, c in [(100 * k + j, rng.choice([7, 8, 9, 100 * k + j])) for j in range(60)]]
+    inside = spark.createDataFrame(members, "key long, node long, comp long")
+    bits = inside.select("node", F.lit(9).alias("m"), F.array_repeat(F.lit(0).cast("long"), line_dedup.WORDS).alias("bits"))
+    want = {(a[1], b[1]) for a, b in itertools.combinations(members, 2) if a[0] == b[0] and a[2] != b[2]}
+    for tile in (4, 1000):
+        found = [tuple(sorted(r)) for r in line_dedup.crossing_pairs(inside, bits, 0.8, tile).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
