@@ -1,9 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
 Pass 1 cuts a page into blocks and decides those that its rules can: by the enclosing
-elements, by link density, and, where the page names no article, by length and stop-word
-density. Pass 2 gives each undecided short block the label of its nearest decided
-neighbours. Every page is one row in and one row out, so the work is a plain map.
+elements, link density, length and stop-word density. Pass 2 gives each undecided block the
+label of its nearest decided neighbours. On a page that names an article, and whose article
+holds at least as much text as there is dense text outside, the article's element is the
+strongest sign: blocks outside are no main text, those inside are decided by density and
+links, and neighbours count only inside. On any other page density and links decide alone,
+also outside. Every page is one row in and one row out, so the work is a plain map.
 
 Defined cases: null or empty html gives an empty text; a page that is cut off in a tag loses
 that tag only; text outside any block element is a block of its own; unclosed elements end
@@ -151,24 +154,30 @@ def blocks(page: str) -> list[_Block]:
     return out
 
 
+def _dense(text: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words) >= STOP_SHARE * max(1, len(words))
+
+
 def classify(found: list[_Block]) -> list[_Block]:
     """Labels every block; see the module text for the two passes."""
-    article = any(b.inside and not b.around for b in found)
-    for b in found:
+    links = [b.linked / max(1, len(b.text) - b.text.count(" ")) for b in found]
+    plain = [not b.around and len(b.text) >= SHORT_CHARS and share <= LINK_SHARE for b, share in zip(found, links, strict=True)]
+    dense = [p and _dense(b.text) for b, p in zip(found, plain, strict=True)]
+    held = sum(len(b.text) for b, p in zip(found, plain, strict=True) if p and b.inside)
+    outside = sum(len(b.text) for b, d in zip(found, dense, strict=True) if d and not b.inside)
+    leads = any(b.inside and not b.around for b in found) and held >= outside
+    for b, share, thick in zip(found, links, dense, strict=True):
         size = len(b.text)
-        links = b.linked / max(1, size - b.text.count(" "))
-        if b.around:
+        if b.around or leads and not b.inside:
+            b.good = False
+        elif share > LINK_SHARE and not (leads and size < SHORT_CHARS and share <= 0.8):
             b.good = False
-        elif article:
-            # what the page itself calls its article is decided by its links alone
-            b.good = b.inside and not (links > 0.8 and size < SHORT_CHARS)
-        elif links > LINK_SHARE:
+        elif thick:
+            b.good = True
+        elif size >= LONG_CHARS and not leads:
             b.good = False
-        elif size >= SHORT_CHARS:
-            words = [w.lower() for w in _WORD.findall(b.text)]
-            dense = sum(w in STOP_WORDS for w in words) >= STOP_SHARE * max(1, len(words))
-            b.good = dense if size >= LONG_CHARS or dense else None
-    decided = [k for k, b in enumerate(found) if b.good is not None]
+    decided = [k for k, b in enumerate(found) if b.good is not None and not (leads and (b.around or not b.inside))]
     left, labels = -1, [b.good for b in found]
     for k, b in enumerate(found):
         while left + 1 < len(decided) and decided[left + 1] < k:

@@ -239,6 +239,16 @@ def test_html_blocks():
     assert html_op.main_text("<article><p>cut <b>off</arti") == "cut off"
 
 
+def test_html_article_is_a_teaser_or_holds_link_lists():
+    body = "this is the text of a page that has it in plain elements and it is long enough to be read by all of us"
+    teaser = f"<article><h2>Read next</h2><p>A short card</p></article><div>{body}, first.</div><div>{body}, second.</div>"
+    assert html_op.main_text(teaser).endswith(f"{body}, first.\n{body}, second.")
+    listed = f"<article><h1>Title</h1><p>{body}.</p><p>{'<a href=x>Another story of this site</a> ' * 4}</p><p>{body}!</p></article><div>{body[:80]}</div>"
+    assert html_op.main_text(listed) == f"Title\n{body}.\n{body}!"
+    foreign = f"<article><h1>標題</h1><p>{'漢字' * 80}</p></article><div>{body}</div>"
+    assert html_op.main_text(foreign) == "標題\n" + "漢字" * 80
+
+
 def test_html_clashing_columns(spark):
     f = spark.createDataFrame([(1, "u", "<article>x</article>", "kept")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_op.extract_text(f).collect()] == [(1, "u", "kept", "x", 1)]
