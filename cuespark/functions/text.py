@@ -159,11 +159,13 @@ def apply_phrases(c: Column, phrases: Mapping[str, str]) -> Column:
     return c
 
 
-def apply_phrase_table(df: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """``phrases(wrong, correct)`` are one ordered array, joined to every row; for tables that fit one row."""
-    ordered = phrases.where("length(wrong) > 0 and wrong <> correct").agg(F.sort_array(F.collect_list(F.struct((-F.length("wrong")).alias("n"), "wrong", "correct"))).alias("__p"))
+def apply_phrase_table(df: DataFrame, phrases: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """``phrases(*by, wrong, correct)`` are one ordered array for each ``by``, joined to its rows; without ``by`` one for all rows, for tables that fit one row."""
+    found = phrases.where("length(wrong) > 0 and wrong <> correct").groupBy(*by)
+    ordered = found.agg(F.sort_array(F.collect_list(F.struct((-F.length("wrong")).alias("n"), "wrong", "correct"))).alias("__p"))
     out = F.aggregate("__p", F.col(text), lambda t, p: F.replace(t, p["wrong"], p["correct"]))
-    return df.join(F.broadcast(ordered)).withColumn(text, out).drop("__p")
+    joined = df.join(ordered, list(by), "left") if by else df.join(F.broadcast(ordered))
+    return joined.withColumn(text, F.coalesce(out, text)).select(df.columns)
 
 
 def has_marker(c: Column, markers: Sequence[str]) -> Column:

@@ -71,8 +71,11 @@ def apply_blocks(df: DataFrame, f: Callable[[list[str]], list[str]], block: int,
 
 
 def correct_tracks(cues: DataFrame, glossary: Callable[[DataFrame], DataFrame], correct: Callable[[list[str]], list[str]], block: int = 40) -> DataFrame:
-    """A glossary from a sample of each track, applied, then the caller's corrections under a guard."""
-    fixed = apply_phrase_table(cues, glossary(sample_context(cues)))
+    """A glossary from a sample of each track, applied to that track, then the caller's corrections under a guard.
+
+    ``glossary`` makes (media_id, wrong, correct) of the sample, whose budget bounds the phrases of a track.
+    """
+    fixed = apply_phrase_table(cues, glossary(sample_context(cues)), by=["media_id"])
     replies = apply_blocks(fixed, correct, block).select("media_id", "cue_no", F.lit(1).alias("seq"), F.col("reply").alias("fixed"))
     longest = F.greatest(F.length("text") + 28, F.floor(F.length("text") * 1.75) + 8)
     return apply_corrections(fixed, replies, (F.trim("fixed") != "") & ~F.col("fixed").contains("\n") & (F.length("fixed") <= longest))

@@ -951,7 +951,7 @@ def _(spark, d):
 @query("udf3_correct_tracks")
 def _(spark, d):
     c = cues(spark, d).select("media_id", "cue_no", "text")
-    return jobs.correct_tracks(c, lambda s: s.where("length(text) < 8").select(F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct().orderBy("wrong").limit(20), lambda t: [x.strip() + "." for x in t])
+    return jobs.correct_tracks(c, lambda s: s.where("length(text) < 8").select("media_id", F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct(), lambda t: [x.strip() + "." for x in t])
 
 
 # --- groups whose steps depend on the text so far ----------------------------------------

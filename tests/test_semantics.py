@@ -144,3 +144,16 @@ def test_groups(spark):
     assert gr.readable_pieces("one two three, four five six", 16) == ["one two three,", "four five six"]
     pieces = gr.split_for_reading(c, 12).where("cue_no = 4").orderBy("piece_no").collect()
     assert pieces[0]["part_start"] == 9000 and pieces[-1]["part_end"] == 12000
+
+
+def test_correct_tracks_applies_the_whole_glossary_of_each_track(spark):
+    short = [f"w{k:02d}x" for k in range(40)]
+    rows = [(m, k + 1, t) for m in (1, 2) for k, t in enumerate([*short[m - 1 :: 2], "say " + " and ".join(short)])]
+    cues = spark.createDataFrame(rows, "media_id long, cue_no long, text string")
+    glossary = lambda s: s.where("length(text) < 8").select("media_id", F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct()
+    got = {r["media_id"]: r["text"] for r in jobs.correct_tracks(cues, glossary, lambda t: t).where("cue_no = 21").collect()}
+    for m in (1, 2):
+        own = set(short[m - 1 :: 2])
+        assert got[m] == "say " + " and ".join(x.upper() if x in own else x for x in short)
+    plain = spark.createDataFrame([("a", "b")], "wrong string, correct string")
+    assert tx.apply_phrase_table(cues.limit(1).withColumn("text", F.lit("aa")), plain).first()["text"] == "bb"
