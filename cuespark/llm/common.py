@@ -5,6 +5,7 @@ Nothing here collects rows to the driver; the driver only sees counts.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -19,9 +20,11 @@ SCRATCH_KEY = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named by the cluster; a local one only where none is set and the master is local (tests)."""
     named = spark.sparkContext.getConf().get(SCRATCH_KEY, None) or spark.conf.get(SCRATCH_KEY, None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{SCRATCH_KEY} must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cuespark-")
         spark.conf.set(SCRATCH_KEY, named)
     return named.rstrip("/")
@@ -35,7 +38,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: a cut in the lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that no later step reads, and let go of finished stages' shuffle files.
+
+    Shuffle files stay until the driver's garbage collector has seen that no plan names them, so a
+    collection is asked for here: at scale these files are the largest part of the disk.
+    """
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Rows of a few numbers each that may be broadcast: some 30 MB.
@@ -97,7 +116,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = stored(small, "links")
+        last, e = e, stored(small, "links")
+        discard(last)
         before, mark = mark, _mark(e)
         if mark == before:
             break

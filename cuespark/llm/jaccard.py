@@ -14,9 +14,9 @@ differing element), for pairs of different components only. All pairs that pass
 intersected exactly, as sorted arrays. A group of near copies thus costs a few intersections a
 member, and no tile emits pairs of sets that are joined already.
 
-Equal sets are joined by their digest and never compared. A key that several rows of an Arrow
-batch hold leaves the batch once, so a key held by a third of all rows reaches the shuffle once
-a batch.
+Equal sets are joined by their digest and never compared. A key that several rows of a slice of
+``BLOCK_BYTES`` of text hold leaves the slice once, so a key held by a third of all rows reaches
+the shuffle once a slice. Keys move in packed blocks, a bucket of the key space at a time.
 
 Defined cases: null or wordless text is the empty set, linked with nothing; a null doc_id is
 returned with a null component; repeated ids are one node; with fewer than ``width`` words the
@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm.common import (
     connected_components,
+    discard,
     distinct_per_row,
     lower_ascii,
     mix64,
@@ -46,7 +47,9 @@ from cuespark.llm.common import (
     word_shingles,
 )
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BLOCK_BYTES = 2 << 20, 6 << 20  # text handled at once; text whose keys leave together
+BUCKETS = 4  # of keys, a shuffle partition
+FAN = 128  # sets held against one copy of another
 BAND_GROWTH = 1.5
 SPARE_PARTS = 3
 BITMAP_BITS = (512, 1 << 17)  # at least and at most; between them, 8 to 16 bits an element
@@ -120,10 +123,10 @@ def _keys(rows: np.ndarray, hashes: np.ndarray, n: np.ndarray, t: Threshold) ->
     return np.concatenate(out_r), np.concatenate(out_k)
 
 
-def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(column: pa.Array, width: int, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, rows, hashes, sizes) slice by slice."""
     data, offsets = utf8_parts(column)
-    for i, j in pieces(offsets, SLICE_BYTES):
+    for i, j in pieces(offsets, size):
         part = lower_ascii(data[offsets[i] : offsets[j]])
         rows, hashes = distinct_per_row(*word_shingles(part, offsets[i : j + 1] - offsets[i], width))
         yield i, j, rows, hashes, np.bincount(rows, minlength=j - i)
@@ -140,58 +143,102 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).astype(np.uint64, copy=False).view(np.int64))
 
 
-def set_keys(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Rows of three kinds: 0 a document's size and digest, 1 a key that a document holds, 2 a meeting
-    inside a batch, with its key as h1. Only rows of kind 1 are to be grouped by ``key``."""
-    names = ["kind", "key", "doc", "lead", "n", "h1", "h2"]
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as planes of bytes: the high bytes of ids and of sorted keys shrink to nothing in a shuffle."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+
+
+def unpacked(block: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(block, np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+
+
+#: Columns of each kind of block: a document's size and digest; a key and its holder; a meeting inside a slice.
+SIZE, KEY, MEETING = 0, 1, 2
+FIELDS = {SIZE: 4, KEY: 2, MEETING: 3}
+
+
+def set_blocks(docs: DataFrame, width: int, threshold: int, buckets: int) -> DataFrame:
+    """(bucket, kind, block): what a slice of documents has for each bucket of keys, as one packed block."""
+
+    def sliced(ids: np.ndarray, i: int, rows: np.ndarray, hashes: np.ndarray, n: np.ndarray, t: Threshold) -> Iterator[tuple[int, int, bytes]]:
+        a, b = _digest(rows, hashes, n)
+        seen: dict[tuple[int, int], int] = {}
+        same = np.array([seen.setdefault((int(a[r]), int(b[r])), r) if n[r] else r for r in range(len(n))], np.int64)
+        fresh = same == np.arange(len(n))
+        on = fresh[rows]
+        r, k = _keys(rows[on], hashes[on], np.where(fresh, n, 0), t)
+        whole = np.flatnonzero(fresh & (n > 0))
+        r, k = np.concatenate([r, whole]).astype(np.int64), np.concatenate([k, a[whole] ^ b[whole]])
+        order = np.lexsort((ids[r], k))
+        r, k = r[order], k[order]
+        new = np.ones(len(r), bool)
+        new[1:] = k[1:] != k[:-1]
+        lead = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))] if len(r) else r
+        copies = np.flatnonzero(~fresh)
+        u, v = np.concatenate([ids[r[~new]], ids[copies]]), np.concatenate([ids[lead[~new]], ids[same[copies]]])
+        any_bucket = int(mix64(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+        yield any_bucket, SIZE, packed(ids, n.astype(np.int64), a, b)
+        if len(u):
+            yield any_bucket, MEETING, packed(np.concatenate([k[~new], np.zeros(len(copies), np.uint64)]), u, v)
+        # keys are sorted, so each bucket is a range of them
+        k, held = k[new], ids[r[new]]
+        bucket = ((k >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for x, y in zip(at, [*at[1:], len(k)], strict=False):
+            yield int(bucket[x]), KEY, packed(k[x:y], held[x:y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(threshold)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(ids):
-                continue
-            held_r, held_k, sizes, d1, d2 = [], [], [], [], []
-            seen: dict[tuple[int, int], int] = {}
-            same = np.arange(len(ids))
-            for i, j, rows, hashes, n in _sets(batch.column(1), width):
-                a, b = _digest(rows, hashes, n)
-                for r in np.flatnonzero(n):
-                    same[i + r] = seen.setdefault((int(a[r]), int(b[r])), i + r)
-                fresh = same[i:j] == np.arange(i, j)
-                on = fresh[rows]
-                r, k = _keys(rows[on], hashes[on], np.where(fresh, n, 0), t)
-                held_r.append(np.concatenate([r, np.flatnonzero(fresh & (n > 0))]) + i)
-                held_k.append(np.concatenate([k, a[fresh & (n > 0)] ^ b[fresh & (n > 0)]]))
-                sizes.append(n), d1.append(a), d2.append(b)
-            r, k = np.concatenate(held_r).astype(np.int64), np.concatenate(held_k)
-            order = np.lexsort((ids[r], k))
-            r, k = r[order], k[order]
-            new = np.ones(len(r), bool)
-            new[1:] = k[1:] != k[:-1]
-            lead = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))] if len(r) else r
-            copies = np.flatnonzero(same != np.arange(len(ids)))
-            u = np.concatenate([ids[r[~new]], ids[copies]])
-            v = np.concatenate([ids[lead[~new]], ids[same[copies]]])
-            met = np.concatenate([k[~new], np.zeros(len(copies), np.uint64)])
-            n, a, b = np.concatenate(sizes), np.concatenate(d1), np.concatenate(d2)
-            z = lambda m: np.zeros(m, np.int64)
-            m0, m1, m2 = len(ids), int(new.sum()), len(u)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array([0, 1, 2], np.int8), [m0, m1, m2])),
-                    _i64(np.concatenate([mix64(ids.view(np.uint64)), k[new], mix64(u.view(np.uint64))])),
-                    pa.array(np.concatenate([ids, ids[r[new]], u])),
-                    pa.array(np.concatenate([ids, ids[r[new]], v])),
-                    pa.array(np.concatenate([n.astype(np.int64), z(m1), z(m2)])),
-                    _i64(np.concatenate([a, z(m1).view(np.uint64), met])),
-                    _i64(np.concatenate([b, z(m1).view(np.uint64), z(m2).view(np.uint64)])),
-                ],
-                names,
-            )
+            for i, j, rows, hashes, n in _sets(batch.column(1), width, BLOCK_BYTES):
+                out = list(sliced(ids[i:j], int(ids[i]), rows, hashes, n, t))
+                where, kind, block = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind, pa.int8()), pa.array(block, pa.binary())], ["bucket", "kind", "block"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text"))
+    return texts.mapInArrow(run, "bucket int, kind tinyint, block binary")
+
+
+def meetings(blocks: DataFrame, width: int) -> DataFrame:
+    """Rows of two kinds, one bucket at a time: SIZE (doc, n, h1, h2) and MEETING (key, doc, lead), lead the key's least holder.
+
+    A key that one document holds leaves no row. Tasks hold the keys of one bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "key", "doc", "lead", "n", "h1", "h2"]
+
+        def rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+            m = len(columns["doc"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8))] + [_i64(columns.get(c, np.zeros(m, np.uint64))) for c in names[1:]], names)
+
+        for table in runs(batches, "bucket"):
+            kinds = table.column("kind").to_numpy()
+            blocks = table.column("block")
+            parts: dict[int, list] = {SIZE: [], KEY: [], MEETING: []}
+            for at, kind in enumerate(kinds):
+                parts[int(kind)].append(unpacked(blocks[at].as_buffer(), FIELDS[int(kind)]))
+            joined = {kind: [np.concatenate(c) for c in zip(*got, strict=True)] for kind, got in parts.items() if got}
+            if SIZE in joined:
+                doc, n, a, b = joined[SIZE]
+                yield rows(SIZE, doc=doc, n=n, h1=a, h2=b)
+            if MEETING in joined:
+                key, doc, lead = joined[MEETING]
+                yield rows(MEETING, key=key, doc=doc, lead=lead)
+            if KEY in joined:
+                key, doc = joined[KEY]
+                order = np.lexsort((doc.view(np.int64), key))
+                key, doc = key[order], doc[order]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                lead = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+                met = lead != doc
+                yield rows(MEETING, key=key[met], doc=doc[met], lead=lead[met])
 
     schema = "kind tinyint, key long, doc long, lead long, n long, h1 long, h2 long"
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+    return blocks.repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
 def bitmap(elements: np.ndarray) -> bytes:
@@ -299,45 +346,59 @@ def tile_pairs(tiles: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The (a, b) that link: bitmaps first, then the sorted arrays of those whose bound allows it."""
+def held_against(pairs: DataFrame, sets: DataFrame, column: str, judge) -> DataFrame:
+    """The (a, b) of ``pairs`` that ``judge(x, n_x, y, n_y)`` keeps, x and y being the ends' ``column`` as 64-bit words.
 
-    def ends(some: DataFrame, *c: str) -> DataFrame:
-        """The columns ``c`` of both sets of each pair; the sets move only where they belong to a pair."""
-        some = small(some)
-        one = lambda x: sets.select(F.col("rep").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in c]).join(some, x)
-        return one("a").join(one("b"), ["a", "b"]).select("a", "b", *[f"{k}_{x}" for x in "ab" for k in c])
+    Each b moves once a pair; each a moves once for ``FAN`` of its partners and stands before them
+    in its partition, so a task holds one a and the batch that passes by, whatever a's partners.
+    """
+    width = shuffle_width(pairs.sparkSession)
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
+    firsts = sets.join(small(stored(fans, "fans")), F.col("rep") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("b"), "n", F.col(column).alias("x"))
+    partners = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("fan"), "b")
+    seconds = sets.join(small(stored(partners, "partners")), F.col("rep") == F.col("b")).select("a", "fan", "b", "n", F.col(column).alias("x"))
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Threshold(threshold)
-        for batch in batches:
-            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            differ = np.array([differing(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 5))) for k in range(batch.num_rows)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((total - differ) // 2 >= t.least_overlap(total)))
-
-    def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Threshold(threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, n, x = None, 0, None
         for batch in batches:
             keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                keep.append(t.links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for k, (one, other, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                words = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)
+                if other is None:
+                    a, n, x = one, size, words.copy()
+                elif one == a and judge(x, n, words, size):
+                    keep.append(k)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2)], ["a", "b"])
+
+    dealt = firsts.unionByName(seconds).repartition(width, "a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) that link: bitmaps first, then the sorted arrays of those whose bound allows it."""
+    t = Threshold(threshold)
+
+    def bounded(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
+        near = 100 * min(n, m) >= threshold * max(n, m)
+        return near and (n + m - differing(x, y)) // 2 >= int(t.least_overlap(np.int64(n + m)))
+
+    def linked(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
+        return t.links(len(np.intersect1d(x, y, assume_unique=True)), n, m)
 
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
-    passed = stored(ends(pairs, "n", "bits").where(near).mapInArrow(bounded, "a long, b long").distinct(), "bounded")
-    second = ends(passed, "elements")
-    return stored(second.mapInArrow(intersected, "a long, b long"), "exact")
+    passed = stored(held_against(pairs, sets, "bits", bounded), "bounded")
+    links = stored(held_against(passed, sets, "elements", linked), "exact")
+    discard(passed)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``."""
     docs = docs.select("doc_id", "text")
-    by_key = Window.partitionBy("kind", "key").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = set_keys(docs, width, threshold).withColumn("lead", F.when(F.col("kind") == 1, F.first("doc").over(by_key)).otherwise(F.col("lead")))
-    held = stored(held.where("kind = 0 or lead <> doc"), "held")
-    sizes = held.where("kind = 0").select("doc", "n", "h1", "h2")
-    meets = held.where("kind > 0").select(F.when(F.col("kind") == 2, F.col("h1")).otherwise(F.col("key")).alias("key"), "doc", "lead")
+    width_ = shuffle_width(docs.sparkSession)
+    held = stored(meetings(set_blocks(docs, width, threshold, BUCKETS * width_), width_), "held")
+    sizes = held.where(f"kind = {SIZE}").select("doc", "n", "h1", "h2")
+    meets = held.where(f"kind = {MEETING}").select("key", "doc", "lead")
     # one document stands for each set; only documents that met another take part
     met = stored(meets.select("doc", "lead").distinct(), "met")
     nodes = met.select("doc").unionByName(met.select(F.col("lead").alias("doc"))).distinct()
@@ -352,6 +413,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     # one meeting a set comes first; the others are looked at only if they still cross components
     first_star = stored(pair(by_rep.groupBy("x").agg(F.min("y").alias("y"))), "star")
     wanted = stored(star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct(), "wanted")
+    discard(sets, by_rep)
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
     arrays = stored(set_arrays(text.join(small(wanted), "rep"), width), "sets")
     links = exact_links(first_star, arrays, threshold)
@@ -380,6 +442,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     if not more.isEmpty():
         links = links.unionByName(exact_links(more, arrays, threshold))
         joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(arrays, inside, met, more, first_star, star, wanted)
     place = rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("root"))
     known = sizes.join(place, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text")
