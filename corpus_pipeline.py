@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespark.llm import decontaminate, jaccard, line_dedup, packing, quality
-from cuespark.llm.common import free_name, stored
+from cuespark.llm.common import discard, free_name, small, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from the labelled ones, scores 0.5 or more."""
-    rules = quality.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = free_name(docs, "score")
-    # written before it is filtered: a filter on it would be pushed down and compute each statistic once a rule
-    return stored(quality.with_score(docs, rules, out=score), "scores").where(F.col(score) >= 0.5).drop(score)
+    scored = quality.with_score(docs, quality.fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    score = scored.columns[-1]
+    return scored.where(F.col(f"`{score}`") >= 0.5).drop(score)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +29,27 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group: five words, similarity 0.8."""
-    groups = jaccard.jaccard_components(docs, width=5, threshold=80)
-    later = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group, that with the smallest id: five words, similarity 0.8.
+
+    Rows are told apart by id and text, so an id that stands on two texts is two documents, rows
+    that repeat both are copies, and rows without an id take part. Rows without words all stay.
+    """
+    row, mark = free_name(docs, "row"), free_name(docs, "mark")
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null or doc_id < 0").select(F.col("doc_id").alias(mark), F.lit(True).alias(row))
+    unclear = stored(unclear, "unclear")
+    hashed = -F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) - 1
+    marked = docs.join(small(unclear), F.col("doc_id").eqNullSafe(F.col(mark)), "left").withColumn(row, F.when(F.col(row), hashed).otherwise(F.col("doc_id"))).drop(mark)
+    groups = jaccard.jaccard_components(marked.select(F.col(row).alias("doc_id"), "text"), width=5, threshold=80)
+    groups = stored(groups.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")), "groups")
+    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("component_id")
+    members = groups.join(shared, "component_id").select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row"))
+    first = marked.select("doc_id", row).join(members, row).groupBy("component_id").agg(F.min(order)["row"].alias("kept"))
+    gone = small(stored(members.join(first, "component_id").where(F.col(row) != F.col("kept")).select(row), "gone"))
+    left = marked.join(gone, row, "left_anti")
+    again = small(stored(groups.where("n > 1").select(F.col("doc_id").alias(row)), "again"))
+    copies = left.join(again, row, "left_semi").dropDuplicates([row])
+    return left.join(again, row, "left_anti").unionByName(copies).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name)
+            if k:
+                discard(before)
     return docs
