@@ -57,13 +57,13 @@ def discard(*tables: DataFrame) -> None:
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-#: Rows of a few numbers each that may be broadcast: some 30 MB.
-SMALL_ROWS = 500_000
+#: Of a table that may be broadcast, with the hash table's share of each row.
+SMALL_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` (a stored table) to be broadcast if it has at most ``rows`` rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``df``, a stored table of numbers, to be broadcast if it is counted to take at most ``most`` bytes; else joins shuffle it."""
+    return F.broadcast(df) if df.count() * (32 + 24 * len(df.columns)) <= most else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

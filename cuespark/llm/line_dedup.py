@@ -11,8 +11,9 @@ size, so every two lines that meet in a band are decided. Pairs are verified by
 similarity of their distinct character 5-shingles (their counts, and in tiles a bitmap, bound it
 before), and verified pairs are joined by distributed components.
 
-Long lines take their shingles at word starts, short ones at every character; lengths near the
-border take both, so that near-equal lines always share a scheme.
+The shingles of a signature are, in long lines, the first ``ANCHORED`` characters from each word
+on, and in short lines those at every character; lengths near the border take both, so that
+near-equal lines always share a scheme. A signature's hashes have 32 bits, a band's key has two.
 
 Equal lines are one row from the first aggregation on, whatever their number. The first line of
 a group, by (doc_id, line number), stays. Lines whose folded form is shorter than ``min_chars``
@@ -31,13 +32,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import connected_components, free_name, small, stored
+from cuespark.llm.common import connected_components, discard, free_name, small, stored
 
 SIMILARITY = 0.8
 MIN_CHARS = 24  # at least SHINGLE
 SKETCH = 5
 SHORT_CHARS, LONG_CHARS = 150, 120  # lines up to the first use every character, from the second on word starts
-SHINGLE, ANCHORED = 9, 16
+SHINGLE, ANCHORED = 9, 12
 VERIFIED = 5
 TILE = 128  # lines a chunk of a reopened band
 WORDS = 8  # of 64 bits in a line's bitmap of shingles
@@ -50,27 +51,32 @@ def folded_line(line: Column) -> Column:
 
 
 def _smallest(hashes: Column) -> Column:
-    return F.slice(F.array_distinct(F.slice(F.sort_array(hashes), 1, 4 * SKETCH)), 1, SKETCH + 1)
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH + 1)
+
+
+def _runs(t: Column, n: int) -> Column:
+    """All runs of ``n`` characters; one pass over the text, which must have ``n`` at least."""
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def _grams(t: Column, n: int) -> Column:
-    """Hashes of all runs of ``n`` characters; one pass over the text, which must have ``n`` at least."""
-    return F.transform(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.transform(_runs(t, n), lambda x: F.xxhash64(x))
 
 
 def _every(t: Column) -> Column:
-    return _grams(t, SHINGLE)
+    return F.transform(_runs(t, SHINGLE), lambda x: F.hash(x))
 
 
-def _anchored(t: Column, anchors: Column) -> Column:
-    """``anchors`` are the shingles at word starts; a line with few words uses every character."""
-    return F.when(F.size(anchors) * 20 >= F.char_length(t), F.transform(anchors, lambda x: F.xxhash64(x))).otherwise(_every(t))
+def _anchored(t: Column, words: Column) -> Column:
+    """Shingles at the starts of ``words``; a line with few words uses every character."""
+    shingle = lambda w, i: F.substring(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)), 1, ANCHORED)
+    return F.when(F.size(words) * 20 >= F.char_length(t), F.transform(words, lambda w, i: F.hash(shingle(w, i)))).otherwise(_every(t))
 
 
 def _bands(sketch: Column, scheme: int) -> Column:
     """Keys of all pairs among the smallest hashes, each with the next smallest hash for its order."""
     pairs = list(combinations(range(SKETCH), 2))
-    rank = F.coalesce(F.get(sketch, F.lit(SKETCH)), F.lit(0).cast("long"))
+    rank = F.coalesce(F.get(sketch, F.lit(SKETCH)), F.lit(0)).cast("long")
     keys = [
         F.when(F.size(sketch) > b, F.struct(F.xxhash64(F.lit(scheme), F.get(sketch, F.lit(a)), F.get(sketch, F.lit(b))).alias("key"), rank.alias("rank")))
         for a, b in pairs
@@ -146,10 +152,9 @@ def crossing_pairs(inside: DataFrame, bits: DataFrame, similarity: float, tile:
 def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those (a, b) of ``pairs`` whose ``texts(node, line, m)`` are similar enough, m being the distinct shingles."""
     left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("ta"), F.col("m").alias("ma")), texts.select(F.col("node").alias("b"), F.col("line").alias("tb"), F.col("m").alias("mb"))
-    # a lambda's argument is evaluated once, so each set is built once a pair
-    sets = F.array(F.struct(F.array_distinct(_grams(F.col("ta"), VERIFIED)).alias("a"), F.array_distinct(_grams(F.col("tb"), VERIFIED)).alias("b")))
-    both = F.transform(sets, lambda p: F.size(F.array_intersect(p["a"], p["b"])))
-    alike = F.transform(both, lambda n: n >= similarity * (F.col("ma") + F.col("mb") - n))[0]
+    # a lambda's argument is evaluated once, so each pair is intersected once
+    both = F.size(F.array_intersect(_grams(F.col("ta"), VERIFIED), _grams(F.col("tb"), VERIFIED)))
+    alike = F.transform(F.array(both), lambda n: n >= similarity * (F.col("ma") + F.col("mb") - n))[0]
     near = F.least("ma", "mb") >= similarity * F.greatest("ma", "mb")
     return pairs.join(left, "a").join(right, "b").where(near & alike).select("a", "b")
 
@@ -158,15 +163,15 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     """(places, nodes, groups): places are (doc_id, mark, line_no, node) of all lines that count,
     nodes (node, spot, copies) the different lines with their first place, groups (node, component)."""
     n = F.char_length("line")
-    anchors = F.when(n >= LONG_CHARS, F.regexp_extract_all("line", F.lit(f"(?s)(?:^| )(?=(.{{1,{ANCHORED}}}))"), F.lit(1)))
-    lines = folded(raw_lines(docs), min_chars).select("*", F.xxhash64("line").alias("node"), n.alias("n"), anchors.alias("anchors"))
+    words = F.when(n >= LONG_CHARS, F.split("line", " "))
+    lines = folded(raw_lines(docs), min_chars).select("*", F.xxhash64("line").alias("node"), n.alias("n"), words.alias("words"))
     short = F.when(n <= SHORT_CHARS, _smallest(_every(F.col("line"))))
-    long = F.when(n >= LONG_CHARS, _smallest(_anchored(F.col("line"), F.col("anchors"))))
-    seen = stored(lines.select("doc_id", "mark", "line_no", "node", "n", short.alias("s0"), long.alias("s1")), "lines")
+    long = F.when(n >= LONG_CHARS, _smallest(_anchored(F.col("line"), F.col("words"))))
+    seen = stored(lines.select("doc_id", "mark", "line_no", "node", short.alias("s0"), long.alias("s1")), "lines")
     places = seen.select("doc_id", "mark", "line_no", "node")
     # copies of a line have equal sketches: the aggregation leaves one row for each
     spot = F.struct("doc_id", "mark", "line_no")
-    nodes = stored(seen.groupBy("node").agg(F.min(F.struct(spot.alias("spot"), "n", "s0", "s1")).alias("f"), F.count(F.lit(1)).alias("copies")).select("node", "f.*", "copies"), "nodes")
+    nodes = stored(seen.groupBy("node").agg(F.min(F.struct(spot.alias("spot"), "s0", "s1")).alias("f"), F.count(F.lit(1)).alias("copies")).select("node", "f.*", "copies"), "nodes")
     none = F.array().cast("array<struct<key:long,rank:long>>")
     bands = F.concat(F.coalesce(F.when(F.col("s0").isNotNull(), _bands(F.col("s0"), 0)), none), F.coalesce(F.when(F.col("s1").isNotNull(), _bands(F.col("s1"), 1)), none))
     pairs = stored(candidate_pairs(nodes.select("node", F.inline(bands))), "pairs")
@@ -186,6 +191,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     more = stored(crossing_pairs(inside, crowded, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         groups = links(verified.unionByName(verified_pairs(more, texts, similarity)))
+    discard(pairs, ends, texts, verified, inside, more)
     return places, nodes.select("node", "spot", "copies"), groups
 
 
@@ -198,18 +204,20 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     kept = first_of.groupBy("component").agg(F.min("spot").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
     # only lines that have a copy are looked at again
     heads = stored(first_of.select("node", "component").join(kept.drop("n"), "component").select("node", "kept"), "heads")
-    removed = places.join(heads, "node").where(spot != F.col("kept")).groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("__drop"))
-    removed = removed.withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark")
-    held = docs.withColumn("__m", F.xxhash64("text"))
-    joined = held.join(removed, (held["doc_id"] == removed["__id"]) & (held["__m"] == removed["__mark"]), "left")
+    id_, mark, drop = (free_name(docs, x) for x in ("id", "mark", "drop"))
+    removed = places.join(heads, "node").where(spot != F.col("kept")).groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias(drop))
+    removed = removed.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), drop)
+    joined = docs.join(removed, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(mark)), "left")
     pieces = F.split("text", "\n")
-    left = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
+    # a lambda's argument is evaluated once; the difference and the look-ups are linear in the lines, however many go
+    stay = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(drop)), lambda i: F.get(p, i))
+    left = F.transform(F.array(pieces), lambda p: F.array_join(stay(p), "\n"))[0]
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(left)
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(
         *columns,
         F.coalesce(F.size(pieces), F.lit(0)).cast("long").alias(total),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(gone),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(gone),
     )
 
 
