@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuespark.llm.common import combine, mix64, pieces, prefix_hash, span_hash, utf8_parts
+from cuespark.llm.common import combine, free_name, mix64, pieces, prefix_hash, span_hash, utf8_parts
 
 SLACK = 0.2
 WALKS, SAMPLES, PLACES = 4, 24, 3
@@ -201,25 +201,26 @@ def _block(rows: list) -> Items:
     return Items(np.array([kept[k][0] for k in on], np.int64), [each[k] for k in on])
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, out: str = "leaks") -> DataFrame:
-    """``docs`` with ``leaks``: one struct per benchmark item found in the row's whole text."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` and, last, ``leaks`` (with a leading underscore if taken): one struct per benchmark item found in the row's whole text."""
+    out, folded_text = free_name(docs, "leaks"), free_name(docs, "t")
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), folded(F.col("text")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    result = docs.withColumn(out, F.expr(f"cast(array() as {LEAKS})")).withColumn("__t", folded(F.col("text")))
+    result = docs.withColumn(out, F.expr(f"cast(array() as {LEAKS})")).withColumn(folded_text, folded(F.col("text")))
     for b in range(blocks):
         # a block holds BLOCK_BYTES of items on average, whatever the size of the benchmark
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "t").collect()
-        result = _one_block(result, _block(rows), out)
-    return result.drop("__t")
+        result = _one_block(result, _block(rows), out, folded_text)
+    return result.drop(folded_text)
 
 
-def _one_block(docs: DataFrame, items: Items, out: str) -> DataFrame:
+def _one_block(docs: DataFrame, items: Items, out: str, text: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, to = names.index("__t"), names.index(out)
+            at, to = names.index(text), names.index(out)
             data, offsets = utf8_parts(batch.column(at))
             for i, j in pieces(offsets, SLICE_BYTES):
                 part = batch.slice(i, j - i)
@@ -241,4 +242,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, as they are."""
-    return with_leaks(docs, benchmark, "__leaks").where("size(__leaks) = 0").drop("__leaks")
+    marked = with_leaks(docs, benchmark)
+    found = marked.columns[-1]
+    return marked.where(F.size(F.col(f"`{found}`")) == 0).drop(found)

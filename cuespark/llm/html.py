@@ -55,11 +55,18 @@ AROUND_WORDS = frozenset(
     signup comment comments commentlist disqus reply replies respond share sharing social related recommended pagination
     pager login search toolbar contentinfo complementary dialog gdpr paywall""".split()
 )
+# Words that may stand beside them in one name, as in share-buttons; others make a name of its own, as in social-history.
+NAME_PARTS = frozenset(
+    """area bar block body bottom box button buttons card cards container content count dropdown fixed form global group header
+    icon icons inner item items left link links list main menu mobile module overlay page panel posts primary right row
+    secondary section site slot small sticky text title top unit widget widgets wrap wrapper thread""".split()
+)
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title iframe noscript template svg math".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# one attribute with its value, so that names are never looked for inside values
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"\w+")
 
 LONG_CHARS, SHORT_CHARS, STOP_SHARE, LINK_SHARE = 140, 70, 0.2, 0.4
@@ -73,14 +80,15 @@ class _Block:
 
 
 def _named_around(attributes: str, inside: bool) -> bool:
-    for name, value in _NAMES.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z0-9]+", value)
-            if AROUND_WORDS.intersection(words) or not inside and "header" in words and name != "id":
-                return True
+            for token in value.split():
+                words = {w for w in re.split(r"[^a-z0-9]+", token) if w and not w.isdigit()}
+                if words & AROUND_WORDS and words <= AROUND_WORDS | NAME_PARTS or not inside and name != "id" and words == {"header"}:
+                    return True
     return False
 
 

@@ -46,7 +46,8 @@ class WordTokenizer:
     a line feed between visible characters apart, so a text may be cut there and its words
     encoded one by one. An unknown word of letters, with marks after it, is two pieces and goes
     straight to the merges; other unknown words are encoded many at a time, as the lines of one
-    text. A text with any other white space is cut before its words only and not remembered.
+    text. A text with any other white space is cut before its words only and not remembered, and
+    a text that spells one of the vocabulary's added tokens is encoded as a whole.
     """
 
     MARKS = ".,!?;:#$%&*|()\"'"
@@ -55,9 +56,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.feed = self._plain(["\n"])[0]
         self.bases: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -109,6 +110,11 @@ class WordTokenizer:
             self.first.clear()
             self.later.clear()
             self.bases.clear()
+        if any(s in t for s in self.special for t in texts):
+            whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+            done = dict(zip(whole, self._plain([texts[k] for k in whole]), strict=True))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in done]))
+            return [done[k] if k in done else next(rest) for k in range(len(texts))]
         parts = [[line.split(" ") for line in t.split("\n")] for t in texts]
         heads = [[line.pop(0) for line in t] for t in parts]
         for known, used, lead in ((self.first, set().union(*heads), ""), (self.later, set().union(*(line for t in parts for line in t)), " ")):

@@ -32,29 +32,31 @@ def external_shuffle(
     """``docs`` with ``shard`` and ``slot``; every column and row is kept."""
     spark = docs.sparkSession
     shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    mark_, bucket_, place_, n_, base_ = (free_name(docs, x) for x in ("mark", "bucket", "place", "n", "base"))
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     mark = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    taken = docs.select("*", mark.alias("__mark"))
-    taken = taken.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), "__mark", F.spark_partition_id()), F.lit(buckets)))
-    schema = T.StructType(taken.schema.fields + [T.StructField("__place", T.LongType())])
+    taken = docs.select("*", mark.alias(mark_))
+    taken = taken.withColumn(bucket_, F.pmod(F.xxhash64(F.lit(seed), mark_, F.spark_partition_id()), F.lit(buckets)))
+    schema = T.StructType(taken.schema.fields + [T.StructField(place_, T.LongType())])
 
     def fisher_yates(table: pa.Table) -> pa.Table:
-        marks = table.column("__mark").to_numpy()
-        bucket = table.column("__bucket")[0].as_py()
+        marks = table.column(mark_).to_numpy()
+        bucket = table.column(bucket_)[0].as_py()
         order = np.argsort(marks, kind="stable")
         # Generator.permutation is the Fisher-Yates shuffle
         order = order[np.random.default_rng([seed, bucket]).permutation(len(order))]
-        return table.take(pa.array(order)).append_column("__place", pa.array(np.arange(len(order), dtype=np.int64)))
+        return table.take(pa.array(order)).append_column(place_, pa.array(np.arange(len(order), dtype=np.int64)))
 
-    written = stored(taken.groupBy("__bucket").applyInArrow(fisher_yates, schema), "buckets")
+    # as many partitions as buckets, so a task holds few of them at any size
+    written = stored(taken.repartition(buckets, bucket_).groupBy(bucket_).applyInArrow(fisher_yates, schema), "buckets")
     # one row a bucket: as many as the input has bucket_bytes
-    counts = written.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    at = F.col("__base") + F.col("__place")
-    return written.join(base, "__bucket").select(
+    counts = written.groupBy(bucket_).agg(F.count(F.lit(1)).alias(n_))
+    before = Window.orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(bucket_, F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(base_))
+    at = F.col(base_) + F.col(place_)
+    return written.join(base, bucket_).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.pmod(at, F.lit(shards)).cast("int").alias(shard), F.floor(at / shards).cast("long").alias(slot)
     )
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm.common import ascii_lower, stored
+from cuespark.llm.common import ascii_lower, free_name, stored
 
 # The rules of the query, as (host, path, verdict).
 RULES = (
@@ -60,13 +60,14 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(
-    seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12, every: int = 3, tolerance: float = 1e-4
+    seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 120, every: int = 6, tolerance: float = 1e-4
 ) -> DataFrame:
     """(host, trust, distrust) from ``seeds(host, trust, distrust)`` over ``links(src, dst, n)``.
 
     Both spread in one pass: each link stands once as it is, for trust, and once turned round,
     for distrust. Lineage is cut every few rounds; it stops when no score moves by more than
-    ``tolerance``, or after ``rounds``.
+    ``tolerance`` in a round, which ``damping`` brings about whatever the graph (60 rounds leave
+    0.0001 of a score); not to have settled after ``rounds`` is an error.
     """
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     into = links.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -86,7 +87,7 @@ def propagate(
         )
         grown = lambda base, c: F.col(base) + damping * F.coalesce(F.col(c), F.lit(0.0))
         new = start.join(came, "host", "left").select("host", grown("t0", "t").alias("trust"), grown("d0", "d").alias("distrust"))
-        if k % every and k < rounds:
+        if k % every:
             rank = new
             continue
         moved = rank.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
@@ -94,8 +95,8 @@ def propagate(
         most = both.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t")), F.abs(F.col("distrust") - F.col("d"))))).first()[0]
         rank = both.select("host", "trust", "distrust")
         if (most or 0.0) <= tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError("scores did not settle")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.075, url: str = "url", html: str = "html") -> DataFrame:
@@ -105,8 +106,12 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.075, url: st
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "trust", "distrust", html.lower())]
-    judged = pages.select(*kept, host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("__verdict"))
+    # columns of the input whose names are taken by the result keep them with a leading underscore
+    own = ("host", "path", "rule", "verdict", "trust", "distrust", "__verdict")
+    clash = {c: free_name(pages, "_" + c) for c in pages.columns if c.lower() in own}
+    kept = [clash.get(c, c) for c in pages.columns if c.lower() != html.lower()]
+    pages = pages.withColumnsRenamed(clash)
+    judged = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("__verdict"))
     seeds = (
         judged.where("host <> ''").groupBy("host")
         .agg(F.avg(F.when(F.col("__verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("__verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
@@ -114,5 +119,5 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.075, url: st
     scores = propagate(seeds, host_links(pages, url, html))
     spread = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return judged.join(scores, "host", "left").select(
-        *kept, "host", "path", "rule", F.coalesce("__verdict", spread).alias("verdict"), "trust", "distrust"
+        *[F.col(f"`{c}`") for c in kept], "host", "path", "rule", F.coalesce("__verdict", spread).alias("verdict"), "trust", "distrust"
     )

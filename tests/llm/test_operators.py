@@ -56,6 +56,28 @@ def test_rules_learn_and_hold_out(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_quality_clashing_columns(spark, docs):
+    data = _labelled(200)
+    labels = spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")
+    table = docs([(i, t) for i, t, _ in data]).withColumn("y", F.lit("y")).withColumn("__s", F.lit("s"))
+    scored = quality.with_score(table, quality.fit_rules(table, labels))
+    assert scored.columns == [*table.columns, "_score"] and scored.where("score = 1 and y = 'y' and __s = 's' and _score between 0 and 1").count() == 200
+
+
+def test_compiled_rules_against_their_own_reading(spark, docs):
+    """The column expression, held against the rules evaluated in Python over the statistics."""
+    data = _labelled(200)
+    labels = spark.createDataFrame([(i, q) for i, _, q in data], "doc_id long, quality int")
+    table = docs([(i, t) for i, t, _ in data], extra=False)
+    rules = quality.fit_rules(table, labels)
+    stats = table.select("doc_id", *[c.alias(k) for k, c in quality.statistics(F.col("text")).items()])
+    got = {r["doc_id"]: r["score"] for r in quality.with_score(table, rules).collect()}
+    assert rules.terms
+    for r in stats.collect():
+        z = rules.intercept + sum(w for w, tests in rules.terms if all((r[n] > cut) == above for n, above, cut in tests))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_quality_odd_cases(spark, docs):
     labels = spark.createDataFrame([(1, None), (2, 1), (None, 0), (3, 1)], "doc_id long, quality int")
     got = quality.quality_scores(docs(ODD), labels)
@@ -132,6 +154,12 @@ def test_url_rules_and_propagation(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_clashing_columns(spark):
+    got = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.com/x", "", "t", 5)], "page_id long, url string, html string, trust string, Host int"))
+    assert got.columns == ["page_id", "url", "_trust", "_Host", "host", "path", "rule", "verdict", "trust", "distrust"]
+    assert tuple(got.first())[2:6] == ("t", 5, "a.com", "/x")
+
+
 def test_propagation_against_dense_iteration(spark):
     rng = np.random.default_rng(1)
     hosts = [f"h{k}" for k in range(12)]
@@ -142,12 +170,12 @@ def test_propagation_against_dense_iteration(spark):
         w[a, b] = n
     out, into = w / np.maximum(w.sum(1, keepdims=True), 1), (w / np.maximum(w.sum(0, keepdims=True), 1)).T
     t, d = trust * 0.15, distrust * 0.15
-    for _ in range(12):
+    for _ in range(150):
         t, d = trust * 0.15 + 0.85 * t @ out, distrust * 0.15 + 0.85 * d @ into
     seeds = spark.createDataFrame([(h, float(a), float(b)) for h, a, b in zip(hosts, trust, distrust, strict=True)], "host string, trust double, distrust double")
     edges = spark.createDataFrame([(hosts[a], hosts[b], n) for (a, b), n in links.items()], "src string, dst string, n long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(seeds, edges, tolerance=0).collect()}
-    assert np.allclose([got[h] for h in hosts], np.stack([t, d], 1))
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(seeds, edges, tolerance=1e-7).collect()}
+    assert np.allclose([got[h] for h in hosts], np.stack([t, d], 1), atol=1e-6)
 
 
 # --- 4 jaccard
@@ -249,6 +277,22 @@ def test_html_article_is_a_teaser_or_holds_link_lists():
     assert html_op.main_text(foreign) == "標題\n" + "漢字" * 80
 
 
+def test_html_attributes():
+    """Names are not looked for in values, and a class counts as a whole."""
+    for attribute in ('title="a hidden gem"', 'data-id="comments-count"', 'class="social-history"', 'alt="class=ad"', 'data-hidden=x'):
+        assert html_op.main_text(f"<article><p>One</p><div {attribute}>Two</div></article>") == "One\nTwo", attribute
+    for attribute in ("hidden", 'CLASS="x share-buttons"', "class=ad", "id='comments'", 'style="display: none"', 'aria-hidden="true"', "class=ad-slot-2"):
+        assert html_op.main_text(f"<article><p>One</p><div {attribute}>Two</div></article>") == "One", attribute
+
+
+def test_html_odd_tables(spark):
+    kind = "page_id long, url string, html string"
+    assert html_op.extract_text(spark.createDataFrame([], kind)).count() == 0
+    long = "<article>" + "<p>word and word of the page</p>" * 20_000 + "</article>"
+    got = html_op.extract_text(spark.createDataFrame([(1, "u", long), (2, "v", "<article>x</article>"), (2, "v", "<article>x</article>"), (None, None, None)], kind)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 20_000 * 26 - 1), (2, 1), (2, 1)]
+
+
 def test_html_clashing_columns(spark):
     f = spark.createDataFrame([(1, "u", "<article>x</article>", "kept")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_op.extract_text(f).collect()] == [(1, "u", "kept", "x", 1)]
@@ -295,6 +339,9 @@ def test_shards(docs):
     digest = {r["doc_id"]: r for r in sharding.shard_digest(docs(ODD)).collect()}
     assert digest[1]["size"] == 1 and digest[1]["text_crc32"] == 0 and digest[8]["text_crc32"] == zlib.crc32(ODD[-1][1].encode())
     assert sharding.external_shuffle(docs([])).count() == 0
+    named = docs([(1, "a"), (2, "b")]).selectExpr("*", "1 as mark", "2 as bucket", "3 as place", "4 as __n", "5 as base")
+    out = sharding.external_shuffle(named)
+    assert out.columns == [*named.columns, "_shard", "_slot"] and out.where("mark = 1 and bucket = 2 and place = 3 and __n = 4 and base = 5").count() == 2
 
 
 # --- 8 decontamination
@@ -327,6 +374,15 @@ def test_leak_recall_at_the_limit():
     assert len(found & {(k, k) for k in range(120)}) >= 118 and all(a == b for a, b in found)
 
 
+def test_leaks_odd_tables(spark, docs, sentences):
+    bench = spark.createDataFrame([(0, sentences[0])], "item_id long, text string")
+    table = docs([(1, sentences[0]), (2, "clean")]).withColumn("__t", F.lit(1)).withColumn("t", F.lit(2))
+    marked = decontaminate.with_leaks(table, bench)
+    assert marked.columns == [*table.columns, "_leaks"] and marked.where("leaks = 3 and __t = 1 and t = 2").count() == 2
+    assert decontaminate.clean_documents(table, bench).columns == table.columns
+    assert decontaminate.leaks(docs([]), bench).count() == 0 and decontaminate.leaks(docs([(1, "x")]), bench.limit(0)).count() == 0
+
+
 # --- 9 packing
 
 
@@ -334,7 +390,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     texts = ODD + [(20, "a  b\n\n c\td <|endoftext|> it's"), (21, "line one\nline two"), (21, "line one\nline two")]
     pieces = packing.pack(docs(texts), length=64)
     out = pieces.collect()
@@ -353,6 +408,13 @@ def test_packing_round_trip(docs):
     assert packing.pack(docs([])).count() == 0
 
 
+def test_added_tokens_as_the_vocabulary_has_them():
+    w = packing.WordTokenizer(packing.default_tokenizer())
+    texts = ["plain", "hello <|endoftext|> x", "a<|endoftext|>b\nc", "<|endoftext|>"]
+    assert np.frombuffer(w.encode(texts)[1], w.dtype).tolist() == [31373, 220, 50256, 2124]
+    assert [np.frombuffer(x, w.dtype).tolist() for x in w.encode(texts)] == [e.ids for e in w.inner.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_tokenizer_cuts_like_the_whole_text():
     w = packing.WordTokenizer(packing.default_tokenizer())
     rng = random.Random(1)
