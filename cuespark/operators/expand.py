@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespark.operators.sequence import KEY, _greedy
+from cuespark.operators.sequence import CLAUSE, KEY, STRONG, _greedy
 
 WORDS = "array<string>"
 
@@ -40,14 +40,22 @@ def split_units(df: DataFrame, limit: int) -> DataFrame:
     return df.select("*", F.posexplode(pieces).alias("piece_no", "piece"))
 
 
-def allocate_time(parts: DataFrame, order: str = "piece_no", weight: str = "weight") -> DataFrame:
-    """The interval of each cue shared over its parts by weight, in whole milliseconds; the last part ends with it."""
-    w = Window.partitionBy(KEY, "cue_no").orderBy(order)
-    total = F.sum(weight).over(Window.partitionBy(KEY, "cue_no"))
-    span = F.col("end_ms") - F.col("start_ms")
-    upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    at = lambda x: (F.col("start_ms") + F.floor(span * x / total)).cast("long")
-    return parts.withColumn("part_start", at(upto - F.col(weight))).withColumn("part_end", at(upto))
+def allocate_time(parts: DataFrame, order: str = "piece_no", weight: str = "weight", floor_ms: int = 0) -> DataFrame:
+    """The interval of each cue shared over its parts by weight, in whole milliseconds, each at least ``floor_ms``; the last part ends with it.
+
+    A floor moves what follows, so where floors use up the interval the last parts are empty.
+    """
+    whole = Window.partitionBy(KEY, "cue_no")
+    w, total, span = whole.orderBy(order), F.sum(weight).over(whole), F.col("end_ms") - F.col("start_ms")
+    if not floor_ms:
+        upto = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        at = lambda x: (F.col("start_ms") + F.floor(span * x / total)).cast("long")
+        return parts.withColumn("part_start", at(upto - F.col(weight))).withColumn("part_end", at(upto))
+    out = parts.withColumn("own", F.greatest(F.lit(floor_ms), F.floor(span * F.col(weight) / total)).cast("long"))
+    upto = F.sum("own").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("upto", upto).withColumn("part_start", F.least(F.col("start_ms") + F.col("upto") - F.col("own"), "end_ms"))
+    last = F.row_number().over(w) == F.count(F.lit(1)).over(whole)
+    return out.withColumn("part_end", F.when(last, F.col("end_ms")).otherwise(F.least(F.col("start_ms") + F.col("upto"), "end_ms"))).drop("own", "upto")
 
 
 def timeline_blocks(df: DataFrame, block_ms: int) -> DataFrame:
@@ -141,17 +149,31 @@ def points_split(segments: DataFrame, cuts: DataFrame, margin_ms: int = 1500) ->
     return out.select(KEY, "a_id", "piece_no", F.col("at").alias("start_ms"), F.coalesce("next", "a_end").alias("end_ms"))
 
 
-def cues_from_words(words: DataFrame, limit: int, least_ms: int) -> DataFrame:
-    """Words (media_id, cue_no, start_ms, end_ms, text) to cues: up to the character limit, ended by a sentence's end."""
-    rows = words.select(KEY, "start_ms", "cue_no", "end_ms", (F.length("text") + 1).cast("long").alias("size"))
-    return _greedy(rows, lambda g, c: g["size"] + c["size"] <= limit)
+def cues_from_words(words: DataFrame, limit: int, least_ms: int, clause_ms: int = 800) -> DataFrame:
+    """Words (media_id, cue_no, start_ms, end_ms, text) to cues.
+
+    Once it lasts ``least_ms``, a cue ends at a sentence's end, at a clause's end from ``clause_ms``
+    on, or when it has ``limit`` characters. Between two CJK characters no blank is put.
+    """
+    rows = words.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"), "text")
+    cjk = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uff00-\\uffef]"
+
+    def joins(g: Column, c: Column) -> Column:
+        span = g["end_ms"] - g["start_ms"]
+        done = g["text"].rlike(STRONG) | (g["text"].rlike(CLAUSE) & (span >= clause_ms)) | (F.length(g["text"]) >= limit)
+        return ~((span >= least_ms) & done)
+
+    def glue(g: Column, c: Column) -> Column:
+        return F.concat(g["text"], F.when(g["text"].rlike(cjk + "$") & c["text"].rlike("^" + cjk), "").otherwise(" "), c["text"])
+
+    return _greedy(rows, joins, glue)
 
 
 def stitch_shorts(segments: DataFrame, gap_ms: int = 900, short_ms: int = 2500, most_ms: int = 9000) -> DataFrame:
-    """Short neighbours joined from left to right while the whole stays within ``most_ms``."""
-    rows = segments.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"))
+    """Short neighbours of one ``speaker`` joined from left to right while the whole stays within ``most_ms``."""
+    rows = segments.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"), F.col("speaker").alias("tag"))
     short = lambda x: x["end_ms"] - x["start_ms"] <= short_ms
-    return _greedy(rows, lambda g, c: (c["start_ms"] - g["end_ms"] <= gap_ms) & short(g) & short(c) & (c["end_ms"] - g["start_ms"] <= most_ms))
+    return _greedy(rows, lambda g, c: (c["start_ms"] - g["end_ms"] <= gap_ms) & short(g) & short(c) & (c["end_ms"] - g["start_ms"] <= most_ms) & g["tag"].eqNullSafe(c["tag"]))
 
 
 def length_batches(rows: DataFrame, shards: int) -> DataFrame:

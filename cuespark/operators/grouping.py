@@ -10,12 +10,11 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from cuespark.operators.expand import allocate_time, per_row
-from cuespark.operators.sequence import KEY, _greedy
+from cuespark.operators.sequence import CLAUSE as PAUSED, KEY, STRONG as ENDED, _greedy
 
 STRONG, CLAUSE = re.compile(r"[.!?…][\"')\]]*$"), re.compile(r"[,;:][\"')\]]*$")
 MERGED = "media_id long, group_no long, start_ms long, end_ms long, text string, members long"
@@ -33,42 +32,37 @@ def per_media(cues: DataFrame, f: Callable[[list[dict]], list[dict]], schema: st
     return cues.select(KEY, *columns).groupBy(KEY).applyInPandas(run, schema)
 
 
-def _grow(rows: list[dict], joins: Callable[[dict, dict], bool], glue: Callable[[dict, dict], str] = lambda g, c: g["text"] + " " + c["text"]) -> list[dict]:
-    out: list[dict] = []
-    for c in rows:
-        g = out[-1] if out else None
-        if g and joins(g, c):
-            g.update(text=glue(g, c), end_ms=max(g["end_ms"], c["end_ms"]), members=g["members"] + c.get("members", 1))
-        else:
-            out.append({**c, "members": c.get("members", 1)})
-    return out
+def _texts(cues: DataFrame) -> DataFrame:
+    tag = F.col("speaker") if "speaker" in cues.columns else F.lit("")
+    return cues.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"), "text", tag.alias("tag"))
+
+
+def _merged(groups: DataFrame) -> DataFrame:
+    return groups.select(KEY, "group_no", "start_ms", "end_ms", "text", "members")
 
 
 def group_smart(cues: DataFrame, gap=(-80, 300), span_ms: int = 7500, chars: int = 210, enough: int = 70) -> DataFrame:
     """Cues joined across small gaps until the text is long enough and ends a sentence; a last comma becomes a stop."""
 
-    def joins(g: dict, c: dict) -> bool:
-        fits = gap[0] <= c["start_ms"] - g["end_ms"] <= gap[1] and c["end_ms"] - g["start_ms"] <= span_ms
-        return fits and len(g["text"]) + 1 + len(c["text"]) <= chars and (len(g["text"]) < enough or not STRONG.search(g["text"]))
-
-    def run(rows: list[dict]) -> list[dict]:
-        return [{**g, "text": re.sub(r",$", ".", g["text"])} for g in _grow(rows, joins)]
+    def joins(g: Column, c: Column) -> Column:
+        fits = (c["start_ms"] - g["end_ms"]).between(*gap) & (c["end_ms"] - g["start_ms"] <= span_ms)
+        return fits & (F.length(g["text"]) + 1 + F.length(c["text"]) <= chars) & ((F.length(g["text"]) < enough) | ~g["text"].rlike(ENDED))
 
-    return per_media(cues, run)
+    return _merged(_greedy(_texts(cues), joins)).withColumn("text", F.regexp_replace("text", ",$", "."))
 
 
 def group_natural(cues: DataFrame, gap=(-50, 140), span_ms: int = 4200, chars: int = 95, enough: int = 18) -> DataFrame:
     """Shorter groups that stop after a sentence; a comma stands between pieces without a mark."""
 
-    def joins(g: dict, c: dict) -> bool:
-        done = len(g["text"]) >= enough and STRONG.search(g["text"])
-        return not done and gap[0] <= c["start_ms"] - g["end_ms"] <= gap[1] and c["end_ms"] - g["start_ms"] <= span_ms and len(g["text"]) + 2 + len(c["text"]) <= chars
+    def joins(g: Column, c: Column) -> Column:
+        done = (F.length(g["text"]) >= enough) & g["text"].rlike(ENDED)
+        return ~done & (c["start_ms"] - g["end_ms"]).between(*gap) & (c["end_ms"] - g["start_ms"] <= span_ms) & (F.length(g["text"]) + 2 + F.length(c["text"]) <= chars)
 
-    def glue(g: dict, c: dict) -> str:
-        marked = STRONG.search(g["text"]) or CLAUSE.search(g["text"])
-        return g["text"] + (" " if marked else ", ") + c["text"]
+    def glue(g: Column, c: Column) -> Column:
+        marked = g["text"].rlike(ENDED) | g["text"].rlike(PAUSED)
+        return F.concat(g["text"], F.when(marked, " ").otherwise(", "), c["text"])
 
-    return per_media(cues, lambda rows: _grow(rows, joins, glue))
+    return _merged(_greedy(_texts(cues), joins, glue))
 
 
 def build_chunks(cues: DataFrame, shortest_ms: int = 3000, longest_ms: int = 8500, gap_ms: int = 350, chars: int = 35, first: int | None = None) -> DataFrame:
@@ -120,45 +114,70 @@ def segment_words(words: DataFrame, aim_ms: int = 4500, most_ms: int = 9000, lea
     return per_media(words, run)
 
 
-def merge_short(segments: DataFrame, short_ms: int = 1500, chars: int = 12, words: int = 3, near_ms: int = 600, passes: int = 64) -> DataFrame:
-    """Short segments joined with a neighbour of the same speaker, the shorter one near in time first; repeated until none is left or none can join."""
+def merge_short(segments: DataFrame, short_ms: int = 1500, chars: int = 12, words: int = 3, near_ms: int = 600, tiny=(500, 4, 2000)) -> DataFrame:
+    """Short segments folded into a neighbour until none is left that has one.
+
+    The choice, in this order: of the neighbours of the same speaker that are near, the shorter
+    one; the one before, then the one after, of the same speaker at any distance; for tiny
+    segments (by time or characters, for which also a larger distance is near) the nearer
+    neighbour, else the one before, else the one after.
+    """
+    tiny_ms, tiny_chars, tiny_near = tiny
 
     def run(rows: list[dict]) -> list[dict]:
         segs = [{**r, "members": 1} for r in rows]
-        short = lambda s: s["end_ms"] - s["start_ms"] < short_ms or len(s["text"]) < chars or len(s["text"].split()) < words
-        for _ in range(passes):
-            moved = False
-            for k, s in enumerate(segs):
-                if not short(s):
-                    continue
-                sides = [j for j in (k - 1, k + 1) if 0 <= j < len(segs)]
-                gap = lambda j, k=k, s=s: s["start_ms"] - segs[j]["end_ms"] if j < k else segs[j]["start_ms"] - s["end_ms"]
-                same = [j for j in sides if segs[j]["speaker"] == s["speaker"]]
-                pick = min([j for j in same if gap(j) <= near_ms], key=lambda j: (segs[j]["end_ms"] - segs[j]["start_ms"], j), default=None)
-                pick = pick if pick is not None else min(same or sides, key=lambda j: (gap(j), j), default=None)
+        span = lambda s: s["end_ms"] - s["start_ms"]
+        is_short = lambda s: span(s) < short_ms or len(s["text"]) < chars or len(s["text"].split()) < words
+
+        def choice(k: int) -> int | None:
+            s = segs[k]
+            is_tiny = span(s) < tiny_ms or len(s["text"]) < tiny_chars
+            far = {j: (s["start_ms"] - segs[j]["end_ms"] if j < k else segs[j]["start_ms"] - s["end_ms"]) for j in (k - 1, k + 1) if 0 <= j < len(segs)}
+            same = [j for j in far if segs[j]["speaker"] == s["speaker"]]
+            near = [j for j in same if far[j] <= (tiny_near if is_tiny else near_ms)]
+            if near:
+                return min(near, key=lambda j: (span(segs[j]), j))
+            rest = same or sorted(far, key=lambda j: (far[j], j) if is_tiny else (j,))
+            return rest[0] if rest else None
+
+        moved = True
+        while moved:
+            moved, k = False, 0
+            while k < len(segs):
+                pick = choice(k) if is_short(segs[k]) else None
                 if pick is None:
+                    k += 1
                     continue
                 a, b = sorted((k, pick))
-                joined = {**segs[a], "end_ms": max(segs[a]["end_ms"], segs[b]["end_ms"]), "text": segs[a]["text"] + " " + segs[b]["text"], "members": segs[a]["members"] + segs[b]["members"]}
-                segs[a : b + 1] = [joined]
+                held = segs[pick]
+                held.update(start_ms=min(segs[a]["start_ms"], held["start_ms"]), end_ms=max(segs[a]["end_ms"], segs[b]["end_ms"]), text=" ".join(f"{segs[a]['text']} {segs[b]['text']}".split()), members=segs[a]["members"] + segs[b]["members"])
+                del segs[k]
                 moved = True
-                break
-            if not moved:
-                break
         return segs
 
     return per_media(segments, run, MERGED + ", speaker string", ("cue_no", "start_ms", "end_ms", "text", "speaker"))
 
 
-def merge_tiny(segments: DataFrame, tiny_ms: int = 1200, chars: int = 8, most_chars: int = 84, cps: float = 17.0) -> DataFrame:
-    """Tiny cues joined forward unless a sentence ends on the left, within the limits of a readable cue."""
+def merge_tiny(segments: DataFrame, mode: str = "tiny", most_chars: int = 84, cps: float = 17.0) -> DataFrame:
+    """Tiny cues joined forward, within the limits of a readable cue.
+
+    ``tiny``: under 1.2 s or 8 characters, of one speaker, no sentence end on the left, and read at
+    no more than ``cps``. ``repair``: under 0.65 s or 8 characters, at most ``most_chars`` unless one
+    is under 0.3 s or has up to 4 characters, and at most 6 s in all.
+    """
+    span = lambda x: x["end_ms"] - x["start_ms"]
+    least = lambda f, g, c: F.least(f(g), f(c))
+    n = lambda x: F.length(x["text"])
 
-    def joins(g: dict, c: dict) -> bool:
-        tiny = min(g["end_ms"] - g["start_ms"], c["end_ms"] - c["start_ms"]) < tiny_ms or min(len(g["text"]), len(c["text"])) < chars
-        n, span = len(g["text"]) + 1 + len(c["text"]), max(1, c["end_ms"] - g["start_ms"])
-        return tiny and not STRONG.search(g["text"]) and n <= most_chars and n * 1000 / span <= cps
+    def joins(g: Column, c: Column) -> Column:
+        whole, size = c["end_ms"] - g["start_ms"], n(g) + 1 + n(c)
+        if mode == "repair":
+            tiny = (least(span, g, c) < 650) | (least(n, g, c) < 8)
+            return tiny & ((size <= most_chars) | (least(span, g, c) < 300) | (least(n, g, c) <= 4)) & (whole <= 6000)
+        tiny = (least(span, g, c) < 1200) | (least(n, g, c) < 8)
+        return tiny & ~g["text"].rlike(ENDED) & (size <= most_chars) & (size * 1000 / F.greatest(F.lit(1), whole) <= cps) & g["tag"].eqNullSafe(c["tag"])
 
-    return per_media(segments, lambda rows: _grow(rows, joins))
+    return _merged(_greedy(_texts(segments), joins))
 
 
 def finalize_cues(cues: DataFrame, markers: tuple[str, ...] = (), memory: int = 4, overlap: int = 6) -> DataFrame:
@@ -207,12 +226,14 @@ def split_for_reading(cues: DataFrame, limit: int = 84) -> DataFrame:
     return allocate_time(parts)
 
 
-def split_long_cues(cues: DataFrame, most_ms: int = 7000, chars: int = 48) -> DataFrame:
-    """Cues over the time and the text limit are split for reading; the others are one piece."""
-    over = (F.col("end_ms") - F.col("start_ms") > most_ms) & (F.length("text") > chars)
+def split_long_cues(cues: DataFrame, most_ms: int = 7000, chars: int = 48, floor_ms: int = 600) -> DataFrame:
+    """Cues over the time and the text limit, or far over the time with some text, are split for reading; the others are one piece."""
+    span, n = F.col("end_ms") - F.col("start_ms"), F.length("text")
+    over = (span > most_ms) & ((n > chars) | ((span > 12_000) & (n > 18)))
     rest = cues.where(~over).select("*", F.lit(0).alias("piece_no"), F.col("text").alias("piece"), F.length("text").alias("weight"), F.col("start_ms").alias("part_start"), F.col("end_ms").alias("part_end"))
-    split = split_for_reading(cues.where(over), chars)
-    return split.unionByName(rest)
+    pieces = per_row(cues.where(over), lambda t: [(k, p, len(p)) for k, p in enumerate(readable_pieces(t, chars))], "piece_no:int,piece:string,weight:int")
+    split = allocate_time(pieces, floor_ms=floor_ms)
+    return split.unionByName(rest.select(split.columns))
 
 
 def funasr_segments(rows: DataFrame, chars: int = 28) -> DataFrame:

@@ -79,25 +79,55 @@ def subtract_intervals(base: DataFrame, allowed: DataFrame) -> DataFrame:
     return pieces.unionByName(none)
 
 
-def islands_between(silences: DataFrame, low_ms: int, high_ms: int, side_ms: int) -> DataFrame:
-    """Sounds between neighbouring silences with a length in [low, high], both silences at least ``side_ms``."""
+def islands_between(silences: DataFrame, low_ms: int, high_ms: int, side_ms: int = 0, edge_ms: int | None = None) -> DataFrame:
+    """Sounds between neighbouring silences with a length in [low, high], both silences at least ``side_ms``.
+
+    With ``edge_ms`` they also stand farther than that from the ends of the media's silences.
+    """
     w = _w(order=("start_ms", "end_ms"))
     out = silences.withColumn("next_start", F.lead("start_ms").over(w)).withColumn("next_end", F.lead("end_ms").over(w))
+    if edge_ms is not None:
+        whole = Window.partitionBy(KEY)
+        lo, hi = F.min("start_ms").over(whole), F.max("end_ms").over(whole)
+        out = out.withColumn("lo", lo).withColumn("hi", hi).where((F.col("end_ms") - F.col("lo") > edge_ms) & (F.col("hi") - F.col("next_start") > edge_ms))
     length = F.col("next_start") - F.col("end_ms")
     out = out.where(length.between(low_ms, high_ms) & (F.col("end_ms") - F.col("start_ms") >= side_ms) & (F.col("next_end") - F.col("next_start") >= side_ms))
     return out.select(KEY, F.col("end_ms").alias("start_ms"), F.col("next_start").alias("end_ms"))
 
 
-def cap_silences(silences: DataFrame, max_ms: int, slack_ms: int = 50) -> DataFrame:
-    """Cuts [start + max, end] of silences that are longer than the cap and its slack."""
-    long = silences.where(F.col("end_ms") - F.col("start_ms") > max_ms + slack_ms)
+def cap_silences(silences: DataFrame, max_ms: int, slack_ms: int = 50, edge_ms: int = 200) -> DataFrame:
+    """Cuts [start + max, end] of silences longer than the cap and its slack, but for those within ``edge_ms`` of the media's ends.
+
+    The ends are columns ``media_start`` and ``media_end`` where there are any, else the first and the last silence's.
+    """
+    whole = Window.partitionBy(KEY)
+    if "media_start" not in silences.columns:
+        silences = silences.withColumn("media_start", F.min("start_ms").over(whole)).withColumn("media_end", F.max("end_ms").over(whole))
+    inner = (F.col("start_ms") - F.col("media_start") > edge_ms) & (F.col("media_end") - F.col("end_ms") > edge_ms)
+    long = silences.where((F.col("end_ms") - F.col("start_ms") > max_ms + slack_ms) & inner)
     return long.select(KEY, (F.col("start_ms") + max_ms).alias("start_ms"), "end_ms")
 
 
-def edge_trim_plan(words: DataFrame, pad_ms: int = 80) -> DataFrame:
-    """(media_id, from_ms, to_ms): the first to the last word, padded, within the clip."""
-    out = words.groupBy(KEY).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"), F.min_by("text", "cue_no").alias("first"), F.max_by("text", "cue_no").alias("last"))
-    return out.select(KEY, F.greatest(F.col("lo") - pad_ms, F.lit(0)).alias("from_ms"), (F.col("hi") + pad_ms).alias("to_ms"), "first", "last")
+def edge_trim_plan(words: DataFrame, clips: DataFrame, pad_ms: int = 80, least_cut_ms: int = 30, most_cut_ms: int = 1500, least_ms: int = 350) -> DataFrame:
+    """(media_id, from_ms, to_ms, trimmed) of clips (media_id, duration_ms, expected array) by their words (media_id, cue_no, start_ms, end_ms, text).
+
+    The head is the first word equal to expected[0], else the first one among expected[0:3], else
+    the first word; the tail is the last word equal to the last expected one, else the last word.
+    No more than ``most_cut_ms`` goes at an end; a plan that cuts at most ``least_cut_ms`` or leaves
+    at most ``least_ms`` is none.
+    """
+    w = words.join(clips.select(KEY, "expected"), KEY)
+    first, near, last = F.col("text") == F.get("expected", F.lit(0)), F.array_contains(F.slice("expected", 1, 3), F.col("text")), F.col("text") == F.element_at("expected", -1)
+    at = lambda c, how, when=None: how(F.when(when, F.col(c)) if when is not None else F.col(c))
+    ends = w.groupBy(KEY).agg(
+        F.coalesce(at("start_ms", F.min, first), at("start_ms", F.min, near), at("start_ms", F.min)).alias("lo"),
+        F.coalesce(at("end_ms", F.max, last), at("end_ms", F.max)).alias("hi"),
+    )
+    out = clips.join(ends, KEY).withColumn("from_ms", F.greatest(F.least(F.col("lo") - pad_ms, F.lit(most_cut_ms)), F.lit(0)))
+    out = out.withColumn("to_ms", F.least(F.greatest(F.col("hi") + pad_ms, F.col("duration_ms") - most_cut_ms), F.col("duration_ms")))
+    kept = F.col("to_ms") - F.col("from_ms")
+    trimmed = (F.col("duration_ms") - kept > least_cut_ms) & (kept > least_ms)
+    return out.select(KEY, F.when(trimmed, F.col("from_ms")).otherwise(0).alias("from_ms"), F.when(trimmed, F.col("to_ms")).otherwise(F.col("duration_ms")).alias("to_ms"), trimmed.alias("trimmed"))
 
 
 def toggle_speaker(cues: DataFrame, gap_ms: int = 1200) -> DataFrame:
@@ -112,24 +142,34 @@ def ordered_fold(df: DataFrame, key: str, fields: Sequence[str], zero: Column, m
     return ordered.select(key, F.aggregate("rows", zero, merge, finish).alias("value"))
 
 
+STRONG, CLAUSE = r"[.!?…。！？][\"')\]]*$", r"[,;:，；：][\"')\]]*$"
+
+
 def group_cues(cues: DataFrame, max_span_ms: int = 8000, max_gap_ms: int = 550) -> DataFrame:
-    """Greedy groups: a cue joins while 0 <= gap <= ``max_gap_ms`` and the group spans at most ``max_span_ms``."""
+    """Greedy groups: a cue joins while 0 <= gap <= ``max_gap_ms`` and the group spans at most ``max_span_ms``; texts stand side by side."""
     return _greedy(
-        cues.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size")),
+        cues.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"), "text"),
         lambda g, c: (c["start_ms"] - g["end_ms"]).between(0, max_gap_ms) & (c["end_ms"] - g["start_ms"] <= max_span_ms),
     )
 
 
-def pack_blocks(rows: DataFrame, max_rows: int, max_size: int) -> DataFrame:
-    """Greedy blocks of rows (media_id, start_ms, cue_no, end_ms, size) of at most so many rows and size."""
-    return _greedy(rows, lambda g, c: (g["members"] < max_rows) & (g["size"] + c["size"] <= max_size))
+def pack_blocks(rows: DataFrame, max_rows: int, max_size: int, marker: str = "\n") -> DataFrame:
+    """Greedy blocks of rows (media_id, start_ms, cue_no, end_ms, size) of at most so many rows and size; ``text``, where there is any, is joined with the marker."""
+    return _greedy(rows, lambda g, c: (g["members"] < max_rows) & (g["size"] + c["size"] <= max_size), lambda g, c: F.concat(g["text"], F.lit(marker), c["text"]))
+
+
+def side_by_side(g: Column, c: Column) -> Column:
+    return F.concat(g["text"], F.lit(" "), c["text"])
 
 
-def _greedy(rows: DataFrame, joins: Callable[[Column, Column], Column]) -> DataFrame:
-    group = "struct<start_ms:long,end_ms:long,members:long,size:long,first:long,last:long>"
+def _greedy(rows: DataFrame, joins: Callable[[Column, Column], Column], glue: Callable[[Column, Column], Column] = side_by_side) -> DataFrame:
+    """Groups of rows in order: each row joins the open group or opens the next. ``text`` (by ``glue``) and ``tag`` (the first row's) are kept where the rows have them."""
+    extra = [c for c in ("text", "tag") if c in rows.columns]
+    group = "struct<start_ms:long,end_ms:long,members:long,size:long,first:long,last:long" + "".join(f",{c}:string" for c in extra) + ">"
     zero = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.lit(None).cast(group).alias("open"))
-    fresh = lambda c: F.struct(c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.lit(1).cast("long").alias("members"), c["size"].alias("size"), c["cue_no"].alias("first"), c["cue_no"].alias("last"))
-    grown = lambda g, c: F.struct(g["start_ms"].alias("start_ms"), F.greatest(g["end_ms"], c["end_ms"]).alias("end_ms"), (g["members"] + 1).alias("members"), (g["size"] + c["size"]).alias("size"), g["first"].alias("first"), c["cue_no"].alias("last"))
+    more = {"text": glue, "tag": lambda g, _: g["tag"]}
+    fresh = lambda c: F.struct(c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.lit(1).cast("long").alias("members"), c["size"].alias("size"), c["cue_no"].alias("first"), c["cue_no"].alias("last"), *[c[x].alias(x) for x in extra])
+    grown = lambda g, c: F.struct(g["start_ms"].alias("start_ms"), F.greatest(g["end_ms"], c["end_ms"]).alias("end_ms"), (g["members"] + 1).alias("members"), (g["size"] + c["size"]).alias("size"), g["first"].alias("first"), c["cue_no"].alias("last"), *[more[x](g, c).alias(x) for x in extra])
 
     def step(acc: Column, c: Column) -> Column:
         g = acc["open"]
@@ -139,7 +179,7 @@ def _greedy(rows: DataFrame, joins: Callable[[Column, Column], Column]) -> DataF
             .otherwise(F.struct(F.array_append(acc["done"], g).alias("done"), fresh(c).alias("open")))
         )
 
-    folded = ordered_fold(rows, KEY, ["start_ms", "cue_no", "end_ms", "size"], zero, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    folded = ordered_fold(rows, KEY, ["start_ms", "cue_no", "end_ms", "size", *extra], zero, step, lambda acc: F.array_append(acc["done"], acc["open"]))
     return folded.select(KEY, F.posexplode("value").alias("group_no", "g")).select(KEY, F.col("group_no").cast("long").alias("group_no"), "g.*")
 
 
@@ -190,26 +230,54 @@ def mix_plan(slots: DataFrame, n: int = 80, tail_ms: int = 300) -> DataFrame:
     return b.agg(F.min("start_ms").alias("base_ms"), (F.max(F.col("start_ms") + F.col("audio_ms")) - F.min("start_ms") + tail_ms).alias("length_ms"), F.count(F.lit(1)).alias("clips"))
 
 
-def activity_runs(frames: DataFrame, share: float = 0.72, factor: float = 0.45, least: float = 0.006, silence: int = 12, shortest: int = 2) -> DataFrame:
-    """Runs of frames (media_id, frame_no, rms) over a threshold from the media's own percentile; gaps below ``silence`` frames close."""
+def activity_runs(frames: DataFrame, share: float = 0.72, factor: float = 0.45, least: float = 0.006, silence: int = 12, shortest_ms: int = 260, frame_ms: int = 30, pad_ms: int = 120, close_ms: int = 180) -> DataFrame:
+    """Runs of frames (media_id, frame_no, rms) over a threshold from the media's own percentile.
+
+    Gaps below ``silence`` frames close; what lasts at least ``shortest_ms`` is padded, and runs
+    nearer than ``close_ms`` are one. Frame k covers [k, k + 1) times ``frame_ms``.
+    """
     cut = frames.groupBy(KEY).agg(F.greatest(F.lit(least), F.percentile("rms", share) * factor).alias("cut"))
     voiced = frames.join(cut, KEY).where("rms >= cut").select(KEY, F.col("frame_no").alias("start_ms"), (F.col("frame_no") + 1).alias("end_ms"))
-    runs = merge_intervals(voiced, silence - 1).where(F.col("end_ms") - F.col("start_ms") >= shortest)
-    return runs.select(KEY, F.col("start_ms").alias("first_frame"), (F.col("end_ms") - 1).alias("last_frame"), F.col("members").alias("voiced"))
+    runs = merge_intervals(voiced, silence - 1).where((F.col("end_ms") - F.col("start_ms")) * frame_ms >= shortest_ms)
+    padded = runs.select(KEY, F.greatest(F.lit(0), F.col("start_ms") * frame_ms - pad_ms).alias("start_ms"), (F.col("end_ms") * frame_ms + pad_ms).alias("end_ms"))
+    return merge_intervals(padded, close_ms - 1).select(KEY, "start_ms", "end_ms", F.col("members").alias("runs"))
 
 
 def choose_separators(silences: DataFrame, n: Column) -> DataFrame:
-    """The ``n`` longest silences of each media, in time order."""
-    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(F.col("end_ms") - F.col("start_ms")), "start_ms"))
-    kept = silences.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
-    return kept.withColumn("separator_no", F.row_number().over(Window.partitionBy(KEY).orderBy("start_ms")).cast("long"))
+    """The ``n`` longest silences of each media in time order: those inside first, the first and the last only where these are too few."""
+    whole = Window.partitionBy(KEY)
+    s = silences.withColumn("inner", (F.col("start_ms") > F.min("start_ms").over(whole)) & (F.col("end_ms") < F.max("end_ms").over(whole)))
+    rank = F.row_number().over(whole.orderBy(F.desc("inner"), F.desc(F.col("end_ms") - F.col("start_ms")), "start_ms", "end_ms"))
+    kept = s.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank", "inner")
+    return kept.withColumn("separator_no", F.row_number().over(whole.orderBy("start_ms", "end_ms")).cast("long"))
+
+
+def separators_by_share(cues: DataFrame, spans: DataFrame) -> DataFrame:
+    """(media_id, cue_no, at_ms): where no silence serves, a cue ends at its cumulative share of characters of the media's span; the last cue has none."""
+    w = _w(order=("cue_no",))
+    c = cues.withColumn("upto", F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum(F.length("text")).over(Window.partitionBy(KEY)))
+    c = c.withColumn("next", F.lead("cue_no").over(w)).where("next is not null").select(KEY, "cue_no", "upto", "all").join(spans.select(KEY, "from_ms", "to_ms"), KEY)
+    return c.select(KEY, "cue_no", (F.col("from_ms") + F.floor((F.col("to_ms") - F.col("from_ms")) * F.col("upto") / F.col("all"))).cast("long").alias("at_ms"))
+
+
+def clip_ranges(separators: DataFrame, spans: DataFrame, keep_ms: int = 60) -> DataFrame:
+    """The clips between separators (media_id, start_ms, end_ms) of a span (media_id, from_ms, to_ms), each keeping so much of the silence beside it."""
+    ends = spans.select(KEY, F.col("from_ms").alias("s"), F.col("from_ms").alias("e")).unionByName(separators.select(KEY, F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))
+    w = Window.partitionBy(KEY).orderBy("s", "e")
+    out = ends.withColumn("next", F.lead("s").over(w)).withColumn("clip_no", F.row_number().over(w).cast("long")).join(spans.select(KEY, "from_ms", "to_ms"), KEY)
+    out = out.select(KEY, "clip_no", F.greatest(F.col("e") - keep_ms, "from_ms").alias("start_ms"), F.least(F.coalesce(F.col("next") + keep_ms, "to_ms"), "to_ms").alias("end_ms"))
+    return out.where("end_ms > start_ms")
+
 
+def align_by_token_count(cues: DataFrame, words: DataFrame, pad_ms: int = 80) -> DataFrame:
+    """Each cue takes the media's next ``n_tokens`` words (media_id, word_no from 1, start_ms, end_ms), the last one the rest; padded.
 
-def align_by_token_count(cues: DataFrame, words: DataFrame) -> DataFrame:
-    """Each cue takes the media's next ``n_tokens`` words (media_id, word_no from 1, start_ms, end_ms); the last takes the rest."""
+    Cues and words are laid in one order and each word takes the last cue that began, so no cue is held against all words.
+    """
     w = _w(order=("cue_no",))
-    c = cues.withColumn("hi", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("n_tokens"))
-    c = c.withColumn("last", F.lead("cue_no").over(w).isNull())
-    x = words.select(KEY, "word_no", F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
-    met = c.join(x, KEY).where((F.col("word_no") > F.col("lo")) & (F.col("last") | (F.col("word_no") <= F.col("hi"))))
-    return met.groupBy(KEY, "cue_no").agg(F.min("ws").alias("start_ms"), F.max("we").alias("end_ms"), F.count(F.lit(1)).alias("words"))
+    hi = F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    c = cues.withColumn("hi", hi).where("n_tokens > 0").select(KEY, (F.col("hi") - F.col("n_tokens") + 1).alias("at"), F.lit(0).alias("word"), F.col("cue_no").alias("own"), F.lit(None).cast("long").alias("ws"), F.lit(None).cast("long").alias("we"))
+    x = words.select(KEY, F.col("word_no").alias("at"), F.lit(1).alias("word"), F.lit(None).cast("long").alias("own"), F.col("start_ms").alias("ws"), F.col("end_ms").alias("we"))
+    order = Window.partitionBy(KEY).orderBy("at", "word").rowsBetween(Window.unboundedPreceding, 0)
+    met = c.unionByName(x).withColumn("cue_no", F.last("own", ignorenulls=True).over(order)).where("word = 1 and cue_no is not null")
+    return met.groupBy(KEY, "cue_no").agg(F.greatest(F.lit(0), F.min("ws") - pad_ms).alias("start_ms"), (F.max("we") + pad_ms).alias("end_ms"), F.count(F.lit(1)).alias("words"))

@@ -269,14 +269,25 @@ def _(spark, d):
     return sq.islands_between(intervals(spark, d), 60000, 6000000, 180000)
 
 
-@query("seq8_cap_silences", "SELECT media_id, start_ms + 600000 AS start_ms, end_ms FROM intervals WHERE end_ms - start_ms > 600050", INTERVALS)
+@query("seq7_islands_off_edges", """SELECT media_id, end_ms AS start_ms, ns AS end_ms FROM (SELECT *, lead(start_ms) OVER (w ORDER BY start_ms, end_ms) AS ns, min(start_ms) OVER w AS lo, max(end_ms) OVER w AS hi FROM intervals WINDOW w AS (PARTITION BY media_id))
+  WHERE ns - end_ms BETWEEN 60000 AND 12000000 AND end_ms - lo > 9000000 AND hi - ns > 9000000""", INTERVALS)
+def _(spark, d):
+    return sq.islands_between(intervals(spark, d), 60000, 12000000, edge_ms=9000000)
+
+
+@query("seq8_cap_silences", "SELECT media_id, start_ms + 600000 AS start_ms, end_ms FROM (SELECT *, min(start_ms) OVER w AS lo, max(end_ms) OVER w AS hi FROM intervals WINDOW w AS (PARTITION BY media_id)) WHERE end_ms - start_ms > 600050 AND start_ms - lo > 200 AND hi - end_ms > 200", INTERVALS)
 def _(spark, d):
     return sq.cap_silences(intervals(spark, d), 600000)
 
 
-@query("seq9_edge_trim", "SELECT media_id, greatest(min(start_ms) - 80, 0) AS from_ms, max(end_ms) + 80 AS to_ms, arg_min(text, cue_no) AS first, arg_max(text, cue_no) AS last FROM cues GROUP BY media_id", CUES)
+@query("seq9_edge_trim", """SELECT media_id, CASE WHEN t THEN a ELSE 0 END AS from_ms, CASE WHEN t THEN b ELSE dur END AS to_ms, t AS trimmed FROM (SELECT *, dur - (b - a) > 30 AND b - a > 350 AS t FROM (SELECT media_id, dur, greatest(least(lo - 80, 1500), 0) AS a, least(greatest(hi + 80, dur - 1500), dur) AS b FROM (
+  SELECT media_id, any_value(dur) AS dur, coalesce(min(start_ms) FILTER (word = ex[1]), min(start_ms) FILTER (list_contains(ex[1:3], word)), min(start_ms)) AS lo, coalesce(max(end_ms) FILTER (word = ex[-1]), max(end_ms)) AS hi
+  FROM (SELECT c.media_id, start_ms, end_ms, split_part(text, ' ', 1) AS word, dur, ex FROM cues c JOIN (SELECT media_id, max(end_ms) + 900 AS dur, list(split_part(text, ' ', 1) ORDER BY cue_no) FILTER (cue_no > 1 AND speaker <> 'system') AS ex FROM cues GROUP BY media_id HAVING count(*) FILTER (cue_no > 1 AND speaker <> 'system') > 0) e ON c.media_id = e.media_id) GROUP BY media_id)))""", CUES)
 def _(spark, d):
-    return sq.edge_trim_plan(cues(spark, d))
+    c = cues(spark, d).withColumn("text", F.split("text", " ")[0])
+    wanted = F.transform(F.array_sort(F.collect_list(F.when((F.col("cue_no") > 1) & (F.col("speaker") != "system"), F.struct("cue_no", "text")))), lambda x: x["text"])
+    clips = c.groupBy("media_id").agg((F.max("end_ms") + 900).alias("duration_ms"), wanted.alias("expected")).where(F.size("expected") > 0)
+    return sq.edge_trim_plan(c, clips)
 
 
 @query("seq10_toggle_speaker", """SELECT media_id, cue_no, sum(flip) OVER (PARTITION BY media_id ORDER BY start_ms, cue_no ROWS UNBOUNDED PRECEDING)::BIGINT % 2 AS toggled FROM (
@@ -285,6 +296,23 @@ def _(spark, d):
     return sq.toggle_speaker(cues(spark, d), 500).select("media_id", "cue_no", "toggled")
 
 
+_STRONG = r"""'[.!?…。！？]["'')\]]*$'"""
+_CLAUSE = r"""'[,;:，；：]["'')\]]*$'"""
+
+
+def _fold_sql(rows: str, joins: str, glue: str = "' '") -> tuple[str, str]:
+    """Groups with their texts, from rows (media_id, cue_no, start_ms, end_ms, text, tag, rn)."""
+    on = lambda a, b: f"CASE WHEN {joins} THEN {a} ELSE {b} END"
+    return """SELECT media_id, gno - 1 AS group_no, min(gs) AS start_ms, max(ge) AS end_ms, arg_max(gx, rn) AS text, count(*) AS members FROM g GROUP BY media_id, gno""", f"""
+r AS ({rows}), g AS (SELECT media_id, rn, 1 AS gno, start_ms AS gs, end_ms AS ge, 1::BIGINT AS gm, text AS gx, tag AS gt FROM r WHERE rn = 1
+ UNION ALL SELECT r.media_id, r.rn, {on('gno', 'gno + 1')}, {on('gs', 'r.start_ms')}, {on('greatest(ge, r.end_ms)', 'r.end_ms')}, {on('gm + 1', '1')}, {on(f'gx || {glue} || r.text', 'r.text')}, {on('gt', 'r.tag')}
+ FROM g JOIN r ON r.media_id = g.media_id AND r.rn = g.rn + 1)"""
+
+
+_SPOKEN = "SELECT media_id, cue_no, start_ms, end_ms, text, speaker AS tag, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) AS rn FROM cues"
+_FOLDED = ("media_id", "group_no", "start_ms", "end_ms", "text", "members")
+
+
 def _greedy_sql(rows: str, joins: str) -> str:
     return f"""SELECT media_id, count(*) AS members, min(cue_no) AS first, max(cue_no) AS last, sum(size)::BIGINT AS size FROM g GROUP BY media_id, gno""", f"""
 r AS ({rows}), g AS (SELECT media_id, rn, cue_no, start_ms, end_ms, size, 1 AS gno, start_ms AS gs, end_ms AS ge, 1::BIGINT AS gm, size AS gz FROM r WHERE rn = 1
@@ -294,13 +322,15 @@ r AS ({rows}), g AS (SELECT media_id, rn, cue_no, start_ms, end_ms, size, 1 AS g
 
 
 _SIZED = "SELECT media_id, cue_no, start_ms, end_ms, {0}::BIGINT AS size, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) AS rn FROM {1}"
-_G11, _V11 = _greedy_sql(_SIZED.format("1", "cues"), "r.start_ms - ge BETWEEN 0 AND 550 AND r.end_ms - gs <= 8000")
-_G16, _V16 = _greedy_sql(_SIZED.format("duration_ms", "slots"), "gm < 4 AND gz + r.size <= 9000")
+_G11, _V11 = _fold_sql(_SPOKEN, "r.start_ms - ge BETWEEN 0 AND 550 AND r.end_ms - gs <= 8000")
+_SLOT = "SELECT media_id, cue_no, start_ms, end_ms, label AS text, label AS tag, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) AS rn FROM slots"
+_G16, _V16 = _greedy_sql(_SIZED.format("duration_ms", "slots").replace(" AS size,", " AS size, label AS text,"), "gm < 4 AND gz + r.size <= 9000")
+_G16 = "SELECT b.*, t.text FROM (" + _G16 + ") b JOIN (SELECT media_id, min(cue_no) AS first, string_agg(label, ' | ' ORDER BY start_ms, cue_no) AS text FROM (SELECT g.media_id, g.gno, g.cue_no, g.start_ms, s.label FROM g JOIN slots s ON s.media_id = g.media_id AND s.cue_no = g.cue_no) GROUP BY media_id, gno) t ON t.media_id = b.media_id AND t.first = b.first"
 
 
 @query("seq11_group_cues", _G11, CUES, _V11)
 def _(spark, d):
-    return sq.group_cues(cues(spark, d)).select("media_id", "members", "first", "last", "size")
+    return sq.group_cues(cues(spark, d)).select(*_FOLDED)
 
 
 @query("seq14_pair_fragile", r"""SELECT media_id, cue_no, j AND (row_number() OVER (PARTITION BY media_id, run, j ORDER BY start_ms, cue_no)) % 2 = 1 AS head FROM (
@@ -312,8 +342,8 @@ def _(spark, d):
 
 @query("seq16_pack_blocks", _G16, SLOTS, _V16)
 def _(spark, d):
-    rows = slots(spark, d).select("media_id", "start_ms", "cue_no", "end_ms", F.col("duration_ms").alias("size"))
-    return sq.pack_blocks(rows, 4, 9000).select("media_id", "members", "first", "last", "size")
+    rows = slots(spark, d).select("media_id", "start_ms", "cue_no", "end_ms", F.col("duration_ms").alias("size"), F.col("label").alias("text"))
+    return sq.pack_blocks(rows, 4, 9000, " | ").select("media_id", "members", "first", "last", "size", "text")
 
 
 @query("seq17_fixed_blocks", "SELECT media_id, cue_no, (row_number() OVER (PARTITION BY media_id ORDER BY cue_no) - 1) // 8 AS block FROM cues", CUES)
@@ -321,10 +351,10 @@ def _(spark, d):
     return sq.fixed_blocks(cues(spark, d), 8).select("media_id", "cue_no", "block")
 
 
-@query("seq25_activity_runs", """SELECT media_id, min(f) AS first_frame, max(f) AS last_frame, count(*) AS voiced FROM (SELECT *, sum(n) OVER (PARTITION BY media_id ORDER BY f ROWS UNBOUNDED PRECEDING) AS run FROM (
-  SELECT v.media_id, f, CASE WHEN f - lag(f) OVER (PARTITION BY v.media_id ORDER BY f) <= 12 THEN 0 ELSE 1 END AS n FROM fr v JOIN cut ON v.media_id = cut.media_id WHERE rms >= c)) GROUP BY media_id, run HAVING max(f) - min(f) >= 1""",
-  INTERVALS, "fr AS (SELECT media_id, value / 490 AS rms, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS f FROM intervals)",
-  "cut AS (SELECT media_id, greatest(0.006, quantile_cont(rms, 0.72) * 0.45) AS c FROM fr GROUP BY media_id)")
+@query("seq25_activity_runs", _ISLANDS.format(179, "padded").replace("count(*) AS members", "count(*) AS runs"), INTERVALS, "fr AS (SELECT media_id, value / 490 AS rms, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS f FROM intervals)",
+  "cut AS (SELECT media_id, greatest(0.006, quantile_cont(rms, 0.72) * 0.45) AS c FROM fr GROUP BY media_id)",
+  """padded AS (SELECT media_id, greatest(0, min(f) * 30 - 120) AS start_ms, (max(f) + 1) * 30 + 120 AS end_ms FROM (SELECT *, sum(n) OVER (PARTITION BY media_id ORDER BY f ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT v.media_id, f, CASE WHEN f - lag(f) OVER (PARTITION BY v.media_id ORDER BY f) <= 12 THEN 0 ELSE 1 END AS n FROM fr v JOIN cut ON v.media_id = cut.media_id WHERE rms >= c)) GROUP BY media_id, run HAVING (max(f) + 1 - min(f)) * 30 >= 260)""")
 def _(spark, d):
     order = Window.partitionBy("media_id").orderBy("start_ms", "event_id")
     return sq.activity_runs(intervals(spark, d).select("media_id", (F.col("value") / 490).alias("rms"), F.row_number().over(order).cast("long").alias("frame_no")))
@@ -336,7 +366,7 @@ def _(spark, d):
     return sq.sample_context(cues(spark, d), 1400).select("media_id", "cue_no")
 
 
-@query("seq27_align_tokens", """SELECT c.media_id, c.cue_no, min(ws) AS start_ms, max(we) AS end_ms, count(*) AS words FROM (SELECT *, hi - n AS lo, lead(cue_no) OVER (PARTITION BY media_id ORDER BY cue_no) IS NULL AS fin FROM (
+@query("seq27_align_tokens", """SELECT c.media_id, c.cue_no, greatest(0, min(ws) - 80) AS start_ms, max(we) + 80 AS end_ms, count(*) AS words FROM (SELECT *, hi - n AS lo, lead(cue_no) OVER (PARTITION BY media_id ORDER BY cue_no) IS NULL AS fin FROM (
   SELECT media_id, cue_no, 1 + cue_no % 3 AS n, sum(1 + cue_no % 3) OVER (PARTITION BY media_id ORDER BY cue_no ROWS UNBOUNDED PRECEDING) AS hi FROM slots)) c
   JOIN (SELECT media_id, cue_no AS word_no, start_ms AS ws, end_ms AS we FROM slots) w ON w.media_id = c.media_id AND word_no > lo AND (fin OR word_no <= hi) GROUP BY c.media_id, c.cue_no""", SLOTS)
 def _(spark, d):
@@ -346,11 +376,27 @@ def _(spark, d):
 
 
 @query("seq28_choose_separators", """SELECT media_id, event_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms) AS separator_no FROM (
-  SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY end_ms - start_ms DESC, start_ms) AS r FROM intervals) WHERE r <= 5""", INTERVALS)
+  SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY (start_ms > lo AND end_ms < hi) DESC, end_ms - start_ms DESC, start_ms, end_ms) AS r FROM (SELECT *, min(start_ms) OVER (PARTITION BY media_id) AS lo, max(end_ms) OVER (PARTITION BY media_id) AS hi FROM intervals)) WHERE r <= 5""", INTERVALS)
 def _(spark, d):
     return sq.choose_separators(intervals(spark, d), F.lit(5)).select("media_id", "event_id", "separator_no")
 
 
+@query("seq28_clip_ranges", """SELECT media_id, clip_no, start_ms, end_ms FROM (SELECT media_id, row_number() OVER w AS clip_no, greatest(e - 60, lo) AS start_ms, least(coalesce(lead(s) OVER w + 60, hi), hi) AS end_ms FROM (
+  SELECT media_id, lo AS s, lo AS e, lo, hi FROM span UNION ALL SELECT i.media_id, start_ms, end_ms, lo, hi FROM intervals i JOIN span ON span.media_id = i.media_id WHERE end_ms - start_ms > 3000000) WINDOW w AS (PARTITION BY media_id ORDER BY s, e)) WHERE end_ms > start_ms""",
+  INTERVALS, "span AS (SELECT media_id, min(start_ms) - 5000 AS lo, max(end_ms) + 5000 AS hi FROM intervals GROUP BY media_id)")
+def _(spark, d):
+    x = intervals(spark, d)
+    spans = x.groupBy("media_id").agg((F.min("start_ms") - 5000).alias("from_ms"), (F.max("end_ms") + 5000).alias("to_ms"))
+    return sq.clip_ranges(x.where("end_ms - start_ms > 3000000"), spans)
+
+
+@query("seq28_share_separators", """SELECT media_id, cue_no, (hi * upto // total)::BIGINT AS at_ms FROM (SELECT *, sum(length(text)) OVER (PARTITION BY media_id ORDER BY cue_no) AS upto, sum(length(text)) OVER (PARTITION BY media_id) AS total, max(end_ms) OVER (PARTITION BY media_id) AS hi,
+  lead(cue_no) OVER (PARTITION BY media_id ORDER BY cue_no) AS nxt FROM cues) WHERE nxt IS NOT NULL""", CUES)
+def _(spark, d):
+    c = cues(spark, d)
+    return sq.separators_by_share(c, c.groupBy("media_id").agg(F.lit(0).cast("long").alias("from_ms"), F.max("end_ms").alias("to_ms")))
+
+
 @query("seq29_neighbors", """SELECT media_id, cue_no, coalesce(lag(text) OVER w = text, false) AS same_as_previous, coalesce(split_part(lead(text) OVER w, ' ', 1), '') AS next_word FROM cues WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, cue_no)""", CUES)
 def _(spark, d):
     return sq.with_neighbors(cues(spark, d)).select("media_id", "cue_no", "same_as_previous", "next_word")
@@ -819,6 +865,14 @@ def _(spark, d):
     return ex.allocate_time(parts).select("media_id", "cue_no", F.col("piece_no").cast("long").alias("piece_no"), "part_start", "part_end")
 
 
+@query("exp9_floored_time", """SELECT media_id, cue_no, k AS piece_no, least(start_ms + upto - own, end_ms)::BIGINT AS part_start, CASE WHEN upto = total THEN end_ms ELSE least(start_ms + upto, end_ms) END::BIGINT AS part_end FROM (
+  SELECT *, sum(own) OVER (PARTITION BY media_id, cue_no ORDER BY k) AS upto, sum(own) OVER (PARTITION BY media_id, cue_no) AS total FROM (SELECT *, greatest(600, (end_ms - start_ms) * least(9, n - k * 9) // n) AS own FROM (
+  SELECT media_id, cue_no, start_ms, end_ms, length(text) AS n, unnest(range((length(text) + 8) // 9)) AS k FROM cues)))""", CUES)
+def _(spark, d):
+    parts = ex.split_units(cues(spark, d), 9).withColumn("weight", F.length("piece"))
+    return ex.allocate_time(parts, floor_ms=600).select("media_id", "cue_no", F.col("piece_no").cast("long").alias("piece_no"), "part_start", "part_end")
+
+
 @query("exp10_timeline_blocks", "SELECT media_id, event_id, k * 600000 AS block_start, least((k + 1) * 600000, d) AS block_end FROM (SELECT media_id, event_id, end_ms - start_ms AS d, unnest(range(greatest(0, end_ms - start_ms - 1) // 600000 + 1)) AS k FROM intervals)", INTERVALS)
 def _(spark, d):
     return ex.timeline_blocks(intervals(spark, d).select("media_id", "event_id", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms")), 600000).drop("duration_ms")
@@ -850,19 +904,20 @@ def _(spark, d):
     return ex.points_split(a.drop("a_key"), b.select("media_id", F.col("b_start").alias("at_ms")).distinct(), 300).select("media_id", "a_id", "piece_no", "start_ms")
 
 
-_G20, _V20 = _greedy_sql(_SIZED.format("length(text) + 1", "cues"), "gz + r.size <= 200")
+_CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ff00}-\x{ffef}]"
+_G20, _V20 = _fold_sql(_SPOKEN, f"NOT (ge - gs >= 4000 AND (regexp_matches(gx, {_STRONG}) OR regexp_matches(gx, {_CLAUSE}) AND ge - gs >= 800 OR length(gx) >= 200))", f"CASE WHEN regexp_matches(gx, '{_CJK}$') AND regexp_matches(r.text, '^{_CJK}') THEN '' ELSE ' ' END")
 _SHORT = "ge - gs <= 2500 AND r.end_ms - r.start_ms <= 2500"
-_G22, _V22 = _greedy_sql(_SIZED.format("1", "slots"), f"r.start_ms - ge <= 900 AND {_SHORT} AND r.end_ms - gs <= 9000")
+_G22, _V22 = _fold_sql(_SLOT, f"r.start_ms - ge <= 900 AND {_SHORT} AND r.end_ms - gs <= 9000 AND r.tag = gt")
 
 
 @query("seq20_cues_from_words", _G20, CUES, _V20)
 def _(spark, d):
-    return ex.cues_from_words(cues(spark, d), 200, 0).select("media_id", "members", "first", "last", "size")
+    return ex.cues_from_words(cues(spark, d), 200, 4000).select(*_FOLDED)
 
 
-@query("seq22_stitch_shorts", _G22, SLOTS, _V22)
+@query("seq22_stitch_shorts", _G22.replace("arg_max(gx, rn) AS text, ", ""), SLOTS, _V22)
 def _(spark, d):
-    return ex.stitch_shorts(slots(spark, d)).select("media_id", "members", "first", "last", "size")
+    return ex.stitch_shorts(slots(spark, d).withColumnRenamed("label", "speaker")).select("media_id", "group_no", "start_ms", "end_ms", "members")
 
 
 @query("seq18_length_batches")
@@ -959,12 +1014,22 @@ def _(spark, d):
 from cuespark.operators import grouping as gr  # noqa: E402
 
 
-@query("seq12_group_smart")
+_G12, _V12 = _fold_sql(_SPOKEN, f"r.start_ms - ge BETWEEN -80 AND 300 AND r.end_ms - gs <= 7500 AND length(gx) + 1 + length(r.text) <= 210 AND (length(gx) < 70 OR NOT regexp_matches(gx, {_STRONG}))")
+_G13, _V13 = _fold_sql(
+    _SPOKEN, f"NOT (length(gx) >= 18 AND regexp_matches(gx, {_STRONG})) AND r.start_ms - ge BETWEEN -50 AND 140 AND r.end_ms - gs <= 4200 AND length(gx) + 2 + length(r.text) <= 95",
+    f"CASE WHEN regexp_matches(gx, {_STRONG}) OR regexp_matches(gx, {_CLAUSE}) THEN ' ' ELSE ', ' END",
+)
+_LEAST = "least(ge - gs, r.end_ms - r.start_ms) < {0} OR least(length(gx), length(r.text)) < {1}"
+_G23, _V23 = _fold_sql(_SPOKEN, f"({_LEAST.format(1200, 8)}) AND NOT regexp_matches(gx, {_STRONG}) AND length(gx) + 1 + length(r.text) <= 84 AND (length(gx) + 1 + length(r.text)) * 1000.0 / greatest(1, r.end_ms - gs) <= 17 AND r.tag = gt")
+_G23R, _V23R = _fold_sql(_SPOKEN, f"({_LEAST.format(650, 8)}) AND (length(gx) + 1 + length(r.text) <= 84 OR {_LEAST.format(300, 5)}) AND r.end_ms - gs <= 6000")
+
+
+@query("seq12_group_smart", _G12.replace("arg_max(gx, rn)", "regexp_replace(arg_max(gx, rn), ',$', '.')"), CUES, _V12)
 def _(spark, d):
     return gr.group_smart(cues(spark, d))
 
 
-@query("seq13_group_natural")
+@query("seq13_group_natural", _G13, CUES, _V13)
 def _(spark, d):
     return gr.group_natural(cues(spark, d))
 
@@ -987,11 +1052,16 @@ def _(spark, d):
     return gr.merge_short(cues(spark, d))
 
 
-@query("seq23_merge_tiny")
+@query("seq23_merge_tiny", _G23, CUES, _V23)
 def _(spark, d):
     return gr.merge_tiny(cues(spark, d))
 
 
+@query("seq23_repair_tiny", _G23R, CUES, _V23R)
+def _(spark, d):
+    return gr.merge_tiny(cues(spark, d), "repair")
+
+
 @query("seq24_finalize_cues")
 def _(spark, d):
     return gr.finalize_cues(cues(spark, d), ("license",))
