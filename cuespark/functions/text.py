@@ -221,10 +221,11 @@ def safe_title(c: Column, n: int = 100) -> Column:
     return F.trim(F.substring(collapse(F.regexp_replace(c, r"[\\/*?:\"<>|\x00-\x1F]", " ")), 1, n))
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Digit runs padded to a width, so that text order is the natural order."""
+def natural_key(c: Column) -> Column:
+    """Digit runs as their length and digits, without leading zeros, so that text order is the natural order for numbers of any length."""
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(F.lower(p))), "")
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))).otherwise(F.lower(p))), "")
 
 
 def unit_count(c: Column) -> Column:
@@ -252,6 +253,13 @@ def pause_after(c: Column) -> Column:
     return F.when(c.rlike(r"[.!?…]['\")\]]*$"), 380).when(c.rlike(r"[,;:]['\")\]]*$"), 200).otherwise(140)
 
 
+def tail_pad(c: Column, overrides: Mapping[str, int], default: int = 0) -> Column:
+    """Milliseconds added after a text whose last word is one of ``overrides``."""
+    last = F.lower(F.regexp_extract(c, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1))
+    pads = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
+    return F.coalesce(pads[last], F.lit(default))
+
+
 def classify_failure(status: Column, message: Column) -> Column:
     m = F.lower(F.coalesce(message, F.lit("")))
     return (
@@ -285,16 +293,42 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(c, F.lit(name)) for name, c in rules])
 
 
-def sentence_reject(c: Column) -> Column:
-    """The ladder for sentences of a training set."""
+# Filler words, expressions at a text's start, tokens and marks that a training text must not have.
+FILLERS = {"sentence": "ừm|ưm|ờ|ừ|ờm|um|uhm|uh|hm|hmm|ơ|ơm", "clean": "ừm|ưm|ờ|ừ|ừm+|ờm|um|uhm|uh|hm|hmm|à|ơ|ơm"}
+EXPRESSIONS = {"sentence": r"á|oa|ha\s+ha|hahaha|hà\s+hà|ôi|ơ|úi|trời", "clean": r"á|oa|ha\s+ha|hahaha|hà\s+hà|ôi|ơ"}
+BAD_TOKEN, ODD_MARKS = r"https?://|www\.|@|#|[A-Za-z]{4,}", r"[?!]{2,}|\.{4,}|[,;:]{3,}"
+
+
+def reject_reason(c: Column, seconds: Column | None = None, profile: str = "sentence", chars: tuple[int, int] = (25, 180), span: tuple[float, float] = (1.0, 12.0), bad_token: str = BAD_TOKEN) -> Column:
+    """The first rule that a text of a training set breaks, by the ladder of the profile ``sentence`` or ``clean``."""
     n = F.length(c)
-    digits = F.regexp_count(c, F.lit("[0-9]"))
+    count = lambda marks: F.regexp_count(c, F.lit(marks))
+    share = count("[0-9]") / F.greatest(F.lit(1), n)
+    filler = ("filler", c.rlike(rf"(?iu)(^|\s)({FILLERS[profile]})(\s|,|\.|!|\?|$)"))
+    leading = ("leading_expression", c.rlike(rf"(?iu)^\s*({EXPRESSIONS[profile]})([^\p{{L}}\p{{N}}_]|$)"))
+    bad, tail = ("bad_token", c.rlike(bad_token)), ("no_tail_punct", ~c.rlike("[.!?…]$"))
+    if profile == "clean":
+        return first_reason(
+            ("too_short", n < chars[0]), ("too_long", n > chars[1]), filler, leading, bad, ("odd_punct", c.rlike(ODD_MARKS)),
+            ("too_many_digits", share > 0.18), ("too_many_clauses", count("[,.?!]") > 6), tail,
+        )
+    timed = [("too_short_duration", seconds < span[0]), ("too_long_duration", seconds > span[1])] if seconds is not None else []
     return first_reason(
-        ("too_few_chars", n < 25), ("too_many_chars", n > 180), ("no_tail_mark", ~c.rlike("[.!?]$")), ("bad_token", c.rlike("[#$%&*@|]")),
-        ("many_sentences", F.regexp_count(c, F.lit("[.!?]")) > 2), ("many_commas", F.regexp_count(c, F.lit(",")) > 3), ("digits", digits > n * 0.15),
+        *timed, ("too_short_text", n < chars[0]), ("too_long_text", n > chars[1]), tail, filler, leading, bad,
+        ("too_many_sentences", count("[.?!]") > 2), ("too_many_commas", count(",") > 3), ("too_many_digits", share > 0.15),
     )
 
 
+def candidate_profiles(c: Column, rules: Sequence[tuple[Sequence[str], Sequence[str]]], long_words: int, long: Sequence[str], otherwise: Sequence[str]) -> Column:
+    """Names of the profiles to try, in order and each once: by the last word (``rules`` of words and names), else by the number of words."""
+    last = F.lower(F.regexp_extract(c, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1))
+    names = lambda x: F.array(*[F.lit(n) for n in dict.fromkeys(x)])
+    out = F.when(unit_count(c) >= long_words, names(long)).otherwise(names(otherwise))
+    for words, given in reversed(rules):
+        out = F.when(last.isin(*words), names(given)).otherwise(out)
+    return out
+
+
 def attempt_params(temperature: Column, top_k: Column, attempt: Column) -> tuple[Column, Column]:
     return (
         F.least(F.greatest(temperature + attempt * 0.04, F.lit(0.25)), F.lit(0.72)),

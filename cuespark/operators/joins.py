@@ -43,12 +43,24 @@ def near_duplicate(a: DataFrame, b: DataFrame, pad_ms: int = 2600) -> DataFrame:
 
 
 def assign_labels(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """The label of the turns that overlap a segment most; without any, of the turn around its middle; ties by label."""
-    met = overlap_join(segments, turns.withColumnRenamed("label", "b_label"))
-    sums = met.where("overlap_ms > 0").groupBy(KEY, "a_id", "b_label").agg(F.sum("overlap_ms").alias("ms"))
+    """The label of the turns that overlap a segment most; without any overlap, of the turn around its middle; ties by label."""
+    y = turns.withColumnRenamed("label", "b_label")
     w = Window.partitionBy(KEY, "a_id").orderBy(F.desc("ms"), "b_label")
-    best = sums.withColumn("r", F.row_number().over(w)).where("r = 1").select(KEY, "a_id", F.col("b_label").alias("label"))
-    return segments.join(best, [KEY, "a_id"], "left")
+
+    def best(met: DataFrame) -> DataFrame:
+        sums = met.where("overlap_ms > 0").groupBy(KEY, "a_id", "b_label").agg(F.sum("overlap_ms").alias("ms"))
+        return sums.withColumn("r", F.row_number().over(w)).where("r = 1").select(KEY, "a_id", F.col("b_label").alias("label"))
+
+    whole = best(overlap_join(segments, y))
+    middle = F.floor((F.col("a_start") + F.col("a_end")) / 2)
+    rest = segments.join(whole, [KEY, "a_id"], "left_anti").select(KEY, "a_id", middle.alias("a_start"), (middle + 1).alias("a_end"))
+    return segments.join(whole.unionByName(best(overlap_join(rest, y))), [KEY, "a_id"], "left")
+
+
+def speaker_name(label: Column) -> Column:
+    """``X_n`` as ``Speaker n + 1``; other labels as they are."""
+    n = F.regexp_extract(label, r"_(\d+)$", 1)
+    return F.when(n != "", F.concat(F.lit("Speaker "), (n.cast("long") + 1).cast("string"))).otherwise(label)
 
 
 def points_in(segments: DataFrame, points: DataFrame, margin_ms: int = 0, bucket_ms: int = 60_000) -> DataFrame:
@@ -58,10 +70,23 @@ def points_in(segments: DataFrame, points: DataFrame, margin_ms: int = 0, bucket
     return x.join(y, [KEY, "__bucket"]).where((F.col("at_ms") > F.col("a_start") + margin_ms) & (F.col("at_ms") < F.col("a_end") - margin_ms)).drop("__bucket")
 
 
-def cache_lookup(rows: DataFrame, cache: DataFrame, min_size: int = 1024) -> DataFrame:
-    """``rows`` with ``hit``: the fingerprint is cached and its artefact is large enough."""
-    known = cache.where(F.col("size") > min_size).select("fingerprint", F.lit(True).alias("hit")).distinct()
-    return rows.join(known, "fingerprint", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+def cache_lookup(rows: DataFrame, cache: DataFrame, min_size: int = 1024, version: Column | None = None, least_ms: int = 50) -> DataFrame:
+    """``rows`` with ``hit`` and ``tier``, the first tier that holds the fingerprint validly.
+
+    An entry (fingerprint, tier, size, version, duration_ms, failed) is valid if its artefact is
+    large and long enough, it didn't fail its checks, and its version is the row's (where given).
+    """
+    good = cache.where((F.col("size") > min_size) & (F.col("duration_ms") > least_ms) & ~F.col("failed"))
+    keys = ["fingerprint"] + (["version"] if version is not None else [])
+    known = good.groupBy(*keys).agg(F.min("tier").alias("tier"))
+    asked = rows.withColumn("version", version) if version is not None else rows
+    return asked.join(known, keys, "left").withColumn("hit", F.col("tier").isNotNull())
+
+
+def refresh_used(cache: DataFrame, looked_up: DataFrame, now: Column) -> DataFrame:
+    """``cache`` with ``last_used`` set to ``now`` where a look-up hit the entry's fingerprint and tier."""
+    used = looked_up.where("hit").select("fingerprint", "tier").distinct().withColumn("used", F.lit(True))
+    return cache.join(used, ["fingerprint", "tier"], "left").withColumn("last_used", F.when(F.col("used"), now).otherwise(F.col("last_used"))).drop("used")
 
 
 def pending(all_rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -101,10 +126,50 @@ def merge_prefer(flat: DataFrame, rich: DataFrame, values: Sequence[str]) -> Dat
     return both.select("url", F.col("fp").isNull().cast("int").alias("side"), F.coalesce("fp", "rp").alias("pos"), *[F.coalesce(f"r_{v}", f"f_{v}").alias(v) for v in values])
 
 
-def reconcile(final: DataFrame, sources: DataFrame, min_ratio: float = 0.55) -> DataFrame:
-    """Source cues classed against the final track: covered, near_duplicate, or candidate for insertion."""
-    met = overlap_join(sources, final).where(overlap_ratio() >= min_ratio).select(KEY, "a_id").distinct().withColumn("covered", F.lit(True))
-    near = near_duplicate(sources, final).select(KEY, "a_id").distinct().withColumn("near", F.lit(True))
-    out = sources.join(met, [KEY, "a_id"], "left").join(near, [KEY, "a_id"], "left")
-    kind = F.when(F.col("covered"), "covered").when(F.col("near"), "near_duplicate").otherwise("candidate")
+def reconcile(final: DataFrame, sources: DataFrame, min_ratio: float = 0.55, unlike: float = 0.38, least_chars: int = 8, fit: Column | None = None, similarity=None) -> DataFrame:
+    """Source cues (media_id, source, trusted, a_id, a_start, a_end, a_key) classed against the final track.
+
+    ``covered`` by an overlap of ``min_ratio``, or ``suspicious`` where all that covers it reads
+    otherwise; ``near_duplicate`` of a cue near in time; ``candidate`` for insertion; ``report_only``
+    where the source isn't trusted or the cue isn't ``fit`` (its text, its length).
+    """
+    from cuespark.operators.stats import similarity_ratio
+
+    alike = (similarity or similarity_ratio)(F.col("a_key"), F.col("b_key"))
+    met = overlap_join(sources, final, by=(KEY,)).where(overlap_ratio() >= min_ratio).groupBy(KEY, "source", "a_id").agg(F.max(alike).alias("best"))
+    near = near_duplicate(sources, final).select(KEY, "source", "a_id").distinct().withColumn("near", F.lit(True))
+    out = sources.join(met, [KEY, "source", "a_id"], "left").join(near, [KEY, "source", "a_id"], "left")
+    span = F.col("a_end") - F.col("a_start")
+    fit = fit if fit is not None else (F.length("a_key") >= 2) & span.between(200, 12_000)
+    kind = (
+        F.when((F.col("best") < unlike) & (F.length("a_key") >= least_chars), "suspicious").when(F.col("best").isNotNull(), "covered")
+        .when(F.col("near"), "near_duplicate").when(F.col("trusted") & fit, "candidate").otherwise("report_only")
+    )
     return out.select(*sources.columns, kind.alias("class"))
+
+
+def insert_candidates(final: DataFrame, sources: DataFrame, order: Sequence[str], **rules) -> tuple[DataFrame, DataFrame]:
+    """(final, events): the final track with the candidates of the sources named in ``order``, one source after the other.
+
+    Each source is classed against the track with what came before; of candidates of one source
+    that are near duplicates of each other only the first stays. Events are the source cues with
+    their class, ``inserted`` for those that were.
+    """
+    track, events = final.select(KEY, "b_id", "b_start", "b_end", "b_key").withColumn("source", F.lit(None).cast("string")), None
+    for name in order:
+        judged = reconcile(track.drop("source"), sources.where(F.col("source") == name), **rules)
+        new = judged.where("class = 'candidate'")
+        as_b = new.select(KEY, F.col("a_id").alias("b_id"), F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end"), F.col("a_key").alias("b_key"))
+        later = near_duplicate(new, as_b).where("b_start < a_start or (b_start = a_start and b_id < a_id)").select(KEY, "a_id").distinct()
+        kept = new.join(later, [KEY, "a_id"], "left_anti")
+        inserted = kept.select(KEY, "a_id").withColumn("in", F.lit(True))
+        judged = judged.join(inserted, [KEY, "a_id"], "left").withColumn("class", F.when(F.col("in"), "inserted").when(F.col("class") == "candidate", "near_duplicate").otherwise(F.col("class"))).drop("in")
+        events = judged if events is None else events.unionByName(judged)
+        track = track.unionByName(kept.select(KEY, F.col("a_id").alias("b_id"), F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end"), F.col("a_key").alias("b_key"), "source"))
+    return track, events
+
+
+def lost_insertions(events: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Inserted cues of which the cleaned track has no near duplicate any more."""
+    inserted = events.where("class = 'inserted'")
+    return inserted.join(near_duplicate(inserted, cleaned).select(KEY, "source", "a_id").distinct(), [KEY, "source", "a_id"], "left_anti")

@@ -65,12 +65,17 @@ def merge_intervals(intervals: DataFrame, tolerance_ms: int = 0, by: Sequence[st
     return marked.groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("members"))
 
 
-def subtract_intervals(base: DataFrame, allowed: DataFrame) -> DataFrame:
-    """What of ``base`` (media_id, start_ms, end_ms, disjoint) no interval of ``allowed`` covers."""
-    cuts = merge_intervals(allowed).select(KEY, F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    met = base.join(cuts, KEY, "left").where("a is null or (a < end_ms and b > start_ms)")
-    none = base.join(cuts, (base[KEY] == cuts[KEY]) & (cuts["a"] < base["end_ms"]) & (cuts["b"] > base["start_ms"]), "left_anti").select(KEY, "start_ms", "end_ms")
-    met = met.where("a is not null")
+def subtract_intervals(base: DataFrame, allowed: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+    """What of ``base`` (media_id, start_ms, end_ms, disjoint) no interval of ``allowed`` covers.
+
+    Both meet in buckets of time, so a media's intervals are never all held against each other.
+    """
+    from cuespark.operators.joins import overlap_join
+
+    cuts = merge_intervals(allowed).select(KEY, F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    asked = base.select(KEY, F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    met = overlap_join(asked, cuts, bucket_ms=bucket_ms).select(KEY, F.col("a_start").alias("start_ms"), F.col("a_end").alias("end_ms"), F.col("b_start").alias("a"), F.col("b_end").alias("b"))
+    none = base.select(KEY, "start_ms", "end_ms").join(met.select(KEY, "start_ms", "end_ms").distinct(), [KEY, "start_ms", "end_ms"], "left_anti")
     w = Window.partitionBy(KEY, "start_ms", "end_ms").orderBy("a")
     low = F.coalesce(F.lag("b").over(w), F.col("start_ms"))
     heads = met.select(KEY, F.greatest(low, "start_ms").alias("s"), F.least("a", "end_ms").alias("e"))

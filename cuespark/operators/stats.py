@@ -15,20 +15,59 @@ def count_if(c: Column) -> Column:
 
 
 def run_report(attempts: DataFrame) -> DataFrame:
+    """One row over attempts (status, failed, hit, attempt, tail, degraded, seconds)."""
+    n = F.count(F.lit(1))
     return attempts.agg(
-        F.count(F.lit(1)).alias("total"), count_if(F.col("status") == 200).alias("ok"), count_if(F.col("failed")).alias("failed"),
-        count_if(F.col("status") == 429).alias("limited"), F.round(count_if(F.col("status") == 200) / F.count(F.lit(1)), 4).alias("ok_share"),
+        n.alias("total"), count_if(F.col("status") == 200).alias("ok"), count_if(F.col("failed")).alias("failed"),
+        count_if(F.col("status") == 429).alias("limited"), F.round(count_if(F.col("status") == 200) / n, 4).alias("ok_share"),
+        count_if(F.col("hit")).alias("hits"), F.round(count_if(F.col("hit")) / n, 4).alias("hit_rate"), count_if(F.col("attempt") > 1).alias("retried"),
+        count_if(F.col("tail") & (F.col("attempt") > 1)).alias("tail_retries"), count_if(F.col("degraded")).alias("degraded"), F.round(n / F.sum("seconds"), 3).alias("per_second"),
     )
 
 
-def track_stats(cues: DataFrame, by: Sequence[str] = ("media_id",)) -> DataFrame:
+def track_stats(cues: DataFrame, by: Sequence[str] = ("media_id",), leaks: Sequence[str] = (), summaries: Sequence[str] = ()) -> DataFrame:
+    """Counts of a track's cues; ``leaks`` and ``summaries`` are markers of what doesn't belong there."""
+    from cuespark.functions.text import has_marker
+
     d = F.col("end_ms") - F.col("start_ms")
+    cjk, solid = F.sum(F.regexp_count("text", F.lit(r"[\x{3400}-\x{9fff}]"))), F.sum(F.length(F.regexp_replace("text", r"\s", "")))
     return cues.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cues"), F.sum(F.length("text")).alias("chars"), count_if(d > 15000).alias("over_15s"),
         count_if(F.length("text") > 90).alias("over_90_chars"), F.round(F.avg(d), 3).alias("avg_ms"), F.max("end_ms").alias("last_ms"),
+        F.round(F.coalesce(cjk / F.nullif(solid, F.lit(0)), F.lit(0.0)), 4).alias("cjk_share"),
+        count_if(has_marker(F.col("text"), leaks)).alias("leaks"), count_if(has_marker(F.col("text"), summaries)).alias("summary_like"),
     )
 
 
+def worker_metrics(attempts: DataFrame, order: str = "event_id") -> DataFrame:
+    """Requests, failures and the last status of each job's worker."""
+    return attempts.groupBy("job").agg(F.count(F.lit(1)).alias("requests"), count_if(F.col("failed")).alias("failures"), F.max_by("status", order).cast("long").alias("state"))
+
+
+def group_by_profile(rows: DataFrame, *profile: Column, default: str = "__default__") -> DataFrame:
+    """Rows and their time by the first profile given, so that a model is loaded once for each."""
+    return rows.groupBy(F.coalesce(*profile, F.lit(default)).alias("profile")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
+
+
+def eta(done: DataFrame, totals: DataFrame, by: str = "job") -> DataFrame:
+    """Progress of jobs: ``done`` rows (by, seconds) against ``totals`` (by, total, media_s, cached).
+
+    ``eta_s`` goes by the mean so far; before any row is done by the fixed rates: 72 s for an hour
+    of media and 3 s more, at least 15 s, and for cached rows 4 ms each, at least 1 s.
+    """
+    d = done.groupBy(by).agg(F.count(F.lit(1)).alias("done"), F.avg("seconds").alias("avg_s"))
+    out = totals.join(d, by, "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    fixed = F.when(F.col("cached"), F.greatest(F.lit(1.0), F.col("total") * 0.004)).otherwise(F.greatest(F.lit(15.0), F.col("media_s") / 3600 * 72 + 3))
+    left = F.when(F.col("done") > 0, F.col("avg_s") * (F.col("total") - F.col("done"))).otherwise(fixed)
+    return out.select(by, "done", "total", F.round("avg_s", 6).alias("avg_s"), F.round(left, 4).alias("eta_s"))
+
+
+def best_rendition(renditions: DataFrame, by: str, codecs: Sequence[str] = ("h264", "h265")) -> DataFrame:
+    """Of renditions (by, id, width, height, size, codec) the one of most pixels, then size, then codec by its place in ``codecs``; ties by id."""
+    bonus = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in codecs]), F.col("codec")), F.lit(0))
+    return renditions.groupBy(by).agg(F.max_by("id", F.struct(F.col("width") * F.col("height"), "size", bonus, -F.col("id"))).alias("id"))
+
+
 def choose_source(a: DataFrame, b: DataFrame, least: int = 5, share: float = 0.25) -> DataFrame:
     """Of two track statistics (media_id, cues), the first unless it is much sparser than the second."""
     j = a.select("media_id", F.col("cues").alias("a")).join(b.select("media_id", F.col("cues").alias("b")), "media_id", "full").na.fill(0, ["a", "b"])
@@ -68,34 +107,62 @@ def suspicious_timing(cues: DataFrame, durations: DataFrame, share: float = 0.6)
     return durations.join(last, "media_id").withColumn("suspicious", (F.col("duration_ms") > 5000) & (F.col("last_ms") < F.col("duration_ms") * share))
 
 
-def qa_report(events: DataFrame, caps: int, order: Sequence[str]) -> DataFrame:
-    """Per class its count and the first ``caps`` sample ids in order."""
-    w = Window.partitionBy("label").orderBy(*order)
-    kept = events.withColumn("r", F.row_number().over(w))
-    return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= caps, F.struct("r", "event_id")))), lambda x: x["event_id"].cast("string")), ",").alias("samples"))
+def qa_report(events: DataFrame, caps: int, order: Sequence[str], salts: int = 64) -> DataFrame:
+    """Per class its count and the first ``caps`` sample ids in order.
+
+    Samples are chosen in ``salts`` parts of each class first, so a class of any size is never in one task.
+    """
+    part = events.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
+    few = take_first(take_first(part, ["label", "salt"], [F.col(c) for c in order], caps), ["label"], [F.col(c) for c in order], caps)
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("event_id").alias("id")))), lambda x: x["id"].cast("string")), ",")
+    return events.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(few.groupBy("label").agg(ids.alias("samples")), "label")
 
 
 def sum_rule_counts(df: DataFrame, counts: str = "counts") -> DataFrame:
     return df.select(F.explode(counts).alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
-def signal_features(clips: DataFrame, samples: str = "samples") -> DataFrame:
-    """peak, rms, and the ratio of the two halves' energies of the last quarter."""
-    n = F.size(samples)
-    square = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    tail = F.slice(samples, F.greatest(F.lit(1), n - F.floor(n / 4).cast("int") + 1), F.floor(n / 4).cast("int"))
-    half = F.floor(F.size("tail") / 2).cast("int")
-    out = clips.withColumn("tail", tail).withColumn("peak", F.array_max(F.transform(samples, lambda x: F.abs(x))).cast("double"))
-    out = out.withColumn("rms", F.sqrt(square(F.col(samples)) / n)).withColumn("first_half", square(F.slice("tail", F.lit(1), half))).withColumn("second_half", square(F.slice("tail", half + 1, half)))
-    return out.withColumn("tail_ratio", F.col("second_half") / F.col("first_half")).drop("tail")
+def signal_features(clips: DataFrame, samples: str = "samples", rate: int = 24_000, loud: float = 0.01, pad: int = 240) -> DataFrame:
+    """Features of clips' samples within -1 and 1.
+
+    ``peak``, ``rms`` and ``rms_db`` are those of the clip without its quiet ends (samples up to
+    ``loud``, but ``pad`` of them beside the sound); ``seconds`` is the whole clip. Of the last
+    150 ms, ``tail_first`` and ``tail_second`` are the mean levels of the halves and ``tail_ratio``
+    their ratio, ``last_peak`` is the peak of the last 20 ms; these are null below 180 ms.
+    """
+    x = F.transform(samples, lambda v: v.cast("double"))
+    out = clips.withColumn("__x", x).withColumn("__n", F.size("__x"))
+    heard = F.filter(F.sequence(F.lit(1), F.col("__n")), lambda i: F.abs(F.element_at("__x", i)) > loud)
+    out = out.withColumn("__i", F.when(F.col("__n") > 0, heard))
+    lo, hi = F.greatest(F.lit(1), F.get("__i", F.lit(0)) - pad), F.least(F.col("__n"), F.element_at("__i", -1) - 1 + pad)
+    out = out.withColumn("__a", F.when(F.size("__i") > 0, F.slice("__x", lo, F.greatest(F.lit(0), hi - lo + 1))).otherwise(F.col("__x")))
+    total = lambda part, f: F.aggregate(part, F.lit(0.0), lambda acc, v: acc + f(v))
+    mean = lambda part, f: total(part, f) / F.nullif(F.size(part), F.lit(0))
+    k, last = int(0.15 * rate), max(1, int(0.02 * rate))
+    tail = F.when(F.col("__n") >= int(0.18 * rate), F.slice("__x", F.col("__n") - k + 1, F.lit(k)))
+    out = out.withColumn("__t", tail)
+    return (
+        out.withColumn("peak", F.coalesce(F.array_max(F.transform("__a", F.abs)), F.lit(0.0)))
+        .withColumn("rms", F.sqrt(mean(F.col("__a"), lambda v: v * v))).withColumn("rms_db", 20 * F.log10(F.coalesce("rms", F.lit(0.0)) + 1e-12))
+        .withColumn("seconds", F.greatest(F.lit(0.001), F.col("__n") / rate))
+        .withColumn("tail_first", mean(F.slice("__t", F.lit(1), F.lit(max(1, k // 2))), F.abs)).withColumn("tail_second", mean(F.slice("__t", F.lit(max(1, k // 2) + 1), F.lit(k)), F.abs))
+        .withColumn("tail_ratio", F.col("tail_second") / (F.col("tail_first") + 1e-9))
+        .withColumn("last_peak", F.array_max(F.transform(F.slice("__t", F.lit(k - last + 1), F.lit(last)), F.abs)))
+        .drop("__x", "__n", "__i", "__a", "__t")
+    )
 
 
 def cheap_gate(features: DataFrame) -> DataFrame:
-    """``reasons`` a clip is looked at again for."""
+    """``reasons`` a clip (features with target_ms and chars) is looked at again for."""
     from cuespark.functions.text import flags
 
-    db = 20 * F.log10(F.greatest(F.col("rms"), F.lit(1e-9)))
-    return features.withColumn("reasons", flags(("quiet", db < -45), ("loud", (db > -3) | (F.col("peak") > 0.98)), ("no_fade_out", (F.col("tail_ratio") > 0.85) & (F.col("first_half") > 0.003))))
+    ratio, cps = F.col("seconds") / F.greatest(F.lit(0.001), F.col("target_ms") / 1000), F.col("chars") / F.col("seconds")
+    held = (F.col("tail_ratio") > 0.85) & (F.col("tail_first") > 0.003)
+    reasons = flags(
+        ("low_rms", F.col("rms_db") < -45), ("clipping", (F.col("rms_db") > -3) | (F.col("peak") > 0.98)), ("duration_ratio", ~ratio.between(0.5, 2.0)),
+        ("chars_per_sec", ~cps.between(5, 25)), ("no_fade_out", held), ("abrupt_end", ~held & (F.col("last_peak") > 0.15)),
+    )
+    return features.withColumn("reasons", reasons)
 
 
 def staged_gate(clips: DataFrame, heavy) -> DataFrame:
@@ -120,6 +187,34 @@ def take_first(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
+def pick_candidate(cands: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The candidate to keep of each key: rows (by, profile, rank, preferred, duration_s, words, chars, similarity, coverage, filler).
+
+    Candidates too short for their text count only where all are. Where any has a similarity, the
+    order is by similarity, coverage, no filler, rank of the profile and nearness to the expected
+    duration; else the preferred profile, rank, nearness, the longer one. Ties by profile.
+    """
+    safe = F.greatest(F.lit(0.65), F.least(F.lit(8.0), F.greatest(F.col("words") / 5.0, F.col("chars") / 48.0)))
+    c = cands.withColumn("__safe", F.col("duration_s") >= safe).withColumn("__off", F.abs(F.col("duration_s") - F.greatest(safe, F.col("words") / 3.2, F.col("chars") / 34.0)))
+    whole = Window.partitionBy(*by)
+    c = c.withColumn("__any", F.max("__safe").over(whole)).where("__safe or not __any").withColumn("__scored", F.max(F.col("similarity").isNotNull()).over(whole))
+    c = c.where("similarity is not null or not __scored")
+    scored = lambda x: F.when(F.col("__scored"), x)
+    order = [
+        F.desc(scored(F.col("similarity"))), F.desc(scored(F.col("coverage"))), F.asc(scored(F.col("filler").cast("int"))), F.desc(F.when(~F.col("__scored"), F.col("preferred").cast("int"))),
+        F.desc("rank"), F.asc("__off"), F.desc(F.when(~F.col("__scored"), F.col("duration_s"))), F.asc("profile"),
+    ]
+    return pick_best(c, by, order).drop("__safe", "__off", "__any", "__scored")
+
+
+def rank_references(refs: DataFrame, by: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
+    """Of the ``k`` references (by, n_chars, hard_words, ok, coverage, extra) that look best by their text, the best by (ok, coverage - 0.25 extra)."""
+    penalty = 4 * F.col("hard_words") + F.floor(F.abs(F.col("n_chars") - 75) / 20)
+    few = take_first(refs.withColumn("penalty", penalty), by, [F.col("penalty"), *order], k)
+    few = few.withColumn("score", F.col("coverage") - 0.25 * F.col("extra"))
+    return pick_best(few, by, [F.desc(F.col("ok").cast("int")), F.desc("score"), *order])
+
+
 def latest(df: DataFrame, by: str, at: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(by).agg(F.max_by(value, F.struct(*at)).alias(value))
 
@@ -160,6 +255,51 @@ def lcs_coverage(expected: Column, actual: Column) -> Column:
     return F.when(F.size(expected) > 0, best / F.size(expected)).otherwise(0.0)
 
 
+def lcs_length(left: list[str], right: list[str]) -> int:
+    """Length of the longest common subsequence; a column of the table is one whole number's bits, so long texts are cheap."""
+    where: dict[str, int] = {}
+    for k, token in enumerate(left):
+        where[token] = where.get(token, 0) | 1 << k
+    open_, whole = (1 << len(left)) - 1, (1 << len(left)) - 1
+    for token in right:
+        hit = open_ & where.get(token, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & whole
+    return len(left) - open_.bit_count()
+
+
+def match_tokens(expected: Column, actual: Column) -> Column:
+    """struct(coverage, extra_prefix, first_token, ok) of token arrays of any length.
+
+    ``coverage`` is the longest common subsequence over the expected tokens, ``extra_prefix`` the
+    number of actual tokens before the first that is among the first three expected.
+    """
+
+    @F.pandas_udf("struct<coverage:double,extra_prefix:int,first_token:boolean>")
+    def run(e: pd.Series, a: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(e, a, strict=True):
+            x, y = list(x) if x is not None else [], list(y) if y is not None else []
+            near = set(x[:3])
+            prefix = next((k for k, token in enumerate(y) if token in near), len(y))
+            rows.append((lcs_length(x, y) / max(1, len(x)), prefix, bool(x and y and x[0] == y[0])))
+        return pd.DataFrame(rows, columns=["coverage", "extra_prefix", "first_token"])
+
+    got = run(expected, actual)
+    return F.struct(got["coverage"].alias("coverage"), got["extra_prefix"].alias("extra_prefix"), got["first_token"].alias("first_token"), ((got["coverage"] >= 0.92) & (got["extra_prefix"] <= 1)).alias("ok"))
+
+
+def unexplained_activity(activity: DataFrame, words: DataFrame, points: DataFrame, pad_ms: int = 40, least_ms: int = 75, rms: float = 0.006, peak: float = 0.08) -> DataFrame:
+    """What of the activity no padded word explains, if it lasts ``least_ms`` and its frames ``points(media_id, at_ms, rms, peak)`` are loud enough."""
+    from cuespark.operators.joins import points_in
+    from cuespark.operators.sequence import merge_intervals, subtract_intervals
+
+    padded = words.select("media_id", (F.col("start_ms") - pad_ms).alias("start_ms"), (F.col("end_ms") + pad_ms).alias("end_ms"))
+    rest = subtract_intervals(merge_intervals(activity).select("media_id", "start_ms", "end_ms"), padded).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    rest = rest.select("media_id", F.col("start_ms").alias("a_id"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    level = points_in(rest, points, -1).groupBy("media_id", "a_start", "a_end").agg(F.max("rms").alias("rms"), F.max("peak").alias("peak"))
+    return level.where((F.col("rms") >= rms) | (F.col("peak") >= peak)).select("media_id", F.col("a_start").alias("start_ms"), F.col("a_end").alias("end_ms"), "rms", "peak")
+
+
 def similarity_ratio(a: Column, b: Column) -> Column:
     """1 - edit distance over the longer length, in the JVM."""
     n = F.greatest(F.length(a), F.length(b))
@@ -187,10 +327,15 @@ def safe_rewrite(old: Column, new: Column, markers: Sequence[str] = ()) -> Colum
     )
 
 
-def retry_state(attempts: DataFrame) -> DataFrame:
-    """The ladder's step after each job's failures: 1 punctuation, 2 speed, 3 alone, then degraded."""
-    n = attempts.groupBy("job").agg(count_if(F.col("failed")).alias("failures"))
-    return n.withColumn("step", F.when(F.col("failures") == 0, "done").when(F.col("failures") == 1, "punctuation").when(F.col("failures") == 2, "speed").when(F.col("failures") == 3, "alone").otherwise("degraded"))
+def retry_state(attempts: DataFrame, order: Sequence[str] = ("ts_ms", "event_id"), most: int = 4) -> DataFrame:
+    """The ladder's step after each job's failures: 1 punctuation, 2 speed, 3 alone, then degraded.
+
+    Where the last failure is of the ``tail``, the clip is padded and done alone until it has failed ``most`` times.
+    """
+    n = attempts.groupBy("job").agg(count_if(F.col("failed")).alias("failures"), F.max_by(F.when(F.col("failed"), F.col("tail")), F.when(F.col("failed"), F.struct(*order))).alias("tail"))
+    on_tail = F.coalesce("tail", F.lit(False))
+    n = n.withColumn("on_tail", on_tail).drop("tail")
+    return n.withColumn("step", F.when(F.col("failures") == 0, "done").when(F.col("on_tail"), F.when(F.col("failures") < most, "pad_tail_alone").otherwise("degraded")).when(F.col("failures") == 1, "punctuation").when(F.col("failures") == 2, "speed").when(F.col("failures") == 3, "alone").otherwise("degraded"))
 
 
 def retry_schedule(attempts: DataFrame, give_up: int = 14) -> DataFrame:
@@ -205,14 +350,16 @@ def retry_schedule(attempts: DataFrame, give_up: int = 14) -> DataFrame:
     return f.withColumn("delay_s", F.when(n > give_up, None).otherwise(delay).cast("long"))
 
 
-def worker_state(attempts: DataFrame, cooling_ms: int = 1_800_000) -> DataFrame:
-    """Before each attempt: is the worker cooling after a failure, and its balance of recent errors (never below 0)?"""
+def worker_state(attempts: DataFrame, cooling_ms: int = 1_800_000, auth: Column | None = None, alarm: int = 20) -> DataFrame:
+    """Before each attempt: is the worker cooling after a failed log-in (``auth``)? After it: its balance of recent errors, never below 0, and whether that calls for an alarm."""
+    auth = auth if auth is not None else F.col("status").isin(401, 403)
     w = Window.partitionBy("job").orderBy("ts_ms", "event_id")
-    last = F.max(F.when(F.col("failed"), F.col("ts_ms"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max(F.when(auth, F.col("ts_ms"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     move = F.when(F.col("failed"), 1).otherwise(-1)
     a = attempts.withColumn("cooling", F.coalesce(F.col("ts_ms") - last < cooling_ms, F.lit(False))).withColumn("sum", F.sum(move).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     floor = F.least(F.lit(0), F.min("sum").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return a.withColumn("errors", (F.col("sum") - floor).cast("long")).drop("sum")
+    a = a.withColumn("errors", (F.col("sum") - floor).cast("long")).drop("sum")
+    return a.withColumn("alarm", F.col("failed") & (F.col("errors") > 0) & (F.col("errors") % alarm == 0))
 
 
 def progress_status(lines: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", tx.safe_title(F.col("url"), 40).alias("title"))
 
 
-@query("txt18_natural_key", r"SELECT p_partkey, 'brand#' || lpad(regexp_extract(p_brand, '(\d+)', 1), 12, '0') AS key FROM part")
+@query("txt18_natural_key", r"SELECT p_partkey, 'brand#' || lpad(length(n)::VARCHAR, 4, '0') || n AS key FROM (SELECT p_partkey, ltrim(regexp_extract(p_brand, '(\d+)', 1), '0') AS n FROM part)")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.natural_key(F.col("p_brand")).alias("key"))
 
@@ -190,20 +190,45 @@ def _(spark, d):
     return lines(spark, d).select("media_id", "line_no", tx.bad_text(F.col("text")).alias("bad"))
 
 
-_LADDER = r"""CASE WHEN length(text) < 25 THEN 'too_few_chars' WHEN length(text) > 180 THEN 'too_many_chars' WHEN NOT regexp_matches(text, '[.!?]$') THEN 'no_tail_mark'
-  WHEN regexp_matches(text, '[#$%&*@|]') THEN 'bad_token' WHEN len(regexp_extract_all(text, '[.!?]')) > 2 THEN 'many_sentences' WHEN len(regexp_extract_all(text, ',')) > 3 THEN 'many_commas'
-  WHEN len(regexp_extract_all(text, '[0-9]')) > length(text) * 0.15 THEN 'digits' END"""
+_MATCHES = "regexp_matches(text, '{0}')"
+_FILLED = {k: f"(?i)(^|\\s)({v})(\\s|,|\\.|!|\\?|$)" for k, v in tx.FILLERS.items()}
+_LEADS = {k: rf"(?i)^\s*({v})([^\p{{L}}\p{{N}}_]|$)" for k, v in tx.EXPRESSIONS.items()}
+_LINKS = r"https?://|www\.|@|#"
+_MANY = "len(regexp_extract_all(text, '{0}'))"
+_LADDER = f"""CASE WHEN length(text) * 0.06 < 1 THEN 'too_short_duration' WHEN length(text) * 0.06 > 12 THEN 'too_long_duration' WHEN length(text) < 25 THEN 'too_short_text' WHEN length(text) > 180 THEN 'too_long_text'
+  WHEN NOT {_MATCHES.format('[.!?…]$')} THEN 'no_tail_punct' WHEN {_MATCHES.format(_FILLED['sentence'])} THEN 'filler' WHEN {_MATCHES.format(_LEADS['sentence'])} THEN 'leading_expression' WHEN {_MATCHES.format(_LINKS)} THEN 'bad_token'
+  WHEN {_MANY.format('[.?!]')} > 2 THEN 'too_many_sentences' WHEN {_MANY.format(',')} > 3 THEN 'too_many_commas' WHEN {_MANY.format('[0-9]')} / greatest(1, length(text)) > 0.15 THEN 'too_many_digits' END"""
+_CLEAN = f"""CASE WHEN length(text) < 25 THEN 'too_short' WHEN length(text) > 180 THEN 'too_long' WHEN {_MATCHES.format(_FILLED['clean'])} THEN 'filler' WHEN {_MATCHES.format(_LEADS['clean'])} THEN 'leading_expression' WHEN {_MATCHES.format(_LINKS)} THEN 'bad_token'
+  WHEN {_MATCHES.format(tx.ODD_MARKS)} THEN 'odd_punct' WHEN {_MANY.format('[0-9]')} / greatest(1, length(text)) > 0.18 THEN 'too_many_digits' WHEN {_MANY.format('[,.?!]')} > 6 THEN 'too_many_clauses' WHEN NOT {_MATCHES.format('[.!?…]$')} THEN 'no_tail_punct' END"""
+
+
+def _reason(profile: str = "sentence"):
+    return tx.reject_reason(F.col("text"), F.length("text") * 0.06, profile, bad_token=_LINKS)
 
 
 @query("txt27_reject_reason", f"SELECT media_id, line_no, {_LADDER} AS reason FROM lines", LINES)
 def _(spark, d):
-    return lines(spark, d).select("media_id", "line_no", tx.sentence_reject(F.col("text")).alias("reason"))
+    return lines(spark, d).select("media_id", "line_no", _reason().alias("reason"))
+
+
+@query("txt27_reject_clean", f"SELECT media_id, line_no, {_CLEAN} AS reason FROM lines", LINES)
+def _(spark, d):
+    return lines(spark, d).select("media_id", "line_no", _reason("clean").alias("reason"))
+
+
+_LAST_WORD = r"lower(regexp_extract(text, '([\p{L}\p{N}]+)[^\p{L}\p{N}]*$', 1))"
+
+
+@query("txt22_tail_pad", f"SELECT media_id, line_no, CASE {_LAST_WORD} WHEN 'the' THEN 120 WHEN 'and' THEN 80 WHEN 'und' THEN 60 ELSE 20 END::BIGINT AS pad_ms FROM lines", LINES)
+def _(spark, d):
+    return lines(spark, d).select("media_id", "line_no", tx.tail_pad(F.col("text"), {"the": 120, "and": 80, "und": 60}, 20).cast("long").alias("pad_ms"))
 
 
-@query("txt28_candidate_profiles", "SELECT media_id, cue_no, unnest(CASE WHEN length(text) <= 40 THEN ['short', 'calm'] ELSE ['long'] END) AS profile FROM cues", CUES)
+@query("txt28_candidate_profiles", f"""SELECT media_id, cue_no, k - 1 AS place, p[k] AS profile FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM (SELECT media_id, cue_no, CASE WHEN {_LAST_WORD} IN ('the', 'and') THEN ['tail005', 'base_notail', 'tail000']
+  WHEN len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')) >= 10 THEN ['base_notail', 'long_notail', 'tail005'] ELSE ['base_notail', 'tail000', 'tail005'] END AS p FROM cues))""", CUES)
 def _(spark, d):
-    short = F.array(F.lit("short"), F.lit("calm"))
-    return cues(spark, d).select("media_id", "cue_no", F.explode(F.when(F.length("text") <= 40, short).otherwise(F.array(F.lit("long")))).alias("profile"))
+    names = tx.candidate_profiles(F.col("text"), [(["the", "and"], ["tail005", "base_notail", "tail000", "tail005"])], 10, ["base_notail", "long_notail", "tail005"], ["base_notail", "tail000", "tail005"])
+    return cues(spark, d).select("media_id", "cue_no", F.posexplode(names).alias("place", "profile")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("txt29_attempt_params", "SELECT p_partkey, a AS attempt, round(least(greatest(p_size / 100.0 + a * 0.04, 0.25), 0.72), 6) AS temperature, least(greatest(p_size + a * 3, 8), 45)::BIGINT AS top_k FROM part, range(4) r(a)")
@@ -421,13 +446,13 @@ def _sides(spark, d):
     c = cues(spark, d)
     a = c.select("media_id", F.col("cue_no").alias("a_id"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"), tx.compact_key(F.col("text")).alias("a_key"))
     shift = (F.col("cue_no") % 3) * 200
-    b = c.where("cue_no % 7 <> 0").select("media_id", F.col("cue_no").alias("b_id"), (F.col("start_ms") + shift).alias("b_start"), (F.col("end_ms") + shift).alias("b_end"), tx.compact_key(F.col("text")).alias("b_key"), "speaker")
+    b = c.where("length(text) > 12").select("media_id", F.col("cue_no").alias("b_id"), (F.col("start_ms") + shift).alias("b_start"), (F.col("end_ms") + shift).alias("b_end"), tx.compact_key(F.col("text")).alias("b_key"), "speaker")
     return a, b
 
 
 _KEY = r"""lower(regexp_replace(text, '[\s,.!?;:"''“”‘’…()\-]+', '', 'g'))"""
 _A = f"a AS (SELECT media_id, cue_no AS a_id, start_ms AS a_start, end_ms AS a_end, {_KEY} AS a_key FROM cues)"
-_B = f"b AS (SELECT media_id, cue_no AS b_id, start_ms + cue_no % 3 * 200 AS b_start, end_ms + cue_no % 3 * 200 AS b_end, {_KEY} AS b_key, speaker FROM cues WHERE cue_no % 7 <> 0)"
+_B = f"b AS (SELECT media_id, cue_no AS b_id, start_ms + cue_no % 3 * 200 AS b_start, end_ms + cue_no % 3 * 200 AS b_end, {_KEY} AS b_key, speaker FROM cues WHERE length(text) > 12)"
 _LAP = "greatest(0, least(a_end, b_end) - greatest(a_start, b_start))"
 _NEAR = "least(length(a_key), length(b_key)) >= 5 AND least(length(a_key), length(b_key)) >= 0.55 * greatest(length(a_key), length(b_key)) AND (contains(a_key, b_key) OR contains(b_key, a_key))"
 _RATIO = f"{_LAP} / greatest(1, least(a_end - a_start, b_end - b_start))"
@@ -450,18 +475,40 @@ def _(spark, d):
     return jo.near_duplicate(*_sides(spark, d)).select("media_id", "a_id", "b_id")
 
 
-@query("jon4_reconcile", f"""SELECT media_id, a_id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE a.media_id = b.media_id AND a_start < b_end AND b_start < a_end AND {_RATIO} >= 0.55) THEN 'covered'
-  WHEN EXISTS (SELECT 1 FROM b WHERE a.media_id = b.media_id AND a_start - 2600 < b_end AND b_start < a_end + 2600 AND (a_key = b_key OR ({_NEAR}))) THEN 'near_duplicate' ELSE 'candidate' END AS class FROM a""", CUES, _A, _B)
-def _(spark, d):
+_ALIKE = "1 - levenshtein(a_key, b_key) / greatest(1, length(a_key), length(b_key))"
+_CLASS = f"""SELECT media_id, a_id, CASE WHEN best < 0.38 AND length(a_key) >= 8 THEN 'suspicious' WHEN best IS NOT NULL THEN 'covered' WHEN near THEN 'near_duplicate' WHEN speaker <> 'user' AND length(a_key) >= 2 AND a_end - a_start BETWEEN 200 AND 12000 THEN 'candidate' ELSE 'report_only' END AS class, a_start, a_end, a_key
+  FROM (SELECT a.*, c.speaker, (SELECT max({_ALIKE}) FROM b WHERE a.media_id = b.media_id AND a_start < b_end AND b_start < a_end AND {_RATIO} >= 0.55) AS best,
+  EXISTS (SELECT 1 FROM b WHERE a.media_id = b.media_id AND a_start - 2600 < b_end AND b_start < a_end + 2600 AND (a_key = b_key OR ({_NEAR}))) AS near FROM a JOIN cues c ON c.media_id = a.media_id AND c.cue_no = a_id)"""
+
+
+def _sources(spark, d):
     a, b = _sides(spark, d)
+    who = cues(spark, d).select("media_id", F.col("cue_no").alias("a_id"), (F.col("speaker") != "user").alias("trusted"))
+    return a.join(who, ["media_id", "a_id"]).withColumn("source", F.lit("s")), b
+
+
+@query("jon4_reconcile", f"SELECT media_id, a_id, class FROM ({_CLASS})", CUES, _A, _B)
+def _(spark, d):
+    a, b = _sources(spark, d)
     return jo.reconcile(b, a).select("media_id", "a_id", "class")
 
 
-@query("jon5_assign_labels", f"""SELECT media_id, a_id, speaker AS label FROM (SELECT *, row_number() OVER (PARTITION BY media_id, a_id ORDER BY ms DESC, speaker) AS r FROM (SELECT a.media_id, a_id, speaker, sum({_LAP}) AS ms
-  FROM a JOIN b ON a.media_id = b.media_id AND a_start < b_end AND b_start < a_end GROUP BY ALL)) WHERE r = 1""", CUES, _A, _B)
+@query("jon4_insert", f"""SELECT media_id, a_id, CASE WHEN class <> 'candidate' THEN class WHEN EXISTS (SELECT 1 FROM (SELECT media_id AS m, a_id AS b_id, a_start AS b_start, a_end AS b_end, a_key AS b_key FROM k WHERE class = 'candidate') o WHERE o.m = k.media_id
+  AND a_start - 2600 < b_end AND b_start < a_end + 2600 AND (b_start < a_start OR b_start = a_start AND b_id < a_id) AND (a_key = b_key OR ({_NEAR}))) THEN 'near_duplicate' ELSE 'inserted' END AS class FROM k""", CUES, _A, _B, f"k AS ({_CLASS})")
+def _(spark, d):
+    a, b = _sources(spark, d)
+    return jo.insert_candidates(b, a, ["s"])[1].select("media_id", "a_id", "class")
+
+
+@query("jon5_assign_labels", f"""SELECT media_id, a_id, CASE WHEN regexp_matches(label, '_\d+$') THEN 'Speaker ' || (regexp_extract(label, '_(\d+)$', 1)::BIGINT + 1) ELSE label END AS label FROM (SELECT s.media_id, s.a_id, coalesce(o.label, m.label) AS label FROM sg s
+  LEFT JOIN (SELECT media_id, a_id, label FROM (SELECT *, row_number() OVER (PARTITION BY media_id, a_id ORDER BY ms DESC, label) AS r FROM (SELECT a.media_id, a_id, label, sum({_LAP}) AS ms FROM sg a JOIN tn t ON a.media_id = t.media_id AND a_start < b_end AND b_start < a_end GROUP BY ALL HAVING sum({_LAP}) > 0)) WHERE r = 1) o ON o.media_id = s.media_id AND o.a_id = s.a_id
+  LEFT JOIN (SELECT s.media_id, a_id, min(label) AS label FROM sg s JOIN tn t ON s.media_id = t.media_id AND b_start <= (a_start + a_end) // 2 AND b_end > (a_start + a_end) // 2 GROUP BY ALL) m ON m.media_id = s.media_id AND m.a_id = s.a_id)""", CUES, _A, _B,
+  "sg AS (SELECT media_id, a_id, a_start, CASE WHEN length(a_key) < 30 THEN a_start ELSE a_end END AS a_end FROM a)", "tn AS (SELECT media_id, b_start, b_end, CASE WHEN speaker = 'user' THEN 'SPEAKER_00' ELSE speaker END AS label FROM b)")
 def _(spark, d):
     a, b = _sides(spark, d)
-    return jo.assign_labels(a, b.withColumnRenamed("speaker", "label")).where("label is not null").select("media_id", "a_id", "label")
+    a = a.withColumn("a_end", F.when(F.length("a_key") < 30, F.col("a_start")).otherwise(F.col("a_end")))
+    turns = b.withColumn("label", F.when(F.col("speaker") == "user", "SPEAKER_00").otherwise(F.col("speaker"))).drop("speaker")
+    return jo.assign_labels(a, turns).select("media_id", "a_id", jo.speaker_name(F.col("label")).alias("label"))
 
 
 @query("jon7_points_in", "SELECT a.media_id, a_id, b_start AS at_ms FROM a JOIN (SELECT DISTINCT media_id, b_start FROM b) p ON a.media_id = p.media_id AND b_start > a_start + 300 AND b_start < a_end - 300", CUES, _A, _B)
@@ -470,11 +517,12 @@ def _(spark, d):
     return jo.points_in(a, b.select("media_id", F.col("b_start").alias("at_ms")).distinct(), 300).select("media_id", "a_id", "at_ms")
 
 
-@query("jon8_cache_lookup", "SELECT media_id, line_no, EXISTS (SELECT 1 FROM lines c WHERE c.text = lines.text AND c.media_id % 2 = 0 AND length(c.text) > 40) AS hit FROM lines", LINES)
+@query("jon8_cache_lookup", """SELECT media_id, line_no, tier IS NOT NULL AS hit, tier FROM lines LEFT JOIN (SELECT text AS t, lang AS v, min(CASE WHEN length(text) < 90 THEN 'a' ELSE 'b' END) AS tier FROM lines WHERE length(text) > 40 AND NOT contains(text, '@') AND line_no > 0 GROUP BY ALL) ON t = text AND v = lang""", LINES)
 def _(spark, d):
     x = lines(spark, d).withColumn("fingerprint", tx.fingerprint(F.col("text")))
-    cache = x.where("media_id % 2 = 0").select("fingerprint", F.length("text").alias("size"))
-    return jo.cache_lookup(x, cache, 40).select("media_id", "line_no", "hit")
+    n = F.length("text")
+    cache = x.where("line_no > 0").select("fingerprint", F.when(n < 90, "a").otherwise("b").alias("tier"), n.alias("size"), F.col("lang").alias("version"), (n * 60).alias("duration_ms"), F.col("text").contains("@").alias("failed"))
+    return jo.cache_lookup(x, cache, 40, F.col("lang")).select("media_id", "line_no", "hit", "tier")
 
 
 @query("jon9_pending", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
@@ -505,12 +553,12 @@ def _(spark, d):
     return jo.refresh_manifest(p, new, F.col("url").contains("?"))
 
 
-@query("jon13_merge_prefer", """SELECT coalesce(f.url, r.url) AS url, CASE WHEN f.pos IS NULL THEN 1 ELSE 0 END AS side, coalesce(f.pos, r.pos) AS pos, coalesce(r.size, f.size) AS size FROM (SELECT url, min(page_id) AS pos, min(length(html)) AS size FROM pages WHERE page_id % 3 <> 0 GROUP BY url) f
-  FULL JOIN (SELECT url, min(page_id) AS pos, max(length(html)) AS size FROM pages WHERE page_id % 2 = 0 GROUP BY url) r ON f.url = r.url""")
+@query("jon13_merge_prefer", """SELECT coalesce(f.url, r.url) AS url, CASE WHEN f.pos IS NULL THEN 1 ELSE 0 END AS side, coalesce(f.pos, r.pos) AS pos, coalesce(r.size, f.size) AS size FROM (SELECT url, min(page_id) AS pos, min(length(html)) AS size FROM pages WHERE length(html) < 2600 OR contains(url, '?') GROUP BY url) f
+  FULL JOIN (SELECT url, min(page_id) AS pos, max(length(html)) AS size FROM pages WHERE length(html) >= 2000 GROUP BY url) r ON f.url = r.url""")
 def _(spark, d):
     p = table(spark, d, "pages").withColumn("n", F.length("html").cast("long"))
     side = lambda x, f: x.groupBy("url").agg(F.min("page_id").alias("pos"), f("n").alias("size"))
-    return jo.merge_prefer(side(p.where("page_id % 3 <> 0"), F.min), side(p.where("page_id % 2 = 0"), F.max), ["size"])
+    return jo.merge_prefer(side(p.where("n < 2600 or contains(url, '?')"), F.min), side(p.where("n >= 2000"), F.max), ["size"])
 
 
 @query("jon14_keep_only", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
@@ -522,17 +570,28 @@ def _(spark, d):
 # --- aggregates, ranking, gates ----------------------------------------------------------
 
 
-@query("agg1_run_report", "SELECT count(*) AS total, count_if(status = 200)::BIGINT AS ok, count_if(failed)::BIGINT AS failed, count_if(status = 429)::BIGINT AS limited, round(count_if(status = 200) / count(*), 4) AS ok_share FROM attempts", ATTEMPTS)
+_TRIED = "tried AS (SELECT *, score < 10 AS hit, message = 'click' AS tail, score > 30 AS degraded, row_number() OVER (PARTITION BY job ORDER BY ts_ms, event_id) AS attempt FROM attempts)"
+
+
+def _tried(spark, d):
+    n = F.row_number().over(Window.partitionBy("job").orderBy("ts_ms", "event_id"))
+    return attempts(spark, d).select("*", (F.col("score") < 10).alias("hit"), (F.col("message") == "click").alias("tail"), (F.col("score") > 30).alias("degraded"), n.alias("attempt"), (F.floor("score") + 1).alias("seconds"))
+
+
+@query("agg1_run_report", """SELECT count(*) AS total, count_if(status = 200)::BIGINT AS ok, count_if(failed)::BIGINT AS failed, count_if(status = 429)::BIGINT AS limited, round(count_if(status = 200) / count(*), 4) AS ok_share, count_if(hit)::BIGINT AS hits, round(count_if(hit) / count(*), 4) AS hit_rate,
+  count_if(attempt > 1)::BIGINT AS retried, count_if(tail AND attempt > 1)::BIGINT AS tail_retries, count_if(degraded)::BIGINT AS degraded, round(count(*) / sum(floor(score) + 1), 3) AS per_second FROM tried""", ATTEMPTS, _TRIED)
 def _(spark, d):
-    return st.run_report(attempts(spark, d))
+    return st.run_report(_tried(spark, d))
 
 
-_TRACK = """SELECT media_id, count(*) AS cues, sum(length(text))::BIGINT AS chars, count_if(end_ms - start_ms > 15000)::BIGINT AS over_15s, count_if(length(text) > 90)::BIGINT AS over_90_chars, round(avg(end_ms - start_ms), 3) AS avg_ms, max(end_ms) AS last_ms FROM cues GROUP BY media_id"""
+_TRACK = """SELECT media_id, count(*) AS cues, sum(length(text))::BIGINT AS chars, count_if(end_ms - start_ms > 15000)::BIGINT AS over_15s, count_if(length(text) > 90)::BIGINT AS over_90_chars, round(avg(end_ms - start_ms), 3) AS avg_ms, max(end_ms) AS last_ms,
+  round(coalesce(sum(len(regexp_extract_all(text, '[\\x{3400}-\\x{9fff}]'))) / nullif(sum(length(regexp_replace(text, '\\s', '', 'g'))), 0), 0), 4) AS cjk_share, count_if(contains(lower(text), 'as an'))::BIGINT AS leaks, count_if(contains(lower(text), 'in short'))::BIGINT AS summary_like FROM cues GROUP BY media_id"""
+_MARKED = {"leaks": ["as an"], "summaries": ["in short"]}
 
 
 @query("agg2_track_stats", _TRACK, CUES)
 def _(spark, d):
-    return st.track_stats(cues(spark, d))
+    return st.track_stats(cues(spark, d), **_MARKED)
 
 
 @query("agg3_choose_source", """SELECT media_id, CASE WHEN a = 0 THEN 'none' WHEN a < t THEN 'sparse' ELSE 'ok' END AS reason, CASE WHEN a < t AND b > a THEN 'b' ELSE 'a' END AS source FROM (SELECT *, greatest(5, CASE WHEN b >= 20 THEN b * 0.25 ELSE 0 END) AS t FROM (
@@ -549,7 +608,7 @@ def _(spark, d):
 
 @query("agg5_rejection_summary", f"SELECT lang, coalesce({_LADDER}, 'accepted') AS reason, count(*) AS n FROM lines GROUP BY ALL", LINES)
 def _(spark, d):
-    return st.rejection_summary(lines(spark, d).withColumn("reason", tx.sentence_reject(F.col("text"))), ["lang"])
+    return st.rejection_summary(lines(spark, d).withColumn("reason", _reason()), ["lang"])
 
 
 @query("agg6_dataset_summary", "SELECT count(*) AS n, sum(duration_ms)::BIGINT AS ms, round(sum(duration_ms) / 3600000, 4) AS hours, count(*) >= 500 AS enough FROM cues", CUES)
@@ -559,7 +618,7 @@ def _(spark, d):
 
 @query("agg7_compare_engines", "SELECT speaker AS media_id, " + _TRACK.split("media_id, ", 1)[1].replace("GROUP BY media_id", "GROUP BY speaker"), CUES)
 def _(spark, d):
-    return st.track_stats(cues(spark, d), ["speaker"]).withColumnRenamed("speaker", "media_id")
+    return st.track_stats(cues(spark, d), ["speaker"], **_MARKED).withColumnRenamed("speaker", "media_id")
 
 
 @query("agg8_benchmark_packs", "SELECT lang AS voice, round(avg(quality), 6) AS mean, count_if(quality < 0.82)::BIGINT AS fails, min(quality)::DOUBLE AS worst FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -595,21 +654,34 @@ def _(spark, d):
     return st.qa_report(intervals(spark, d), 20, ["start_ms", "event_id"])
 
 
-@query("agg17_signal_features", """SELECT vec_id, round(list_max(list_transform(e, lambda x: abs(x))), 5) AS peak, round(sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)), 5) AS rms,
-  round(list_sum(list_transform(e[57:64], lambda x: x * x)) / list_sum(list_transform(e[49:56], lambda x: x * x)), 4) AS tail_ratio FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+_SOUND = """sound AS (SELECT *, CASE WHEN len(loud) > 0 THEN e[greatest(1, loud[1] - 2):least(len(e), loud[-1] + 1)] ELSE e END AS a, e[-30:] AS t FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, list_filter(range(1, len(embedding) + 1), lambda i: abs(embedding[i]::DOUBLE) > 0.05) AS loud FROM embeddings)),
+feats AS (SELECT *, list_max(list_transform(a, lambda x: abs(x))) AS peak, sqrt(list_sum(list_transform(a, lambda x: x * x)) / len(a)) AS rms, len(e) / 200 AS seconds, list_sum(list_transform(t[1:15], lambda x: abs(x))) / 15 AS f1, list_sum(list_transform(t[16:30], lambda x: abs(x))) / 15 AS f2, list_max(list_transform(e[-4:], lambda x: abs(x))) AS last_peak FROM sound)"""
+
+
+def _features(spark, d):
+    clips = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("samples"))
+    return st.signal_features(clips, rate=200, loud=0.05, pad=2)
+
+
+@query("agg17_signal_features", "SELECT vec_id, round(peak, 5) AS peak, round(rms, 5) AS rms, round(seconds, 5) AS seconds, round(f1, 5) AS tail_first, round(f2 / (f1 + 1e-9), 4) AS tail_ratio, round(last_peak, 5) AS last_peak FROM feats", _SOUND)
 def _(spark, d):
-    f = st.signal_features(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("samples")))
-    return f.select("vec_id", F.round("peak", 5).alias("peak"), F.round("rms", 5).alias("rms"), F.round("tail_ratio", 4).alias("tail_ratio"))
+    return _features(spark, d).select("vec_id", *[F.round(c, 4 if c == "tail_ratio" else 5).alias(c) for c in ("peak", "rms", "seconds", "tail_first", "tail_ratio", "last_peak")])
 
 
-@query("rnk1_pick_candidate", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, abs(p_size - 25), p_partkey) AS r FROM part) WHERE r = 1")
+@query("rnk1_pick_candidate", """SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN scored THEN sim END DESC NULLS LAST, CASE WHEN scored THEN cov END DESC NULLS LAST, CASE WHEN scored THEN filler::INT END, CASE WHEN NOT scored THEN pref::INT END DESC NULLS LAST, rank DESC, off, CASE WHEN NOT scored THEN dur END DESC NULLS LAST, p_partkey) AS r
+  FROM (SELECT *, bool_or(sim IS NOT NULL) OVER (PARTITION BY p_brand) AS scored FROM (SELECT *, bool_or(safe) OVER (PARTITION BY p_brand) AS any_safe FROM (SELECT *, dur >= low AS safe, abs(dur - greatest(low, words / 3.2, chars / 34.0)) AS off FROM (SELECT *, greatest(0.65, least(8.0, greatest(words / 5.0, chars / 48.0))) AS low FROM (
+  SELECT p_brand, p_partkey, p_size / 10.0 AS dur, length(p_name) AS chars, length(p_name) // 4 AS words, CASE WHEN p_size > 30 THEN floor(p_retailprice / 100) END AS sim, p_size % 3 AS cov, p_size % 2 = 0 AS filler, p_size % 7 AS rank, p_size % 5 = 0 AS pref FROM part))))
+  WHERE safe OR NOT any_safe) WHERE sim IS NOT NULL OR NOT scored) WHERE r = 1""")
 def _(spark, d):
-    return st.pick_best(table(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), F.abs(F.col("p_size") - 25), F.col("p_partkey")]).select("p_brand", "p_partkey")
+    c = table(spark, d, "part").selectExpr("p_brand", "p_partkey as profile", "p_size / 10.0D as duration_s", "length(p_name) as chars", "floor(length(p_name) / 4) as words", "case when p_size > 30 then floor(p_retailprice / 100) end as similarity", "p_size % 3 as coverage", "p_size % 2 = 0 as filler", "p_size % 7 as rank", "p_size % 5 = 0 as preferred")
+    return st.pick_candidate(c, ["p_brand"]).select("p_brand", F.col("profile").alias("p_partkey"))
 
 
-@query("rnk2_rank_references", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY abs(length(p_name) - 10) // 2, p_partkey) AS r FROM part) WHERE r <= 3")
+@query("rnk2_rank_references", """SELECT p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY ok DESC, cov - 0.25 * extra DESC, p_partkey) AS r FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY penalty, p_partkey) AS k FROM (
+  SELECT p_type, p_partkey, 4 * (p_size % 3) + floor(abs(length(p_name) * 5 - 75) / 20) AS penalty, p_size > 20 AS ok, p_size / 50.0 AS cov, p_size % 4 AS extra FROM part)) WHERE k <= 3) WHERE r = 1""")
 def _(spark, d):
-    return st.take_first(table(spark, d, "part"), ["p_brand"], [F.floor(F.abs(F.length("p_name") - 10) / 2), F.col("p_partkey")], 3).select("p_brand", "p_partkey")
+    refs = table(spark, d, "part").selectExpr("p_type", "p_partkey", "length(p_name) * 5 as n_chars", "p_size % 3 as hard_words", "p_size > 20 as ok", "p_size / 50.0D as coverage", "p_size % 4 as extra")
+    return st.rank_references(refs, ["p_type"], 3, [F.col("p_partkey")]).select("p_type", "p_partkey")
 
 
 @query("rnk4_dedupe_first", "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
@@ -655,10 +727,10 @@ def _(spark, d):
     return lines(spark, d).where(F.col("text").rlike(r"^\[\d+\]") | tx.has_marker(F.col("text"), ["license"]) | tx.has_cjk(F.col("text"))).select("media_id", "line_no")
 
 
-@query("set1_union_sources", """SELECT media_id, source, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, source, old) AS cue_no, old FROM (SELECT media_id, 'a' AS source, start_ms, cue_no AS old FROM cues UNION ALL SELECT media_id, 'b', start_ms + 100, cue_no FROM cues WHERE cue_no % 2 = 0)""", CUES)
+@query("set1_union_sources", """SELECT media_id, source, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, source, old) AS cue_no, old FROM (SELECT media_id, 'a' AS source, start_ms, cue_no AS old FROM cues UNION ALL SELECT media_id, 'b', start_ms + 100, cue_no FROM cues WHERE speaker <> 'user')""", CUES)
 def _(spark, d):
     c = cues(spark, d).withColumn("old", F.col("cue_no"))
-    return st.union_sources([("a", c), ("b", c.where("cue_no % 2 = 0").withColumn("start_ms", F.col("start_ms") + 100))], ["start_ms", "source", "old"]).select("media_id", "source", "cue_no", "old")
+    return st.union_sources([("a", c), ("b", c.where("speaker <> 'user'").withColumn("start_ms", F.col("start_ms") + 100))], ["start_ms", "source", "old"]).select("media_id", "source", "cue_no", "old")
 
 
 @query("set2_missing_keys", "SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -666,9 +738,10 @@ def _(spark, d):
     return st.missing_keys(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("str1_retry_state", "SELECT job, f AS failures, CASE f WHEN 0 THEN 'done' WHEN 1 THEN 'punctuation' WHEN 2 THEN 'speed' WHEN 3 THEN 'alone' ELSE 'degraded' END AS step FROM (SELECT job, count_if(failed)::BIGINT AS f FROM attempts GROUP BY job)", ATTEMPTS)
+@query("str1_retry_state", """SELECT job, failures, on_tail, CASE WHEN failures = 0 THEN 'done' WHEN on_tail THEN CASE WHEN failures < 4 THEN 'pad_tail_alone' ELSE 'degraded' END ELSE CASE failures WHEN 1 THEN 'punctuation' WHEN 2 THEN 'speed' WHEN 3 THEN 'alone' ELSE 'degraded' END END AS step FROM (
+  SELECT job, count_if(failed)::BIGINT AS failures, coalesce(arg_max(score > 20, {'t': ts_ms, 'e': event_id}) FILTER (failed), false) AS on_tail FROM attempts GROUP BY job)""", ATTEMPTS)
 def _(spark, d):
-    return st.retry_state(attempts(spark, d))
+    return st.retry_state(attempts(spark, d).withColumn("tail", F.col("score") > 20))
 
 
 @query("str2_retry_schedule", """SELECT event_id, n, CASE WHEN n > 14 THEN -1 WHEN class = 'rate_limit' THEN least(90 + 45 * n, 900) ELSE least(45 + 20 * n, 360) END AS delay_s FROM (SELECT *, row_number() OVER (PARTITION BY job, class ORDER BY ts_ms, event_id) AS n FROM (
@@ -677,10 +750,12 @@ def _(spark, d):
     return st.retry_schedule(attempts(spark, d)).select("event_id", F.col("n").cast("long").alias("n"), F.coalesce("delay_s", F.lit(-1)).alias("delay_s"))
 
 
-@query("str3_worker_state", """SELECT event_id, coalesce(ts_ms - max(CASE WHEN failed THEN ts_ms END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1800000, false) AS cooling, (s - least(0, min(s) OVER (w ROWS UNBOUNDED PRECEDING)))::BIGINT AS errors FROM (
+@query("str3_worker_state", """SELECT event_id, coalesce(ts_ms - max(CASE WHEN status = 429 THEN ts_ms END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 1800000000, false) AS cooling, (s - least(0, min(s) OVER (w ROWS UNBOUNDED PRECEDING)))::BIGINT AS errors, failed AND s - least(0, min(s) OVER (w ROWS UNBOUNDED PRECEDING)) = 2 AS alarm FROM (
   SELECT *, sum(CASE WHEN failed THEN 1 ELSE -1 END) OVER (PARTITION BY job ORDER BY ts_ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM attempts) WINDOW w AS (PARTITION BY job ORDER BY ts_ms, event_id)""", ATTEMPTS)
 def _(spark, d):
-    return st.worker_state(attempts(spark, d)).select("event_id", "cooling", "errors")
+    # statuses of the given events have no failed log-in, so another stands in for it
+    out = st.worker_state(attempts(spark, d), 1_800_000_000, F.col("status") == 429, 2)
+    return out.select("event_id", "cooling", "errors", (F.col("alarm") & (F.col("errors") == 2)).alias("alarm"))
 
 
 @query("str4_progress_status", "SELECT job, least(arg_max(score, event_id) * 3, 100.0) AS pct, arg_max(message, event_id) AS message FROM attempts GROUP BY job", ATTEMPTS)
@@ -929,14 +1004,15 @@ def _(spark, d):
 def _(spark, d):
     w = Window.partitionBy("media_id").orderBy("cue_no")
     c = cues(spark, d).withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
-    pair = c.select("media_id", "cue_no", F.slice(tx.compare_tokens(F.col("text")), 1, 24).alias("e"), F.slice(tx.compare_tokens(F.col("nxt")), 1, 24).alias("a"))
-    return pair.select("media_id", "cue_no", F.round(st.lcs_coverage(F.col("e"), F.col("a")), 6).alias("coverage"))
+    m = c.select("media_id", "cue_no", st.match_tokens(tx.compare_tokens(F.col("text")), tx.compare_tokens(F.col("nxt"))).alias("m"))
+    return m.select("media_id", "cue_no", F.round("m.coverage", 6).alias("coverage"), F.col("m.extra_prefix").cast("long").alias("extra_prefix"), "m.first_token", "m.ok")
 
 
-@query("mat4_cheap_gate")
+@query("mat4_cheap_gate", """SELECT vec_id, array_to_string(list_filter([CASE WHEN db < -45 THEN 'low_rms' END, CASE WHEN db > -3 OR peak > 0.98 THEN 'clipping' END, CASE WHEN NOT seconds / (target_ms / 1000) BETWEEN 0.5 AND 2 THEN 'duration_ratio' END, CASE WHEN NOT chars / seconds BETWEEN 5 AND 25 THEN 'chars_per_sec' END,
+  CASE WHEN held THEN 'no_fade_out' END, CASE WHEN NOT held AND last_peak > 0.15 THEN 'abrupt_end' END], lambda x: x IS NOT NULL), ',') AS reasons FROM (SELECT *, 20 * log10(rms + 1e-12) AS db, f2 / (f1 + 1e-9) > 0.85 AND f1 > 0.003 AS held, 150 + 60 * coalesce(label, 0) AS target_ms, 1 + coalesce(label, 0) AS chars FROM feats)""", _SOUND)
 def _(spark, d):
-    f = st.signal_features(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("samples")))
-    return st.cheap_gate(f).select("vec_id", F.array_join("reasons", ",").alias("reasons"))
+    kind = F.coalesce("label", F.lit(0))
+    return st.cheap_gate(_features(spark, d).withColumn("target_ms", 150 + 60 * kind).withColumn("chars", 1 + kind)).select("vec_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("mat5_staged_gate", "SELECT media_id, cue_no, CASE WHEN audio_ms <= duration_ms * 1.2 THEN 'fast' WHEN cue_no % 2 = 0 THEN 'heavy' ELSE 'retry' END AS outcome FROM slots", SLOTS)
@@ -952,32 +1028,37 @@ def _(spark, d):
     return st.clip_score(x).select("media_id", "cue_no", "score")
 
 
-@query("mat7_unexplained_activity", f"""SELECT media_id, s AS start_ms, e AS end_ms FROM (SELECT media_id, lag(end_ms) OVER w AS s, start_ms AS e FROM ({_ISLANDS.format(0, "(SELECT media_id, start_ms, end_ms FROM slots) x")}) WINDOW w AS (PARTITION BY media_id ORDER BY start_ms)) WHERE e > s""", SLOTS)
+@query("mat7_unexplained_activity", f"""SELECT s.media_id, s.start_ms, s.end_ms, max(rms) AS rms, max(peak) AS peak FROM (SELECT media_id, s AS start_ms, e AS end_ms FROM (SELECT media_id, lag(end_ms) OVER w AS s, start_ms AS e FROM ({_ISLANDS.format(0, "(SELECT media_id, start_ms - 40 AS start_ms, end_ms + 40 AS end_ms FROM slots) x")}) WINDOW w AS (PARTITION BY media_id ORDER BY start_ms)) WHERE e - s >= 75) s
+  JOIN (SELECT media_id, end_ms + 60 AS at_ms, cue_no % 3 * 0.004 AS rms, audio_ms % 10 * 0.01 AS peak FROM slots) p ON p.media_id = s.media_id AND at_ms >= s.start_ms AND at_ms <= s.end_ms GROUP BY ALL HAVING max(rms) >= 0.006 OR max(peak) >= 0.08""", SLOTS)
 def _(spark, d):
     s = slots(spark, d)
-    return sq.subtract_intervals(s.groupBy("media_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")), s)
+    span = s.groupBy("media_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    points = s.select("media_id", (F.col("end_ms") + 60).alias("at_ms"), (F.col("cue_no") % 3 * 0.004).alias("rms"), (F.col("audio_ms") % 10 * 0.01).alias("peak"))
+    return st.unexplained_activity(span, s, points)
 
 
 @query("agg11_worker_metrics", "SELECT job, count(*) AS requests, count_if(failed)::BIGINT AS failures, arg_max(status, event_id)::BIGINT AS state FROM attempts GROUP BY job", ATTEMPTS)
 def _(spark, d):
-    return attempts(spark, d).groupBy("job").agg(F.count(F.lit(1)).alias("requests"), st.count_if(F.col("failed")).alias("failures"), F.max_by("status", "event_id").cast("long").alias("state"))
+    return st.worker_metrics(attempts(spark, d))
 
 
 @query("agg13_group_by_profile", "SELECT coalesce(nullif(speaker, 'user'), '__default__') AS profile, count(*) AS n, sum(duration_ms)::BIGINT AS ms FROM cues GROUP BY 1", CUES)
 def _(spark, d):
-    return cues(spark, d).groupBy(F.coalesce(F.nullif("speaker", F.lit("user")), F.lit("__default__")).alias("profile")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
+    return st.group_by_profile(cues(spark, d), F.nullif("speaker", F.lit("user")))
 
 
-@query("agg16_eta", "SELECT job, count(*) AS done, round(avg(score), 6) AS avg_s, round(avg(score) * (500 - count(*)), 4) AS eta_s FROM attempts GROUP BY job", ATTEMPTS)
+@query("agg16_eta", """SELECT c_custkey AS job, coalesce(n, 0) AS done, total, round(a, 6) AS avg_s, round(CASE WHEN n > 0 THEN a * (total - n) WHEN cached THEN greatest(1.0, total * 0.004) ELSE greatest(15.0, media_s / 3600 * 72 + 3) END, 4) AS eta_s FROM (SELECT c_custkey, 500 + c_nationkey AS total, abs(c_acctbal) AS media_s, c_nationkey > 12 AS cached FROM customer)
+  LEFT JOIN (SELECT job, count(*) AS n, avg(score) AS a FROM attempts GROUP BY job) ON job = c_custkey""", ATTEMPTS)
 def _(spark, d):
-    n, avg = F.count(F.lit(1)), F.avg("score")
-    return attempts(spark, d).groupBy("job").agg(n.alias("done"), F.round(avg, 6).alias("avg_s"), F.round(avg * (500 - n), 4).alias("eta_s"))
+    totals = table(spark, d, "customer").select(F.col("c_custkey").alias("job"), (500 + F.col("c_nationkey")).cast("long").alias("total"), F.abs("c_acctbal").alias("media_s"), (F.col("c_nationkey") > 12).alias("cached"))
+    return st.eta(attempts(spark, d).withColumnRenamed("score", "seconds"), totals)
 
 
-@query("rnk3_best_rendition", "SELECT p_type, arg_max(p_partkey, {'s': p_size, 'p': p_retailprice, 'k': -p_partkey}) AS p_partkey FROM part GROUP BY p_type")
+@query("rnk3_best_rendition", "SELECT p_type, arg_max(p_partkey, {'s': p_size * 2, 'p': p_retailprice, 'c': CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END, 'k': -p_partkey}) AS p_partkey FROM part GROUP BY p_type")
 def _(spark, d):
-    key = F.struct(F.col("p_size"), F.col("p_retailprice"), -F.col("p_partkey"))
-    return table(spark, d, "part").groupBy("p_type").agg(F.max_by("p_partkey", key).alias("p_partkey"))
+    codec = F.when(F.col("p_size") % 2 == 0, "h265").otherwise("h264")
+    p = table(spark, d, "part").select("p_type", F.col("p_partkey").alias("id"), F.col("p_size").alias("width"), F.lit(2).alias("height"), F.col("p_retailprice").alias("size"), codec.alias("codec"))
+    return st.best_rendition(p, "p_type").withColumnRenamed("id", "p_partkey")
 
 
 @query("rnk5_take_first", "SELECT media_id, cue_no FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS r FROM cues WHERE length(text) > 20) WHERE r <= 5", CUES)
