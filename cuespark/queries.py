@@ -500,7 +500,7 @@ def _(spark, d):
     return jo.insert_candidates(b, a, ["s"])[1].select("media_id", "a_id", "class")
 
 
-@query("jon5_assign_labels", f"""SELECT media_id, a_id, CASE WHEN regexp_matches(label, '_\d+$') THEN 'Speaker ' || (regexp_extract(label, '_(\d+)$', 1)::BIGINT + 1) ELSE label END AS label FROM (SELECT s.media_id, s.a_id, coalesce(o.label, m.label) AS label FROM sg s
+@query("jon5_assign_labels", rf"""SELECT media_id, a_id, CASE WHEN regexp_matches(label, '_\d+$') THEN 'Speaker ' || (regexp_extract(label, '_(\d+)$', 1)::BIGINT + 1) ELSE label END AS label FROM (SELECT s.media_id, s.a_id, coalesce(o.label, m.label) AS label FROM sg s
   LEFT JOIN (SELECT media_id, a_id, label FROM (SELECT *, row_number() OVER (PARTITION BY media_id, a_id ORDER BY ms DESC, label) AS r FROM (SELECT a.media_id, a_id, label, sum({_LAP}) AS ms FROM sg a JOIN tn t ON a.media_id = t.media_id AND a_start < b_end AND b_start < a_end GROUP BY ALL HAVING sum({_LAP}) > 0)) WHERE r = 1) o ON o.media_id = s.media_id AND o.a_id = s.a_id
   LEFT JOIN (SELECT s.media_id, a_id, min(label) AS label FROM sg s JOIN tn t ON s.media_id = t.media_id AND b_start <= (a_start + a_end) // 2 AND b_end > (a_start + a_end) // 2 GROUP BY ALL) m ON m.media_id = s.media_id AND m.a_id = s.a_id)""", CUES, _A, _B,
   "sg AS (SELECT media_id, a_id, a_start, CASE WHEN length(a_key) < 30 THEN a_start ELSE a_end END AS a_end FROM a)", "tn AS (SELECT media_id, b_start, b_end, CASE WHEN speaker = 'user' THEN 'SPEAKER_00' ELSE speaker END AS label FROM b)")
