@@ -111,8 +111,9 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 def _bitmap(grams: Column) -> Column:
     """``WORDS`` words of bits of hashed shingles; the bits that differ between two sets bound their similarity."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
-    word = lambda k: F.aggregate(F.filter(grams, lambda x: F.pmod(x, F.lit(WORDS)) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
-    return F.array(*[word(k) for k in range(WORDS)])
+    word = lambda g, k: F.aggregate(F.filter(g, lambda x: F.pmod(x, F.lit(WORDS)) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    # a lambda's argument is evaluated once, so the shingles are cut once and not once a word
+    return F.transform(F.array(grams), lambda g: F.array(*[word(g, k) for k in range(WORDS)]))[0]
 
 
 def crossing_pairs(inside: DataFrame, bits: DataFrame, similarity: float, tile: int | None = None) -> DataFrame:

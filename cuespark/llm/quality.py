@@ -138,10 +138,13 @@ def fit_rules(
 def with_score(docs: DataFrame, rules: Rules, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` and, last, ``out``, the probability of label 1; where the name is taken it gets a leading underscore."""
     used = {name for _, tests in rules.terms for name, _, _ in tests}
-    stats = [c.alias(k) for k, c in statistics(F.col(f"`{text}`")).items() if k in used] or [F.lit(0).alias("none")]
-    # a lambda's argument is evaluated once, so no rule computes a statistic again, also where a filter on the score is pushed down
-    score = F.transform(F.array(F.struct(*stats)), lambda s: rules.score(lambda name: s[name]))[0]
-    return docs.select("*", score.alias(free_name(docs, out)))
+    stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(f"`{text}`")).items() if k in used] or [F.lit(0).alias("none")])
+    held, score = free_name(docs, "stats"), free_name(docs, out)
+    scored = docs.withColumn(held, stats)
+    # the row's number makes the score no function of the row alone: a filter on it stays above the
+    # projection, where each statistic is computed once, and isn't pushed down to compute them for every rule
+    value = F.when(F.monotonically_increasing_id() >= 0, rules.score(lambda name: F.col(f"`{held}`.{name}")))
+    return scored.withColumn(score, value).drop(held)
 
 
 def held_out() -> Column:
