@@ -221,11 +221,12 @@ def safe_title(c: Column, n: int = 100) -> Column:
     return F.trim(F.substring(collapse(F.regexp_replace(c, r"[\\/*?:\"<>|\x00-\x1F]", " ")), 1, n))
 
 
-def natural_key(c: Column) -> Column:
-    """Digit runs as their length and digits, without leading zeros, so that text order is the natural order for numbers of any length."""
+def natural_key(c: Column, width: int = 12) -> Column:
+    """Digit runs padded to a width, so that text order is the natural order; longer runs follow all others, by their length."""
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
     digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))).otherwise(F.lower(p))), "")
+    padded = lambda p: F.when(F.length(digits(p)) <= width, F.lpad(digits(p), width, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p)))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), padded(p)).otherwise(F.lower(p))), "")
 
 
 def unit_count(c: Column) -> Column:

@@ -7,6 +7,7 @@ its buckets, and no join compares all rows of a media.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,6 +149,16 @@ def reconcile(final: DataFrame, sources: DataFrame, min_ratio: float = 0.55, unl
     return out.select(*sources.columns, kind.alias("class"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of ``spark.checkpoint.dir``; a local one only where none is set and the master is local (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cuespark-"))
+    return df.checkpoint()
+
+
 def insert_candidates(final: DataFrame, sources: DataFrame, order: Sequence[str], **rules) -> tuple[DataFrame, DataFrame]:
     """(final, events): the final track with the candidates of the sources named in ``order``, one source after the other.
 
@@ -161,15 +172,16 @@ def insert_candidates(final: DataFrame, sources: DataFrame, order: Sequence[str]
         new = judged.where("class = 'candidate'")
         as_b = new.select(KEY, F.col("a_id").alias("b_id"), F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end"), F.col("a_key").alias("b_key"))
         later = near_duplicate(new, as_b).where("b_start < a_start or (b_start = a_start and b_id < a_id)").select(KEY, "a_id").distinct()
-        kept = new.join(later, [KEY, "a_id"], "left_anti")
-        inserted = kept.select(KEY, "a_id").withColumn("in", F.lit(True))
+        inserted = new.join(later, [KEY, "a_id"], "left_anti").select(KEY, "a_id").withColumn("in", F.lit(True))
         judged = judged.join(inserted, [KEY, "a_id"], "left").withColumn("class", F.when(F.col("in"), "inserted").when(F.col("class") == "candidate", "near_duplicate").otherwise(F.col("class"))).drop("in")
+        judged = _cut(judged)  # else each source's plan holds that of the one before several times
         events = judged if events is None else events.unionByName(judged)
+        kept = judged.where("class = 'inserted'")
         track = track.unionByName(kept.select(KEY, F.col("a_id").alias("b_id"), F.col("a_start").alias("b_start"), F.col("a_end").alias("b_end"), F.col("a_key").alias("b_key"), "source"))
     return track, events
 
 
 def lost_insertions(events: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Inserted cues of which the cleaned track has no near duplicate any more."""
-    inserted = events.where("class = 'inserted'")
+    inserted, cleaned = events.where("class = 'inserted'"), cleaned.select(KEY, "b_id", "b_start", "b_end", "b_key")
     return inserted.join(near_duplicate(inserted, cleaned).select(KEY, "source", "a_id").distinct(), [KEY, "source", "a_id"], "left_anti")

@@ -157,3 +157,91 @@ def test_correct_tracks_applies_the_whole_glossary_of_each_track(spark):
         assert got[m] == "say " + " and ".join(x.upper() if x in own else x for x in short)
     plain = spark.createDataFrame([("a", "b")], "wrong string, correct string")
     assert tx.apply_phrase_table(cues.limit(1).withColumn("text", F.lit("aa")), plain).first()["text"] == "bb"
+
+
+def test_short_segments_are_merged_to_the_last(spark):
+    """400 short cues of one speaker leave none that could still join."""
+    from cuespark.operators.grouping import merge_short
+
+    rows = [(1, k, k * 1000, k * 1000 + 900, f"w{k}", "a") for k in range(400)]
+    got = merge_short(spark.createDataFrame(rows, "media_id long, cue_no long, start_ms long, end_ms long, text string, speaker string")).collect()
+    assert sum(r["members"] for r in got) == 400
+    assert all(r["end_ms"] - r["start_ms"] >= 1500 and len(r["text"]) >= 12 and len(r["text"].split()) >= 3 for r in got)
+
+
+def test_merge_short_choices(spark):
+    from cuespark.operators.grouping import merge_short
+
+    long = "a text that is long enough"
+    rows = [
+        (1, 1, 0, 3000, long, "a"), (1, 2, 3500, 4000, "yes it was", "a"), (1, 3, 4100, 6000, long, "a"),  # the shorter neighbour
+        (2, 1, 0, 3000, long, "a"), (2, 2, 3100, 3400, "STR", "b"), (2, 3, 3450, 6500, long, "c"),  # tiny: the nearer one
+        (3, 1, 0, 3000, long, "a"), (3, 2, 3900, 5000, "so it is", "b"), (3, 3, 5000, 8000, long, "c"),  # not tiny: the one before
+    ]
+    got = merge_short(spark.createDataFrame(rows, "media_id long, cue_no long, start_ms long, end_ms long, text string, speaker string")).collect()
+    assert sorted((r["media_id"], r["start_ms"], r["end_ms"]) for r in got) == [(1, 0, 3000), (1, 3500, 6000), (2, 0, 3000), (2, 3100, 6500), (3, 0, 5000), (3, 5000, 8000)]
+
+
+def test_natural_keys_of_long_numbers(spark):
+    from cuespark.functions.text import natural_key
+
+    names = ["v9", "v10", "v999999999999", "v1000000000000", "v01000000000001", "v99999999999999999999", "v100000000000000000000"]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", natural_key(F.col("n"))).collect()}
+    assert sorted(names, key=got.get) == names and len(set(got.values())) == len(names)
+
+
+def test_token_match_against_brute_force(spark):
+    import random
+
+    from cuespark.operators.stats import match_tokens
+
+    rng = random.Random(8)
+    pairs = [([rng.choice("abcdef") for _ in range(rng.randint(0, 90))], [rng.choice("abcdefg") for _ in range(rng.randint(0, 90))]) for _ in range(150)] + [(list("abc"), list("xxabc")), ([], [])]
+
+    def lcs(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(pairs)], "k int, x array<string>, y array<string>")
+    for r in df.select("x", "y", match_tokens(F.col("x"), F.col("y")).alias("m")).collect():
+        x, y, m = r["x"], r["y"], r["m"]
+        assert abs(m["coverage"] - lcs(x, y) / max(1, len(x))) < 1e-12
+        assert m["extra_prefix"] == next((k for k, t in enumerate(y) if t in x[:3]), len(y)) and m["first_token"] == bool(x and y and x[0] == y[0])
+        assert m["ok"] == (m["coverage"] >= 0.92 and m["extra_prefix"] <= 1)
+
+
+def test_cues_from_words_of_two_scripts(spark):
+    from cuespark.operators.expand import cues_from_words
+
+    words = [(1, k, k * 500, k * 500 + 450, t) for k, t in enumerate(["你", "好", "。", "one", "two,", "three", "four."])]
+    got = cues_from_words(spark.createDataFrame(words, "media_id long, cue_no long, start_ms long, end_ms long, text string"), 40, 800).orderBy("start_ms").collect()
+    assert [r["text"] for r in got] == ["你好 。", "one two,", "three four."]
+
+
+def test_insertions_by_source_and_their_survival(spark):
+    from cuespark.operators.joins import insert_candidates, lost_insertions
+
+    kind = "media_id long, {0}_id long, {0}_start long, {0}_end long, {0}_key string"
+    final = spark.createDataFrame([(1, 1, 0, 2000, "thefirstcue"), (1, 2, 9000, 11000, "somethingelse")], kind.format("b"))
+    cue = lambda s, ok, k, a, b, t: (1, k, a, b, t, s, ok)
+    sources = spark.createDataFrame(
+        [cue("x", True, 1, 0, 2000, "thefirstcue"), cue("x", True, 2, 4000, 6000, "amissingcue"), cue("y", True, 3, 4100, 6100, "amissingcue"), cue("x", True, 4, 9000, 11000, "wholly=unlike!"), cue("z", False, 5, 20000, 22000, "untrusted")],
+        kind.format("a") + ", source string, trusted boolean",
+    )
+    track, events = insert_candidates(final, sources, ["x", "y", "z"])
+    assert {r["a_id"]: r["class"] for r in events.collect()} == {1: "covered", 2: "inserted", 3: "covered", 4: "suspicious", 5: "report_only"}
+    assert sorted((r["b_id"], r["source"]) for r in track.collect() if r["source"]) == [(2, "x")] and track.count() == 3
+    assert [r["a_id"] for r in lost_insertions(events, final).collect()] == [2] and lost_insertions(events, track).count() == 0
+
+
+def test_plans_hold_no_media_against_itself(spark):
+    """Differences of intervals and tokens' alignment meet in buckets or in one order, never all rows of a media with all."""
+    from cuespark.operators import sequence as sq
+
+    x = spark.range(10).selectExpr("id % 2 as media_id", "id * 10 as start_ms", "id * 10 + 5 as end_ms", "id as word_no", "id as cue_no", "1 as n_tokens")
+    plan = sq.subtract_intervals(x.limit(1), x)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" in plan
+    assert "Join" not in sq.align_by_token_count(x, x)._jdf.queryExecution().optimizedPlan().toString()
