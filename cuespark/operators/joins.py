@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = "media_id"
@@ -149,13 +149,18 @@ def reconcile(final: DataFrame, sources: DataFrame, min_ratio: float = 0.55, unl
     return out.select(*sources.columns, kind.alias("class"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; a local one only where none is set and the master is local (tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one only where none is set and the master is local (tests)."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cuespark-"))
+    return context.getCheckpointDir()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -890,6 +892,15 @@ def _(spark, d):
     return wr.subtitle_text(b)
 
 
+@query("snk3_dataset", f"SELECT coalesce(reason, 'accepted') AS key, count(*) AS n FROM (SELECT {_LADDER} AS reason FROM lines) GROUP BY 1 UNION ALL SELECT 'metadata', count(*) FROM lines WHERE ({_LADDER}) IS NULL", LINES)
+def _(spark, d):
+    path = f"{jo.shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    wr.write_dataset(lines(spark, d).select(F.concat_ws("-", "media_id", "line_no").alias("file"), "text", _reason().alias("reason")), path)
+    pair = F.split("value", "=")
+    counts = spark.read.text(f"{path}/report").select(pair[0].alias("key"), pair[1].cast("long").alias("n"))
+    return counts.unionByName(spark.read.text(f"{path}/metadata").agg(F.count(F.lit(1)).alias("n")).select(F.lit("metadata").alias("key"), "n"))
+
+
 @query("snk4_report_json", """SELECT speaker, count(*) AS total, sum(cue_no)::BIGINT AS checks FROM cues GROUP BY speaker""", CUES)
 def _(spark, d):
     r = wr.report_json(cues(spark, d), "speaker", ["cue_no"], ["media_id", "cue_no"])
