@@ -358,20 +358,73 @@ def test_leaks(spark, docs, sentences):
     assert clean.count() == len(texts) - 2 and clean.columns == docs([]).columns
 
 
-def test_leak_recall_at_the_limit():
-    rng = random.Random(3)
-    items = [np.array([rng.getrandbits(64) for _ in range(rng.randint(4, 60))], np.uint64) for _ in range(120)]
-    look = decontaminate.Items(np.arange(120), items)
+def _noisy_words(rng, items, share):
+    """Each item with that share of its words edited, between words of its own."""
     texts = []
     for w in items:
         x = list(map(int, w))
-        for _ in range(int(0.2 * len(w) + 1e-9)):
+        for _ in range(int(share * len(w) + 1e-9)):
             p, o = rng.randrange(len(x)), rng.random()
             x[p : p + (o < 0.66)] = [rng.getrandbits(64)] if o > 0.33 else []
         texts.append([rng.getrandbits(64) for _ in range(20)] + x + [rng.getrandbits(64) for _ in range(20)])
     row = np.concatenate([np.full(len(t), k) for k, t in enumerate(texts)])
-    found = {(a, b) for a, b, *_ in look.leaks(row, np.array([v for t in texts for v in t], np.uint64), len(texts))}
-    assert len(found & {(k, k) for k in range(120)}) >= 118 and all(a == b for a, b in found)
+    return row, np.array([v for t in texts for v in t], np.uint64)
+
+
+def test_leak_recall_at_the_limit(monkeypatch):
+    rng = random.Random(3)
+    items = [np.array([rng.getrandbits(64) for _ in range(rng.randint(4, 60))], np.uint64) for _ in range(400)]
+    row, h = _noisy_words(rng, items, 0.2)
+    wanted = set()  # brute force: each item against all words of each text, in plain arrays
+    for k, w in enumerate(items):
+        d, _ = decontaminate.edit_distance(w[None, :], np.array([len(w)]), h[row == k][None, :], np.array([(row == k).sum()]))
+        wanted |= {(k, k)} if d[0] <= int(0.2 * len(w) + 1e-9) else set()
+    found = {(a, b) for a, b, *_ in decontaminate.Items(np.arange(400), items).leaks(row, h, 400)}
+    assert len(wanted) == 400 and found <= wanted and len(found) >= 0.97 * len(wanted)
+    # without the samples only the short items are left
+    monkeypatch.setattr(decontaminate.Items, "_sampled", lambda self: [])
+    few = {(a, b) for a, b, *_ in decontaminate.Items(np.arange(400), items).leaks(row, h, 400)}
+    assert few == {(k, k) for k, w in enumerate(items) if len(w) < decontaminate.GRAM_ITEM}
+
+
+def test_leaks_by_brute_force(spark, docs):
+    """All texts against all items, with a plain edit distance of their words and letters."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioumnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 6, 9, 15, 22, 30, 41, 55)]
+    texts = []
+    for k in range(60):
+        t = list(items[k % 8])
+        for p in range(len(t)):
+            if rng.random() < (0, 0.03, 0.06, 0.12, 0.3)[k % 5]:
+                t[p] = rng.choice("xyz")
+        texts.append((k, " ".join([*rng.choices(words, k=15), "".join(t), *rng.choices(words, k=15)])))
+
+    def apart(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    def leak(s, t):
+        n, off = len(s.split()), apart(s.split(), t.split())
+        return off <= int(0.2 * n + 1e-9) or (n >= 8 and off <= 0.7 * n and apart(s, t) <= 0.1 * len(s))
+
+    pairs = {(k, i) for k, t in texts for i, s in enumerate(items) if leak(s, t)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = set(rows(decontaminate.leaks(docs(texts), bench), "doc_id", "item_id"))
+    assert len(pairs) > 30 and got <= pairs and len(got) >= 0.97 * len(pairs), sorted(pairs - got)
+
+
+def test_leaks_of_long_items_and_texts(spark, docs):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(3000))
+    bench = spark.createDataFrame([(0, long), (1, long)], "item_id long, text string")
+    got = rows(decontaminate.leaks(docs([(1, "start " + long + " end"), (2, long[: len(long) // 2])]), bench), "doc_id", "item_id", "distance")
+    assert got == [(1, 0, 0), (1, 1, 0)]
 
 
 def test_leaks_odd_tables(spark, docs, sentences):
