@@ -10,8 +10,9 @@ The CGK random walk writes a window as a string of symbols in which few edits be
 places. A window is laid at every word of every document, and the walk of its first ``STEPS``
 symbols is sampled ``SAMPLES`` times at ``PLACES`` places, in each of ``WALKS`` walks. An item is
 embedded from each of its words on, so that a leak has as many trials as the item has words; a
-sample that would leave the item is not used. A window and an item that agree in a sample meet,
-and what meets is verified exactly by the edit distance with free ends. Items of fewer than
+sample that would leave the item is not used. A window and an item that agree in a sample have a
+hit; those with ``LEAST_HITS`` within the item's edits (one in items of fewer than ``FEW_TRIALS``
+words, which also have samples of fewer places) meet, and what meets is verified exactly by the edit distance with free ends. Items of fewer than
 ``GRAM_ITEM`` words, too few for many trials, meet by a word q-gram that their edits must leave
 whole, those of fewer than ``SHORT_ITEM`` words by that alone.
 
@@ -37,6 +38,8 @@ from cuespark.llm.common import combine, free_name, mix64, pieces, prefix_hash,
 SLACK, CHAR_SLACK, CHAR_WORDS = 0.2, 0.1, 0.7
 WALKS, SAMPLES, PLACES, LEAST_HITS = 2, 6, 7, 3
 STEPS = (14, 20, 28)  # of a walk; the samples take these in turn
+FEW_TRIALS = 24  # words; shorter items have samples of their own, and one hit is enough
+SAMPLES_SHORT, PLACES_SHORT, STEPS_SHORT = 4, 5, 10
 SHORT_ITEM, GRAM_ITEM = 8, 12  # words; items between them meet both ways
 WINDOWS, PAIRS = 1 << 15, 256  # embedded and verified at a time
 BLOCK_BYTES = 2 << 20
@@ -98,10 +101,12 @@ def cgk(words: np.ndarray, tossed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _samples() -> list[list[np.ndarray]]:
-    """The places of each sample of each walk."""
+def _samples() -> list[list[tuple[np.ndarray, int]]]:
+    """(places, longest item) of each sample of each walk."""
     rng = np.random.default_rng(2024)
-    return [[np.sort(rng.choice(STEPS[k % len(STEPS)], PLACES, replace=False)) for k in range(SAMPLES)] for _ in range(WALKS)]
+    draw = lambda steps, places: np.sort(rng.choice(steps, places, replace=False))
+    every = lambda: [(draw(STEPS[k % len(STEPS)], PLACES), 1 << 30) for k in range(SAMPLES)]
+    return [[*every(), *((draw(STEPS_SHORT, PLACES_SHORT), FEW_TRIALS - 1) for _ in range(SAMPLES_SHORT))] for _ in range(WALKS)]
 
 
 PLANS = _samples()
@@ -179,8 +184,8 @@ class Items:
         out = []
         for walk in range(WALKS):
             symbols = cgk(words, coins(words, walk), at)
-            usable = [(symbols[places] != 0).all(0) for places in PLANS[walk]]
-            out.append([_look_up(_key(symbols, p)[u], on[row[u]].astype(np.int32), offset[u].astype(np.int32)) for p, u in zip(PLANS[walk], usable, strict=True)])
+            usable = [(symbols[places] != 0).all(0) & (self.size[on[row]] <= most) for places, most in PLANS[walk]]
+            out.append([_look_up(_key(symbols, p)[u], on[row[u]].astype(np.int32), offset[u].astype(np.int32)) for (p, _), u in zip(PLANS[walk], usable, strict=True)])
         return out
 
     def windows(self, row: np.ndarray, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +208,7 @@ class Items:
                 for a in range(0, len(h), WINDOWS):
                     p = np.arange(a, min(a + WINDOWS, len(h)))
                     symbols = cgk(words, tossed, p + row[p])
-                    for places, known in zip(PLANS[walk], self.sampled[walk], strict=True):
+                    for (places, _), known in zip(PLANS[walk], self.sampled[walk], strict=True):
                         add(*_matches(known, _key(symbols, places), p), 1)
         if not found:
             return (np.zeros(0, np.int64),) * 3
@@ -215,7 +220,7 @@ class Items:
         pair, s = key // spread, key % spread
         i = pair % len(self.ids)
         around = total[np.searchsorted(key, key + self.edits[i], "right")] - total[np.searchsorted(key, pair * spread + np.maximum(0, s - self.edits[i]), "left")]
-        on = around >= LEAST_HITS
+        on = around >= np.where(self.size[i] < FEW_TRIALS, 1, LEAST_HITS)
         return pair[on] // len(self.ids), i[on], s[on]
 
     def leaks(self, row: np.ndarray, h: np.ndarray, n_rows: int, spell: Callable[[int, int], bytes] | None = None) -> list[tuple[int, int, int, int, int]]:
