@@ -914,6 +914,17 @@ def _(spark, d):
     return wr.upsert_cache(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_totalprice")
 
 
+@query("str6_cache_upserts", "SELECT o_custkey, arg_max(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS o_totalprice FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    from cuespark.streaming.jobs import cache_upserts, read_cache
+
+    path = f"{jo.shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    names = ["o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"]
+    arriving = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*").select(names)
+    cache_upserts(arriving, f"{path}/rows", f"{path}/checkpoint", "o_custkey", ["o_orderdate", "o_orderkey"]).awaitTermination()
+    return read_cache(spark, f"{path}/rows", "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_totalprice")
+
+
 @query("snk6_manifest", "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS index, p_size > 10 AS ok FROM part")
 def _(spark, d):
     return wr.manifest(table(spark, d, "part"), "p_size > 10", ["p_partkey"], "p_brand").select("p_brand", "p_partkey", "index", "ok")

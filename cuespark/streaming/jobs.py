@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from cuespark.operators import stats
+from cuespark.sources.writers import upsert_cache
 
 
 def provider_health(attempts: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -32,3 +39,54 @@ def cache_feed(clips: DataFrame, path: str, checkpoint: str, watermark: str = "1
     """A running query that appends clips whose fingerprint is new within the watermark of ``ts``."""
     fresh = clips.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["fingerprint"])
     return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The ladder's step and the progress of each job are aggregations: their batch forms take streams
+#: as they are, in update or complete mode.
+retry_state_stream = stats.retry_state
+progress_status_stream = stats.progress_status
+
+
+def worker_state_stream(attempts: DataFrame, cooling_ms: int = 1_800_000, auth: Sequence[int] = (401, 403), alarm: int = 20) -> DataFrame:
+    """(event_id, cooling, errors, alarm) of each attempt (job, ts_ms, event_id, status, failed), as ``stats.worker_state`` has it.
+
+    A worker's state is its last failed log-in and its balance of errors. Attempts are taken in
+    order of time within a micro-batch, and batches as they come. There is one small state a worker,
+    which stays; a worker is alive again by the time of its next attempt.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, errors = state.get if state.exists else (None, 0)
+        rows = []
+        for r in pd.concat(list(frames)).sort_values(["ts_ms", "event_id"]).itertuples():
+            cooling = last is not None and r.ts_ms - last < cooling_ms
+            errors = errors + 1 if r.failed else max(0, errors - 1)
+            if r.status in auth:
+                last = int(r.ts_ms) if last is None else max(last, int(r.ts_ms))
+            rows.append((int(r.event_id), cooling, errors, bool(r.failed) and errors % alarm == 0))
+        state.update((last, errors))
+        yield pd.DataFrame(rows, columns=["event_id", "cooling", "errors", "alarm"])
+
+    wanted = attempts.select("job", "ts_ms", "event_id", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    return wanted.groupBy("job").applyInPandasWithState(
+        step, "event_id long, cooling boolean, errors long, alarm boolean", "last long, errors long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def cache_upserts(clips: DataFrame, path: str, checkpoint: str, key: str = "fingerprint", at: Sequence[str] = ("created_at",)):
+    """A running query that puts the last row of each key of every micro-batch into its own folder below ``path``.
+
+    A batch that is done again after a failure overwrites its folder, so nothing is counted twice;
+    a batch writes only what it brings, however large the cache is. ``read_cache`` gives the cache.
+    """
+
+    def put(batch: DataFrame, number: int):
+        upsert_cache(batch.limit(0), batch, key, at).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return clips.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_cache(spark: SparkSession, path: str, key: str = "fingerprint", at: Sequence[str] = ("created_at",)) -> DataFrame:
+    """The last written row of each key over all batches; write it to a new folder now and then to compact them."""
+    written = spark.read.parquet(path).drop("batch")
+    return upsert_cache(written.limit(0), written, key, at)

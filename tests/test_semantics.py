@@ -1,6 +1,7 @@
 """Hand-written input and output for what SQL doesn't check."""
 
 import json
+import os
 import struct
 import wave
 
@@ -123,6 +124,46 @@ def test_stream_matches_its_batch_twin(spark, tmp_path):
     assert sorted(map(tuple, spark.table("health").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def _attempts(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    kind = F.col("event_type")
+    status = F.when(kind == "error", 500).when(kind == "signup", 401).otherwise(200).alias("status")
+    return e.select(F.col("user_id").alias("job"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (kind == "error").alias("failed"), status, (F.col("value") > 20).alias("tail"), F.concat(F.lit("PROGRESS:"), F.col("value").cast("string"), F.lit(":"), kind).alias("line"))
+
+
+def test_state_streams_match_their_batch_twins(spark, tmp_path):
+    attempts = _attempts(spark)
+    bounds = attempts.selectExpr("percentile_approx(ts_ms, array(0.3, 0.7), 10000) as b").first()["b"]
+    for k, part in enumerate((f"ts_ms <= {bounds[0]}", f"ts_ms > {bounds[0]} and ts_ms <= {bounds[1]}", f"ts_ms > {bounds[1]}")):
+        attempts.where(part).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in sorted((tmp_path / f"in{k}").glob("*.parquet")):
+            f.rename(tmp_path / "in" / f"{k}-{f.name}")
+            os.utime(tmp_path / "in" / f"{k}-{f.name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    arriving = lambda: spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cases = [
+        ("ladder", stream.retry_state_stream(arriving()), st.retry_state(attempts), "complete"),
+        ("progress", stream.progress_status_stream(arriving()), st.progress_status(attempts), "complete"),
+        ("workers", stream.worker_state_stream(arriving(), 3_600_000_000, alarm=2), st.worker_state(attempts, 3_600_000_000, alarm=2).select("event_id", "cooling", "errors", "alarm"), "append"),
+    ]
+    for name, streamed, batch, mode in cases:
+        streamed.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        got, want = sorted(map(tuple, spark.table(name).collect())), sorted(map(tuple, batch.collect()))
+        assert got == want and len(want) > 10, name
+
+
+def test_cache_upserts_keep_the_last_row(spark, tmp_path):
+    rows = [("a", 1, "old"), ("b", 5, "b"), ("a", 3, "new"), ("a", 2, "mid")]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "fingerprint string, created_at long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "fingerprint string, created_at long, v string"
+    for _ in range(2):  # the second run finds nothing new
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream.cache_upserts(arriving, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = stream.read_cache(spark, str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got)) == [("a", 3, "new"), ("b", 5, "b")] and len(list((tmp_path / "out").glob("batch=*"))) == 4
+
+
 def test_cache_feed_drops_known_prints(spark, tmp_path):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:02")], "fingerprint string, t string").select("fingerprint", F.to_timestamp("t").alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
