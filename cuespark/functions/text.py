@@ -321,10 +321,11 @@ def reject_reason(c: Column, seconds: Column | None = None, profile: str = "sent
 
 
 def candidate_profiles(c: Column, rules: Sequence[tuple[Sequence[str], Sequence[str]]], long_words: int, long: Sequence[str], otherwise: Sequence[str]) -> Column:
-    """Names of the profiles to try, in order and each once: by the last word (``rules`` of words and names), else by the number of words."""
+    """Names of the profiles to try, in order and each once: by the last word (``rules`` of words and names), else by the number of words between blanks."""
     last = F.lower(F.regexp_extract(c, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1))
     names = lambda x: F.array(*[F.lit(n) for n in dict.fromkeys(x)])
-    out = F.when(unit_count(c) >= long_words, names(long)).otherwise(names(otherwise))
+    words = F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
+    out = F.when(words >= long_words, names(long)).otherwise(names(otherwise))
     for words, given in reversed(rules):
         out = F.when(last.isin(*words), names(given)).otherwise(out)
     return out

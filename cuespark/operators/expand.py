@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespark.operators.sequence import CLAUSE, KEY, STRONG, _greedy
+from cuespark.operators.sequence import CLAUSE, KEY, STRONG, greedy, too_far
 
 WORDS = "array<string>"
 
@@ -166,14 +166,20 @@ def cues_from_words(words: DataFrame, limit: int, least_ms: int, clause_ms: int
     def glue(g: Column, c: Column) -> Column:
         return F.concat(g["text"], F.when(g["text"].rlike(cjk + "$") & c["text"].rlike("^" + cjk), "").otherwise(" "), c["text"])
 
-    return _greedy(rows, joins, glue)
+    def apart(p, c):
+        return (p["end_ms"] - p["start_ms"] >= least_ms) & (p["text"].rlike(STRONG) | (F.length(p["text"]) >= limit))
+
+    return greedy(rows, joins, glue, apart)
 
 
 def stitch_shorts(segments: DataFrame, gap_ms: int = 900, short_ms: int = 2500, most_ms: int = 9000) -> DataFrame:
     """Short neighbours of one ``speaker`` joined from left to right while the whole stays within ``most_ms``."""
     rows = segments.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"), F.col("speaker").alias("tag"))
     short = lambda x: x["end_ms"] - x["start_ms"] <= short_ms
-    return _greedy(rows, lambda g, c: (c["start_ms"] - g["end_ms"] <= gap_ms) & short(g) & short(c) & (c["end_ms"] - g["start_ms"] <= most_ms) & g["tag"].eqNullSafe(c["tag"]))
+    return greedy(
+        rows, lambda g, c: (c["start_ms"] - g["end_ms"] <= gap_ms) & short(g) & short(c) & (c["end_ms"] - g["start_ms"] <= most_ms) & g["tag"].eqNullSafe(c["tag"]),
+        apart=lambda p, c: (c["start_ms"] - p["reach"] > gap_ms) | ~short(p) | ~short(c) | ~p["tag"].eqNullSafe(c["tag"]),
+    )
 
 
 def length_batches(rows: DataFrame, shards: int) -> DataFrame:

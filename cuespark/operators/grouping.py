@@ -1,7 +1,8 @@
 """Grouping, merging and clean-up of a media's cues where each step depends on the text so far.
 
-One media is one group: its rows go to Python as one frame, ordered by start and number. A
-media's cues are bounded by its length, media are spread over the cluster by their key.
+Greedy groups are folds over islands (``sequence.folded_groups``). ``segment_words``, ``merge_short``
+and ``finalize_cues`` look back and ahead at will: there one media's rows go to Python as one
+frame, ordered by start and number; media are spread over the cluster by their key.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuespark.functions.text import clean_text
 from cuespark.operators.expand import allocate_time, per_row
-from cuespark.operators.sequence import CLAUSE as PAUSED, KEY, STRONG as ENDED, _greedy
+from cuespark.operators.sequence import CLAUSE as PAUSED, KEY, STRONG as ENDED, folded_groups, greedy, too_far
 
 STRONG, CLAUSE = re.compile(r"[.!?…][\"')\]]*$"), re.compile(r"[,;:][\"')\]]*$")
 MERGED = "media_id long, group_no long, start_ms long, end_ms long, text string, members long"
@@ -41,14 +43,43 @@ def _merged(groups: DataFrame) -> DataFrame:
     return groups.select(KEY, "group_no", "start_ms", "end_ms", "text", "members")
 
 
-def group_smart(cues: DataFrame, gap=(-80, 300), span_ms: int = 7500, chars: int = 210, enough: int = 70) -> DataFrame:
-    """Cues joined across small gaps until the text is long enough and ends a sentence; a last comma becomes a stop."""
+def group_smart(cues: DataFrame, gap=(-80, 300), span_ms: int = 7500, chars: int = 210, enough: int = 70, strong_gap_ms: int = 180) -> DataFrame:
+    """Cues joined across small gaps until the text is long enough and ends a sentence.
+
+    A piece without a mark at its end gets a full stop where the gap to the next piece is wide or
+    the piece is long, else a comma; a last comma becomes a full stop. All lengths are those of the
+    marked text. A group ends with its last cue.
+    """
+    marked, ended = "[.!?,;:。！？，；：]$", "[.!?。！？]$"
+
+    def closed(t: Column, wide: Column) -> Column:
+        return F.when((t == "") | t.rlike(marked), t).otherwise(F.concat(t, F.when(wide | (F.length(t) >= enough), ".").otherwise(",")))
+
+    def beside(a: Column, b: Column) -> Column:
+        return F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit(" "), b))
+
+    def whole(done: Column, last: Column) -> Column:
+        return F.regexp_replace(beside(done, closed(last, F.lit(False))), ",$", ".")
+
+    def upto(g: Column, c: Column) -> Column:
+        return beside(g["done"], closed(g["last"], c["start_ms"] - g["end_ms"] >= strong_gap_ms))
 
     def joins(g: Column, c: Column) -> Column:
+        now = whole(g["done"], g["last"])
         fits = (c["start_ms"] - g["end_ms"]).between(*gap) & (c["end_ms"] - g["start_ms"] <= span_ms)
-        return fits & (F.length(g["text"]) + 1 + F.length(c["text"]) <= chars) & ((F.length(g["text"]) < enough) | ~g["text"].rlike(ENDED))
+        return fits & (F.length(whole(upto(g, c), c["text"])) <= chars) & ((F.length(now) < enough) | ~now.rlike(ended))
 
-    return _merged(_greedy(_texts(cues), joins)).withColumn("text", F.regexp_replace("text", ",$", "."))
+    group = lambda start, c, done: F.struct(start.alias("start_ms"), c["end_ms"].alias("end_ms"), done.alias("done"), c["text"].alias("last"))
+    rows = cues.select(KEY, "start_ms", "cue_no", "end_ms", clean_text(F.col("text")).alias("text"))
+    numbered = folded_groups(
+        rows, lambda c: group(c["start_ms"], c, F.lit("")), joins, lambda g, c: group(g["start_ms"], c, upto(g, c)),
+        lambda p, c: ~(c["start_ms"] - p["end_ms"]).between(*gap) | (c["end_ms"] - p["start_ms"] > span_ms),
+    )
+    members = numbered.groupBy(KEY, "group_no").agg(F.array_sort(F.collect_list(F.struct("start_ms", "cue_no", "end_ms", "text"))).alias("m"))
+    following = lambda k: F.get("m", k + 1)["start_ms"] - F.get("m", k)["end_ms"]
+    pieces = F.transform("m", lambda x, k: closed(x["text"], F.coalesce(following(k) >= strong_gap_ms, F.lit(False))))
+    text = F.regexp_replace(F.array_join(F.filter(pieces, lambda x: x != ""), " "), ",$", ".")
+    return members.select(KEY, "group_no", F.get("m", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("m", -1)["end_ms"].alias("end_ms"), text.alias("text"), F.size("m").cast("long").alias("members"))
 
 
 def group_natural(cues: DataFrame, gap=(-50, 140), span_ms: int = 4200, chars: int = 95, enough: int = 18) -> DataFrame:
@@ -62,7 +93,10 @@ def group_natural(cues: DataFrame, gap=(-50, 140), span_ms: int = 4200, chars: i
         marked = g["text"].rlike(ENDED) | g["text"].rlike(PAUSED)
         return F.concat(g["text"], F.when(marked, " ").otherwise(", "), c["text"])
 
-    return _merged(_greedy(_texts(cues), joins, glue))
+    def apart(p, c):
+        return too_far(p, c, gap, span_ms) | (F.length(p["text"]) + 2 + F.length(c["text"]) > chars)
+
+    return _merged(greedy(_texts(cues), joins, glue, apart))
 
 
 def build_chunks(cues: DataFrame, shortest_ms: int = 3000, longest_ms: int = 8500, gap_ms: int = 350, chars: int = 35, first: int | None = None) -> DataFrame:
@@ -73,40 +107,54 @@ def build_chunks(cues: DataFrame, shortest_ms: int = 3000, longest_ms: int = 850
         done = (g["end_ms"] - g["start_ms"] >= shortest_ms) & (g["size"] - 1 >= chars)
         return ~done & (c["start_ms"] - g["end_ms"]).between(0, gap_ms) & (c["end_ms"] - g["start_ms"] <= longest_ms)
 
-    out = _greedy(rows, joins).where((F.col("end_ms") - F.col("start_ms")).between(shortest_ms, longest_ms) & (F.col("size") > chars))
+    out = greedy(rows, joins, apart=lambda p, c: too_far(p, c, (0, gap_ms), longest_ms)).where((F.col("end_ms") - F.col("start_ms")).between(shortest_ms, longest_ms) & (F.col("size") > chars))
     if first is None:
         return out
     return out.withColumn("r", F.row_number().over(Window.partitionBy(KEY).orderBy("group_no"))).where(F.col("r") <= first).drop("r")
 
 
+# Ends of sentences and clauses over scripts, with a closing quote or bracket.
+SENTENCE_END = re.compile(r"[.!?。！？।؟…؛܀։՝።၊][\"')\]]?(?:\s+|$)")
+CLAUSE_END = re.compile(r"[,;:—、،؍](?:\s+|$)")
+
+
 def segment_words(words: DataFrame, aim_ms: int = 4500, most_ms: int = 9000, least_chars: int = 12, chars: int = 140, gap_ms: int = 350, side_ms: int = 1500) -> DataFrame:
-    """Words to segments: at a sentence's end from ``aim_ms`` on; when over the most, at a pause or clause, else at the best word inside."""
+    """Words to segments: at a sentence's end from ``aim_ms`` on; when over the most, at a clause's end or a pause, else after the best word inside, else here.
+
+    A word counts with the blank after it. The best word is the one that ends nearest ``aim_ms``,
+    less 2 s after a sentence and 0.8 s after a clause, and leaves ``side_ms`` on both sides.
+    """
 
     def run(rows: list[dict]) -> list[dict]:
-        out, held = [], []
-        text = lambda x: " ".join(w["text"] for w in x)
-        close = lambda x: out.append({"start_ms": x[0]["start_ms"], "end_ms": x[-1]["end_ms"], "text": text(x), "members": len(x)})
+        out, held, size = [], [], 0
+        text = lambda x: " ".join(" ".join(w["text"] for w in x).split())
+
+        def close(x: list[dict]) -> None:
+            if text(x):
+                out.append({"start_ms": x[0]["start_ms"], "end_ms": x[-1]["end_ms"], "text": text(x), "members": len(x)})
+
         for k, w in enumerate(rows):
             held.append(w)
-            span, last = held[-1]["end_ms"] - held[0]["start_ms"], w["text"]
+            size += len(w["text"]) + 1
+            span = w["end_ms"] - held[0]["start_ms"]
+            full = span >= most_ms or size >= chars
             pause = k + 1 < len(rows) and rows[k + 1]["start_ms"] - w["end_ms"] >= gap_ms
-            if span >= aim_ms and len(text(held)) >= least_chars and STRONG.search(last):
-                close(held)
-                held = []
-            elif span >= most_ms or len(text(held)) >= chars:
-                if pause or STRONG.search(last) or CLAUSE.search(last):
-                    close(held)
-                    held = []
-                    continue
-                best = None
+            sentence, clause = SENTENCE_END.search(w["text"]), CLAUSE_END.search(w["text"])
+            cut = 0
+            if span >= aim_ms and size >= least_chars and sentence or full and (sentence or clause or pause):
+                cut = len(held)
+            elif full:
+                inner = []
                 for i in range(1, len(held)):
-                    left, right = held[i - 1]["end_ms"] - held[0]["start_ms"], held[-1]["end_ms"] - held[i]["start_ms"]
+                    left, right = held[i - 1]["end_ms"] - held[0]["start_ms"], w["end_ms"] - held[i]["start_ms"]
                     if left >= side_ms and right >= side_ms:
-                        bonus = 2000 if STRONG.search(held[i - 1]["text"]) else 800 if CLAUSE.search(held[i - 1]["text"]) else 0
-                        best = min(best or (1 << 60, 0), (abs(left - aim_ms) - bonus, i))
-                if best:
-                    close(held[: best[1]])
-                    held = held[best[1] :]
+                        end = held[i - 1]["text"]
+                        inner.append((abs(left - aim_ms) - (2000 if SENTENCE_END.search(end) else 800 if CLAUSE_END.search(end) else 0), i))
+                cut = min(inner)[1] if inner else len(held)
+            if cut:
+                close(held[:cut])
+                held = held[cut:]
+                size = sum(len(x["text"]) + 1 for x in held)
         if held:
             close(held)
         return out
@@ -177,7 +225,12 @@ def merge_tiny(segments: DataFrame, mode: str = "tiny", most_chars: int = 84, cp
         tiny = (least(span, g, c) < 1200) | (least(n, g, c) < 8)
         return tiny & ~g["text"].rlike(ENDED) & (size <= most_chars) & (size * 1000 / F.greatest(F.lit(1), whole) <= cps) & g["tag"].eqNullSafe(c["tag"])
 
-    return _merged(_greedy(_texts(segments), joins))
+    def apart(p, c):
+        if mode == "repair":
+            return c["end_ms"] - p["start_ms"] > 6000
+        return ~p["tag"].eqNullSafe(c["tag"]) | p["text"].rlike(ENDED) | (n(p) + 1 + n(c) > most_chars)
+
+    return _merged(greedy(_texts(segments), joins, apart=apart))
 
 
 def finalize_cues(cues: DataFrame, markers: tuple[str, ...] = (), memory: int = 4, overlap: int = 6) -> DataFrame:

@@ -1,13 +1,13 @@
 """Ordered operators within a key: windows first, ordered folds where the state needs them.
 
 Rows are cues (media_id, cue_no, start_ms, end_ms, text, ...). Order is start_ms, then cue_no.
-Nothing is ordered across keys. Folds collect one media's cues into one row, so they are for
-keys of up to some hundred thousand rows; window operators have no such bound.
+Nothing is ordered across keys. Folds run over islands, rows between which a window has found
+that no group can reach; only a media without such a place is one row of its fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,40 +152,89 @@ STRONG, CLAUSE = r"[.!?…。！？][\"')\]]*$", r"[,;:，；：][\"')\]]*$"
 
 def group_cues(cues: DataFrame, max_span_ms: int = 8000, max_gap_ms: int = 550) -> DataFrame:
     """Greedy groups: a cue joins while 0 <= gap <= ``max_gap_ms`` and the group spans at most ``max_span_ms``; texts stand side by side."""
-    return _greedy(
+    return greedy(
         cues.select(KEY, "start_ms", "cue_no", "end_ms", F.lit(1).cast("long").alias("size"), "text"),
         lambda g, c: (c["start_ms"] - g["end_ms"]).between(0, max_gap_ms) & (c["end_ms"] - g["start_ms"] <= max_span_ms),
+        apart=lambda p, c: too_far(p, c, (0, max_gap_ms), max_span_ms),
     )
 
 
 def pack_blocks(rows: DataFrame, max_rows: int, max_size: int, marker: str = "\n") -> DataFrame:
     """Greedy blocks of rows (media_id, start_ms, cue_no, end_ms, size) of at most so many rows and size; ``text``, where there is any, is joined with the marker."""
-    return _greedy(rows, lambda g, c: (g["members"] < max_rows) & (g["size"] + c["size"] <= max_size), lambda g, c: F.concat(g["text"], F.lit(marker), c["text"]))
+    return greedy(
+        rows, lambda g, c: (g["members"] < max_rows) & (g["size"] + c["size"] <= max_size), lambda g, c: F.concat(g["text"], F.lit(marker), c["text"]),
+        apart=lambda p, c: p["size"] + c["size"] > max_size,
+    )
 
 
 def side_by_side(g: Column, c: Column) -> Column:
     return F.concat(g["text"], F.lit(" "), c["text"])
 
 
-def _greedy(rows: DataFrame, joins: Callable[[Column, Column], Column], glue: Callable[[Column, Column], Column] = side_by_side) -> DataFrame:
-    """Groups of rows in order: each row joins the open group or opens the next. ``text`` (by ``glue``) and ``tag`` (the first row's) are kept where the rows have them."""
-    extra = [c for c in ("text", "tag") if c in rows.columns]
-    group = "struct<start_ms:long,end_ms:long,members:long,size:long,first:long,last:long" + "".join(f",{c}:string" for c in extra) + ">"
-    zero = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.lit(None).cast(group).alias("open"))
-    more = {"text": glue, "tag": lambda g, _: g["tag"]}
-    fresh = lambda c: F.struct(c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.lit(1).cast("long").alias("members"), c["size"].alias("size"), c["cue_no"].alias("first"), c["cue_no"].alias("last"), *[c[x].alias(x) for x in extra])
-    grown = lambda g, c: F.struct(g["start_ms"].alias("start_ms"), F.greatest(g["end_ms"], c["end_ms"]).alias("end_ms"), (g["members"] + 1).alias("members"), (g["size"] + c["size"]).alias("size"), g["first"].alias("first"), c["cue_no"].alias("last"), *[more[x](g, c).alias(x) for x in extra])
+def too_far(p: Mapping[str, Column], c: Mapping[str, Column], gap: tuple[int, int], span_ms: int) -> Column:
+    """Whether no group that ends with ``p`` can take ``c``: its end is at least that of ``p`` and at most ``reach``, its start no later than that of ``p``."""
+    return (c["start_ms"] - p["reach"] > gap[1]) | (c["start_ms"] - p["end_ms"] < gap[0]) | (c["end_ms"] - p["start_ms"] > span_ms)
+
+
+#: Rows of an island that are folded into one array of marks.
+FOLDED = 256
+
+
+def folded_groups(
+    rows: DataFrame, fresh: Callable[[Column], Column], joins: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column], apart: Callable[[Mapping[str, Column], Mapping[str, Column]], Column] | None = None
+) -> DataFrame:
+    """``rows`` with ``group_no``: each row joins the open group or opens the next one.
+
+    ``apart(p, c)`` marks, by a window, rows that can't join whatever stands before: ``p`` has the
+    columns of the row before and ``reach``, the furthest end before. Between two such rows is an
+    island, and each is folded for itself: ``fresh(c)`` is the group that a row opens, ``joins(g, c)``
+    tells whether it joins and ``grown(g, c)`` is the group then. A fold only yields a mark for each
+    row, in arrays of FOLDED, so its cost grows with the rows and not with their square.
+    """
+    names = [c for c in rows.columns if c != KEY]
+    before = {c: F.lag(c).over(_w()) for c in names} | {"reach": F.max("end_ms").over(_before())}
+    cut = F.coalesce(apart(before, {c: F.col(c) for c in names}), F.lit(False)) if apart else F.lit(False)
+    islands = rows.withColumn("__cut", cut.cast("int")).withColumn("__island", F.sum("__cut").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start_ms", "cue_no", *[c for c in names if c not in ORDER]]
+    lists = islands.groupBy(KEY, "__island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("row"))
 
     def step(acc: Column, c: Column) -> Column:
         g = acc["open"]
-        return (
-            F.when(g.isNull(), F.struct(acc["done"].alias("done"), fresh(c).alias("open")))
-            .when(joins(g, c), F.struct(acc["done"].alias("done"), grown(g, c).alias("open")))
-            .otherwise(F.struct(F.array_append(acc["done"], g).alias("done"), fresh(c).alias("open")))
-        )
-
-    folded = ordered_fold(rows, KEY, ["start_ms", "cue_no", "end_ms", "size", *extra], zero, step, lambda acc: F.array_append(acc["done"], acc["open"]))
-    return folded.select(KEY, F.posexplode("value").alias("group_no", "g")).select(KEY, F.col("group_no").cast("long").alias("group_no"), "g.*")
+        told = lambda opens, group: F.struct(F.array_append(acc["marks"], F.lit(opens)).alias("marks"), group.alias("open"))
+        return F.when(g.isNull(), told(True, fresh(c))).when(joins(g, c), told(False, grown(g, c))).otherwise(told(True, fresh(c)))
+
+    none = F.when(F.lit(False), fresh(F.get("row", F.lit(0))))
+    empty = F.array().cast("array<boolean>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("row") - 1) / FOLDED).cast("int")), lambda k: F.slice("row", k * FOLDED + 1, F.lit(FOLDED)))
+
+    def stride(acc: Column, part: Column) -> Column:
+        folded = F.aggregate(part, F.struct(empty.alias("marks"), acc["open"].alias("open")), step)
+        return F.get(F.transform(F.array(folded), lambda x: F.struct(F.array_append(acc["done"], x["marks"]).alias("done"), x["open"].alias("open"))), F.lit(0))
+
+    zero = F.struct(F.array().cast("array<array<boolean>>").alias("done"), none.alias("open"))
+    marked = lists.withColumn("opens", F.aggregate(parts, zero, stride, lambda acc: F.flatten(acc["done"])))
+    flat = marked.select(KEY, F.inline(F.arrays_zip("row", "opens"))).select(KEY, "row.*", "opens")
+    number = F.sum(F.col("opens").cast("long")).over(_w().rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return flat.withColumn("group_no", number).drop("opens")
+
+
+def greedy(rows: DataFrame, joins: Callable[[Column, Column], Column], glue: Callable[[Column, Column], Column] = side_by_side, apart: Callable[[Mapping[str, Column], Mapping[str, Column]], Column] | None = None) -> DataFrame:
+    """Groups of rows (media_id, start_ms, cue_no, end_ms, size) in order. ``text`` (by ``glue``) and ``tag`` (the first row's) are kept where the rows have them."""
+    extra = [c for c in ("text", "tag") if c in rows.columns]
+    more = {"text": glue, "tag": lambda g, _: g["tag"]}
+    fresh = lambda c: F.struct(c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), F.lit(1).cast("long").alias("members"), c["size"].alias("size"), *[c[x].alias(x) for x in extra])
+    grown = lambda g, c: F.struct(g["start_ms"].alias("start_ms"), F.greatest(g["end_ms"], c["end_ms"]).alias("end_ms"), (g["members"] + 1).alias("members"), (g["size"] + c["size"]).alias("size"), *[more[x](g, c).alias(x) for x in extra])
+    place = F.struct("start_ms", "cue_no")
+    found = [
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("members"), F.sum("size").alias("size"),
+        F.min_by("cue_no", place).alias("first"), F.max_by("cue_no", place).alias("last"),
+    ]
+    if "text" in extra:
+        pieces = F.array_sort(F.collect_list(F.struct("start_ms", "cue_no", "text")))
+        found.append(F.aggregate(pieces, F.lit(None).cast("string"), lambda t, c: F.when(t.isNull(), c["text"]).otherwise(glue({"text": t}, c))).alias("text"))
+    if "tag" in extra:
+        found.append(F.min_by("tag", place).alias("tag"))
+    return folded_groups(rows, fresh, joins, grown, apart).groupBy(KEY, "group_no").agg(*found)
 
 
 def pair_fragile(cues: DataFrame, fragile: Column, max_gap_ms: int = 650) -> DataFrame:

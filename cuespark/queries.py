@@ -1117,7 +1117,15 @@ def _(spark, d):
 from cuespark.operators import grouping as gr  # noqa: E402
 
 
-_G12, _V12 = _fold_sql(_SPOKEN, f"r.start_ms - ge BETWEEN -80 AND 300 AND r.end_ms - gs <= 7500 AND length(gx) + 1 + length(r.text) <= 210 AND (length(gx) < 70 OR NOT regexp_matches(gx, {_STRONG}))")
+_CLOSED = "CASE WHEN {0} = '' OR regexp_matches({0}, '[.!?,;:。！？，；：]$') THEN {0} WHEN {1} OR length({0}) >= 70 THEN {0} || '.' ELSE {0} || ',' END"
+_WHOLE = "regexp_replace(trim({0} || ' ' || {1}), ',$', '.')"
+_G12 = f"SELECT media_id, gno - 1 AS group_no, min(gs) AS start_ms, arg_max(ge, rn) AS end_ms, arg_max({_WHOLE.format('done', _CLOSED.format('piece', 'false'))}, rn) AS text, count(*) AS members FROM g GROUP BY media_id, gno"
+_V12 = f"""
+r AS ({_SPOKEN}), g AS (SELECT media_id, rn, 1 AS gno, start_ms AS gs, end_ms AS ge, '' AS done, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS piece FROM r WHERE rn = 1
+ UNION ALL SELECT media_id, rn, CASE WHEN j THEN gno ELSE gno + 1 END, CASE WHEN j THEN gs ELSE start_ms END, end_ms, CASE WHEN j THEN upto ELSE '' END, t FROM (
+ SELECT *, start_ms - ge BETWEEN -80 AND 300 AND end_ms - gs <= 7500 AND length({_WHOLE.format('upto', _CLOSED.format('t', 'false'))}) <= 210 AND (length(cur) < 70 OR NOT regexp_matches(cur, '[.!?。！？]$')) AS j FROM (
+ SELECT r.media_id, r.rn, r.start_ms, r.end_ms, trim(regexp_replace(r.text, '\\s+', ' ', 'g')) AS t, gno, gs, ge, trim(done || ' ' || {_CLOSED.format('piece', 'r.start_ms - ge >= 180')}) AS upto, {_WHOLE.format('done', _CLOSED.format('piece', 'false'))} AS cur
+ FROM g JOIN r ON r.media_id = g.media_id AND r.rn = g.rn + 1)))"""
 _G13, _V13 = _fold_sql(
     _SPOKEN, f"NOT (length(gx) >= 18 AND regexp_matches(gx, {_STRONG})) AND r.start_ms - ge BETWEEN -50 AND 140 AND r.end_ms - gs <= 4200 AND length(gx) + 2 + length(r.text) <= 95",
     f"CASE WHEN regexp_matches(gx, {_STRONG}) OR regexp_matches(gx, {_CLAUSE}) THEN ' ' ELSE ', ' END",
@@ -1127,7 +1135,7 @@ _G23, _V23 = _fold_sql(_SPOKEN, f"({_LEAST.format(1200, 8)}) AND NOT regexp_matc
 _G23R, _V23R = _fold_sql(_SPOKEN, f"({_LEAST.format(650, 8)}) AND (length(gx) + 1 + length(r.text) <= 84 OR {_LEAST.format(300, 5)}) AND r.end_ms - gs <= 6000")
 
 
-@query("seq12_group_smart", _G12.replace("arg_max(gx, rn)", "regexp_replace(arg_max(gx, rn), ',$', '.')"), CUES, _V12)
+@query("seq12_group_smart", _G12, CUES, _V12)
 def _(spark, d):
     return gr.group_smart(cues(spark, d))
 
