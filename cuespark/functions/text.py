@@ -7,7 +7,7 @@ generated stage. Null in gives null out unless a line says otherwise.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,16 +176,97 @@ def has_marker(c: Column, markers: Sequence[str]) -> Column:
     return out
 
 
-def clean_overlay_lines(c: Column) -> Column:
-    """Lines without handles, figures and repeats (by compact key), the first of each kept."""
-    lines = F.transform(F.split(c, "\n"), lambda t: collapse(F.regexp_replace(t, r"@\w+", "")))
-    lines = F.filter(lines, lambda t: (t != "") & ~t.rlike(r"^[\d\s]+$"))
-    kept = F.aggregate(
-        lines,
-        F.array().cast("array<string>"),
-        lambda acc, t: F.when(F.exists(acc, lambda x: compact_key(x) == compact_key(t)), acc).otherwise(F.array_append(acc, t)),
+# Labels of a display, codes and phrases that stand over a picture.
+OVERLAY_LABELS = (
+    r"每日签到\s*[:：]\s*未进行", r"任务列表\s*[:：]\s*待领取任务\d+", r"经验值\s*[:：]\s*零", r"能力\s*[:：]\s*(?:暂无|暂天)",
+)
+OVERLAY_ONLY = (
+    r"^\s*(?:每日签到[:：]\s*未进行\s*)+$", r"^\s*(?:任务列表[:：]\s*待领取任务\d+\s*)+$", r"^\s*(?:经验值[:：]\s*零|能力[:：]\s*(?:暂无|暂天))\s*$",
+)
+OVERLAY_CODES = (
+    r"\d{1,3}\s*[:：.\-]\s*\d{2,5}", r"[01]{8,}(?:\s*\d{3,5})?", r"(?<![A-Za-z])\d{5,}(?![A-Za-z])", r"\s+\d{3,5}(?=\s|$)", r"(?<=\s)\d{1,4}(?=\s|$)",
+)
+OVERLAY_PHRASES = ("护士站", "活垃圾", "汉回可", "处回可")
+OVERLAY_HANDLE, OVERLAY_EDGES = r"@\s*[㐀-\x{9fff}A-Za-z0-9_]{1,12}", "[ ，,、:：.-]"
+
+
+def visible_key(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[\s,，。.!！?？:：;；、·\-\[\]【】()（）]+", "")
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def ruled(state: Column, name: str, change: Callable[[Column], Column]) -> Column:
+    """A state (text, hits) after a rule: the changed text, and the rule's name among the hits if it changed."""
+    return let(
+        state,
+        lambda s: let(change(s["text"]), lambda t: F.struct(t.alias("text"), F.when(t != s["text"], F.array_append(s["hits"], F.lit(name))).otherwise(s["hits"]).alias("hits"))),
     )
-    return F.array_join(kept, "\n")
+
+
+def clean_overlay(c: Column, labels: Sequence[str] = OVERLAY_LABELS, only: Sequence[str] = OVERLAY_ONLY, codes: Sequence[str] = OVERLAY_CODES, phrases: Sequence[str] = OVERLAY_PHRASES) -> Column:
+    """struct(text, hits map): a text without what stands over a picture, and how often each rule struck.
+
+    Line by line: handles and codes (``watermark_or_code``) go, labels (``ui_inline``) and phrases (each
+    by its own name) go; a line of labels only stays as it is, one that has no CJK left but had
+    labels keeps each of them once, a line of digits goes. Lines with the visible characters of an earlier one go
+    (``in_cue_duplicate``), as do, up to four times, words that are said twice. One expression; every rule runs once a line.
+    """
+    edges = lambda x: F.regexp_replace(F.regexp_replace(x, rf"^{OVERLAY_EDGES}+", ""), rf"{OVERLAY_EDGES}+$", "")
+    squeezed = lambda x: edges(F.regexp_replace(x, r"(?U)\s+", " "))
+    solid = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    gone = lambda pattern: lambda t: F.regexp_replace(t, pattern, " ")
+    none = F.array().cast("array<string>")
+    state = lambda text, hits=none: F.struct(text.alias("text"), hits.alias("hits"))
+
+    def line(x: Column) -> Column:
+        # white space alone is no change by a handle
+        s = let(ruled(state(solid(x)), "watermark_or_code", gone(OVERLAY_HANDLE)), lambda s: state(squeezed(s["text"]), s["hits"]))
+        is_label = lambda t: F.lit(False) if not only else t.rlike("|".join(f"(?:{p})" for p in only))
+
+        def inner(s: Column) -> Column:
+            shown = F.flatten(F.array(*[F.regexp_extract_all(s["text"], F.lit(p), F.lit(0)) for p in labels])) if labels else none
+            t = s
+            for p in codes:
+                t = ruled(t, "watermark_or_code", gone(p))
+            for p in labels:
+                t = ruled(t, "ui_inline", gone(p))
+
+            def rest(t: Column) -> Column:
+                u = t
+                for p in phrases:
+                    u = ruled(u, p, lambda x, p=p: F.replace(x, F.lit(p), F.lit(" ")))
+                u = let(u, lambda v: state(squeezed(v["text"]), v["hits"]))
+                u = ruled(u, "watermark_or_code", lambda v: F.regexp_replace(v, r"(?U)^[\d\s:：.\-]+$", ""))
+                unique = F.aggregate(shown, none, lambda acc, h: F.when((visible_key(h) == "") | F.exists(acc, lambda y: visible_key(y) == visible_key(h)), acc).otherwise(F.array_append(acc, solid(h))))
+                return F.when((F.size(shown) > 0) & ~has_cjk(t["text"]), state(F.array_join(unique, " "), t["hits"])).otherwise(u)
+
+            return let(t, rest)
+
+        return let(s, lambda s: F.when((s["text"] == "") | is_label(s["text"]), s).otherwise(inner(s)))
+
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"[\r\n]+"), line)
+    held = "struct<lines:array<string>,keys:array<string>,hits:array<string>>"
+    zero = F.struct(none.alias("lines"), none.alias("keys"), none.alias("hits")).cast(held)
+
+    def gather(acc: Column, x: Column) -> Column:
+        def decide(k: Column) -> Column:
+            hits = F.concat(acc["hits"], x["hits"])
+            same = F.struct(acc["lines"].alias("lines"), acc["keys"].alias("keys"), hits.alias("hits"))
+            again = F.struct(acc["lines"].alias("lines"), acc["keys"].alias("keys"), F.array_append(hits, F.lit("in_cue_duplicate")).alias("hits"))
+            more = F.struct(F.array_append(acc["lines"], x["text"]).alias("lines"), F.array_append(acc["keys"], k).alias("keys"), hits.alias("hits"))
+            return F.when(k == "", same).when(F.array_contains(acc["keys"], k), again).otherwise(more)
+
+        return let(visible_key(x["text"]), decide)
+
+    whole = F.aggregate(lines, zero, gather, lambda acc: state(F.array_join(acc["lines"], " "), acc["hits"]))
+    for _ in range(4):
+        whole = ruled(whole, "in_cue_duplicate", lambda t: F.regexp_replace(t, r"(?U)(.{4,24})\s+\1", "$1"))
+    counts = lambda hits: F.map_from_entries(F.transform(F.array_distinct(hits), lambda n: F.struct(n, F.size(F.filter(hits, lambda y: y == n)))))
+    return let(whole, lambda s: F.struct(squeezed(s["text"]).alias("text"), counts(s["hits"]).alias("hits")))
 
 
 def speakable(c: Column) -> Column:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespark.operators.sequence import CLAUSE, KEY, STRONG, greedy, too_far
+from cuespark.functions.text import let
+from cuespark.operators.sequence import CLAUSE, KEY, STRONG, folded_groups, greedy
 
 WORDS = "array<string>"
 
@@ -26,11 +27,23 @@ def packed_words(text: Column, limit: int) -> Column:
     return F.aggregate(words, F.array().cast(WORDS), lambda acc, w: F.when(F.size(acc) == 0, F.array(w)).otherwise(add(acc, w)))
 
 
+def solid_pieces(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+
+
+def caption_pieces(text: Column, limit: int) -> Column:
+    """Sentences; those over the limit by clauses; clauses over it cut at every ``limit`` characters where they have CJK, else packed by words."""
+    sliced = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda k: F.substring(s, k * limit + 1, F.lit(limit)))
+    fits = lambda s: F.length(s) <= limit
+    sentences = solid_pieces(F.split(text, r"(?U)(?<=[.!?。！？])\s*"))
+    clauses = F.flatten(F.transform(sentences, lambda s: F.when(fits(s), F.array(s)).otherwise(solid_pieces(F.split(s, r"(?U)(?<=[,;:，；：、])\s*")))))
+    return F.flatten(F.transform(clauses, lambda s: F.when(fits(s), F.array(s)).when(s.rlike(r"[\x{3400}-\x{9fff}]"), sliced(s)).otherwise(packed_words(s, limit))))
+
+
 def split_caption(df: DataFrame, limit: int = 72) -> DataFrame:
-    """Sentences; those over the limit by words. Adds (piece_no, piece)."""
-    sentences = F.split("text", r"(?<=[.!?…])\s+")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(packed_words(s, limit))))
-    return df.select("*", F.posexplode(F.filter(pieces, lambda p: p != "")).alias("piece_no", "piece"))
+    """Pieces of the text without tags. Adds (piece_no, piece)."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", "<[^>]+>", " "), r"(?U)\s+", " "))
+    return df.select("*", F.posexplode(caption_pieces(clean, limit)).alias("piece_no", "piece"))
 
 
 def split_units(df: DataFrame, limit: int) -> DataFrame:
@@ -72,15 +85,42 @@ def session_splits(df: DataFrame, trigger_ms: int, most_ms: int) -> DataFrame:
     return out.withColumn("offset_ms", at(F.col("session"))).withColumn("session_end", at(F.col("session") + 1)).drop("n")
 
 
+# Signs of a prompt in a reply.
+PROMPT_LEAK = r"(?i)TVS_GEMINI|DA_NAM_BOI_CANH|CHI TRA KET QUA|Khong gop|Dich phu de Trung|SRT_TEXT|REQUEST_ID|BLOCK_COUNT_MISMATCH"
+PROMPT_ECHO = r"(?i)CRITICAL RULES|Translate ONLY|You said|Dich cac dong|Lam sach cac dong"
+
+
 def parse_indexed_reply(replies: DataFrame, expected: str = "expected") -> DataFrame:
-    """Replies (reply_id, expected, reply) with ``[n] text`` markers to rows; of several texts of a number the longest; ``status`` tells a count mismatch."""
-    pieces = F.split(F.regexp_replace("reply", r"\[(\d+)\]\s*", "\u0001$1\u0002"), "\u0001")
-    r = replies.select("reply_id", expected, F.posexplode(pieces).alias("pos", "p")).where("instr(p, '\u0002') > 0")
-    r = r.select("reply_id", expected, "pos", F.substring_index("p", "\u0002", 1).cast("long").alias("n"), F.regexp_replace(F.substring_index("p", "\u0002", -1), r"^\s+|\s+$", "").alias("text"))
-    r = r.where((F.col("text") != "") & F.col("n").between(1, F.col(expected)))
-    best = r.groupBy("reply_id", expected, "n").agg(F.max_by("text", F.struct(F.length("text"), -F.col("pos"))).alias("text"))
-    got = F.count(F.lit(1)).over(Window.partitionBy("reply_id"))
-    return best.withColumn("status", F.when(got == F.col(expected), "ok").otherwise("BLOCK_COUNT_MISMATCH"))
+    """Replies (reply_id, expected, reply) with ``[n] text`` markers to rows (reply_id, expected, n, text, status).
+
+    ``indexed``: every number from 1 has a text that is no part of a prompt; of several the best by its script, the first of
+    equal ones. ``run``: else, the last markers count from 1 to the expected number, each with a text.
+    ``lines``: else, as many lines as expected. Where none holds there is one row without a text,
+    ``BLOCK_COUNT_MISMATCH``. Code fences are no text.
+    """
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    clean = strip(F.regexp_replace("reply", r"(?s)```(.*?)```", "$1"))
+    r = replies.select("reply_id", expected, clean.alias("reply"))
+    pieces = F.split(F.regexp_replace("reply", r"\[(\d+)\]", "\u0001$1\u0002"), "\u0001")
+    m = r.select("reply_id", expected, F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("pos", "p"))
+    m = m.select("reply_id", expected, "pos", F.expr("try_cast(substring_index(p, '\u0002', 1) as long)").alias("n"), strip(F.substring_index("p", "\u0002", -1)).alias("text"))
+    score = (
+        F.when(F.col("text").rlike(r"[\x{3400}-\x{9fff}]"), -8).otherwise(0) + F.when(F.col("text").rlike(PROMPT_LEAK), -20).otherwise(0) + F.when(F.col("text").rlike(r"[\x{00C0}-\x{1EF9}]"), 5).otherwise(0)
+        + F.when(F.col("text").rlike("[a-zA-Z]"), 2).otherwise(0) + F.when(F.col("text").rlike("[。！？；，、]"), -2).otherwise(0)
+    )
+    good = m.where((F.col("text") != "") & F.col("n").between(1, F.col(expected)) & ~F.col("text").rlike(PROMPT_LEAK) & ~F.col("text").rlike(PROMPT_ECHO))
+    best = good.groupBy("reply_id", expected, "n").agg(F.max_by("text", F.struct(score, -F.col("pos"))).alias("text"))
+    of = Window.partitionBy("reply_id")
+    indexed = best.where(F.col("n").isNotNull()).withColumn("got", F.count(F.lit(1)).over(of)).where(F.col("got") == F.col(expected)).select("reply_id", expected, "n", "text", F.lit(0).alias("path"))
+    # markers that count along with their places are one run; the last must hold all of it
+    tail = m.withColumn("total", F.count(F.lit(1)).over(of)).where(F.col("pos") >= F.col("total") - F.col(expected))
+    whole = (F.col("n") == F.col("pos") - F.col("total") + F.col(expected) + 1) & (F.col("text") != "") & ~F.col("text").contains("CRITICAL RULES")
+    run = tail.withColumn("right", F.count(F.when(whole, 1)).over(of)).where(F.col("right") == F.col(expected)).select("reply_id", expected, "n", "text", F.lit(1).alias("path"))
+    lines = F.filter(F.transform(F.split("reply", r"\r?\n"), lambda x: strip(F.regexp_replace(x, r"(?U)^\s*\[\d+\]\s*", ""))), lambda x: x != "")
+    listed = r.withColumn("l", lines).where(F.size("l") == F.col(expected)).select("reply_id", expected, F.posexplode("l").alias("k", "text")).select("reply_id", expected, (F.col("k") + 1).cast("long").alias("n"), "text", F.lit(2).alias("path"))
+    none = r.select("reply_id", expected, F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("text"), F.lit(3).alias("path"))
+    ways = indexed.unionByName(run).unionByName(listed).unionByName(none).withColumn("first", F.min("path").over(of)).where("path = first")
+    return ways.select("reply_id", expected, "n", "text", F.element_at(F.array(*[F.lit(x) for x in ("indexed", "run", "lines", "BLOCK_COUNT_MISMATCH")]), F.col("path") + 1).alias("status"))
 
 
 def training_examples(df: DataFrame, limit: int, least: int = 8) -> DataFrame:
@@ -182,10 +222,74 @@ def stitch_shorts(segments: DataFrame, gap_ms: int = 900, short_ms: int = 2500,
     )
 
 
-def length_batches(rows: DataFrame, shards: int) -> DataFrame:
-    """Batches of rows (media_id, cue_no, chars) by length in each shard: 8, 6, 4 or 2 rows as they grow longer."""
-    r = rows.withColumn("shard", F.pmod(F.xxhash64(KEY, "cue_no"), F.lit(shards)))
-    size = F.when(F.col("chars") <= 50, 8).when(F.col("chars") <= 100, 6).when(F.col("chars") <= 200, 4).otherwise(2)
-    r = r.withColumn("size", size)
-    n = F.row_number().over(Window.partitionBy("shard", "size").orderBy("chars", KEY, "cue_no"))
-    return r.withColumn("batch", F.floor((n - 1) / F.col("size")).cast("long"))
+def length_batches(rows: DataFrame, shard: Column) -> DataFrame:
+    """Rows (media_id, cue_no, chars, force_single) with ``shard`` and ``batch``, laid by length in each shard.
+
+    A batch takes rows while it has at most 8, 6, 4 or 2 of them by its average length with the new
+    one (50, 100, 200 characters, or more); a row that must be single is a batch of its own. One
+    order over all rows would be one task, so ``shard`` should deal rows evenly and hold what a task
+    can fold, some hundred thousand rows.
+    """
+    order = ("chars", KEY, "cue_no")
+    r = rows.select(shard.alias("shard"), F.col("chars").cast("long").alias("chars"), KEY, "cue_no", F.coalesce("force_single", F.lit(False)).alias("alone"))
+    held = lambda n, size, alone: F.struct(n.alias("n"), size.alias("size"), alone.alias("alone"))
+
+    def joins(g: Column, c: Column) -> Column:
+        n, size = g["n"] + 1, g["size"] + c["chars"]
+        most = F.when(size <= 50 * n, 8).when(size <= 100 * n, 6).when(size <= 200 * n, 4).otherwise(2)
+        return ~g["alone"] & ~c["alone"] & (n <= most)
+
+    fresh = lambda c: held(F.lit(1).cast("long"), c["chars"], c["alone"])
+    out = folded_groups(r, fresh, joins, lambda g, c: held(g["n"] + 1, g["size"] + c["chars"], F.lit(False)), lambda p, c: p["alone"] | c["alone"], "shard", order)
+    return out.withColumnRenamed("group_no", "batch").withColumnRenamed("alone", "force_single")
+
+
+# Marks that end a sentence, or a clause, before a blank or the end.
+SENTENCE_MARKS, CLAUSE_MARKS, CLOSERS = ".!?。！？।؟…؛܀։՝።၊", ",;:—、،؍", "\"')]"
+
+
+def nearest_boundary(text: Column, ideal: Column) -> Column:
+    """The offset after a sentence's end nearest ``ideal``; without any, after a clause's end; without any, before a blank; else the end."""
+    char = lambda o: F.substring(text, o, F.lit(1))
+    ends = lambda o: F.substring(text, o + 1, F.lit(1)).rlike(r"(?U)^\s?$")
+    among = lambda c, marks: (c != "") & F.lit(marks).contains(c)
+    places = F.sequence(F.lit(1), F.length(text))
+    sentence = F.filter(places, lambda o: ends(o) & (among(char(o), SENTENCE_MARKS) | among(char(o), CLOSERS) & (o > 1) & among(char(o - 1), SENTENCE_MARKS)))
+    clause = F.filter(places, lambda o: ends(o) & among(char(o), CLAUSE_MARKS))
+    blank = F.filter(F.transform(places, lambda o: o - 1), lambda o: char(o + 1) == " ")
+    closest = lambda offsets: F.array_min(F.transform(offsets, lambda o: F.struct(F.abs(o - ideal).alias("d"), o.alias("o"))))["o"]
+    return F.when(F.length(text) <= 1, F.length(text)).otherwise(F.coalesce(closest(sentence), closest(clause), closest(blank), F.length(text)))
+
+
+def split_at_cuts(segments: DataFrame, cuts: DataFrame, side_ms: int = 1500, least: int = 12) -> DataFrame:
+    """Segments (media_id, a_id, a_start, a_end, text) cut, with their texts, at the points inside them: (piece_no, start_ms, end_ms, text).
+
+    A point counts more than ``side_ms`` inside; the text is cut at the boundary nearest the point's
+    share of the time. A cut that leaves fewer than ``least`` characters or ``side_ms`` on either side is refused, and
+    the next is tried on what is left.
+    """
+    from cuespark.operators.joins import points_in
+
+    inner = points_in(segments.select(KEY, "a_id", "a_start", "a_end"), cuts.select(KEY, "at_ms").distinct(), side_ms).groupBy(KEY, "a_id").agg(F.sort_array(F.collect_list("at_ms")).alias("cuts"))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    piece = lambda a, b, t: F.struct(a.alias("start_ms"), b.alias("end_ms"), t.alias("text"))
+
+    def step(acc: Column, cut: Column) -> Column:
+        rest = acc["rest"]
+        ideal = F.floor(F.length(rest["text"]) * (cut - rest["start_ms"]) / (F.col("a_end") - rest["start_ms"])).cast("int")
+        halves = lambda at: F.struct(strip(F.substring(rest["text"], F.lit(1), at)).alias("left"), strip(F.substring(rest["text"], at + 1, F.length(rest["text"]))).alias("right"))
+
+        def decide(h: Column) -> Column:
+            fits = (F.length(h["left"]) >= least) & (F.length(h["right"]) >= least) & (cut - rest["start_ms"] >= side_ms) & (F.col("a_end") - cut >= side_ms)
+            cut_here = F.struct(F.array_append(acc["done"], piece(rest["start_ms"], cut, h["left"])).alias("done"), piece(cut, F.col("a_end"), h["right"]).alias("rest"))
+            return F.when(fits, cut_here).otherwise(acc)
+
+        return let(let(nearest_boundary(rest["text"], ideal), halves), decide)
+
+    one = "struct<start_ms:long,end_ms:long,text:string>"
+    whole = piece(F.col("a_start").cast("long"), F.col("a_end").cast("long"), F.col("text"))
+    zero = F.struct(F.array().cast(f"array<{one}>").alias("done"), whole.alias("rest"))
+    all_cuts = F.transform(F.coalesce("cuts", F.array().cast("array<long>")), lambda x: x.cast("long"))
+    pieces = F.aggregate(all_cuts, zero, step, lambda acc: F.array_append(acc["done"], acc["rest"]))
+    out = segments.join(inner, [KEY, "a_id"], "left").select(KEY, "a_id", F.posexplode(pieces).alias("piece_no", "s"))
+    return out.select(KEY, "a_id", (F.col("piece_no") + 1).cast("long").alias("piece_no"), "s.*")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.functions.text import clean_text
-from cuespark.operators.expand import allocate_time, per_row
+from cuespark.operators.expand import allocate_time, caption_pieces, per_row
 from cuespark.operators.sequence import CLAUSE as PAUSED, KEY, STRONG as ENDED, folded_groups, greedy, too_far
 
 STRONG, CLAUSE = re.compile(r"[.!?…][\"')\]]*$"), re.compile(r"[,;:][\"')\]]*$")
@@ -233,31 +233,95 @@ def merge_tiny(segments: DataFrame, mode: str = "tiny", most_chars: int = 84, cp
     return _merged(greedy(_texts(segments), joins, apart=apart))
 
 
-def finalize_cues(cues: DataFrame, markers: tuple[str, ...] = (), memory: int = 4, overlap: int = 6) -> DataFrame:
-    """Cues without leaked notes and near repeats: a start that repeats the end of the last text is cut off, and of
-    equal texts among the last few the longer stays. ``rule`` tells what happened to a kept cue."""
-    key = lambda t: re.sub(r"[\W_]+", "", t.lower())
+# Labels of a display that stand beside what is said, and signs of a display's line.
+DAILY, TASKS = re.compile(r"每日签到\s*[:：]\s*未进行"), re.compile(r"任务列表\s*[:：]\s*待领取任务\d+")
+DISPLAY_LINE = re.compile(r"^\s*\d+|理解和配合|[·]+")
+VISIBLE, EDGES = re.compile(r"[\s,，。.!！?？:：;；、·\-\[\]【】()（）]+"), " ，,、"
+
+
+def marked_cues(cues: DataFrame, leaks: tuple[str, ...] = (), summaries: tuple[str, ...] = (), memory: int = 4, overlap: int = 6, long_chars: int = 80, long_ms: int = 15_000) -> DataFrame:
+    """Every cue with what the clean-up made of it: ``kept`` and ``rules``, in order of ``group_no``.
+
+    First pass: texts with a leak marker go (``leak``), and long texts over a long time with a
+    summary marker (``summary``); a daily label before a task label, and a start that repeats at
+    least ``overlap`` visible characters of the end of the last kept text, are cut off (``trimmed``);
+    of equal texts among the last ``memory`` kept, the one with the longer time stays in the place of
+    the first (``repeat``). Second pass, by start: a display line that holds all of the text before
+    goes, and of neighbours with equal visible characters the longer time stays (``adjacent``).
+    Texts are compared by their visible characters where the rule says so. A pass keeps four rows
+    and one text; a media's rows are one frame.
+    """
+    key = lambda t: VISIBLE.sub("", t)
 
     def run(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
+        span = lambda r: r["end_ms"] - r["start_ms"]
         for r in rows:
-            text, rule = r["text"].strip(), ""
-            if not text or any(m in text.lower() for m in markers):
+            r.update(text=r["text"].strip(), rules=[], kept=True)
+
+        def drop(r: dict, rule: str) -> None:
+            r["kept"] = False
+            r["rules"].append(rule)
+
+        first: list[dict] = []
+        for r in rows:
+            text = r["text"]
+            if any(m in text for m in leaks):
+                drop(r, "leak")
                 continue
-            if kept:
-                last = kept[-1]["text"]
-                n = next((n for n in range(min(len(last), len(text)), overlap - 1, -1) if last.endswith(text[:n])), 0)
-                if n and n < len(text):
-                    text, rule = text[n:].strip(), "trimmed"
-            twin = next((k for k in kept[-memory:] if key(k["text"]) == key(text)), None)
-            if twin:
-                twin["text"], twin["rule"] = max(twin["text"], text, key=len), "repeat"
-                twin["end_ms"], twin["members"] = max(twin["end_ms"], r["end_ms"]), twin["members"] + 1
-            elif text:
-                kept.append({**r, "text": text, "rule": rule, "members": 1})
-        return kept
-
-    return per_media(cues, run, MERGED + ", rule string")
+            if len(text) > long_chars and span(r) > long_ms and any(m in text for m in summaries):
+                drop(r, "summary")
+                continue
+            if first and text:
+                last = first[-1]["text"]
+                if (DAILY.search(last) or TASKS.search(last)) and TASKS.search(text):
+                    rest = re.sub(r"\s+", " ", DAILY.sub(" ", text)).strip(EDGES)
+                    if rest:
+                        text = rest
+                        r["rules"].append("trimmed")
+                before, now = key(last), key(text)
+                n = next((n for n in range(min(len(before), len(now)), overlap - 1, -1) if now.startswith(before[-n:])), 0)
+                rest = text.replace(before[-n:], "", 1).strip(EDGES) if n else ""
+                if rest and key(rest) != now:
+                    text = rest
+                    r["rules"].append("trimmed")
+                r["text"] = text
+            twin = next((k for k in range(max(0, len(first) - memory), len(first)) if text and first[k]["text"] == text), None)
+            if twin is None:
+                first.append(r)
+            elif span(r) > span(first[twin]):
+                drop(first[twin], "repeat")
+                first[twin] = r
+            else:
+                drop(r, "repeat")
+        last = None
+        for r in sorted(first, key=lambda r: r["start_ms"]):
+            if last:
+                before, now = key(last["text"]), key(r["text"])
+                if before and before in now and before != now and DISPLAY_LINE.search(r["text"]):
+                    drop(r, "adjacent")
+                    continue
+                if DAILY.search(last["text"]) and TASKS.search(r["text"]):
+                    r["text"] = re.sub(r"\s+", " ", DAILY.sub(" ", r["text"])).strip(EDGES)
+                    r["rules"].append("trimmed")
+                if key(r["text"]) == before:
+                    if span(r) > span(last):
+                        drop(last, "adjacent")
+                        last = r
+                    else:
+                        drop(r, "adjacent")
+                    continue
+            last = r
+        return [{**r, "rules": r["rules"]} for r in rows]
+
+    schema = "media_id long, group_no long, cue_no long, start_ms long, end_ms long, text string, kept boolean, rules array<string>"
+    return per_media(cues, run, schema)
+
+
+def finalize_cues(cues: DataFrame, leaks: tuple[str, ...] = (), summaries: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(the cues that ``marked_cues`` keeps, (media_id, rule, n) how often each rule struck)."""
+    marked = marked_cues(cues, leaks, summaries)
+    struck = marked.select(KEY, F.explode("rules").alias("rule")).groupBy(KEY, "rule").agg(F.count(F.lit(1)).alias("n"))
+    return marked.where("kept").select(KEY, "cue_no", "start_ms", "end_ms", "text", "rules"), struck
 
 
 def readable_pieces(text: str, limit: int = 84) -> list[str]:
@@ -273,10 +337,78 @@ def readable_pieces(text: str, limit: int = 84) -> list[str]:
     return [text[:limit], *readable_pieces(text[limit:], limit)]
 
 
-def split_for_reading(cues: DataFrame, limit: int = 84) -> DataFrame:
-    """Pieces of readable length that share the cue's time by their characters."""
-    parts = per_row(cues, lambda t: [(k, p, len(p)) for k, p in enumerate(readable_pieces(t, limit))], "piece_no:int,piece:string,weight:int")
-    return allocate_time(parts)
+# Ends of sentences and clauses, and words before which a text may be cut.
+SENTENCE_CUT, CLAUSE_CUT = re.compile(r"[.!?。！？]+\s+"), re.compile(r"[,;:—，；：]\s+")
+CONJUNCTIONS = (
+    "and", "but", "or", "so", "however", "because", "although", "while", "therefore", "meanwhile",
+    "y", "pero", "o", "et", "mais", "ou", "donc", "und", "aber", "oder", "weil",
+)
+CONJUNCTION_CUT = re.compile(rf"\s+(?:{'|'.join(sorted(CONJUNCTIONS, key=len, reverse=True))})\s+", re.IGNORECASE)
+
+
+def reading_cut(text: str, chars: int) -> int | None:
+    """Where to cut: of sentence ends, clause ends and conjunctions, in this order and then by nearness to the middle, the
+    first that leaves both sides within ``chars``, else the first; without any, the blank nearest the middle."""
+    n, half = len(text), len(text) / 2
+    cuts = [(kind, c) for kind, found in enumerate(((m.end() for m in SENTENCE_CUT.finditer(text)), (m.end() for m in CLAUSE_CUT.finditer(text)), (m.start() + 1 for m in CONJUNCTION_CUT.finditer(text)))) for c in found if 0 < c < n]
+    cuts.sort(key=lambda x: (x[0], abs(x[1] - half)))
+    fitting = [c for _, c in cuts if len(text[:c].strip()) <= chars and len(text[c:].strip()) <= chars]
+    if cuts:
+        return fitting[0] if fitting else cuts[0][1]
+    blanks = [i for i, ch in enumerate(text) if ch.isspace() and i]
+    return min(blanks, key=lambda i: abs(i - n // 2), default=None)
+
+
+def time_at(text: str, at: int, start: int, end: int, words: list[tuple[str, int, int]]) -> int:
+    """The time of a cut: the end of the word that it falls in or after, else the share of the characters."""
+    if not words:
+        return start + (end - start) * at // max(1, len(text))
+    place, last = 0, start
+    for word, _, word_end in words:
+        while place < len(text) and text[place].isspace():
+            place += 1
+        if at <= place:
+            return last
+        place += len(word)
+        if at <= place:
+            return word_end
+        last = word_end
+    return end
+
+
+def reading_pieces(text: str, start: int, end: int, words: list[tuple[str, int, int]], chars: int, cps: float) -> list[tuple]:
+    """Timed pieces (text, start, end, words), cut until each fits or has no place to cut."""
+    todo, out = [(text.strip(), start, end, words)], []
+    while todo:
+        t, a, b, w = todo.pop()
+        cut = None if len(t) <= chars and len(t) * 1000 <= cps * max(1, b - a) else reading_cut(t, chars)
+        left, right = (t[:cut].rstrip(), t[cut:].lstrip()) if cut else ("", "")
+        if left and right:
+            at = time_at(t, cut, a, b, w)
+            todo += [(right, at, b, [x for x in w if x[1] >= at]), (left, a, at, [x for x in w if x[2] <= at])]
+        else:
+            out.append((t, a, b, w))
+    return out
+
+
+def split_for_reading(segments: DataFrame, chars: int = 84, cps: float = 17.0) -> DataFrame:
+    """Pieces (piece_no, piece, part_start, part_end, n_words) of at most ``chars`` characters and ``cps`` a second, where a cut exists.
+
+    ``words``, an array of (text, start_ms, end_ms), gives the times of cuts where the segments have it; each
+    piece keeps the words on its side. Without words, time is shared by characters.
+    """
+    timed = F.col("words") if "words" in segments.columns else F.lit(None).cast("array<struct<text:string,start_ms:long,end_ms:long>>")
+
+    @F.pandas_udf("array<struct<piece_no:int,piece:string,part_start:long,part_end:long,n_words:int>>")
+    def run(text: pd.Series, start: pd.Series, end: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b, w in zip(text.fillna(""), start, end, words, strict=True):
+            pieces = reading_pieces(t, int(a), int(b), [(x["text"], x["start_ms"], x["end_ms"]) for x in w] if w is not None else [], chars, cps)
+            out.append([(k, p, x, y, len(z)) for k, (p, x, y, z) in enumerate(pieces)])
+        return pd.Series(out)
+
+    kept = [c for c in segments.columns if c != "words"]
+    return segments.withColumn("__p", run("text", "start_ms", "end_ms", timed)).select(*kept, F.inline("__p"))
 
 
 def split_long_cues(cues: DataFrame, most_ms: int = 7000, chars: int = 48, floor_ms: int = 600) -> DataFrame:
@@ -289,17 +421,42 @@ def split_long_cues(cues: DataFrame, most_ms: int = 7000, chars: int = 48, floor
     return split.unionByName(rest.select(split.columns))
 
 
-def funasr_segments(rows: DataFrame, chars: int = 28) -> DataFrame:
-    """Recogniser rows (media_id, row_no, sentences, text, end_ms): timed sentences where a media has any, else its text in
-    pieces that share the time up to ``end_ms``."""
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"<\|[^|]*\|>", ""), r"\s+", "")
-    timed = rows.select(KEY, "row_no", F.posexplode("sentences").alias("pos", "s")).select(KEY, "row_no", "pos", F.col("s.start").alias("start_ms"), F.col("s.end").alias("end_ms"), bare(F.col("s.text")).alias("text"))
-    timed = timed.where("text <> '' and end_ms > start_ms")
-    rest = rows.join(timed.select(KEY).distinct(), KEY, "left_anti").withColumn("t", bare(F.col("text"))).where("t <> ''")
-    n = F.ceil(F.length("t") / chars).cast("int")
-    cut = rest.withColumn("n", n).select(KEY, "row_no", "t", "n", "end_ms", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
-    at = lambda k: F.floor(F.col("end_ms") * k / F.col("n")).cast("long")
-    spread = cut.select(KEY, "row_no", "pos", at(F.col("pos")).alias("start_ms"), at(F.col("pos") + 1).alias("end_ms"), F.substring("t", F.col("pos") * chars + 1, F.lit(chars)).alias("text"))
-    return timed.unionByName(spread)
-
+def funasr_segments(rows: DataFrame, chars: int = 28, floor_ms: int = 450) -> DataFrame:
+    """Recogniser rows (media_id, row_no, sentences, text, timestamps, duration_ms) to segments (row_no, pos, start_ms, end_ms, text).
 
+    Timed sentences of every row count. A row falls back where it has none and no earlier row of the
+    media gave a segment: to its characters with their times, closed at a mark or ``chars``
+    characters, where it has times at all (none come of fewer times than characters); else to pieces of its text that share the media's time by length, at
+    least ``floor_ms`` each and none after its end. Tags and white space are not text.
+    """
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"<\|[^|]*\|>", ""), r"(?U)\s+", "")
+    one = "struct<start_ms:long,end_ms:long,text:string>"
+    sentences = F.transform(F.coalesce("sentences", F.array().cast(rows.schema["sentences"].dataType)), lambda s: F.struct(s["start"].cast("long").alias("start_ms"), s["end"].cast("long").alias("end_ms"), bare(s["text"]).alias("text")))
+    r = rows.withColumn("__t", F.coalesce(bare(F.col("text")), F.lit(""))).withColumn("__own", F.filter(sentences, lambda s: (s["text"] != "") & (s["end_ms"] > s["start_ms"])))
+
+    def take(acc: Column, x: Column) -> Column:
+        text, start = F.concat(acc["open"]["text"], x["c"]), F.coalesce(acc["open"]["start_ms"], x["t"][0])
+        piece = F.struct(start.alias("start_ms"), x["t"][1].alias("end_ms"), text.alias("text"))
+        empty = F.struct(F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit("").alias("text"))
+        closes = x["c"].rlike("[。！？!?，、；;：]") | (F.length(text) >= chars)
+        return F.when(F.coalesce(F.size(x["t"]), F.lit(0)) < 2, acc).when(closes, F.struct(F.array_append(acc["done"], piece).alias("done"), empty.alias("open"))).otherwise(F.struct(acc["done"].alias("done"), piece.alias("open")))
+
+    letters = F.filter(F.split("__t", ""), lambda c: c != "")
+    pairs = F.slice(F.arrays_zip(letters.alias("c"), F.col("timestamps").alias("t")), F.lit(1), F.greatest(F.length("__t"), F.lit(1)))
+    zero = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.struct(F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit("").alias("text")).alias("open"))
+    spelt = F.aggregate(pairs, zero, take, lambda acc: F.when(acc["open"]["text"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
+    parts = F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(caption_pieces(F.col("__t"), chars))
+    remaining, total = F.greatest(F.lit(500), F.col("duration_ms")), F.length("__t")
+
+    def spread(acc: Column, p: Column) -> Column:
+        end = F.least(F.col("duration_ms"), acc["at"] + F.greatest(F.lit(floor_ms), F.floor(remaining * F.length(p) / total))).cast("long")
+        return F.struct(end.alias("at"), F.array_append(acc["done"], F.struct(acc["at"].alias("start_ms"), end.alias("end_ms"), p.alias("text"))).alias("done"))
+
+    shared = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{one}>").alias("done")), spread, lambda acc: acc["done"])
+    timed = F.coalesce(F.size("timestamps"), F.lit(0)) > 0
+    back = F.when(~timed, shared).when(F.size("timestamps") >= F.length("__t"), spelt).otherwise(F.array().cast(f"array<{one}>"))
+    r = r.withColumn("__back", back)
+    gives = (F.size("__own") > 0) | (F.size("__back") > 0)
+    first = F.min(F.when(gives, F.col("row_no"))).over(Window.partitionBy(KEY))
+    chosen = F.when(F.size("__own") > 0, F.col("__own")).when(F.col("row_no") == F.col("__first"), F.col("__back")).otherwise(F.array().cast(f"array<{one}>"))
+    return r.withColumn("__first", first).select(KEY, "row_no", F.posexplode(chosen).alias("pos", "s")).select(KEY, "row_no", "pos", "s.*")

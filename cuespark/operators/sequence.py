@@ -181,9 +181,9 @@ FOLDED = 256
 
 
 def folded_groups(
-    rows: DataFrame, fresh: Callable[[Column], Column], joins: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column], apart: Callable[[Mapping[str, Column], Mapping[str, Column]], Column] | None = None
+    rows: DataFrame, fresh: Callable[[Column], Column], joins: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column], apart: Callable[[Mapping[str, Column], Mapping[str, Column]], Column] | None = None, key: str = KEY, order: Sequence[str] = ORDER
 ) -> DataFrame:
-    """``rows`` with ``group_no``: each row joins the open group or opens the next one.
+    """``rows`` with ``group_no`` in ``key``: each row joins the open group or opens the next one.
 
     ``apart(p, c)`` marks, by a window, rows that can't join whatever stands before: ``p`` has the
     columns of the row before and ``reach``, the furthest end before. Between two such rows is an
@@ -191,12 +191,12 @@ def folded_groups(
     tells whether it joins and ``grown(g, c)`` is the group then. A fold only yields a mark for each
     row, in arrays of FOLDED, so its cost grows with the rows and not with their square.
     """
-    names = [c for c in rows.columns if c != KEY]
-    before = {c: F.lag(c).over(_w()) for c in names} | {"reach": F.max("end_ms").over(_before())}
+    names, w = [c for c in rows.columns if c != key], _w(key, order)
+    before = {c: F.lag(c).over(w) for c in names} | ({"reach": F.max("end_ms").over(_before(key, order))} if "end_ms" in names else {})
     cut = F.coalesce(apart(before, {c: F.col(c) for c in names}), F.lit(False)) if apart else F.lit(False)
-    islands = rows.withColumn("__cut", cut.cast("int")).withColumn("__island", F.sum("__cut").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
-    order = ["start_ms", "cue_no", *[c for c in names if c not in ORDER]]
-    lists = islands.groupBy(KEY, "__island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("row"))
+    islands = rows.withColumn("__cut", cut.cast("int")).withColumn("__island", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fields = [*[c for c in order if c in names], *[c for c in names if c not in order]]
+    lists = islands.groupBy(key, "__island").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("row"))
 
     def step(acc: Column, c: Column) -> Column:
         g = acc["open"]
@@ -213,8 +213,8 @@ def folded_groups(
 
     zero = F.struct(F.array().cast("array<array<boolean>>").alias("done"), none.alias("open"))
     marked = lists.withColumn("opens", F.aggregate(parts, zero, stride, lambda acc: F.flatten(acc["done"])))
-    flat = marked.select(KEY, F.inline(F.arrays_zip("row", "opens"))).select(KEY, "row.*", "opens")
-    number = F.sum(F.col("opens").cast("long")).over(_w().rowsBetween(Window.unboundedPreceding, 0)) - 1
+    flat = marked.select(key, F.inline(F.arrays_zip("row", "opens"))).select(key, "row.*", "opens")
+    number = F.sum(F.col("opens").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return flat.withColumn("group_no", number).drop("opens")
 
 

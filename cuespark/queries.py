@@ -103,9 +103,22 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.has_marker(F.col("text"), ["License", "###"]).alias("marked"))
 
 
+def _overlaid(spark, d):
+    """Conversations with what could stand over a picture: handles, codes, labels, repeated lines and words."""
+    marks = F.element_at(F.array(*[F.lit(x) for x in (" @viewer_7", " 12:4500 00110011001", "\n每日签到：未进行\n每日签到: 未进行", "\n护士站 说话", "\n4711 42", "\n任务列表：待领取任务3 经验值：零 12345")]), (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6)) + 1).cast("int"))
+    same = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\n"), "text")).when(F.col("turn") % 3 == 1, F.lit("\nalso said also said")).otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", marks, same).alias("text"))
+
+
 @query("txt13_clean_overlay")
 def _(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", tx.clean_overlay_lines(F.col("text")).alias("text"))
+    out = _overlaid(spark, d).select("conv_id", "turn", "text", tx.clean_overlay(F.col("text")).alias("o"))
+    return out.select("conv_id", "turn", F.col("text").alias("before"), "o.text", F.array_join(F.array_sort(F.transform(F.map_entries("o.hits"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("hits"))
+
+
+@query("agg14_overlay_counts")
+def _(spark, d):
+    return st.sum_rule_counts(_overlaid(spark, d).select(tx.clean_overlay(F.col("text"))["hits"].alias("counts")))
 
 
 @query(
@@ -859,6 +872,47 @@ def _(spark, d):
     return rd.page_state(p.select("page_id", page.alias("html"))).select("page_id", "state")
 
 
+_STATES = """st AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN NULL ELSE '{"app":{"list":[{"aweme_id":"' || page_id || '","video":{"url":"' || url || '"},"more":{"x":{"aweme_id":' || (page_id % 3 + 1) || ',"video":null}}},{"aweme_id":"' || page_id || '","video":{"url":"again"}}],"none":{"aweme_id":"","video":{}}},"tail":[[{"aweme_id":7,"video":{"url":"t"}}],{"aweme_id":8}],"text":"{\\"aweme_id\\":9,\\"video\\":1}"}' END AS state FROM pages)"""
+
+
+@query("src12_page_items", """SELECT page_id, item_id, url FROM (SELECT page_id, item_id, url, row_number() OVER (PARTITION BY page_id, item_id ORDER BY id) AS r FROM (
+  SELECT page_id, id, json_extract_string(value, '$.aweme_id') AS item_id, json_extract_string(value, '$.video.url') AS url FROM st, json_tree(st.state) t WHERE t.type = 'OBJECT' AND json_exists(value, '$.aweme_id') AND json_exists(value, '$.video')) WHERE item_id <> '') WHERE r = 1""", _STATES)
+def _(spark, d):
+    n = F.col("page_id").cast("string")
+    lit = F.lit
+    state = F.concat(
+        lit('{"app":{"list":[{"aweme_id":"'), n, lit('","video":{"url":"'), "url", lit('"},"more":{"x":{"aweme_id":'), (F.col("page_id") % 3 + 1).cast("string"), lit(',"video":null}}},{"aweme_id":"'), n,
+        lit('","video":{"url":"again"}}],"none":{"aweme_id":"","video":{}}},"tail":[[{"aweme_id":7,"video":{"url":"t"}}],{"aweme_id":8}],"text":"{\\"aweme_id\\":9,\\"video\\":1}"}'),
+    )
+    broken = F.concat(F.lit('<script id="RENDER_DATA" type="application/json">%7B"cut'), F.lit("</script>"))
+    k = F.col("page_id") % 5
+    script = lambda name: F.concat(F.lit(f'<script id="{name}" type="application/json">'), F.url_encode(state), F.lit("</script>"))
+    page = F.when(k == 4, F.concat(broken, "html")).when(k == 3, F.concat(broken, script("ROUTER_DATA"), "html")).otherwise(F.concat("html", script("RENDER_DATA")))
+    states = rd.page_state(table(spark, d, "pages").select("page_id", page.alias("html")), parsed=True)
+    return rd.page_items(states.select("page_id", "state"), "page_id").select("page_id", "item_id", F.try_variant_get("item", "$.video.url", "string").alias("url"))
+
+
+@query("src10_voice_packs", """SELECT k AS folder, CASE WHEN k % 3 = 0 THEN 'v' || k WHEN k % 3 = 1 THEN 'id' || k ELSE k::VARCHAR END AS voice_id, CASE WHEN k % 2 = 0 THEN 'old/' || k END AS lora_path, CASE WHEN k % 4 = 0 THEN 2.5 WHEN k % 4 = 1 THEN 1.5 WHEN k % 4 = 2 THEN NULL ELSE 1.0 END AS speed,
+  CASE WHEN k % 5 = 0 THEN 120 ELSE 80 END AS tail_pad_ms, CASE WHEN k % 6 = 0 THEN 9 ELSE 4 END AS max_retry, CASE WHEN k % 7 = 0 THEN 'other' ELSE 'pnnbao-ump/VieNeu-TTS-0.3B' END AS model, k % 2 = 0 OR k % 3 = 0 AS ready FROM (SELECT p_partkey AS k FROM part) WHERE k % 8 <> 0 AND k % 9 <> 0 AND (k % 10 < 7 OR k % 3 = 1 AND k < 100)""")
+def _(spark, d):
+    path, k = f"{jo.shared_folder(spark)}/packs-{uuid.uuid4().hex}", F.col("p_partkey")
+    some = lambda c, x: F.when(c, x)
+    text = lambda before: F.concat(F.lit(before), k.cast("string"))
+    render = F.struct(some(k % 4 == 0, F.lit(2.5)).alias("speed"), some(k % 5 == 0, F.lit(120)).alias("tail_pad_ms"))
+    pack = F.to_json(F.struct(
+        k.cast("string").alias("packDir"), some(k % 3 == 0, text("v")).alias("voice_id"), some(k % 3 == 1, text("id")).alias("id"), some(k % 2 == 0, text("old/")).alias("loraDir"), some(k % 7 == 0, F.lit("other")).alias("backbone"),
+        some(k % 4 == 1, F.lit(1.5)).alias("speechSpeed"), render.alias("render_settings"), some(k % 6 == 0, F.struct(F.lit(9).alias("max_retry"))).alias("quality_config"), (k % 8 == 0).alias("hidden"),
+        (k % 10 < 7).alias("oneShotClone"), some(k % 3 == 0, F.lit("ready")).alias("status"), F.lit("ref.wav").alias("refAudio"),
+    ))
+    # a setting that is there as null is kept; every ninth pack is cut off in the middle
+    pack = F.when(k % 4 == 2, F.regexp_replace(pack, r'"render_settings":\{', '"render_settings":{"speed":null,')).otherwise(pack)
+    pack = F.regexp_replace(pack, r'"speed":null,\}', '"speed":null}')
+    table(spark, d, "part").select(F.when(k % 9 == 0, F.substring(pack, 1, 30)).otherwise(pack).alias("value")).write.text(path)
+    approved = [f"id{n}" for n in range(1, 100, 3)]
+    out = rd.listed_packs(rd.read_packs(spark, path, whole=False), approved)
+    return out.select(F.col("folder").cast("long").alias("folder"), "voice_id", "lora_path", "render_settings.speed", "render_settings.tail_pad_ms", "quality_config.max_retry", "model", "ready")
+
+
 @query("src14_pair_markers", "SELECT media_id, s.t AS start_ms, e.t AS end_ms FROM (SELECT media_id, start_ms AS t, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS n FROM intervals) s JOIN (SELECT media_id, end_ms AS t, row_number() OVER (PARTITION BY media_id ORDER BY end_ms, event_id) AS n FROM intervals) e USING (media_id, n)", INTERVALS)
 def _(spark, d):
     i = intervals(spark, d).where("end_ms >= start_ms")
@@ -981,12 +1035,35 @@ def _(spark, d):
     return s.select("media_id", F.col("session").cast("long").alias("session"), "offset_ms", "session_end")
 
 
-@query("exp11_indexed_reply", "SELECT media_id AS reply_id, cue_no AS n, text, CASE WHEN media_id % 2 = 0 THEN 'ok' ELSE 'BLOCK_COUNT_MISMATCH' END AS status FROM cues WHERE NOT contains(text, '[')", CUES)
-def _(spark, d):
-    c = cues(spark, d).where("not contains(text, '[')")
-    reply = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda x: F.concat(F.lit("["), x["cue_no"].cast("string"), F.lit("] "), x["text"])), "\n")
-    r = c.groupBy(F.col("media_id").alias("reply_id")).agg((F.max("cue_no") + F.col("reply_id") % 2).alias("expected"), reply.alias("reply"))
-    return ex.parse_indexed_reply(r).select("reply_id", "n", "text", "status")
+_REPLY = """m AS (SELECT *, media_id % 6 AS kind FROM cues),
+rep AS (SELECT media_id AS reply_id, count(*) + (CASE WHEN any_value(kind) = 1 THEN 1 ELSE 0 END) AS expected, CASE WHEN any_value(kind) = 4 THEN '```' || chr(10) ELSE '' END || string_agg(
+    CASE WHEN kind = 3 THEN text ELSE CASE WHEN kind = 0 AND cue_no % 2 = 0 THEN '[' || cue_no || '] 你好' || chr(10) ELSE '' END || '[' || cue_no || '] ' || CASE WHEN kind = 2 AND cue_no = 1 THEN 'You said: ' ELSE '' END || text END,
+    chr(10) ORDER BY CASE WHEN kind = 5 THEN -cue_no ELSE cue_no END) || CASE WHEN any_value(kind) = 4 THEN chr(10) || '```' ELSE '' END AS reply FROM m GROUP BY media_id),
+cl AS (SELECT reply_id, expected, regexp_replace(regexp_replace(reply, '(?s)```(.*?)```', '\\1', 'g'), '^\\s+|\\s+$', '', 'g') AS reply FROM rep),
+mk0 AS (SELECT reply_id, expected, string_split(regexp_replace(reply, '\\[(\\d+)\\]', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM cl),
+mk1 AS (SELECT reply_id, expected, unnest(p[2:]) AS p, generate_subscripts(p[2:], 1) AS pos, len(p) - 1 AS total FROM mk0),
+mk AS (SELECT reply_id, expected, pos, total, TRY_CAST(split_part(p, chr(2), 1) AS BIGINT) AS n, regexp_replace(split_part(p, chr(2), 2), '^\\s+|\\s+$', '', 'g') AS text FROM mk1),
+sc AS (SELECT *, CASE WHEN regexp_matches(text, '[\\x{3400}-\\x{9fff}]') THEN -8 ELSE 0 END + CASE WHEN regexp_matches(text, '[\\x{c0}-\\x{1ef9}]') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '[。！？；，、]') THEN -2 ELSE 0 END AS score
+  FROM mk WHERE text <> '' AND n BETWEEN 1 AND expected AND NOT regexp_matches(text, '(?i)CRITICAL RULES|Translate ONLY|You said|Dich cac dong|Lam sach cac dong|TVS_GEMINI|DA_NAM_BOI_CANH|CHI TRA KET QUA|Khong gop|Dich phu de Trung|SRT_TEXT|REQUEST_ID|BLOCK_COUNT_MISMATCH')),
+ix AS (SELECT *, count(*) OVER (PARTITION BY reply_id) AS got FROM (SELECT reply_id, expected, n, arg_max(text, {'s': score, 'p': -pos}) AS text FROM sc GROUP BY reply_id, expected, n)),
+rn AS (SELECT *, count_if(n = pos - total + expected AND text <> '' AND NOT contains(text, 'CRITICAL RULES')) OVER (PARTITION BY reply_id) AS good FROM mk WHERE pos > total - expected),
+ln AS (SELECT reply_id, expected, list_filter(list_transform(string_split_regex(reply, '\\r?\\n'), lambda x: regexp_replace(regexp_replace(x, '^\\s*\\[\\d+\\]\\s*', ''), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM cl),
+ways AS (SELECT reply_id, expected, n, text, 0 AS way FROM ix WHERE got = expected UNION ALL SELECT reply_id, expected, n, text, 1 FROM rn WHERE good = expected
+  UNION ALL SELECT reply_id, expected, generate_subscripts(l, 1), unnest(l), 2 FROM ln WHERE len(l) = expected UNION ALL SELECT reply_id, expected, NULL, NULL, 3 FROM cl)"""
+
+
+@query("exp11_indexed_reply", "SELECT reply_id, coalesce(n, 0) AS n, text, ['indexed', 'run', 'lines', 'BLOCK_COUNT_MISMATCH'][way + 1] AS status FROM (SELECT *, min(way) OVER (PARTITION BY reply_id) AS first FROM ways) WHERE way = first", CUES, _REPLY)
+def _(spark, d):
+    c = cues(spark, d).withColumn("kind", F.col("media_id") % 6)
+    number = F.concat(F.lit("["), F.col("cue_no").cast("string"), F.lit("] "))
+    again = F.when((F.col("kind") == 0) & (F.col("cue_no") % 2 == 0), F.concat(number, F.lit("你好\n"))).otherwise("")
+    line = F.when(F.col("kind") == 3, F.col("text")).otherwise(F.concat(again, number, F.when((F.col("kind") == 2) & (F.col("cue_no") == 1), "You said: ").otherwise(""), "text"))
+    place = F.when(F.col("kind") == 5, -F.col("cue_no")).otherwise(F.col("cue_no"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), line.alias("l")))), lambda x: x["l"]), "\n")
+    r = c.groupBy(F.col("media_id").alias("reply_id"), "kind").agg(F.count(F.lit(1)).alias("n"), body.alias("body"))
+    fenced = F.when(F.col("kind") == 4, F.concat(F.lit("```\n"), "body", F.lit("\n```"))).otherwise(F.col("body"))
+    r = r.select("reply_id", (F.col("n") + F.when(F.col("kind") == 1, 1).otherwise(0)).alias("expected"), fenced.alias("reply"))
+    return ex.parse_indexed_reply(r).select("reply_id", F.coalesce("n", F.lit(0)).alias("n"), "text", "status")
 
 
 @query("exp12_training_examples", "SELECT media_id, string_agg('<|speech_' || cue_no || '|>', '' ORDER BY cue_no) AS target, max(length(speaker)) + count(*) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS r FROM cues WHERE speaker = 'user') WHERE r <= 40 - length(speaker) GROUP BY media_id", CUES)
@@ -1001,6 +1078,32 @@ def _(spark, d):
     return ex.points_split(a.drop("a_key"), b.select("media_id", F.col("b_start").alias("at_ms")).distinct(), 300).select("media_id", "a_id", "piece_no", "start_ms")
 
 
+_ENDS, _PAUSES = ".!?。！？।؟…؛܀։՝။၊", ",;:—、،؍"
+_AFTER = "regexp_matches(substr(t, (o + 1)::BIGINT, 1), '^\\s?$')"
+_AMONG = "(substr(t, ({0})::BIGINT, 1) <> '' AND contains('{1}', substr(t, ({0})::BIGINT, 1)))"
+_NEAREST = "list_min(list_transform({0}, lambda o: {{'d': abs(o - ideal), 'o': o}})).o"
+_OFFSETS = ", ".join((
+    f"list_filter(range(1, length(t) + 1), lambda o: {_AFTER} AND ({_AMONG.format('o', _ENDS)} OR o > 1 AND {_AMONG.format('o - 1', _ENDS)} AND substr(t, o::BIGINT, 1) IN (chr(34), chr(39), ')', ']'))) AS so",
+    f"list_filter(range(1, length(t) + 1), lambda o: {_AFTER} AND {_AMONG.format('o', _PAUSES)}) AS co", "list_filter(range(0, length(t)), lambda o: substr(t, (o + 1)::BIGINT, 1) = ' ') AS bo",
+))
+_SCENES = f"""grid AS (SELECT media_id, unnest(range(1, max(end_ms) // 1900 + 1)) * 1900 AS at_ms FROM cues GROUP BY media_id),
+inside AS (SELECT c.media_id, c.cue_no, at_ms, row_number() OVER (PARTITION BY c.media_id, c.cue_no ORDER BY at_ms) AS k FROM cues c JOIN grid g ON g.media_id = c.media_id AND at_ms > start_ms + 1500 AND at_ms < end_ms - 1500),
+w AS (SELECT media_id, cue_no, 0::BIGINT AS k, start_ms AS s, end_ms AS e, text AS t, 1::BIGINT AS piece, NULL::BIGINT AS ps, NULL::BIGINT AS pe, NULL::VARCHAR AS pt FROM cues
+ UNION ALL SELECT media_id, cue_no, k, CASE WHEN ok THEN at_ms ELSE s END, e, CASE WHEN ok THEN r ELSE t END, piece + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN s END, CASE WHEN ok THEN at_ms END, CASE WHEN ok THEN l END FROM (
+ SELECT *, length(l) >= 12 AND length(r) >= 12 AND at_ms - s >= 1500 AND e - at_ms >= 1500 AS ok FROM (SELECT *, trim(substr(t, 1, pos)) AS l, trim(substr(t, pos + 1)) AS r FROM (
+ SELECT *, CASE WHEN length(t) <= 1 THEN length(t) ELSE coalesce({_NEAREST.format('so')}, {_NEAREST.format('co')}, {_NEAREST.format('bo')}, length(t)) END::BIGINT AS pos FROM (
+ SELECT *, {_OFFSETS} FROM (SELECT w.media_id, w.cue_no, i.k, w.s, w.e, w.t, w.piece, i.at_ms, (length(w.t) * (i.at_ms - w.s) // (w.e - w.s))::BIGINT AS ideal FROM w JOIN inside i ON i.media_id = w.media_id AND i.cue_no = w.cue_no AND i.k = w.k + 1))))))"""
+
+
+@query("exp7_split_at_cuts", """SELECT media_id, cue_no AS a_id, piece - 1 AS piece_no, ps AS start_ms, pe AS end_ms, pt AS text FROM w WHERE pt IS NOT NULL
+  UNION ALL SELECT media_id, cue_no, arg_max(piece, k), arg_max(s, k), arg_max(e, k), arg_max(t, k) FROM w GROUP BY media_id, cue_no""", CUES, _SCENES)
+def _(spark, d):
+    c = cues(spark, d)
+    grid = c.groupBy("media_id").agg(F.max("end_ms").alias("m")).select("media_id", F.explode(F.sequence(F.lit(1), F.floor(F.col("m") / 1900).cast("int"))).alias("k")).select("media_id", (F.col("k") * 1900).cast("long").alias("at_ms"))
+    segments = c.select("media_id", F.col("cue_no").alias("a_id"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"), "text")
+    return ex.split_at_cuts(segments, grid)
+
+
 _CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ff00}-\x{ffef}]"
 _G20, _V20 = _fold_sql(_SPOKEN, f"NOT (ge - gs >= 4000 AND (regexp_matches(gx, {_STRONG}) OR regexp_matches(gx, {_CLAUSE}) AND ge - gs >= 800 OR length(gx) >= 200))", f"CASE WHEN regexp_matches(gx, '{_CJK}$') AND regexp_matches(r.text, '^{_CJK}') THEN '' ELSE ' ' END")
 _SHORT = "ge - gs <= 2500 AND r.end_ms - r.start_ms <= 2500"
@@ -1017,9 +1120,16 @@ def _(spark, d):
     return ex.stitch_shorts(slots(spark, d).withColumnRenamed("label", "speaker")).select("media_id", "group_no", "start_ms", "end_ms", "members")
 
 
-@query("seq18_length_batches")
+_BATCHES = """r AS (SELECT media_id % 8 AS shard, media_id, cue_no, length(text)::BIGINT AS chars, cue_no % 11 = 0 AS alone, row_number() OVER (PARTITION BY media_id % 8 ORDER BY length(text), media_id, cue_no) AS rn FROM cues),
+g AS (SELECT shard, media_id, cue_no, rn, 0::BIGINT AS batch, 1::BIGINT AS n, chars AS size, alone FROM r WHERE rn = 1
+ UNION ALL SELECT shard, media_id, cue_no, rn, CASE WHEN j THEN batch ELSE batch + 1 END, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN size + chars ELSE chars END, alone FROM (
+ SELECT r.*, batch, n, size, NOT g.alone AND NOT r.alone AND n + 1 <= CASE WHEN size + chars <= 50 * (n + 1) THEN 8 WHEN size + chars <= 100 * (n + 1) THEN 6 WHEN size + chars <= 200 * (n + 1) THEN 4 ELSE 2 END AS j FROM g JOIN r ON r.shard = g.shard AND r.rn = g.rn + 1))"""
+
+
+@query("seq18_length_batches", "SELECT shard, batch, media_id, cue_no, alone AS force_single FROM g", CUES, _BATCHES)
 def _(spark, d):
-    return ex.length_batches(cues(spark, d).select("media_id", "cue_no", F.length("text").alias("chars")), 8)
+    rows = cues(spark, d).select("media_id", "cue_no", F.length("text").alias("chars"), (F.col("cue_no") % 11 == 0).alias("force_single"))
+    return ex.length_batches(rows, F.col("media_id") % 8).select("shard", "batch", "media_id", "cue_no", "force_single")
 
 
 @query("mat1_lcs_coverage")
@@ -1173,9 +1283,23 @@ def _(spark, d):
     return gr.merge_tiny(cues(spark, d), "repair")
 
 
+def _repeated(spark, d):
+    """Cues with repeats: exact ones a few cues on, starts that repeat the last end, and equal texts but for their marks."""
+    w = Window.partitionBy("media_id").orderBy("cue_no")
+    c = cues(spark, d).withColumn("last", F.coalesce(F.lag("text", 1).over(w), F.lit(""))).withColumn("earlier", F.coalesce(F.lag("text", 3).over(w), F.col("text")))
+    text = F.when(F.col("cue_no") % 5 == 0, F.col("earlier")).when(F.col("cue_no") % 7 == 0, F.concat(F.right("last", F.lit(12)), F.lit(" "), "text")).when(F.col("cue_no") % 11 == 0, F.concat("last", F.lit("!"))).when(F.col("cue_no") % 13 == 0, F.concat(F.lit("7 "), "last")).otherwise(F.col("text"))
+    return c.select("media_id", "cue_no", "start_ms", "end_ms", text.alias("text"))
+
+
 @query("seq24_finalize_cues")
 def _(spark, d):
-    return gr.finalize_cues(cues(spark, d), ("license",))
+    out = gr.marked_cues(_repeated(spark, d), ("dans le",), ("ment",), long_chars=40, long_ms=6000)
+    return out.withColumn("rules", F.array_join("rules", ","))
+
+
+@query("seq24_rule_counts")
+def _(spark, d):
+    return gr.finalize_cues(_repeated(spark, d), ("dans le",), ("ment",))[1]
 
 
 @query("exp4_split_long_cues")
@@ -1183,13 +1307,44 @@ def _(spark, d):
     return gr.split_long_cues(cues(spark, d)).select("media_id", "cue_no", "piece_no", "piece", "part_start", "part_end")
 
 
-@query("exp6_split_for_reading")
-def _(spark, d):
-    return gr.split_for_reading(cues(spark, d)).select("media_id", "cue_no", "piece_no", "piece", "part_start", "part_end")
+def _worded(spark, d):
+    """Cues with faster speech; the even ones have their words' times, with a breath after each third word."""
+    c = cues(spark, d).withColumn("end_ms", F.col("start_ms") + F.floor(F.col("duration_ms") * (1 + F.col("cue_no") % 3) / 2).cast("long"))
+    t = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    at = lambda k: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * k / F.size(t)).cast("long")
+    words = F.transform(t, lambda w, k: F.struct(w.alias("text"), at(k).alias("start_ms"), (at(k + 1) - F.when(k % 3 == 2, 40).otherwise(0)).alias("end_ms")))
+    return c.select("media_id", "cue_no", "text", "start_ms", "end_ms", F.when(F.col("cue_no") % 2 == 0, words).alias("words"))
 
 
-@query("src5_funasr_segments", "SELECT media_id, cue_no AS row_no, start_ms, end_ms, regexp_replace(text, '\\s+', '', 'g') AS text FROM cues", CUES)
+@query("exp6_split_for_reading")
 def _(spark, d):
-    s = F.array(F.struct(F.concat(F.lit("<|zh|>"), "text").alias("text"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end")))
-    rows = cues(spark, d).select("media_id", F.col("cue_no").alias("row_no"), s.alias("sentences"), "text", "end_ms")
-    return gr.funasr_segments(rows).select("media_id", "row_no", "start_ms", "end_ms", "text")
+    return gr.split_for_reading(_worded(spark, d)).select("media_id", "cue_no", "piece_no", "piece", "part_start", "part_end", "n_words")
+
+
+_ASR_ROWS = """rec0 AS (SELECT *, media_id % 4 AS kind, regexp_replace(text, '\\s+', '', 'g') AS t, max(end_ms) OVER (PARTITION BY media_id) AS duration FROM cues),
+rec AS (SELECT media_id, cue_no AS row_no, start_ms, end_ms, kind, duration, CASE WHEN kind = 2 AND cue_no = 1 OR kind = 3 AND cue_no = 1 THEN '' ELSE t END AS t, kind = 0 AND cue_no > 1 OR kind = 3 AND cue_no > 2 AS spoken,
+  CASE WHEN kind = 1 OR kind = 3 AND cue_no = 2 THEN length(t) - CASE WHEN kind = 1 AND cue_no = 1 THEN 1 ELSE 0 END ELSE 0 END AS stamps FROM rec0),
+ch AS (SELECT media_id, row_no, k, substr(t, (k + 1)::BIGINT, 1) AS c, start_ms + 60 * k AS a, start_ms + 60 * (k + 1) AS b FROM (SELECT *, unnest(range(length(t))) AS k FROM rec WHERE NOT spoken AND stamps > 0 AND stamps >= length(t))),
+fd AS (SELECT media_id, row_no, k, c, a, b, 0::BIGINT AS pos, 1::BIGINT AS n FROM ch WHERE k = 0
+  UNION ALL SELECT x.media_id, x.row_no, x.k, x.c, x.a, x.b, CASE WHEN cl THEN pos + 1 ELSE pos END, CASE WHEN cl THEN 1 ELSE n + 1 END FROM (SELECT ch.*, pos, n, contains('。！？!?，、；;：', fd.c) OR n >= 28 AS cl FROM fd JOIN ch ON ch.media_id = fd.media_id AND ch.row_no = fd.row_no AND ch.k = fd.k + 1) x),
+cp1 AS (SELECT media_id, row_no, duration, length(t) AS total, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM (SELECT *, list_filter(string_split(regexp_replace(t, '([.!?。！？])', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS p FROM rec WHERE NOT spoken AND stamps = 0 AND t <> '')),
+cp2 AS (SELECT media_id, row_no, duration, total, i, unnest(q) AS s, generate_subscripts(q, 1) AS j FROM (SELECT *, CASE WHEN length(s) <= 28 THEN [s] ELSE list_filter(string_split(regexp_replace(s, '([,;:，；：、])', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') END AS q FROM cp1)),
+cp3 AS (SELECT media_id, row_no, duration, total, i, j, unnest(q) AS s, generate_subscripts(q, 1) AS m FROM (SELECT *, CASE WHEN length(s) <= 28 OR NOT regexp_matches(s, '[\\x{3400}-\\x{9fff}]') THEN [s] ELSE list_transform(range((length(s) + 27) // 28), lambda k: substr(s, k * 28 + 1, 28)) END AS q FROM cp2)),
+cp4 AS (SELECT *, row_number() OVER w - 1 AS pos, sum(greatest(450, greatest(500, duration) * length(s) // total)) OVER w AS upto, greatest(450, greatest(500, duration) * length(s) // total) AS own FROM cp3 WINDOW w AS (PARTITION BY media_id, row_no ORDER BY i, j, m)),
+back AS (SELECT media_id, row_no, pos, min(a) AS start_ms, max(b) AS end_ms, string_agg(c, '' ORDER BY k) AS text FROM fd GROUP BY media_id, row_no, pos UNION ALL SELECT media_id, row_no, pos, least(duration, upto - own)::BIGINT, least(duration, upto)::BIGINT, s FROM cp4),
+own AS (SELECT media_id, row_no, 0 AS pos, start_ms, end_ms, t AS text FROM rec WHERE spoken AND t <> ''),
+fst AS (SELECT media_id, min(row_no) AS f FROM (SELECT media_id, row_no FROM own UNION ALL SELECT media_id, row_no FROM back) GROUP BY media_id)"""
+
+
+@query("src5_funasr_segments", "SELECT * FROM own UNION ALL SELECT b.* FROM back b JOIN fst ON fst.media_id = b.media_id AND f = row_no", CUES, _ASR_ROWS)
+def _(spark, d):
+    c = cues(spark, d).withColumn("kind", F.col("media_id") % 4).withColumn("duration_ms", F.max("end_ms").over(Window.partitionBy("media_id")))
+    n, k = F.length(F.regexp_replace("text", r"\s+", "")), F.col("cue_no")
+    spoken = (F.col("kind") == 0) & (k > 1) | (F.col("kind") == 3) & (k > 2)
+    stamps = F.when((F.col("kind") == 1) | (F.col("kind") == 3) & (k == 2), n - F.when((F.col("kind") == 1) & (k == 1), 1).otherwise(0)).otherwise(0)
+    one = F.array(F.struct(F.concat(F.lit("<|zh|>"), "text").alias("text"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end")))
+    at = lambda j: F.col("start_ms") + 60 * j
+    times = F.when(F.col("stamps") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("stamps"), F.lit(1)) - 1), lambda j: F.array(at(j), at(j + 1))))
+    silent = F.col("kind").isin(2, 3) & (k == 1)
+    rows = c.withColumn("stamps", stamps.cast("int")).select("media_id", k.alias("row_no"), F.when(spoken, one).alias("sentences"), F.when(silent, "<|nospeech|> ").otherwise(F.col("text")).alias("text"), times.alias("timestamps"), "duration_ms")
+    return gr.funasr_segments(rows).select("media_id", "row_no", F.col("pos").cast("long").alias("pos"), "start_ms", "end_ms", "text")

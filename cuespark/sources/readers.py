@@ -7,8 +7,9 @@ follows are splits and explodes inside that row. Bad blocks are left out, never
 from __future__ import annotations
 
 import io
+import uuid
 import wave
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuespark.functions import text as tx
+from cuespark.operators.joins import shared_folder
 from cuespark.operators.sequence import clamp_overlaps
 
 TIMING = r"(\d+:\d{1,2}:\d{1,2}[,.]\d{1,3})\s*-->\s*(\d+:\d{1,2}:\d{1,2}[,.]\d{1,3})"
@@ -137,15 +139,72 @@ def encoded_metadata(lines: DataFrame, min_codes: int = 30) -> DataFrame:
     return out.withColumn("reason", F.when(F.coalesce(F.size("codes"), F.lit(-1)) < min_codes, "parse_or_codes"))
 
 
-def with_pack_defaults(packs: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Missing columns and nulls take their defaults."""
-    for name, value in defaults.items():
-        packs = packs.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in packs.columns else F.lit(value))
-    return packs
+# Settings that a voice pack has where it doesn't say otherwise.
+PACK_RENDER = {"speed": 1.0, "pitch": 0.0, "emotion": "neutral", "tail_pad_ms": 80, "max_stretch_ratio": 1.08}
+PACK_QUALITY = {
+    "cheap_gate_ratio_min": 0.5, "cheap_gate_ratio_max": 2.0, "chars_per_sec_min": 5.0, "chars_per_sec_max": 25.0,
+    "tail_fade_threshold": 0.85, "tail_abrupt_threshold": 0.15, "asr_threshold": 0.85, "max_retry": 4,
+}
+PACK_TEXTS = {
+    "model_version": "vieneu_case_a_lite_v4", "text_norm_version": "vi_norm_v1.3_tail", "ref_codes": "ref_codes.pt",
+    "ref_text": "ref_text.txt", "merged_model_path": "merged_model_fp16.pt",
+}
+PACK_MODEL, PACK_CODEC, PACK_CACHE = "pnnbao-ump/VieNeu-TTS-0.3B", "neuphonic/distill-neucodec", "_FAST_TTS_CACHE_DO_NOT_DELETE/v4_cache"
+#: Older names, in the order in which they are looked at.
+PACK_ALIASES = {
+    "voice_id": ("voice_id", "id"), "display_name": ("display_name", "name"), "model": ("model", "backbone"), "codec": ("codec",),
+    "lora_path": ("lora_path", "loraDir"), "ref_audio": ("ref_audio", "refAudio"), "cache_dir": ("fastTtsCacheDir", "cache_dir"),
+}
+PACK_OLD_RENDER = {"speed": ("srtSpeechSpeed", "speechSpeed"), "pitch": ("pitch",), "emotion": ("emotion",), "tail_pad_ms": ("tailPadMs",)}
+
+
+def with_pack_defaults(packs: DataFrame, pack: str = "pack", folder: str = "folder") -> DataFrame:
+    """Columns of voice packs, sparse JSON objects in a VARIANT, with aliases resolved and defaults merged at every depth.
+
+    A setting that the pack has, null too, is kept; else its older names count, else the default. A
+    name counts where it is neither null nor empty. A pack is ``ready`` that has tuned weights, or a
+    reference and the status ``ready``. All that the pack says stays in ``pack``.
+    """
+    v = F.col(pack)
+    has = lambda path: F.try_variant_get(v, path, "variant").isNotNull()
+    kinds = {str: "string", float: "double", int: "int"}
+
+    def setting(paths: Sequence[str], default: object) -> Column:
+        out = F.lit(default)
+        for path in reversed(paths):
+            out = F.when(has(path), F.try_variant_get(v, path, kinds[type(default)])).otherwise(out)
+        return out
+
+    def named(name: str, default: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in PACK_ALIASES[name]], default)
+
+    none = F.lit(None).cast("string")
+    names = {"voice_id": F.col(folder), "display_name": F.col(folder), "model": F.lit(PACK_MODEL), "codec": F.lit(PACK_CODEC), "lora_path": none, "ref_audio": none, "cache_dir": F.concat(folder, F.lit("/" + PACK_CACHE))}
+    render = F.struct(*[setting([f"$.render_settings.{k}", *[f"$.{x}" for x in PACK_OLD_RENDER.get(k, ())]], d).alias(k) for k, d in PACK_RENDER.items()])
+    quality = F.struct(*[setting([f"$.quality_config.{k}"], d).alias(k) for k, d in PACK_QUALITY.items()])
+    flag = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "boolean"), F.lit(False))
+    out = packs.select(
+        "*", *[named(k, d).alias(k) for k, d in names.items()], *[setting([f"$.{k}"], d).alias(k) for k, d in PACK_TEXTS.items()], render.alias("render_settings"), quality.alias("quality_config"),
+        F.coalesce(F.try_variant_get(v, "$.createdAt", "string"), F.lit("")).alias("created_at"), F.try_variant_get(v, "$.id", "string").alias("pack_id"), F.try_variant_get(v, "$.status", "string").alias("status"),
+        flag("hidden").alias("hidden"), flag("oneShotClone").alias("one_shot"),
+    )
+    return out.withColumn("ready", F.col("lora_path").isNotNull() | ((F.coalesce("status", F.lit("")) == "ready") & F.col("ref_audio").isNotNull()))
+
+
+def read_packs(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Voice packs from JSON files, one object a file or (``whole=False``) a line; what doesn't parse as an object goes.
+
+    ``folder`` is the object's ``packDir``, else the file's folder.
+    """
+    raw = spark.read.text(path, wholetext=whole).select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("__dir"), F.try_parse_json("value").alias("pack"))
+    raw = raw.where(F.schema_of_variant("pack").startswith("OBJECT"))
+    return with_pack_defaults(raw.select(F.coalesce(F.try_variant_get("pack", "$.packDir", "string"), "__dir").alias("folder"), "pack"))
 
 
-def read_packs(spark: SparkSession, path: str, schema: str, defaults: dict[str, object]) -> DataFrame:
-    return with_pack_defaults(spark.read.schema(schema).json(path, multiLine=True), defaults)
+def listed_packs(packs: DataFrame, approved: Sequence[str] = ()) -> DataFrame:
+    """Packs to choose from: not hidden, approved by id or made in one shot; the newest first."""
+    shown = packs.where(~F.col("hidden") & (F.coalesce(F.col("pack_id").isin(*approved), F.lit(False)) | F.col("one_shot")))
+    return shown.orderBy(F.desc("created_at"), "folder")
 
 
 def parse_links(lines: DataFrame, order: str) -> DataFrame:
@@ -158,10 +217,50 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).where("url is not null and url <> ''")
 
 
-def page_state(pages: DataFrame, html: str = "html", ident: str = "RENDER_DATA|ROUTER_DATA") -> DataFrame:
-    """The JSON state that a page carries in a script element, decoded; null if there is none."""
-    raw = F.regexp_extract(html, rf'(?s)<script id="(?:{ident})" type="application/json">(.*?)</script>', 1)
-    return pages.withColumn("state", F.nullif(F.try_url_decode(raw), F.lit("")))
+def page_state(pages: DataFrame, html: str = "html", ident: str = "RENDER_DATA|ROUTER_DATA", parsed: bool = False) -> DataFrame:
+    """The state that a page carries in a script element, decoded; null if there is none. ``parsed``: of the elements named, in order, the first whose state is JSON."""
+    if not parsed:
+        raw = F.regexp_extract(html, rf'(?s)<script id="(?:{ident})" type="application/json">(.*?)</script>', 1)
+        return pages.withColumn("state", F.nullif(F.try_url_decode(raw), F.lit("")))
+    cases = []
+    for name in ident.split("|"):
+        raw = F.try_url_decode(F.regexp_extract(html, rf'(?s)<script id="{name}" type="application/json">(.*?)</script>', 1))
+        cases.append(F.when(F.try_parse_json(F.nullif(raw, F.lit(""))).isNotNull(), raw))
+    return pages.withColumn("state", F.coalesce(*cases))
+
+
+def page_items(states: DataFrame, key: str, item: str = "aweme_id", also: str = "video") -> DataFrame:
+    """(key, item_id, path, item): every object inside ``state`` that has an item's id and the other key, at any depth; the first of each id and key.
+
+    States are VARIANTs that are taken apart level by level, until no object or list that could
+    hold an item is left; a level holds only such. ``path`` holds the places on the way, and its
+    order decides what is first: an object before what it holds, a list's elements in their order,
+    an object's fields in that of their names, as VARIANT keeps no other. Ids that are null, an empty
+    text, the number zero or false are none. A state that doesn't parse has no items.
+    """
+    spark, folder = states.sparkSession, f"{shared_folder(states.sparkSession)}/items-{uuid.uuid4().hex}"
+    mark = f'"{item}"'
+    level = states.select(F.col(key), F.array().cast("array<int>").alias("path"), F.try_parse_json("state").alias("v")).where("v is not null")
+    found, depth = None, 0
+    while True:
+        held = level.where(F.to_json("v").contains(mark))
+        held.write.parquet(f"{folder}/{depth}")
+        held = spark.read.schema(held.schema).parquet(f"{folder}/{depth}")
+        if held.isEmpty():
+            break
+        ids = F.try_variant_get("v", f"$.{item}", "string")
+        kind = F.schema_of_variant(F.try_variant_get("v", f"$.{item}", "variant"))
+        named = F.when(kind == "STRING", ids != "").otherwise(~ids.isin("0", "false"))
+        is_item = F.try_variant_get("v", f"$.{also}", "variant").isNotNull() & F.coalesce(named, F.lit(False))
+        here = held.where(is_item).select(key, ids.alias("item_id"), "path", F.col("v").alias("item"))
+        found = here if found is None else found.unionByName(here)
+        inner = held.select(F.col(key).alias("__k"), "path", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        level = inner.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select(F.col("__k").alias(key), F.array_append("path", F.col("pos")).alias("path"), F.col("value").alias("v"))
+        depth += 1
+    if found is None:
+        return held.select(key, F.lit("").alias("item_id"), "path", F.col("v").alias("item"))
+    first = Window.partitionBy(key, "item_id").orderBy("path")
+    return found.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
