@@ -132,6 +132,7 @@ def plain_audit(docs, labels):
 
 def test_audit(spark, monkeypatch):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", 500)
     rng = random.Random(3)
     words = ["alpha", "Beta", "gamma#", "DELTA", "é漢字", "x", "ｗide", "tab"]
     text = lambda: rng.choice([" ", "\t", "\n", "\x0b", "\x85", " "]).join(rng.choice(words) + str(rng.randint(0, 400)) for _ in range(rng.choice([1, 40, 99, 100, 130])))
@@ -146,8 +147,10 @@ def test_audit(spark, monkeypatch):
     assert filter_audit.audit(frame.limit(0), marks).count() == 0
 
 
-def test_matrix(spark):
+@pytest.mark.parametrize("bucket", [1, 1 << 20])
+def test_matrix(spark, monkeypatch, bucket):
     """The global ids stand for the words: the matrix gives back each document's counts."""
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", bucket)
     texts = {1: "a b a c", 2: None, 3: "c c\tb", 4: "z"}
     frame = spark.createDataFrame([(i, t, "p") for i, t in texts.items()], "doc_id long, text string, part string").repartition(3)
     matrix, dictionary = filter_audit.document_terms(frame)
