@@ -243,7 +243,10 @@ def index(points: DataFrame, k: int = TOP) -> DataFrame:
     held = nodes.groupBy("dim").agg((F.count(F.lit(1)) * F.col("dim") * 4).alias("bytes"))
     # a row for each length of vector
     shards = F.greatest(F.ceil(F.sqrt(F.col("bytes") / FIRST_BYTES)), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int")
-    dealt = nodes.join(held.select("dim", shards.alias("shards")), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    held = held.select("dim", shards.alias("shards"))
+    dealt = nodes.join(held, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    # shards are few bytes and much work, so they are dealt by their number
+    parts = 2 * (held.agg(F.sum("shards")).first()[0] or 1)
 
     def grow(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
@@ -265,7 +268,7 @@ def index(points: DataFrame, k: int = TOP) -> DataFrame:
         kinds = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int32()), ("beam", pa.int32()), ("vectors", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64()))), *[(c, pa.binary()) for c in ("ground", "places", "layers", "upper")]])
         return pa.Table.from_pylist(out, kinds)
 
-    return dealt.select("dim", "shard", "ids", "vector").groupBy("dim", "shard").applyInArrow(grow, INDEX)
+    return dealt.select("dim", "shard", "ids", "vector").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(grow, INDEX)
 
 
 def opened(table: pa.Table) -> tuple[Graph, np.ndarray, list[list[int]], int]:
@@ -292,8 +295,10 @@ def answers(shards: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     queries = stored(queries.select(F.col("id").alias("query_id"), "vector", F.size("vector").alias("dim")), "queries")
     blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    heads = shards.where("chunk = 0").select("dim", "shard")
+    parts = 2 * blocks * max(1, heads.count())
     # every block of queries meets every shard of its length
-    asked = queries.join(shards.where("chunk = 0").select("dim", "shard"), "dim").select(F.col("dim").alias("d"), F.col("shard").alias("s"), block.alias("b"), "query_id", "vector")
+    asked = queries.join(heads, "dim").select(F.col("dim").alias("d"), F.col("shard").alias("s"), block.alias("b"), "query_id", "vector")
     there = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("int"))
 
     def find(index: pa.Table, asked: pa.Table) -> pa.Table:
@@ -325,7 +330,8 @@ def answers(shards: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, columns), strict=True)))
 
-    found = there.groupBy("dim", "shard", "block").cogroup(asked.groupBy("d", "s", "b")).applyInArrow(find, "query_id long, id long, score double")
+    left, right = there.repartition(parts, "dim", "shard", "block").groupBy("dim", "shard", "block"), asked.repartition(parts, "d", "s", "b").groupBy("d", "s", "b")
+    found = left.cogroup(right).applyInArrow(find, "query_id long, id long, score double")
     best = found.repartition("query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
