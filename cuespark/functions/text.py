@@ -6,9 +6,11 @@ generated stage. Null in gives null out unless a line says otherwise.
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,37 +61,85 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def clean_text(c: Column, entities: bool = True) -> Column:
-    c = F.regexp_replace(c, "<[^>]+>", "")
-    return collapse(unescape(c) if entities else c)
+def only_where(c: Column, needed: Column, change: Callable[[pd.Series], pd.Series]) -> Column:
+    """``change``, in Arrow batches, of the texts that need it; the others stay in the JVM and go to Python as nulls."""
+    changed = F.pandas_udf(change, "string")(F.when(needed, c))
+    return F.when(needed, changed).otherwise(c)
+
+
+def unescape_all(c: Column) -> Column:
+    """Every named and numeric character reference, as HTML has them, ended by a semicolon or not."""
+
+    def change(x: pd.Series) -> pd.Series:
+        return x.map(html.unescape, na_action="ignore")
+
+    return only_where(c, c.rlike("&[#A-Za-z]"), change)
+
+
+def nfc(c: Column) -> Column:
+    """Letters and marks composed. Only texts with characters from U+0300 on can change."""
+
+    def change(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return only_where(c, c.rlike(r"[^\x00-\x{2FF}]"), change)
+
+
+def clean_text(c: Column, entities: str | None = "markup") -> Column:
+    """Mojibake repaired, tags to blanks, entities read (``markup``: six of them in the JVM, ``all``: every one, by Arrow where there is any; None: none), white space collapsed."""
+    c = F.regexp_replace(repair_mojibake(c), "<[^>]+>", " ")
+    return collapse(unescape_all(c) if entities == "all" else unescape(c) if entities else c)
+
+
+def _windows_1252() -> tuple[str, str]:
+    """The signs that Windows-1252 has in place of control characters, and those."""
+    signs = [(bytes([k]).decode("cp1252", errors="ignore"), chr(k)) for k in range(0x80, 0xA0)]
+    return "".join(x for x, _ in signs if x), "".join(y for x, y in signs if x)
+
+
+SIGNS, CONTROLS = _windows_1252()
 
 
 def repair_mojibake(c: Column) -> Column:
-    """UTF-8 that was read as Latin-1 is read again, if that is valid and leaves fewer marks."""
-    suspect = c.rlike(MOJIBAKE) & ~c.rlike(r"[^\x00-\xFF]")
-    raw = F.encode(F.when(suspect, c).otherwise(F.lit("")), "ISO-8859-1")
+    """UTF-8 that was read as Windows-1252 or Latin-1 is read again, if that is valid and leaves fewer marks."""
+    plain = F.translate(c, SIGNS, CONTROLS)
+    suspect = c.rlike(MOJIBAKE) & ~plain.rlike(r"[^\x00-\xFF]")
+    raw = F.encode(F.when(suspect, plain).otherwise(F.lit("")), "ISO-8859-1")
     again = raw.cast("string")
     better = F.is_valid_utf8(again) & (F.regexp_count(again, F.lit(MOJIBAKE)) < F.regexp_count(c, F.lit(MOJIBAKE)))
     return F.when(suspect & better, again).otherwise(c)
 
 
-def normalize_text(c: Column) -> Column:
-    c = collapse(F.regexp_replace(c, "<[^>]+>", " "))
-    c = F.regexp_replace(c, r"\s+([,.!?;:])", "$1")
-    return F.trim(F.regexp_replace(c, r"([,.!?;:])([^\s,.!?;:])", "$1 $2"))
+def normalize_text(c: Column, composed: bool = True) -> Column:
+    """Text to be spoken: mojibake repaired, tags to blanks, no blank before a mark and one after it, numbers to 999 as words, composed characters."""
+    c = collapse(F.regexp_replace(repair_mojibake(c), "<[^>]+>", " "))
+    c = F.regexp_replace(c, r"(?iU)\blàm\s*điêu\b", "làm điêu")
+    c = F.regexp_replace(c, r"(?U)\s+([,.!?;:])", "$1")
+    c = numbers_to_words(F.regexp_replace(c, r"(?U)([,.!?;:])(?=\S)", "$1 "))
+    return F.trim(nfc(c) if composed else c)
 
 
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]+"))
 
 
-def enforce_tail(c: Column, mode: str = "speech") -> Column:
-    """``speech``: a full stop at the end, three for texts of up to three words; ``retry``: a full stop if there is no ``.!?``."""
+# Last words after which a clip is cut too soon.
+RISKY_LAST = ("thôi", "phòng", "tiết", "này")
+
+
+def enforce_tail(c: Column, mode: str = "speech", risky: Sequence[str] = RISKY_LAST, short: int | None = None) -> Column:
+    """``speech``: a full stop where no mark ends the text, three for texts of up to three words. ``retry``: a full stop if
+    there is no ``.!?``. ``clip``: three full stops for one, for texts of up to eight units or with a risky last word."""
+    c = collapse(c)
+    dotted = lambda x: F.concat(F.regexp_replace(x, r"\s*\.$", ""), F.lit("..."))
     if mode == "retry":
-        return F.when(c.rlike("[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
-    closed = F.when(c.rlike("[.!?…]$"), c).otherwise(F.concat(c, F.lit(".")))
-    short = (word_count(closed) <= 3) & closed.rlike(r"[^.]\.$")
-    return F.when(short, F.concat(closed, F.lit(".."))).otherwise(closed)
+        return F.when((c == "") | c.rlike("[.!?]$"), c).otherwise(F.concat(c, F.lit(".")))
+    if mode == "clip":
+        last = F.lower(F.element_at(F.split(F.regexp_replace(c, r"[.!?…]+$", ""), " "), -1))
+        return F.when(((unit_count(c) <= (short or 8)) | last.isin(*risky)) & c.endswith("."), dotted(c)).otherwise(c)
+    closed = F.when((c == "") | c.rlike("[.!?…]$"), c).otherwise(F.concat(c, F.lit(".")))
+    few = (word_count(c) <= (short or 3)) & closed.endswith(".") & ~closed.endswith("...")
+    return F.when(few, dotted(closed)).otherwise(closed)
 
 
 def number_words(n: Column) -> Column:
@@ -109,8 +159,8 @@ def number_words(n: Column) -> Column:
 
 def numbers_to_words(c: Column) -> Column:
     """Every number of one to three digits that stands as a word of its own is read out."""
-    words = F.transform(F.split(c, " "), lambda w: F.when(w.rlike(r"^\d{1,3}$"), number_words(w.cast("int"))).otherwise(w))
-    return F.array_join(words, " ")
+    words = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^[0-9]{1,3}$"), number_words(w.cast("int"))).otherwise(w)), "")
 
 
 def flags(*conditions: tuple[str, Column]) -> Column:
@@ -127,13 +177,36 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
-def compare_tokens(c: Column, aliases: Mapping[str, str] | None = None) -> Column:
-    """Tokens of the folded text, with ``aliases`` (a token to one or more tokens) applied."""
+# Tokens that are heard for one another, by what they count as.
+TOKEN_ALIASES = {
+    "khi": "luc", "haman": "ham an", "lamdieu": "lam dieu", "trongky": "tram ky", "trongki": "tram ky",
+    "loi": "luoi", "lieng": "dieu", "yieu": "dieu", "yeu": "dieu", "hoa": "ngoa", "ngoai": "ngoa", "ty": "tuy", "ti": "tuy",
+    "tiet": "tien", "thuc": "thuoc", "trong": "tram", "tre": "ke", "khe": "ke", "keo": "ke",
+}
+DIGIT_TOKENS = ("mot", "hai", "ba", "bon", "nam", "sau", "bay", "tam", "chin")
+
+
+def number_tokens(n: Column) -> Column:
+    """The folded words of 0 to 999, without ``muoi`` after a digit."""
+    words = F.split(fold(number_words(n)), " ")
+    after_digit = lambda i: F.coalesce(F.get(words, i - 1).isin(*DIGIT_TOKENS), F.lit(False))
+    return F.filter(words, lambda w, i: ~((w == "muoi") & after_digit(i)))
+
+
+def compare_tokens(c: Column, aliases: Mapping[str, str] | None = TOKEN_ALIASES) -> Column:
+    """Tokens of the folded text: numbers to 999 as words, ``aliases`` (a token to one or more) applied, ``muoi`` after a digit word left out."""
     tokens = F.regexp_extract_all(fold(clean_text(c)), F.lit("[a-z0-9]+"), F.lit(0))
-    if aliases:
-        known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-        tokens = F.flatten(F.transform(tokens, lambda t: F.split(F.coalesce(known[t], t), " ")))
-    return tokens
+    known = F.create_map(*[F.lit(x) for pair in (aliases or {"": ""}).items() for x in pair])
+    number = lambda t: t.rlike("^0*[0-9]{1,3}$")
+    spelt = F.transform(
+        tokens,
+        lambda t: F.when(number(t), F.struct(F.lit(True).alias("whole"), number_tokens(t.cast("int")).alias("t"))).otherwise(
+            let(F.split(F.coalesce(F.try_element_at(known, t), t), " "), lambda x: F.struct((F.size(x) > 1).alias("whole"), x.alias("t")))
+        ),
+    )
+    none = F.array().cast("array<string>")
+    follows = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)).isin(*DIGIT_TOKENS), F.lit(False))
+    return F.aggregate(spelt, none, lambda acc, x: F.when(~x["whole"] & (x["t"][0] == "muoi") & follows(acc), acc).otherwise(F.concat(acc, x["t"])))
 
 
 def compact_key(c: Column, kind: str = "similarity") -> Column:
@@ -159,13 +232,51 @@ def apply_phrases(c: Column, phrases: Mapping[str, str]) -> Column:
     return c
 
 
-def apply_phrase_table(df: DataFrame, phrases: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
-    """``phrases(*by, wrong, correct)`` are one ordered array for each ``by``, joined to its rows; without ``by`` one for all rows, for tables that fit one row."""
-    found = phrases.where("length(wrong) > 0 and wrong <> correct").groupBy(*by)
-    ordered = found.agg(F.sort_array(F.collect_list(F.struct((-F.length("wrong")).alias("n"), "wrong", "correct"))).alias("__p"))
+#: Characters of a phrase table that may stand in one row beside every text.
+PHRASE_CHARS = 4 << 20
+
+# Signs that a model's own notes got into a text, and names of a phrase's two sides.
+AI_NOTES = ("可能为误听", "或错译", "实际应为", "某位角色的名字", "系统名称", "不确定", "需要根据上下文")
+PHRASE_WRONG, PHRASE_RIGHT = ("wrong", "asr", "source", "from"), ("correct", "target", "to")
+
+
+def phrase_rows(maps: DataFrame, phrases: str = "phrases", by: Sequence[str] = ()) -> DataFrame:
+    """(*by, wrong, correct) from JSON text: an object of wrong to right, or a list of objects that name the two sides.
+
+    Left out are phrases that are empty, equal, longer than 24 and 32 characters, without a letter of
+    Latin, CJK or a digit, or with a model's notes. Of several of a wrong side the last counts.
+    """
+    v = maps.select(*by, F.try_parse_json(phrases).alias("__v")).where("__v is not null")
+    kind = F.schema_of_variant("__v")
+    v = v.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    if by:
+        v = v.select(*[F.col(b).alias(f"__{b}") for b in by], "__v")
+    rows = v.lateralJoin(v.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    side = lambda names: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("value", f"$.{n}", "string")), F.lit("")) for n in names])
+    wrong = F.when(F.col("key").isNotNull(), F.trim("key")).otherwise(side(PHRASE_WRONG))
+    right = F.when(F.col("key").isNotNull(), F.trim(F.try_variant_get("value", "$", "string"))).otherwise(side(PHRASE_RIGHT))
+    rows = rows.select(*[F.col(f"__{b}").alias(b) for b in by], "pos", wrong.alias("wrong"), right.alias("correct"))
+    noted = lambda c: F.exists(F.array(*[F.lit(m) for m in AI_NOTES]), lambda m: F.contains(c, m))
+    kept = rows.where((F.col("wrong") != "") & (F.col("correct") != "") & (F.col("wrong") != F.col("correct")) & (F.length("wrong") <= 24) & (F.length("correct") <= 32))
+    kept = kept.where(F.concat("wrong", "correct").rlike(r"[\x{3400}-\x{9fff}A-Za-z0-9]") & ~noted(F.col("wrong")) & ~noted(F.col("correct")))
+    return kept.groupBy(*by, "wrong").agg(F.max_by("correct", "pos").alias("correct"))
+
+
+def apply_phrase_table(df: DataFrame, phrases: DataFrame, text: str = "text", by: Sequence[str] = (), changed: str | None = None) -> DataFrame:
+    """``phrases(*by, wrong, correct)`` applied by falling length of the wrong side; ``changed`` names a column that tells where a text was.
+
+    They are one ordered array for each ``by``, joined to its rows. Without ``by`` there is one array for all rows,
+    and more than PHRASE_CHARS characters in it are an error.
+    """
+    used = phrases.where("length(wrong) > 0 and wrong <> correct")
+    if not by and (n := used.agg(F.sum(F.length("wrong") + F.length("correct"))).first()[0] or 0) > PHRASE_CHARS:
+        raise ValueError(f"{n} characters of phrases for all rows; name the columns that they belong to in by")
+    ordered = used.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.length("wrong")).alias("n"), "wrong", "correct"))).alias("__p"))
     out = F.aggregate("__p", F.col(text), lambda t, p: F.replace(t, p["wrong"], p["correct"]))
-    joined = df.join(ordered, list(by), "left") if by else df.join(F.broadcast(ordered))
-    return joined.withColumn(text, F.coalesce(out, text)).select(df.columns)
+    joined = df.join(ordered, list(by), "left") if by else df.join(F.broadcast(ordered), how="left")
+    fixed = joined.withColumn("__new", F.coalesce(out, text))
+    flag = [(~F.col("__new").eqNullSafe(F.col(text))).alias(changed)] if changed else []
+    return fixed.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in df.columns], *flag)
 
 
 def has_marker(c: Column, markers: Sequence[str]) -> Column:
@@ -294,10 +405,46 @@ def first_url(c: Column) -> Column:
     return F.regexp_replace(F.nullif(F.regexp_extract(c, r"(https?://\S+)", 1), F.lit("")), r"[，。),\]]+$", "")
 
 
-def item_id(url: Column, patterns: Sequence[str] = (r"/(?:video|note|item)/(\d+)", r"[?&](?:id|modal_id|page)=(\d+)", r"/(\d+)(?:\.html)?/?(?:[?#].*)?$")) -> Column:
+def normalize_url(c: Column) -> Column:
+    """The first url of a text, else the text, without blanks around it and marks after it."""
+    c = F.trim(c)
+    return F.regexp_replace(F.coalesce(first_url(c), c), r"[，。),\]]+$", "")
+
+
+# Where urls name an item, a collection, a user and a channel.
+ITEM_PATTERNS = (r"/video/(\d+)", r"/note/(\d+)", r"aweme_id=(\d+)", r"modal_id=(\d+)", r"video_id=(\d+)")
+COLLECTION_PATTERNS = (r"/collection/(\d+)", r"mix_id=(\d+)")
+USER_KEYS, CHANNEL, CHANNEL_ID = ("sec_user_id", "sec_uid"), r"^https?://space\.bilibili\.com/\d+/?(?:\?.*)?$", r"space\.bilibili\.com/(\d+)"
+
+
+def item_id(url: Column, patterns: Sequence[str] = ITEM_PATTERNS) -> Column:
+    """The number by the first pattern that the url has, null if it has none."""
     return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns])
 
 
+def collection_id(url: Column) -> Column:
+    return item_id(url, COLLECTION_PATTERNS)
+
+
+def user_id(url: Column) -> Column:
+    """Of a query's keys the first that is there, else the path's, decoded."""
+    query = [F.try_url_decode(F.nullif(F.regexp_extract(url, rf"\?(?:[^#]*&)?{k}=([^&#]+)", 1), F.lit(""))) for k in USER_KEYS]
+    path = F.regexp_extract(url, r"^[^?#]*/user/([^/?#]+)", 1)
+    return F.coalesce(*query, F.try_url_decode(F.replace(F.nullif(path, F.lit("")), F.lit("+"), F.lit("%2B"))))
+
+
+def channel_url(url: Column) -> Column:
+    """A channel's page as that of its videos."""
+    url = F.trim(url)
+    return F.when(url.rlike(CHANNEL), F.concat(F.regexp_replace(F.regexp_replace(url, r"\?.*$", ""), "/+$", ""), F.lit("/video"))).otherwise(url)
+
+
+def page_url(url: Column, ident: Column) -> Column:
+    """The page of a video whose id begins with BV and whose url doesn't lead there."""
+    elsewhere = ident.startswith("BV") & ~F.coalesce(url, F.lit("")).contains("bilibili.com")
+    return F.when(elsewhere, F.concat(F.lit("https://www.bilibili.com/video/"), ident)).otherwise(F.coalesce(url, F.lit("")))
+
+
 def safe_title(c: Column, n: int = 100) -> Column:
     return F.trim(F.substring(collapse(F.regexp_replace(c, r"[\\/*?:\"<>|\x00-\x1F]", " ")), 1, n))
 
@@ -422,3 +569,31 @@ def attempt_params(temperature: Column, top_k: Column, attempt: Column) -> tuple
 def resolve_alias(df: DataFrame, aliases: DataFrame, key: str, default: Column) -> DataFrame:
     """Left join on ``aliases(key, value)`` with a fallback; ``value`` is added."""
     return df.join(aliases.select(key, "value"), key, "left").withColumn("value", F.coalesce("value", default))
+
+
+# Other names of voices, their genders, and signs of a gender and of a language.
+VOICE_ALIASES, VOICE_DEFAULT = {"vi_female_huong": "BV074_streaming", "BV074_streaming_dsp": "BV074_streaming"}, "BV074_streaming"
+VOICE_GENDERS = {"BV074_streaming": "female", "BV421_vivn_streaming": "female", "BV560_streaming": "male", "BV075_streaming": "male"}
+VOICE_MALE = r"(?i)(?:male|nam|BV560|BV075)"
+VOICE_LANGUAGE = r"(?i)(?:^|\W)(?:vi|vi-vn|vietnam|vietnamese|tiếng việt)(?:\W|$)"
+CATALOGUE_MALE, CATALOGUE_FEMALE = r"(?i)male|nam", r"(?i)female|nữ|nu"
+
+
+def voice_code(c: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in VOICE_ALIASES.items() for x in pair])
+    bare = F.trim(F.coalesce(c, F.lit("")))
+    return F.coalesce(F.try_element_at(known, bare), F.nullif(bare, F.lit("")), F.lit(VOICE_DEFAULT))
+
+
+def voice_gender(c: Column) -> Column:
+    """By what is known of the voice, in any case of letters; else male where its code says so."""
+    known = F.create_map(*[F.lit(x) for k, v in VOICE_GENDERS.items() for x in (k.lower(), v)])
+    return F.coalesce(F.try_element_at(known, F.lower(voice_code(c))), F.when(voice_code(c).rlike(VOICE_MALE), "male").otherwise("female"))
+
+
+def pick_speakers(requests: DataFrame, catalogue: DataFrame, order: str, voice: str = "voice", language: str = VOICE_LANGUAGE, male: str = CATALOGUE_MALE, female: str = CATALOGUE_FEMALE) -> DataFrame:
+    """``speaker`` for each request: of a catalogue (id, about, order) the first row of the language whose text fits the voice's gender, else the first of the language."""
+    fitting = catalogue.where(F.col("about").rlike(language)).agg(
+        *[F.coalesce(F.min_by("id", F.when(F.col("about").rlike(p), F.col(order))), F.min_by("id", order)).alias(g) for g, p in (("male", male), ("female", female))]
+    )
+    return requests.join(F.broadcast(fitting), how="left").withColumn("speaker", F.when(voice_gender(F.col(voice)) == "male", F.col("male")).otherwise(F.col("female"))).drop("male", "female")

@@ -135,6 +135,23 @@ def edge_trim_plan(words: DataFrame, clips: DataFrame, pad_ms: int = 80, least_c
     return out.select(KEY, F.when(trimmed, F.col("from_ms")).otherwise(0).alias("from_ms"), F.when(trimmed, F.col("to_ms")).otherwise(F.col("duration_ms")).alias("to_ms"), trimmed.alias("trimmed"))
 
 
+def silence_trim_plan(silences: DataFrame, clips: DataFrame, head_pad_ms: int = 35, tail_pad_ms: int = 75, final_pad_ms: int = 120, least_ms: int = 350, least_cut_ms: int = 30, at_start_ms: int = 10, at_end_ms: int = 30) -> DataFrame:
+    """(media_id, from_ms, to_ms, trimmed) of clips (media_id, duration_ms, is_final) by their silences (media_id, start_ms, end_ms).
+
+    A first silence that begins with the clip gives the start, a last one that ends with it the end,
+    each with a pad; a final clip keeps more. No plan leaves ``least_ms`` or less, or is one that cuts ``least_cut_ms`` or less at both ends.
+    """
+    place = F.struct("start_ms", "end_ms")
+    ends = silences.groupBy(KEY).agg(F.min(place).alias("head"), F.max(place).alias("tail"))
+    c = clips.join(ends, KEY, "left")
+    pad = F.when(F.coalesce("is_final", F.lit(False)), final_pad_ms).otherwise(tail_pad_ms) if "is_final" in clips.columns else F.lit(tail_pad_ms)
+    start = F.when(F.col("head.start_ms") <= at_start_ms, F.greatest(F.lit(0), F.col("head.end_ms") - head_pad_ms)).otherwise(0)
+    end = F.when(F.col("duration_ms") - F.col("tail.end_ms") <= at_end_ms, F.least(F.col("duration_ms"), F.col("tail.start_ms") + pad)).otherwise(F.col("duration_ms"))
+    c = c.withColumn("from_ms", start.cast("long")).withColumn("to_ms", end.cast("long"))
+    kept = (F.col("to_ms") > F.col("from_ms") + least_ms) & ~((F.col("from_ms") <= least_cut_ms) & (F.col("duration_ms") - F.col("to_ms") <= least_cut_ms))
+    return c.select(KEY, F.when(kept, F.col("from_ms")).otherwise(0).alias("from_ms"), F.when(kept, F.col("to_ms")).otherwise(F.col("duration_ms")).alias("to_ms"), kept.alias("trimmed"))
+
+
 def toggle_speaker(cues: DataFrame, gap_ms: int = 1200) -> DataFrame:
     """``toggled``: the speaker changes where the gap to the end before is longer than ``gap_ms``."""
     flip = F.when(F.col("start_ms") - F.lag("end_ms").over(_w()) > gap_ms, 1).otherwise(0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,6 +80,30 @@ def repeated_prefixes(cues: DataFrame, separator: str = r"[:,.]", n: int = 6) ->
     return cues.withColumn("prefix", prefix).where("prefix <> ''").groupBy("media_id", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+def strip_prefixes(cues: DataFrame, near: DataFrame, n: int = 6, pad_ms: int = 1600, measure: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``stripped``: cues without a prefix that their media repeats, where the rest is no less like the other track's text near in time.
+
+    Prefixes are up to ``n`` letters or digits before a blank or a mark. A cue without any text near
+    keeps its prefix, as does one whose prefix stands in that text unless the rest is more like it.
+    ``measure`` compares compact texts, by default by their matching parts.
+    """
+    from cuespark.functions.text import compact_key
+    from cuespark.operators.joins import overlap_join
+
+    pattern = rf"^([\x{{3400}}-\x{{9fff}}A-Za-z0-9]{{1,{n}}})[\s:：,，]+(.{{2,}})$"
+    c = cues.withColumn("prefix", F.regexp_extract("text", pattern, 1)).withColumn("rest", F.trim(F.regexp_extract("text", pattern, 2)))
+    twice = c.where("prefix <> ''").groupBy("media_id", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("media_id", "prefix")
+    marked = c.join(twice, ["media_id", "prefix"], "left_semi")
+    a = marked.select("media_id", F.col("cue_no").alias("a_id"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    b = near.select("media_id", F.col("cue_no").alias("b_id"), F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"), F.col("text").alias("b_text"))
+    beside = overlap_join(a, b, pad_ms).groupBy("media_id", F.col("a_id").alias("cue_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("b_start", "b_id", "b_text"))), lambda x: x["b_text"]), " ").alias("beside"))
+    like = measure or matching_ratio
+    met = marked.join(beside, ["media_id", "cue_no"]).withColumn("now", like(compact_key(F.col("text")), compact_key(F.col("beside")))).withColumn("then", like(compact_key(F.col("rest")), compact_key(F.col("beside"))))
+    inside = F.contains(F.col("beside"), F.col("prefix"))
+    cut = met.where((F.col("rest") != "") & F.when(inside, F.col("then") > F.col("now")).otherwise(F.col("then") >= F.col("now"))).select("media_id", "cue_no", "rest")
+    return cues.join(cut, ["media_id", "cue_no"], "left").withColumn("stripped", F.coalesce("rest", "text")).drop("rest")
+
+
 def rejection_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts of ``reason`` (null: accepted)."""
     return df.groupBy(*by, F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,17 +189,54 @@ def cheap_gate(features: DataFrame) -> DataFrame:
     return features.withColumn("reasons", reasons)
 
 
-def staged_gate(clips: DataFrame, heavy) -> DataFrame:
-    """``heavy`` (a function of a frame that adds ``ok``) runs only where the cheap gate gave reasons."""
-    passed = clips.where(F.size("reasons") == 0).withColumn("outcome", F.lit("fast"))
-    looked = heavy(clips.where(F.size("reasons") > 0)).withColumn("outcome", F.when(F.col("ok"), "heavy").otherwise("retry")).drop("ok")
-    return passed.unionByName(looked)
-
+def staged_gate(clips: DataFrame, heavy, most: int = 4, most_tail: int = 4) -> DataFrame:
+    """``heavy`` (a function of a frame that adds ``ok``) runs only where the cheap gate gave reasons and none is of the tail.
 
-def clip_score(df: DataFrame) -> DataFrame:
-    """Penalty from coverage, extra prefix tokens, fillers and a short last word; ``hard`` clips add 1000."""
-    score = (1 - F.col("coverage")) * 120 + 12 * F.col("extra_prefix") + F.when(F.col("filler"), 1400).otherwise(0) + 220 * F.greatest(F.lit(0.0), F.col("last_deficit"))
-    return df.withColumn("score", score + F.when(F.col("hard"), 1000).otherwise(0))
+    Outcomes: ``fast`` without reasons; a clip with a tail issue (``tail``) isn't heard at all; what
+    fails is tried again (``retry``, ``tail_retry``) until it has had ``most`` or ``most_tail``
+    attempts (``attempts``, those before this one), then ``degraded``. Columns that aren't there count as false and 0.
+    """
+    has = lambda c, default: F.coalesce(c, F.lit(default)) if c in clips.columns else F.lit(default)
+    c = clips.withColumn("__tail", has("tail", False)).withColumn("__left", has("attempts", 0))
+    again = lambda name, n: F.when(F.col("__left") + 1 < n, name).otherwise("degraded")
+    tail = c.where("__tail").withColumn("outcome", again("tail_retry", most_tail))
+    passed = c.where((F.size("reasons") == 0) & ~F.col("__tail")).withColumn("outcome", F.lit("fast"))
+    looked = heavy(c.where((F.size("reasons") > 0) & ~F.col("__tail"))).withColumn("outcome", F.when(F.col("ok"), "heavy").otherwise(again("retry", most))).drop("ok")
+    return passed.unionByName(looked).unionByName(tail).drop("__tail", "__left")
+
+
+def clip_score(df: DataFrame, coverage_min: float = 0.92, reject_prefix: bool = False, reject_first: bool = False, reject_short_last: float = 0.0, reject_head: bool = False, reject_tail: bool = False, first_weight: float = 0.0) -> DataFrame:
+    """``score``, ``ok`` and ``reason`` of clips by their features; features that aren't there, or null, count for nothing.
+
+    duration_ok, duration_reason; coverage, asr_ok, extra_prefix, first_match, fillers (counts or
+    flags); last_s (seconds of the last word), last_min; artifacts, artifact_s; head_s, head_rms;
+    islands, island_s; tail_rms, tail_peak; peak. A clip starts at 0, or 1000 where its duration is
+    out of range. The reason is that of the last rule that refuses it. Scores have four decimals.
+    """
+    col = lambda c, default=0.0: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c in df.columns else F.lit(default)
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in df.columns else F.lit(default)
+    over = lambda x, limit, weight: F.greatest(F.lit(0.0), x - limit) * weight
+    heard = F.col("coverage").isNotNull() if "coverage" in df.columns else F.lit(False)
+    last_known = F.col("last_s").isNotNull() if "last_s" in df.columns else F.lit(False)
+    prefix, fillers, artifacts = col("extra_prefix"), col("fillers"), col("artifacts")
+    clear = flag("asr_ok", True) | (col("coverage") >= coverage_min) & (prefix <= 1)
+    head = (col("head_s") > 0.10) & (col("head_rms") > 0.008)
+    terms = [
+        F.when(flag("duration_ok", True), 0.0).otherwise(1000.0), F.when(heard, (1 - col("coverage")) * 120 + 12 * prefix + F.when(flag("first_match", True), 0.0).otherwise(first_weight)).otherwise(0.0),
+        F.when(heard, fillers * 1400).otherwise(0.0), F.when(last_known, over(col("last_min", 0.20), col("last_s"), 220.0)).otherwise(0.0), artifacts * 900 + col("artifact_s") * 1600,
+        F.when(head, over(col("head_s"), 0.10, 650.0) + over(col("head_rms"), 0.008, 1200.0)).otherwise(0.0), col("islands") * 10 + col("island_s") * 20,
+        over(col("tail_rms"), 0.018, 900.0) + over(col("tail_peak"), 0.20, 60.0), over(col("peak"), 0.97, 80.0),
+    ]
+    rules = [
+        ("duration", ~flag("duration_ok", True)), ("asr_coverage", heard & ~clear), ("filler", heard & (fillers > 0)), ("extra_prefix", heard & F.lit(reject_prefix) & (prefix > 0)),
+        ("first_token", heard & F.lit(reject_first) & ~flag("first_match", True)), ("short_last_word", last_known & (col("last_s") < reject_short_last)), ("artifact", artifacts > 0),
+        ("voiced_head", head & F.lit(reject_head)), ("voiced_tail", (col("tail_rms") > 0.018) & F.lit(reject_tail)),
+    ]
+    reason = F.coalesce(*[F.when(c, F.lit(n)) for n, c in reversed(rules)])
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return df.withColumn("score", F.round(total, 4)).withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
 def pick_best(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -207,6 +268,20 @@ def pick_candidate(cands: DataFrame, by: Sequence[str]) -> DataFrame:
     return pick_best(c, by, order).drop("__safe", "__off", "__any", "__scored")
 
 
+def rescue_short(picked: DataFrame, cands: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``picked`` where it is long enough for its text, else the candidate nearest the expected duration of those that are, the longer of equally near ones.
+
+    Candidates with an ``error`` don't count. ``replaced`` is the profile that gave way, null where none did.
+    """
+    safe = F.greatest(F.lit(0.65), F.least(F.lit(8.0), F.greatest(F.col("words") / 5.0, F.col("chars") / 48.0)))
+    off = F.abs(F.col("duration_s") - F.greatest(safe, F.col("words") / 3.2, F.col("chars") / 34.0))
+    sound = cands.where("error is null") if "error" in cands.columns else cands
+    best = pick_best(sound.where(F.col("duration_s") >= safe), by, [off.asc(), F.desc("duration_s"), F.asc("profile")]).select(*by, F.struct(*cands.columns).alias("__b"))
+    joined = picked.withColumn("__short", F.col("duration_s") < safe).join(best, list(by), "left")
+    swap = F.col("__short") & F.col("__b").isNotNull()
+    return joined.select(*by, *[F.when(swap, F.col(f"__b.{c}")).otherwise(F.col(c)).alias(c) for c in cands.columns if c not in by], F.when(swap, F.col("profile")).alias("replaced"))
+
+
 def rank_references(refs: DataFrame, by: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
     """Of the ``k`` references (by, n_chars, hard_words, ok, coverage, extra) that look best by their text, the best by (ok, coverage - 0.25 extra)."""
     penalty = 4 * F.col("hard_words") + F.floor(F.abs(F.col("n_chars") - 75) / 20)
@@ -227,14 +302,23 @@ def first_usable(results: DataFrame, by: str) -> DataFrame:
     return out.groupBy(by).agg(F.first("b.provider").alias("provider"), F.array_join(skipped, ",").alias("skipped"))
 
 
-def best_attempt(attempts: DataFrame, by: str = "job", accept: float = 0.001) -> DataFrame:
-    """Attempts (by, attempt, ok, score): the first good enough one, else the best that is ok, else the best of all."""
+# Reasons with which no clip is taken for want of a better one.
+HARD_REASONS = r"(?i)filler|artifact|extra.prefix|first.token|voiced.head"
+
+
+def best_attempt(attempts: DataFrame, by: str = "job", accept: float = 0.001, best_effort: bool = True, coverage_min: float | None = None) -> DataFrame:
+    """Attempts (by, attempt, ok, score, reason, coverage): the first good enough one (``early``), else the best that is ok, else the best of all.
+
+    The last only with ``best_effort``, or where ``coverage_min`` is given and reached and the reason is not a hard one; else ``failed``.
+    """
     w = Window.partitionBy(by)
     early = F.min(F.when(F.col("ok") & (F.col("score") <= accept), F.col("attempt"))).over(w)
     a = attempts.withColumn("early", early).where("early is null or attempt <= early")
     order = [F.when(F.col("attempt") == F.col("early"), 0).otherwise(1), F.when(F.col("ok"), 0).otherwise(1), F.col("score"), F.col("attempt")]
     out = pick_best(a, [by], order)
-    return out.withColumn("verdict", F.when(F.col("attempt") == F.col("early"), "early").when(F.col("ok"), "ok").otherwise("best_effort")).drop("early")
+    near = F.lit(False) if coverage_min is None else (F.coalesce("coverage", F.lit(0.0)) >= coverage_min) & ~F.coalesce("reason", F.lit("")).rlike(HARD_REASONS)
+    rest = F.when(F.lit(best_effort) | near, "best_effort").otherwise("failed")
+    return out.withColumn("verdict", F.when(F.col("attempt") == F.col("early"), "early").when(F.col("ok"), "ok").otherwise(rest)).drop("early")
 
 
 def lcs_coverage(expected: Column, actual: Column) -> Column:
@@ -274,18 +358,18 @@ def match_tokens(expected: Column, actual: Column) -> Column:
     number of actual tokens before the first that is among the first three expected.
     """
 
-    @F.pandas_udf("struct<coverage:double,extra_prefix:int,first_token:boolean>")
+    @F.pandas_udf("struct<coverage:double,extra_prefix:int,first_token:boolean,ok:boolean>")
     def run(e: pd.Series, a: pd.Series) -> pd.DataFrame:
         rows = []
         for x, y in zip(e, a, strict=True):
             x, y = list(x) if x is not None else [], list(y) if y is not None else []
             near = set(x[:3])
             prefix = next((k for k, token in enumerate(y) if token in near), len(y))
-            rows.append((lcs_length(x, y) / max(1, len(x)), prefix, bool(x and y and x[0] == y[0])))
-        return pd.DataFrame(rows, columns=["coverage", "extra_prefix", "first_token"])
+            coverage = lcs_length(x, y) / max(1, len(x))
+            rows.append((coverage, prefix, bool(x and y and x[0] == y[0]), coverage >= 0.92 and prefix <= 1))
+        return pd.DataFrame(rows, columns=["coverage", "extra_prefix", "first_token", "ok"])
 
-    got = run(expected, actual)
-    return F.struct(got["coverage"].alias("coverage"), got["extra_prefix"].alias("extra_prefix"), got["first_token"].alias("first_token"), ((got["coverage"] >= 0.92) & (got["extra_prefix"] <= 1)).alias("ok"))
+    return run(expected, actual)
 
 
 def unexplained_activity(activity: DataFrame, words: DataFrame, points: DataFrame, pad_ms: int = 40, least_ms: int = 75, rms: float = 0.006, peak: float = 0.08) -> DataFrame:
@@ -363,9 +447,15 @@ def worker_state(attempts: DataFrame, cooling_ms: int = 1_800_000, auth: Column
 
 
 def progress_status(lines: DataFrame) -> DataFrame:
-    """The last ``PROGRESS:percent:message`` of each job, the percentage within 0 and 100."""
+    """The last ``PROGRESS:percent:message`` of each job, the percentage within 0 and 100.
+
+    Where lines have ``from_pct`` and ``to_pct``, the share of the whole that their stage takes, the percentage is of that.
+    """
     p = r"^PROGRESS:(-?[0-9.]+):(.*)$"
-    x = lines.where(F.col("line").rlike(p)).select("job", "ts_ms", "event_id", F.least(F.greatest(F.regexp_extract("line", p, 1).cast("double"), F.lit(0.0)), F.lit(100.0)).alias("pct"), F.regexp_extract("line", p, 2).alias("message"))
+    pct = F.coalesce(F.expr("try_cast(regexp_extract(line, '^PROGRESS:(-?[0-9.]+):', 1) as double)"), F.lit(0.0))
+    if "from_pct" in lines.columns:
+        pct = F.col("from_pct") + (F.col("to_pct") - F.col("from_pct")) * pct / 100
+    x = lines.where(F.col("line").rlike(p)).select("job", "ts_ms", "event_id", F.least(F.greatest(pct, F.lit(0.0)), F.lit(100.0)).alias("pct"), F.regexp_extract("line", p, 2).alias("message"))
     return x.groupBy("job").agg(F.max_by(F.struct("pct", "message"), F.struct("ts_ms", "event_id")).alias("s")).select("job", "s.*")
 
 

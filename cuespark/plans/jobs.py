@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions.text import apply_phrase_table
+from cuespark.operators.grouping import finalize_cues
 from cuespark.operators.joins import apply_corrections
 from cuespark.operators.sequence import sample_context
 
@@ -42,40 +43,63 @@ def apply_model(df: DataFrame, f: Callable, schema: str, batch: int = 64, setup:
     return dealt.mapInPandas(run, f"{fields}, {schema}, error string")
 
 
-def apply_blocks(df: DataFrame, f: Callable[[list[str]], list[str]], block: int, least: int = 1, text: str = "text", key: str = "media_id") -> DataFrame:
-    """``reply`` of ``f`` over blocks of rows in order; a block with the wrong count is halved, and a single row that fails keeps its text.
+def apply_blocks(
+    df: DataFrame, f: Callable[[list[str]], list[str]], block: int, least: int = 1, text: str = "text", key: str = "media_id", on_fail: str = "keep", tries: int = 1, halve: bool = True, accept: Callable[[str, str], bool] | None = None
+) -> DataFrame:
+    """``reply`` of ``f`` over blocks of rows in order, ``kept`` where a row has none of its own, ``error`` why.
 
-    Halving happens where the block is, so there are no further passes over the data.
+    A block that fails (an error, another number of replies, or one that ``accept(text, reply)``
+    refuses) is asked ``tries`` times, then in halves down to ``least`` rows, or without ``halve``
+    row by row at once. What fails still, by ``on_fail``: ``keep`` gives rows their own text,
+    ``null`` no reply, for a placeholder, ``raise`` ends the job. Blocks are cut where they are, so
+    there are no further passes over the data.
     """
+    if on_fail not in ("keep", "null", "raise"):
+        raise ValueError(f"on_fail must be keep, null or raise, not {on_fail}")
     numbered = df.withColumn("__block", F.floor((F.col("cue_no") - 1) / block))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cue_no")
 
-        def ask(texts: list[str]) -> list[str]:
-            try:
-                out = f(texts)
-            except Exception:  # the caller's code may fail on any block
-                out = []
-            if len(out) == len(texts):
-                return list(out)
-            if len(texts) <= least:
-                return texts
-            half = len(texts) // 2
-            return ask(texts[:half]) + ask(texts[half:])
-
-        return part.assign(reply=ask(part[text].tolist())).drop(columns="__block")
+        def ask(texts: list[str]) -> list[tuple[str | None, bool, str | None]]:
+            why = None
+            for _ in range(tries):
+                try:
+                    out = list(f(texts))
+                    why = None if len(out) == len(texts) else f"BLOCK_COUNT_MISMATCH {len(out)} of {len(texts)}"
+                    if why is None and accept and not all(map(accept, texts, out)):
+                        why = "refused"
+                except Exception as e:  # the caller's code may fail on any block
+                    why = str(e)[:500] or type(e).__name__
+                if why is None:
+                    return [(x, False, None) for x in out]
+            if len(texts) > least and len(texts) > 1:
+                step = (len(texts) + 1) // 2 if halve else 1
+                cuts = [texts[: len(texts) // 2], texts[len(texts) // 2 :]] if halve else [texts[k : k + step] for k in range(0, len(texts), step)]
+                return [x for t in cuts for x in ask(t)]
+            if on_fail == "raise":
+                raise RuntimeError(f"{why}: {texts[0][:200] if texts[0] else ''}")
+            return [(t if on_fail == "keep" else None, True, why) for t in texts]
+
+        got = ask(part[text].tolist())
+        return part.assign(reply=[x for x, _, _ in got], kept=[k for _, k, _ in got], error=[e for _, _, e in got]).drop(columns="__block")
 
     fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema)
-    return numbered.groupBy(key, "__block").applyInPandas(run, f"{fields}, reply string")
+    return numbered.groupBy(key, "__block").applyInPandas(run, f"{fields}, reply string, kept boolean, error string")
 
 
-def correct_tracks(cues: DataFrame, glossary: Callable[[DataFrame], DataFrame], correct: Callable[[list[str]], list[str]], block: int = 40) -> DataFrame:
-    """A glossary from a sample of each track, applied to that track, then the caller's corrections under a guard.
+def correct_tracks(cues: DataFrame, glossary: Callable[[DataFrame], DataFrame], correct: Callable[[list[str]], list[str]], block: int = 40, leaks: tuple[str, ...] = (), summaries: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(corrected cues, (media_id, rule, n) of what was done): tracks (media_id, cue_no, start_ms, end_ms, text).
 
-    ``glossary`` makes (media_id, wrong, correct) of the sample, whose budget bounds the phrases of a track.
+    A glossary from a sample of each track is applied to that track, then the caller's corrections
+    under a guard, then the glossary again; near duplicates, leaks and summaries are cleaned up at
+    the end. ``glossary`` makes (media_id, wrong, correct) of the sample, whose budget bounds the phrases of a track.
     """
-    fixed = apply_phrase_table(cues, glossary(sample_context(cues)), by=["media_id"])
-    replies = apply_blocks(fixed, correct, block).select("media_id", "cue_no", F.lit(1).alias("seq"), F.col("reply").alias("fixed"))
+    phrases = glossary(sample_context(cues))
+    fixed = apply_phrase_table(cues, phrases, by=["media_id"], changed="by_glossary")
+    replies = apply_blocks(fixed, correct, block).where("not kept").select("media_id", "cue_no", F.lit(1).alias("seq"), F.col("reply").alias("fixed"))
     longest = F.greatest(F.length("text") + 28, F.floor(F.length("text") * 1.75) + 8)
-    return apply_corrections(fixed, replies, (F.trim("fixed") != "") & ~F.col("fixed").contains("\n") & (F.length("fixed") <= longest))
+    corrected = apply_corrections(fixed.drop("by_glossary"), replies, (F.trim("fixed") != "") & ~F.col("fixed").contains("\n") & (F.length("fixed") <= longest))
+    kept, struck = finalize_cues(apply_phrase_table(corrected.select(cues.columns), phrases, by=["media_id"]), leaks, summaries)
+    mapped = fixed.where("by_glossary").groupBy("media_id").agg(F.count(F.lit(1)).alias("n")).select("media_id", F.lit("glossary").alias("rule"), "n")
+    return kept, struck.unionByName(mapped)

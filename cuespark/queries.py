@@ -25,34 +25,25 @@ def _(spark, d):
     return cues(spark, d).select("media_id", "cue_no", tx.srt_ms(stamp).alias("ms"), stamp.alias("stamp"))
 
 
-@query("txt2_clean_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.clean_text(F.col("html"), entities=False).alias("text"))
+_CLEAN_PAGE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
-@query("txt3_repair_mojibake", "SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[À-ÿ]') AND NOT regexp_matches(text, '[^\\x{00}-\\x{ff}]')")
+@query("txt2_clean_text", "SELECT page_id, " + _CLEAN_PAGE.format("regexp_replace(html, '<[^>]+>', ' ', 'g')") + " AS text FROM pages")
 def _(spark, d):
-    t = table(spark, d, "documents").where(F.col("text").rlike("[À-ÿ]") & ~F.col("text").rlike(r"[^\x00-\xFF]"))
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return t.select("doc_id", broken.alias("text")).select("doc_id", tx.repair_mojibake(F.col("text")).alias("text"))
+    return table(spark, d, "pages").select("page_id", tx.clean_text(F.col("html"), entities=None).alias("text"))
 
 
-@query(
-    "txt4_normalize_text",
-    r"""SELECT media_id, line_no, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')),
-      '\s+([,.!?;:])', '\1', 'g'), '([,.!?;:])([^\s,.!?;:])', '\1 \2', 'g')) AS text FROM lines""", LINES,
-)
+@query("txt2_unescaped_text", "SELECT page_id, " + _CLEAN_PAGE.format("regexp_replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g')") + " AS text FROM pages")
 def _(spark, d):
-    return lines(spark, d).select("media_id", "line_no", tx.normalize_text(F.col("text")).alias("text"))
+    return table(spark, d, "pages").select("page_id", tx.clean_text(F.col("html"), entities="all").alias("text"))
 
 
-@query(
-    "txt5_enforce_tail",
-    r"""SELECT media_id, line_no, CASE WHEN len(regexp_extract_all(t, '[\p{L}\p{N}_]+')) <= 3 AND regexp_matches(t, '[^.]\.$') THEN t || '..' ELSE t END AS text
-      FROM (SELECT media_id, line_no, CASE WHEN regexp_matches(text, '[.!?…]$') THEN text ELSE text || '.' END AS t FROM lines)""", LINES,
-)
+@query("txt3_repair_mojibake", "SELECT doc_id, text FROM documents")
 def _(spark, d):
-    return lines(spark, d).select("media_id", "line_no", tx.enforce_tail(F.col("text")).alias("text"))
+    # texts of Latin-1 characters are read wrongly and repaired, all others must stay as they are
+    latin = F.col("text").rlike("[À-ÿ]") & ~F.col("text").rlike(r"[^\x00-\xFF]")
+    broken = F.when(latin, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", broken.alias("text")).select("doc_id", tx.repair_mojibake(F.col("text")).alias("text"))
 
 
 _DIGIT = "['không','một','hai','ba','bốn','năm','sáu','bảy','tám','chín']"
@@ -70,12 +61,49 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.numbers_to_words((F.col("p_partkey") % 1000).cast("string")).alias("words"))
 
 
+_SPOKEN_NUMBER = f"""(CASE WHEN n = 0 THEN 'không' ELSE trim(CASE WHEN h > 0 THEN {_DIGIT}[h + 1] || ' trăm ' ELSE '' END ||
+      CASE WHEN t = 0 AND u = 0 THEN '' WHEN t = 0 AND h > 0 THEN 'lẻ ' || {_DIGIT}[u + 1] WHEN t = 0 THEN {_DIGIT}[u + 1]
+      WHEN t = 1 AND u = 0 THEN 'mười' WHEN t = 1 AND u = 5 THEN 'mười lăm' WHEN t = 1 THEN 'mười ' || {_DIGIT}[u + 1]
+      ELSE {_DIGIT}[t + 1] || ' mươi' || CASE u WHEN 0 THEN '' WHEN 1 THEN ' mốt' WHEN 5 THEN ' lăm' ELSE ' ' || {_DIGIT}[u + 1] END END) END)"""
+_NUMBERS = f"numbers AS (SELECT n, {_SPOKEN_NUMBER} AS words FROM (SELECT n, n // 100 AS h, n % 100 // 10 AS t, n % 10 AS u FROM range(1000) r(n)))"
+_PIECES = r"""pieces AS (SELECT media_id, line_no, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT media_id, line_no, regexp_extract_all(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')),
+      '\s+([,.!?;:])', '\1', 'g'), '([,.!?;:])', '\1 ', 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p FROM lines))"""
+
+
+@query("txt4_normalize_text", r"SELECT media_id, line_no, nfc_normalize(trim(regexp_replace(string_agg(coalesce(words, w), '' ORDER BY k), '\s+', ' ', 'g'))) AS text FROM pieces LEFT JOIN numbers ON regexp_matches(w, '^[0-9]{1,3}$') AND n = TRY_CAST(w AS INTEGER) GROUP BY media_id, line_no", LINES, _NUMBERS, _PIECES)
+def _(spark, d):
+    return lines(spark, d).select("media_id", "line_no", tx.normalize_text(F.col("text")).alias("text"))
+
+
+_SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_DOTTED = r"regexp_replace({0}, '\s*\.$', '') || '...'"
+
+
+@query("txt5_enforce_tail", rf"""SELECT media_id, line_no, CASE WHEN len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) <= 3 AND t LIKE '%.' AND NOT t LIKE '%...' THEN {_DOTTED.format('t')} ELSE t END AS text
+      FROM (SELECT media_id, line_no, CASE WHEN regexp_matches(s, '[.!?…]$') THEN s ELSE s || '.' END AS t FROM (SELECT *, {_SQUEEZED} AS s FROM lines))""", LINES)
+def _(spark, d):
+    return lines(spark, d).select("media_id", "line_no", tx.enforce_tail(F.col("text")).alias("text"))
+
+
+@query("txt5_clip_tail", rf"""SELECT media_id, cue_no, CASE WHEN (w <= 8 OR lower(string_split(regexp_replace(s, '[.!?…]+$', ''), ' ')[-1]) IN ('des', 'the')) AND s LIKE '%.' THEN {_DOTTED.format('s')} ELSE s END AS text FROM (
+  SELECT *, CASE WHEN n >= 3 THEN n ELSE greatest(n, length(regexp_replace(s, '\s', '', 'g')) // 2) END AS w FROM (SELECT *, len(list_filter(string_split(s, ' '), lambda x: x <> '')) AS n FROM (SELECT *, {_SQUEEZED} AS s FROM cues)))""", CUES)
+def _(spark, d):
+    return cues(spark, d).select("media_id", "cue_no", tx.enforce_tail(F.col("text"), "clip", ("des", "the")).alias("text"))
+
+
 @query("txt7_safety_flags", "SELECT media_id, cue_no, array_to_string(list_filter([CASE WHEN length(trim(text)) < 3 THEN 'too_short' END, CASE WHEN length(trim(text)) > 300 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS flags FROM cues", CUES)
 def _(spark, d):
     return cues(spark, d).select("media_id", "cue_no", F.array_join(tx.safety_flags(F.col("text")), ",").alias("flags"))
 
 
-@query("txt8_compare_tokens", r"SELECT media_id, line_no, array_to_string(regexp_extract_all(strip_accents(lower(regexp_replace(text, '<[^>]+>', '', 'g'))), '[a-z0-9]+'), ' ') AS tokens FROM lines", LINES)
+_FOLDED_NUMBERS = "folded AS (SELECT n, list_filter(string_split(replace(strip_accents(lower(words)), 'đ', 'd'), ' '), lambda w, i: NOT (w = 'muoi' AND i > 1 AND list_contains(['mot', 'hai', 'ba', 'bon', 'nam', 'sau', 'bay', 'tam', 'chin'], string_split(replace(strip_accents(lower(words)), 'đ', 'd'), ' ')[i - 1]))) AS t FROM numbers)"
+_ALIASES = "aliases AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in tx.TOKEN_ALIASES.items()) + ") v(a, b))"
+_TOKENS = r"""tok AS (SELECT media_id, line_no, unnest(p) AS w, generate_subscripts(p, 1) AS k FROM (SELECT media_id, line_no, regexp_extract_all(replace(strip_accents(lower(regexp_replace(text, '<[^>]+>', ' ', 'g'))), 'đ', 'd'), '[a-z0-9]+') AS p FROM lines)),
+said AS (SELECT media_id, line_no, k, w, CASE WHEN t IS NOT NULL THEN array_to_string(t, ' ') ELSE coalesce(b, w) END AS s, t IS NOT NULL OR contains(coalesce(b, w), ' ') AS whole FROM tok LEFT JOIN folded ON regexp_matches(w, '^0*[0-9]{1,3}$') AND n = TRY_CAST(w AS BIGINT) LEFT JOIN aliases ON a = w),
+kept AS (SELECT *, lag(string_split(s, ' ')[-1]) OVER (PARTITION BY media_id, line_no ORDER BY k) AS before FROM said)"""
+
+
+@query("txt8_compare_tokens", "SELECT media_id, line_no, coalesce(tokens, '') AS tokens FROM lines LEFT JOIN (SELECT media_id, line_no, string_agg(s, ' ' ORDER BY k) AS tokens FROM kept WHERE whole OR s <> 'muoi' OR before IS NULL OR NOT list_contains(['mot', 'hai', 'ba', 'bon', 'nam', 'sau', 'bay', 'tam', 'chin'], before) GROUP BY media_id, line_no) USING (media_id, line_no)", LINES, _NUMBERS, _FOLDED_NUMBERS, _ALIASES, _TOKENS)
 def _(spark, d):
     return lines(spark, d).select("media_id", "line_no", F.array_join(tx.compare_tokens(F.col("text")), " ").alias("tokens"))
 
@@ -98,6 +126,16 @@ def _(spark, d):
     return lines(spark, d).select("media_id", "line_no", tx.apply_phrases(F.col("text"), _PHRASES).alias("text"))
 
 
+@query("txt11_phrase_maps", """SELECT media_id, line_no, CASE WHEN media_id % 3 = 0 THEN replace(replace(text, 'of the', 'DER 1'), 'the', 'DIE') WHEN media_id % 3 = 1 THEN replace(replace(text, 'and', 'UND'), 'de', 'VON') ELSE text END AS text,
+  CASE WHEN media_id % 3 = 0 THEN contains(text, 'the') WHEN media_id % 3 = 1 THEN contains(text, 'and') OR contains(text, 'de') ELSE false END AS changed FROM lines""", LINES)
+def _(spark, d):
+    given = F.when(F.col("media_id") % 3 == 0, '{"of the": "DER 1", "the": " DIE ", "same": "same", "": "x", "a phrase of many more characters": "no", "?!": "!"}')
+    listed = given.when(F.col("media_id") % 3 == 1, '[{"asr": "and", "to": "ET"}, {"wrong": "and", "correct": "UND"}, {"from": "de", "target": "VON"}, {"source": "la", "correct": "不确定"}, 5, null]').otherwise("{broken")
+    maps = lines(spark, d).select("media_id").distinct().withColumn("phrases", listed)
+    out = tx.apply_phrase_table(lines(spark, d), tx.phrase_rows(maps, by=["media_id"]), by=["media_id"], changed="changed")
+    return out.select("media_id", "line_no", "text", "changed")
+
+
 @query("txt12_has_marker", "SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), '###') AS marked FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.has_marker(F.col("text"), ["License", "###"]).alias("marked"))
@@ -143,9 +181,33 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(tx.salvage_json(reply), "$.k").cast("long").alias("k"))
 
 
-@query("txt17_item_id", r"SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&](?:id|modal_id|page)=(\d+)', 1), ''), nullif(regexp_extract(url, '/(\d+)(?:\.html)?/?(?:[?#].*)?$', 1), '')) AS item FROM pages")
+_GENERIC = tx.ITEM_PATTERNS + (r"[?&](?:id|page)=(\d+)", r"/(\d+)(?:\.html)?/?(?:[?#].*)?$")
+
+
+@query("txt17_item_id", "SELECT page_id, coalesce(" + ", ".join(f"nullif(regexp_extract(url, '{p}', 1), '')" for p in _GENERIC) + ") AS item FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.item_id(F.col("url")).alias("item"))
+    return table(spark, d, "pages").select("page_id", tx.item_id(F.col("url"), _GENERIC).alias("item"))
+
+
+_LINKED = """u AS (SELECT page_id, ['see https://a.example/video/' || page_id || '?aweme_id=1),', 'https://a.example/note/' || page_id, url || '&aweme_id=' || page_id, 'https://a.example/user/x%20' || page_id || '?modal_id=' || page_id || '&sec_uid=a+' || page_id,
+  'https://space.bilibili.com/' || page_id || '/?spm=1', 'https://a.example/collection/' || page_id || '?video_id=7', 'https://a.example/user/y' || page_id || '/posts?mix_id=' || page_id][page_id % 7 + 1] AS raw FROM pages),
+n AS (SELECT page_id, regexp_replace(coalesce(nullif(regexp_extract(trim(raw), '(https?://\\S+)', 1), ''), trim(raw)), '[，。),\\]]+$', '') AS url FROM u)"""
+
+
+@query("txt17_url_parts", r"""SELECT page_id, url, coalesce(nullif(regexp_extract(url, '/video/(\d+)', 1), ''), nullif(regexp_extract(url, '/note/(\d+)', 1), ''), nullif(regexp_extract(url, 'aweme_id=(\d+)', 1), ''), nullif(regexp_extract(url, 'modal_id=(\d+)', 1), ''), nullif(regexp_extract(url, 'video_id=(\d+)', 1), '')) AS item,
+  coalesce(nullif(regexp_extract(url, '/collection/(\d+)', 1), ''), nullif(regexp_extract(url, 'mix_id=(\d+)', 1), '')) AS collection, CASE page_id % 7 WHEN 3 THEN 'a ' || page_id WHEN 6 THEN 'y' || page_id END AS user_id, CASE WHEN page_id % 7 = 4 THEN 'https://space.bilibili.com/' || page_id || '/video' ELSE url END AS channel,
+  CASE WHEN page_id % 2 = 0 AND page_id % 7 <> 4 THEN 'https://www.bilibili.com/video/BV' || page_id ELSE url END AS page FROM n""", _LINKED)
+def _(spark, d):
+    n = F.col("page_id").cast("string")
+    cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    raw = F.element_at(F.array(
+        cat("see https://a.example/video/", n, "?aweme_id=1),"), cat("https://a.example/note/", n), cat(F.col("url"), "&aweme_id=", n), cat("https://a.example/user/x%20", n, "?modal_id=", n, "&sec_uid=a+", n),
+        cat("https://space.bilibili.com/", n, "/?spm=1"), cat("https://a.example/collection/", n, "?video_id=7"), cat("https://a.example/user/y", n, "/posts?mix_id=", n),
+    ), (F.col("page_id") % 7 + 1).cast("int"))
+    u = table(spark, d, "pages").select("page_id", tx.normalize_url(raw).alias("url"))
+    c = F.col("url")
+    ident = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("BV"), n)).otherwise(n)
+    return u.select("page_id", "url", tx.item_id(c).alias("item"), tx.collection_id(c).alias("collection"), tx.user_id(c).alias("user_id"), tx.channel_url(c).alias("channel"), tx.page_url(c, ident).alias("page"))
 
 
 @query("txt18_safe_title", r"""SELECT page_id, trim(substr(trim(regexp_replace(regexp_replace(url, '[\\/*?:"<>|]', ' ', 'g'), '\s+', ' ', 'g')), 1, 40)) AS title FROM pages""")
@@ -259,6 +321,17 @@ def _(spark, d):
     return tx.resolve_alias(table(spark, d, "customer"), dim, "c_nationkey", F.lit("unknown")).select("c_custkey", "value")
 
 
+@query("txt30_pick_speakers", """SELECT c_custkey, CASE WHEN v = '' THEN 'BV074_streaming' WHEN v = 'vi_female_huong' THEN 'BV074_streaming' ELSE v END AS code, CASE WHEN male THEN 'male' ELSE 'female' END AS gender,
+  CASE WHEN male THEN (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey % 4 IN (1, 3)) ELSE (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey % 4 = 3) END AS speaker
+  FROM (SELECT *, v IN ('bv560_STREAMING', 'vi_male_x', 'NAM 2') AS male FROM (SELECT c_custkey, ['', 'vi_female_huong', 'bv560_STREAMING', 'vi_male_x', 'NAM 2', 'BV421_vivn_streaming', 'other'][c_custkey % 7 + 1] AS v FROM customer))""")
+def _(spark, d):
+    v = F.element_at(F.array(*[F.lit(x) for x in (" ", "vi_female_huong", "bv560_STREAMING", "vi_male_x", "NAM 2", "BV421_vivn_streaming", "other")]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    about = F.element_at(F.array(*[F.lit(x) for x in ("en male one", "vi-VN giọng nam", "french female", "Vietnamese giọng nữ")]), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    catalogue = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), about.alias("about"))
+    out = tx.pick_speakers(table(spark, d, "customer").select("c_custkey", v.alias("voice")), catalogue.withColumn("n", F.col("id")), "n")
+    return out.select("c_custkey", tx.voice_code(F.col("voice")).alias("code"), tx.voice_gender(F.col("voice")).alias("gender"), "speaker")
+
+
 # --- ordered within a key ----------------------------------------------------------------
 
 
@@ -330,6 +403,19 @@ def _(spark, d):
     return sq.edge_trim_plan(c, clips)
 
 
+@query("seq9_silence_trim", """SELECT media_id, CASE WHEN ok THEN f ELSE 0 END AS from_ms, CASE WHEN ok THEN t ELSE duration_ms END AS to_ms, ok AS trimmed FROM (SELECT *, t > f + 350 AND NOT (f <= 30 AND duration_ms - t <= 30) AS ok FROM (
+  SELECT media_id, duration_ms, CASE WHEN hs <= 10 THEN greatest(0, he - 35) ELSE 0 END AS f, CASE WHEN duration_ms - te <= 30 THEN least(duration_ms, ts + CASE WHEN media_id % 2 = 0 THEN 120 ELSE 75 END) ELSE duration_ms END AS t FROM (
+  SELECT media_id, max(end_ms) AS duration_ms, min(start_ms) AS hs, arg_min(least(start_ms + 300 + media_id % 200, end_ms), {'s': start_ms, 'c': cue_no}) AS he, arg_max(start_ms + 100, {'s': start_ms, 'c': cue_no}) AS ts, arg_max(end_ms, {'s': start_ms, 'c': cue_no}) AS te FROM slots GROUP BY media_id)))""", SLOTS)
+def _(spark, d):
+    s = slots(spark, d)
+    first, last = F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "cue_no")), F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("start_ms"), F.desc("cue_no")))
+    marked = s.withColumn("first", first == 1).withColumn("last", last == 1)
+    head = marked.where("first").select("media_id", "start_ms", F.least(F.col("start_ms") + 300 + F.col("media_id") % 200, "end_ms").alias("end_ms"))
+    tail = marked.where("last").select("media_id", (F.col("start_ms") + 100).alias("start_ms"), "end_ms")
+    clips = s.groupBy("media_id").agg(F.max("end_ms").alias("duration_ms")).withColumn("is_final", F.col("media_id") % 2 == 0)
+    return sq.silence_trim_plan(head.unionByName(tail), clips)
+
+
 @query("seq10_toggle_speaker", """SELECT media_id, cue_no, sum(flip) OVER (PARTITION BY media_id ORDER BY start_ms, cue_no ROWS UNBOUNDED PRECEDING)::BIGINT % 2 AS toggled FROM (
   SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, cue_no) > 500 THEN 1 ELSE 0 END AS flip FROM cues)""", CUES)
 def _(spark, d):
@@ -621,6 +707,27 @@ def _(spark, d):
     return st.repeated_prefixes(cues(spark, d))
 
 
+_NEAR_TEXT = """tagged AS (SELECT media_id, cue_no, start_ms, end_ms, CASE WHEN cue_no % 4 = 0 THEN 'tag' || media_id % 3 || ': ' || text WHEN cue_no % 9 = 0 THEN 'lone' || cue_no || ', ' || text ELSE text END AS text FROM cues),
+px AS (SELECT *, regexp_extract(text, '^([\\x{3400}-\\x{9fff}A-Za-z0-9]{1,6})[\\s:：,，]+(.{2,})$', 1) AS prefix, trim(regexp_extract(text, '^([\\x{3400}-\\x{9fff}A-Za-z0-9]{1,6})[\\s:：,，]+(.{2,})$', 2)) AS rest FROM tagged),
+twice AS (SELECT media_id, prefix FROM px WHERE prefix <> '' GROUP BY media_id, prefix HAVING count(*) >= 2),
+nearby AS (SELECT p.media_id, p.cue_no, p.prefix, p.rest, p.text, string_agg(c.text, ' ' ORDER BY c.start_ms, c.cue_no) AS beside FROM px p SEMI JOIN twice t ON t.media_id = p.media_id AND t.prefix = p.prefix JOIN cues c ON c.media_id = p.media_id AND p.start_ms - 1600 < c.end_ms AND c.start_ms < p.end_ms + 1600 GROUP BY ALL),
+keyed AS (SELECT *, @text AS kt, @rest AS kr, @beside AS kb FROM nearby)"""
+for _c in ("text", "rest", "beside"):
+    _NEAR_TEXT = _NEAR_TEXT.replace(f"@{_c}", _KEY.replace("text", _c))
+_LIKE = "round(CASE WHEN greatest(length({0}), length(kb)) = 0 THEN 1 ELSE len(list_intersect(string_split({0}, ''), string_split(kb, '')))::DOUBLE / greatest(length({0}), length(kb)) END, 9)"
+
+
+@query("agg4_strip_prefixes", f"SELECT t.media_id, t.cue_no, coalesce(k.rest, t.text) AS stripped FROM tagged t LEFT JOIN (SELECT * FROM keyed WHERE rest <> '' AND CASE WHEN contains(beside, prefix) THEN {_LIKE.format('kr')} > {_LIKE.format('kt')} ELSE {_LIKE.format('kr')} >= {_LIKE.format('kt')} END) k ON k.media_id = t.media_id AND k.cue_no = t.cue_no", CUES, _NEAR_TEXT.replace("length(list_intersect", "len(list_intersect"))
+def _(spark, d):
+    c = cues(spark, d)
+    tagged = F.when(F.col("cue_no") % 4 == 0, F.concat(F.lit("tag"), (F.col("media_id") % 3).cast("string"), F.lit(": "), "text")).when(F.col("cue_no") % 9 == 0, F.concat(F.lit("lone"), F.col("cue_no").cast("string"), F.lit(", "), "text")).otherwise(F.col("text"))
+    # shared letters stand in for the matching parts, which SQL doesn't have
+    letters = lambda x: F.filter(F.split(x, ""), lambda y: y != "")
+    longest = lambda x, y: F.greatest(F.length(x), F.length(y))
+    shared = lambda x, y: F.round(F.when(longest(x, y) == 0, 1.0).otherwise(F.size(F.array_intersect(letters(x), letters(y))) / longest(x, y)), 9)
+    return st.strip_prefixes(c.withColumn("text", tagged), c, measure=shared).select("media_id", "cue_no", "stripped")
+
+
 @query("agg5_rejection_summary", f"SELECT lang, coalesce({_LADDER}, 'accepted') AS reason, count(*) AS n FROM lines GROUP BY ALL", LINES)
 def _(spark, d):
     return st.rejection_summary(lines(spark, d).withColumn("reason", _reason()), ["lang"])
@@ -692,6 +799,15 @@ def _(spark, d):
     return st.pick_candidate(c, ["p_brand"]).select("p_brand", F.col("profile").alias("p_partkey"))
 
 
+@query("rnk1_rescue_short", """SELECT p_brand, coalesce(CASE WHEN s.dur < s.low THEN r.p_partkey END, s.p_partkey) AS p_partkey, CASE WHEN s.dur < s.low AND r.p_partkey IS NOT NULL THEN s.p_partkey ELSE -1 END AS replaced
+  FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1) s LEFT JOIN (SELECT * FROM c WHERE dur >= low AND p_partkey % 3 > 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY off, dur DESC, p_partkey) = 1) r USING (p_brand)""",
+  "c0 AS (SELECT p_brand, p_partkey, p_size / 10.0 AS dur, length(p_name) AS chars, length(p_name) // 4 AS words FROM part)", "c AS (SELECT *, greatest(0.65, least(8.0, greatest(words / 5.0, chars / 48.0))) AS low, abs(dur - greatest(greatest(0.65, least(8.0, greatest(words / 5.0, chars / 48.0))), words / 3.2, chars / 34.0)) AS off FROM c0)")
+def _(spark, d):
+    c = table(spark, d, "part").selectExpr("p_brand", "p_partkey as profile", "p_size / 10.0D as duration_s", "length(p_name) as chars", "floor(length(p_name) / 4) as words", "case when p_partkey % 3 = 0 then 'no file' end as error")
+    picked = st.pick_best(c, ["p_brand"], [F.col("profile")])
+    return st.rescue_short(picked, c, ["p_brand"]).select("p_brand", F.col("profile").alias("p_partkey"), F.coalesce("replaced", F.lit(-1)).alias("replaced"))
+
+
 @query("rnk2_rank_references", """SELECT p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY ok DESC, cov - 0.25 * extra DESC, p_partkey) AS r FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY penalty, p_partkey) AS k FROM (
   SELECT p_type, p_partkey, 4 * (p_size % 3) + floor(abs(length(p_name) * 5 - 75) / 20) AS penalty, p_size > 20 AS ok, p_size / 50.0 AS cov, p_size % 4 AS extra FROM part)) WHERE k <= 3) WHERE r = 1""")
 def _(spark, d):
@@ -723,6 +839,15 @@ def _(spark, d):
     return st.best_attempt(attempts(spark, d).select("job", n.alias("attempt"), (~F.col("failed")).alias("ok"), "score")).select("job", "attempt", "verdict")
 
 
+@query("rnk8_refused_attempts", """SELECT job, attempt, CASE WHEN attempt = e THEN 'early' WHEN ok THEN 'ok' WHEN coverage >= 0.8 AND reason <> 'asr filler' THEN 'best_effort' ELSE 'failed' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY CASE WHEN attempt = e THEN 0 ELSE 1 END, CASE WHEN ok THEN 0 ELSE 1 END, score, attempt) AS r FROM (
+  SELECT *, min(CASE WHEN ok AND score <= 0.001 THEN attempt END) OVER (PARTITION BY job) AS e FROM (SELECT job // 1 AS job, row_number() OVER (PARTITION BY job ORDER BY ts_ms, event_id) AS attempt, NOT failed AND job % 3 = 0 AS ok, score, (job % 10) / 10 AS coverage, CASE WHEN job % 4 = 0 THEN 'asr filler' ELSE 'asr coverage' END AS reason FROM attempts)) WHERE e IS NULL OR attempt <= e) WHERE r = 1""", ATTEMPTS)
+def _(spark, d):
+    n = F.row_number().over(Window.partitionBy("job").orderBy("ts_ms", "event_id")).cast("long")
+    ok, job = ~F.col("failed") & (F.col("job") % 3 == 0), F.col("job")
+    a = attempts(spark, d).select("job", n.alias("attempt"), ok.alias("ok"), "score", ((job % 10) / 10).alias("coverage"), F.when(job % 4 == 0, "asr filler").otherwise("asr coverage").alias("reason"))
+    return st.best_attempt(a, best_effort=False, coverage_min=0.8).select("job", "attempt", "verdict")
+
+
 @query("mat2_similarity")
 def _(spark, d):
     w = Window.partitionBy("media_id").orderBy("cue_no")
@@ -780,6 +905,14 @@ def _(spark, d):
     return st.progress_status(a.select("job", "ts_ms", "event_id", line.alias("line")))
 
 
+@query("str4_stage_progress", "SELECT job, greatest(0.0, least(arg_max(20 * (event_id % 4) + 20 * (score * 3) / 100, event_id), 100.0)) AS pct, arg_max(message, event_id) AS message FROM attempts GROUP BY job", ATTEMPTS)
+def _(spark, d):
+    a = attempts(spark, d)
+    line = F.concat(F.lit("PROGRESS:"), (F.col("score") * 3).cast("string"), F.lit(":"), "message")
+    low = 20.0 * (F.col("event_id") % 4)
+    return st.progress_status(a.select("job", "ts_ms", "event_id", line.alias("line"), low.alias("from_pct"), (low + 20).alias("to_pct")))
+
+
 @query("str5_provider_health", "SELECT job, ts_ms // 86400000 AS day, count(*) AS n, count_if(failed)::BIGINT AS failed FROM attempts GROUP BY ALL", ATTEMPTS)
 def _(spark, d):
     from cuespark.streaming.jobs import provider_health
@@ -922,13 +1055,12 @@ def _(spark, d):
     return rd.pair_markers(ev)
 
 
-@query("src15_text_units", "SELECT media_id, line_no, text FROM lines WHERE media_id IN (SELECT media_id FROM lines GROUP BY media_id HAVING count(*) > 1)", LINES)
+@query("src15_text_units", r"""SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY a, b) - 1 AS unit_no, unit FROM (
+  SELECT media_id, line_no AS a, 0 AS b, text AS unit FROM lines WHERE media_id IN (SELECT media_id FROM lines GROUP BY media_id HAVING count(*) > 1)
+  UNION ALL SELECT media_id, line_no, k, trim(s) FROM (SELECT media_id, line_no, unnest(p) AS s, generate_subscripts(p, 1) AS k FROM (SELECT *, string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(10), 'g'), chr(10)) AS p FROM lines WHERE media_id IN (SELECT media_id FROM lines GROUP BY media_id HAVING count(*) = 1))) WHERE trim(s) <> '')""", LINES)
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), "text")
-    many = lines(spark, d).groupBy("media_id").count().where("count > 1").select("media_id")
-    n = Window.partitionBy("media_id").orderBy("line_no")
-    numbered = lines(spark, d).withColumn("unit_no", F.row_number().over(n) - 1).select("media_id", "unit_no", "line_no")
-    return rd.text_units(docs.join(many, "media_id")).join(numbered, ["media_id", "unit_no"]).select("media_id", "line_no", F.col("unit").alias("text"))
+    return rd.text_units(docs).select("media_id", F.col("unit_no").cast("long").alias("unit_no"), "unit")
 
 
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
@@ -1001,7 +1133,17 @@ def _(spark, d):
 
 @query("exp5_chunk_text")
 def _(spark, d):
-    return ex.chunk_text(table(spark, d, "documents").select("doc_id", "text"), 220)
+    return ex.chunk_text(table(spark, d, "documents").select("doc_id", "text"), 220, most=2000)
+
+
+@query("exp5_chunk_lookback")
+def _(spark, d):
+    return ex.chunk_text(table(spark, d, "documents").select("doc_id", "text"), 180, "lookback")
+
+
+@query("exp5_chunk_paragraphs")
+def _(spark, d):
+    return ex.chunk_text(table(spark, d, "documents").select("doc_id", "text"), 3500, "paragraph")
 
 
 @query("exp8_wrap_lines")
@@ -1066,10 +1208,33 @@ def _(spark, d):
     return ex.parse_indexed_reply(r).select("reply_id", F.coalesce("n", F.lit(0)).alias("n"), "text", "status")
 
 
-@query("exp12_training_examples", "SELECT media_id, string_agg('<|speech_' || cue_no || '|>', '' ORDER BY cue_no) AS target, max(length(speaker)) + count(*) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS r FROM cues WHERE speaker = 'user') WHERE r <= 40 - length(speaker) GROUP BY media_id", CUES)
+@query("exp12_training_examples", "SELECT media_id, speaker, string_agg('<|speech_' || cue_no || '|>', '' ORDER BY cue_no) AS target, max(length(speaker)) + count(*) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY media_id, speaker ORDER BY cue_no) AS r FROM cues) WHERE r <= greatest(8, 12 - length(speaker)) GROUP BY media_id, speaker", CUES)
+def _(spark, d):
+    c = cues(spark, d).groupBy("media_id", "speaker").agg(F.array_sort(F.collect_list("cue_no")).alias("codes")).withColumn("text", F.col("speaker"))
+    return ex.training_examples(c, 12).select("media_id", "speaker", "target", F.size("labels").cast("long").alias("labels"))
+
+
+_EXAMPLES = """e AS (SELECT media_id, cue_no, '<|TEXT_PROMPT_START|>' || text || '<|TEXT_PROMPT_END|><|SPEECH_GENERATION_START|>' || array_to_string(list_transform(range(cue_no % 6), lambda k: '<|speech_' || (k * 7 + media_id % 5) || '|>'), '') || '<|SPEECH_GENERATION_END|>' AS example FROM cues),
+i AS (SELECT *, list_transform(regexp_extract_all(example, '<\\|[A-Za-z_0-9]+\\|>|.'), lambda t: CASE WHEN t = '<|SPEECH_GENERATION_START|>' THEN 3 WHEN t = '<|SPEECH_GENERATION_END|>' THEN 4 WHEN t = '<|TEXT_PROMPT_START|>' THEN 1 WHEN t = '<|TEXT_PROMPT_END|>' THEN 2 WHEN t LIKE '<|speech%' THEN 70000 + regexp_extract(t, '(\\d+)', 1)::INT ELSE unicode(t) + 10 END)[1:64] AS ids FROM e)"""
+
+
+def _sign_ids():
+    """A tokenizer of signs: marks and speech tokens whole, else characters."""
+    import re
+
+    known = {"<|TEXT_PROMPT_START|>": 1, "<|TEXT_PROMPT_END|>": 2, "<|SPEECH_GENERATION_START|>": 3, "<|SPEECH_GENERATION_END|>": 4}
+    one = lambda t: known.get(t) or (70_000 + int(t[9:-2]) if t.startswith("<|speech_") else ord(t) + 10)
+    return lambda text: [one(t) for t in re.findall(r"<\|[A-Za-z_0-9]+\|>|.", text)]
+
+
+@query("exp12_encoded_examples", """SELECT media_id, cue_no, example, array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda k: 0)), ',') AS input_ids, len(ids) AS attended,
+  array_to_string(list_concat(list_transform(ids, lambda x, k: CASE WHEN list_contains(ids, 3) AND k >= list_position(ids, 3) THEN x ELSE -100 END), list_transform(range(64 - len(ids)), lambda k: -100)), ',') AS labels FROM i""", CUES, _EXAMPLES)
 def _(spark, d):
-    c = cues(spark, d).where("speaker = 'user'").groupBy("media_id").agg(F.array_sort(F.collect_list("cue_no")).alias("codes"), F.max("speaker").alias("text"))
-    return ex.training_examples(c, 40).select("media_id", "target", F.size("labels").cast("long").alias("labels"))
+    codes = F.when(F.col("cue_no") % 6 > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("cue_no") % 6, F.lit(1)) - 1), lambda k: k * 7 + F.col("media_id") % 5)).otherwise(F.array().cast("array<long>"))
+    e = cues(spark, d).select("media_id", "cue_no", ex.example_text(F.col("text"), codes).alias("example"))
+    out = ex.encoded_examples(e, _sign_ids, 3, 0, 64)
+    attended = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long")
+    return out.select("media_id", "cue_no", "example", F.array_join("input_ids", ",").alias("input_ids"), attended.alias("attended"), F.array_join("labels", ",").alias("labels"))
 
 
 @query("exp7_points_split", "SELECT media_id, a_id, row_number() OVER (PARTITION BY media_id, a_id ORDER BY pt) AS piece_no, pt AS start_ms FROM (SELECT media_id, a_id, a_start AS pt FROM a UNION SELECT a.media_id, a_id, b_start FROM a JOIN b ON a.media_id = b.media_id AND b_start > a_start + 300 AND b_start < a_end - 300) x", CUES, _A, _B)
@@ -1153,11 +1318,25 @@ def _(spark, d):
     return st.staged_gate(s, lambda x: x.withColumn("ok", F.col("cue_no") % 2 == 0)).select("media_id", "cue_no", "outcome")
 
 
-@query("mat6_clip_score", "SELECT media_id, cue_no, (1 - least(1.0, duration_ms / audio_ms)) * 120 + 12 * (cue_no % 3) + CASE WHEN label = 'R' THEN 1400 ELSE 0 END + CASE WHEN audio_ms > 6000 THEN 1000 ELSE 0 END AS score FROM slots", SLOTS)
+@query("mat5_tail_gate", "SELECT media_id, cue_no, CASE WHEN label = 'R' THEN CASE WHEN cue_no % 5 + 1 < 4 THEN 'tail_retry' ELSE 'degraded' END WHEN audio_ms <= duration_ms * 1.2 THEN 'fast' WHEN cue_no % 2 = 0 THEN 'heavy' WHEN cue_no % 5 + 1 < 3 THEN 'retry' ELSE 'degraded' END AS outcome FROM slots", SLOTS)
 def _(spark, d):
-    s = slots(spark, d)
-    x = s.select("media_id", "cue_no", F.least(F.lit(1.0), F.col("duration_ms") / F.col("audio_ms")).alias("coverage"), (F.col("cue_no") % 3).alias("extra_prefix"), (F.col("label") == "R").alias("filler"), F.lit(0.0).alias("last_deficit"), (F.col("audio_ms") > 6000).alias("hard"))
-    return st.clip_score(x).select("media_id", "cue_no", "score")
+    s = slots(spark, d).withColumn("reasons", tx.flags(("long", F.col("audio_ms") > F.col("duration_ms") * 1.2))).withColumn("tail", F.col("label") == "R").withColumn("attempts", (F.col("cue_no") % 5).cast("int"))
+    return st.staged_gate(s, lambda x: x.withColumn("ok", F.col("cue_no") % 2 == 0), most=3).select("media_id", "cue_no", "outcome")
+
+
+@query("mat6_clip_score", """SELECT media_id, cue_no, round(CASE WHEN dok THEN 0.0 ELSE 1000.0 END + CASE WHEN cov IS NULL THEN 0 ELSE (1 - cov) * 120 + 12 * pre + 1400 * fil END + greatest(0, 0.2 - last_s) * 220 + art * 900 + art_s * 1600
+  + CASE WHEN head_s > 0.1 AND head_rms > 0.008 THEN (head_s - 0.1) * 650 + (head_rms - 0.008) * 1200 ELSE 0 END + isl * 10 + isl * 0.05 * 20 + greatest(0, tail_rms - 0.018) * 900 + greatest(0, tail_peak - 0.2) * 60 + greatest(0, peak - 0.97) * 80, 4) AS score,
+  CASE WHEN head_s > 0.1 AND head_rms > 0.008 THEN 'voiced_head' WHEN art > 0 THEN 'artifact' WHEN last_s < 0.05 THEN 'short_last_word' WHEN cov IS NOT NULL AND pre > 0 THEN 'extra_prefix' WHEN cov IS NOT NULL AND fil > 0 THEN 'filler' WHEN cov < 0.92 OR cov >= 0.92 AND pre > 1 AND cov < 0.95 THEN 'asr_coverage' WHEN NOT dok THEN 'duration' END AS reason FROM f""",
+  SLOTS, """f AS (SELECT media_id, cue_no, audio_ms <= 6000 AS dok, CASE WHEN cue_no % 4 > 0 THEN least(1.0, duration_ms / audio_ms) END AS cov, cue_no % 3 AS pre, (label = 'A')::INT AS fil, (duration_ms % 700) / 1000 AS last_s, (audio_ms % 7 = 0)::INT AS art, (audio_ms % 7 = 0)::INT * 0.1 AS art_s,
+  cue_no % 5 * 0.05 AS head_s, cue_no % 6 * 0.003 AS head_rms, duration_ms // 100 % 3 AS isl, cue_no % 7 * 0.005 AS tail_rms, cue_no % 9 * 0.04 AS tail_peak, 0.9 + cue_no % 4 * 0.03 AS peak FROM slots)""")
+def _(spark, d):
+    f = slots(spark, d).selectExpr(
+        "media_id", "cue_no", "audio_ms <= 6000 as duration_ok", "case when cue_no % 4 > 0 then least(1.0D, duration_ms / audio_ms) end as coverage", "case when cue_no % 4 > 0 then duration_ms / audio_ms >= 0.95D end as asr_ok", "cue_no % 3 as extra_prefix", "label = 'A' as filler",
+        "(duration_ms % 700) / 1000 as last_s", "cast(audio_ms % 7 = 0 as int) as artifacts", "cast(audio_ms % 7 = 0 as int) * 0.1D as artifact_s", "cue_no % 5 * 0.05D as head_s", "cue_no % 6 * 0.003D as head_rms", "floor(duration_ms / 100) % 3 as islands",
+        "floor(duration_ms / 100) % 3 * 0.05D as island_s", "cue_no % 7 * 0.005D as tail_rms", "cue_no % 9 * 0.04D as tail_peak", "0.9D + cue_no % 4 * 0.03D as peak",
+    )
+    f = f.withColumn("fillers", F.col("filler").cast("int"))
+    return st.clip_score(f, reject_prefix=True, reject_short_last=0.05, reject_head=True).select("media_id", "cue_no", "score", "reason")
 
 
 @query("mat7_unexplained_activity", f"""SELECT s.media_id, s.start_ms, s.end_ms, max(rms) AS rms, max(peak) AS peak FROM (SELECT media_id, s AS start_ms, e AS end_ms FROM (SELECT media_id, lag(end_ms) OVER w AS s, start_ms AS e FROM ({_ISLANDS.format(0, "(SELECT media_id, start_ms - 40 AS start_ms, end_ms + 40 AS end_ms FROM slots) x")}) WINDOW w AS (PARTITION BY media_id ORDER BY start_ms)) WHERE e - s >= 75) s
@@ -1210,16 +1389,31 @@ def _(spark, d):
     return out.select("media_id", "cue_no", "n")
 
 
-@query("udf2_apply_blocks", "SELECT media_id, cue_no, CASE WHEN contains(text, ',') THEN text ELSE upper(replace(text, 'ß', 'ss')) END AS reply FROM cues WHERE NOT regexp_matches(text, '[^ -~]')", CUES)
+@query("udf2_apply_blocks", "SELECT media_id, cue_no, CASE WHEN contains(text, ',') THEN text ELSE '<' || text || '>' END AS reply, contains(text, ',') AS kept FROM cues", CUES)
 def _(spark, d):
-    c = cues(spark, d).where(~F.col("text").rlike("[^ -~]")).select("media_id", "cue_no", "text")
-    return jobs.apply_blocks(c, lambda texts: [t.upper() for t in texts if "," not in t], 16).select("media_id", "cue_no", "reply")
+    c = cues(spark, d).select("media_id", "cue_no", "text")
+    return jobs.apply_blocks(c, lambda texts: [f"<{t}>" for t in texts if "," not in t], 16).select("media_id", "cue_no", "reply", "kept")
 
 
-@query("udf3_correct_tracks")
+@query("udf2_single_rows", "SELECT media_id, cue_no, CASE WHEN length(text) > 40 THEN NULL ELSE reverse(text) END AS reply, length(text) > 40 AS kept FROM cues", CUES)
 def _(spark, d):
     c = cues(spark, d).select("media_id", "cue_no", "text")
-    return jobs.correct_tracks(c, lambda s: s.where("length(text) < 8").select("media_id", F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct(), lambda t: [x.strip() + "." for x in t])
+    out = jobs.apply_blocks(c, lambda texts: [t[::-1] for t in texts], 16, on_fail="null", halve=False, tries=2, accept=lambda t, _: len(t) <= 40)
+    return out.select("media_id", "cue_no", "reply", "kept")
+
+
+def _glossary(s):
+    return s.where("length(text) < 8").select("media_id", F.col("text").alias("wrong"), F.upper("text").alias("correct")).distinct()
+
+
+@query("udf3_correct_tracks")
+def _(spark, d):
+    return jobs.correct_tracks(_repeated(spark, d), _glossary, lambda t: [x.strip() + "." for x in t], leaks=("dans le",))[0].withColumn("rules", F.array_join("rules", ","))
+
+
+@query("udf3_track_counts")
+def _(spark, d):
+    return jobs.correct_tracks(_repeated(spark, d), _glossary, lambda t: [x.strip() + "." for x in t], leaks=("dans le",))[1]
 
 
 # --- groups whose steps depend on the text so far ----------------------------------------

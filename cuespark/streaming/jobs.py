@@ -7,7 +7,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from cuespark.operators import stats
 from cuespark.sources.writers import upsert_cache
@@ -47,29 +48,72 @@ retry_state_stream = stats.retry_state
 progress_status_stream = stats.progress_status
 
 
-def worker_state_stream(attempts: DataFrame, cooling_ms: int = 1_800_000, auth: Sequence[int] = (401, 403), alarm: int = 20) -> DataFrame:
-    """(event_id, cooling, errors, alarm) of each attempt (job, ts_ms, event_id, status, failed), as ``stats.worker_state`` has it.
+class WorkerStates(StatefulProcessor):
+    """One worker's attempts in order of their time, whatever order they come in.
 
-    A worker's state is its last failed log-in and its balance of errors. Attempts are taken in
-    order of time within a micro-batch, and batches as they come. There is one small state a worker,
-    which stays; a worker is alive again by the time of its next attempt.
+    Attempts wait until the watermark has passed their time; a timer at that time then judges all
+    that are due. A failed log-in sets a timer at the end of its cooling, which tells that the worker
+    is alive again unless a later one has failed. A worker without an attempt for ``forget_ms`` is forgotten by a timer.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, errors = state.get if state.exists else (None, 0)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["ts_ms", "event_id"]).itertuples():
-            cooling = last is not None and r.ts_ms - last < cooling_ms
-            errors = errors + 1 if r.failed else max(0, errors - 1)
-            if r.status in auth:
-                last = int(r.ts_ms) if last is None else max(last, int(r.ts_ms))
-            rows.append((int(r.event_id), cooling, errors, bool(r.failed) and errors % alarm == 0))
-        state.update((last, errors))
-        yield pd.DataFrame(rows, columns=["event_id", "cooling", "errors", "alarm"])
-
-    wanted = attempts.select("job", "ts_ms", "event_id", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("failed", F.lit(False)).alias("failed"))
-    return wanted.groupBy("job").applyInPandasWithState(
-        step, "event_id long, cooling boolean, errors long, alarm boolean", "last long, errors long", "append", GroupStateTimeout.NoTimeout
+    def __init__(self, cooling_ms: int, auth: Sequence[int], alarm: int, forget_ms: int) -> None:
+        self.cooling_ms, self.auth, self.alarm, self.forget_ms = cooling_ms, tuple(auth), alarm, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_ms long, event_id long, status long, failed boolean")
+        self.held = handle.getValueState("held", "last long, errors long, seen long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for r in frame.itertuples():
+                self.waiting.appendValue((int(r.ts_ms), int(r.event_id), int(r.status), bool(r.failed)))
+                self.handle.registerTimer(int(r.ts_ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        last, errors, seen = self.held.get() if self.held.exists() else (None, 0, None)
+        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due, rest, out = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now], []
+        for ts, event, status, failed in due:
+            cooling = last is not None and ts - last < self.cooling_ms
+            errors = errors + 1 if failed else max(0, errors - 1)
+            if status in self.auth:
+                last = ts
+                self.handle.registerTimer(ts + self.cooling_ms)
+            out.append((key[0], "attempt", ts, event, cooling, errors, failed and errors > 0 and errors % self.alarm == 0))
+            seen = ts
+        if last is not None and now == last + self.cooling_ms:
+            out.append((key[0], "alive", now, None, False, errors, False))
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.handle.registerTimer(seen + self.forget_ms)
+        if seen is not None and now >= seen + self.forget_ms and not rest:
+            self.held.clear()
+        elif due:
+            self.held.update((last, errors, seen))
+        if out:
+            yield pd.DataFrame(out, columns=["job", "kind", "at_ms", "event_id", "cooling", "errors", "alarm"]).astype({"event_id": "Int64"})
+
+
+def worker_state_stream(attempts: DataFrame, cooling_ms: int = 1_800_000, auth: Sequence[int] = (401, 403), alarm: int = 20, watermark: str = "10 minutes", forget_ms: int = 7 * 86_400_000) -> DataFrame:
+    """(job, kind, at_ms, event_id, cooling, errors, alarm) of attempts (job, ts_ms, event_id, status, failed), in append mode.
+
+    ``attempt`` rows are those of ``stats.worker_state``, however attempts are spread over
+    micro-batches, as long as none is later than ``watermark``; later ones are dropped and counted
+    by Spark. ``alive`` rows tell when a worker's cooling has ended. A row comes once the watermark
+    has passed its time. Spark's RocksDB state store has the timers and must be set for the session.
+    A worker that is idle for ``forget_ms``, which should exceed the cooling, begins anew with no errors.
+    """
+    provider = attempts.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if not provider.endswith("RocksDBStateStoreProvider"):
+        raise RuntimeError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider: only it keeps timers")
+    kind = attempts.schema["job"].dataType.simpleString()
+    wanted = attempts.select("job", "ts_ms", "event_id", F.coalesce("status", F.lit(0)).cast("long").alias("status"), F.coalesce("failed", F.lit(False)).alias("failed"), F.timestamp_millis("ts_ms").alias("__ts"))
+    wanted = wanted.where("ts_ms is not null").withWatermark("__ts", watermark)
+    return wanted.groupBy("job").transformWithStateInPandas(
+        WorkerStates(cooling_ms, auth, alarm, forget_ms), f"job {kind}, kind string, at_ms long, event_id long, cooling boolean, errors long, alarm boolean", "Append", "EventTime"
     )
 
 
