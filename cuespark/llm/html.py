@@ -2,11 +2,14 @@
 
 Pass 1 cuts a page into blocks and decides those that its rules can: by the enclosing
 elements, link density, length and stop-word density. Pass 2 gives each undecided block the
-label of its nearest decided neighbours. On a page that names an article, and whose article
-holds at least as much text as there is dense text outside, the article's element is the
-strongest sign: blocks outside are no main text, those inside are decided by density and
-links, and neighbours count only inside. On any other page density and links decide alone,
-also outside. Every page is one row in and one row out, so the work is a plain map.
+label of its nearest decided neighbours. On a page that names an article, the article's element
+is the strongest sign: blocks outside are no main text, those inside are decided by density and
+links, and neighbours count only inside. That holds where one article alone has dense text and none
+stands before it (what follows may be readers' comments), or where the articles hold at least as
+much text as there is dense text outside; other articles are teasers. On any other page density and
+links decide alone, also outside. Where dense text is less than a quarter of the long blocks that
+aren't, the page is in another language than the stop words', and length and links decide instead
+of density. Every page is one row in and one row out, so the work is a plain map.
 
 Defined cases: null or empty html gives an empty text; a page that is cut off in a tag loses
 that tag only; text outside any block element is a block of its own; unclosed elements end
@@ -73,10 +76,16 @@ LONG_CHARS, SHORT_CHARS, STOP_SHARE, LINK_SHARE = 140, 70, 0.2, 0.4
 
 
 class _Block:
-    __slots__ = ("text", "linked", "around", "inside", "good")
+    """``article`` is the number of the article that holds the block, 0 outside."""
 
-    def __init__(self, text: str, linked: int, around: bool, inside: bool):
-        self.text, self.linked, self.around, self.inside, self.good = text, linked, around, inside, None
+    __slots__ = ("text", "linked", "around", "article", "good")
+
+    def __init__(self, text: str, linked: int, around: bool, article: int):
+        self.text, self.linked, self.around, self.article, self.good = text, linked, around, article, None
+
+    @property
+    def inside(self) -> bool:
+        return self.article > 0
 
 
 def _named_around(attributes: str, inside: bool) -> bool:
@@ -87,7 +96,7 @@ def _named_around(attributes: str, inside: bool) -> bool:
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = {w for w in re.split(r"[^a-z0-9]+", token) if w and not w.isdigit()}
-                if words & AROUND_WORDS and words <= AROUND_WORDS | NAME_PARTS or not inside and name != "id" and words == {"header"}:
+                if words & AROUND_WORDS and words <= AROUND_WORDS | NAME_PARTS and not (inside and words & AROUND_WORDS <= {"banner"}) or not inside and name != "id" and words == {"header"}:
                     return True
     return False
 
@@ -96,7 +105,7 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     stack: list[tuple[str, bool, bool]] = []  # element, around, inside an article
     parts: list[str] = []
-    linked, anchor, at, n = 0, 0, 0, len(page)
+    linked, anchor, at, n, article = 0, 0, 0, len(page), 0
     around = inside = False
 
     def flush() -> None:
@@ -104,7 +113,7 @@ def blocks(page: str) -> list[_Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(_Block(text, linked, around, inside))
+                out.append(_Block(text, linked, around, article if inside else 0))
             parts.clear()
         linked = 0
 
@@ -146,6 +155,7 @@ def blocks(page: str) -> list[_Block]:
                         break
             elif tag not in VOID_TAGS and tag not in ("p", "li", "dd", "dt", "option", "td", "th", "tr") or tag in ("p", "li") and "=" in attributes:
                 now_inside = inside or tag in ("article", "main")
+                article += now_inside and not inside
                 bad = around or tag in AROUND_TAGS or tag in SKIPPED_TAGS or tag == "header" and not inside or _named_around(attributes, inside)
                 if tag in ("p", "li"):  # these end where the next one begins
                     while stack and stack[-1][0] in ("p", "li"):
@@ -172,9 +182,16 @@ def classify(found: list[_Block]) -> list[_Block]:
     links = [b.linked / max(1, len(b.text) - b.text.count(" ")) for b in found]
     plain = [not b.around and len(b.text) >= SHORT_CHARS and share <= LINK_SHARE for b, share in zip(found, links, strict=True)]
     dense = [p and _dense(b.text) for b, p in zip(found, plain, strict=True)]
-    held = sum(len(b.text) for b, p in zip(found, plain, strict=True) if p and b.inside)
-    outside = sum(len(b.text) for b, d in zip(found, dense, strict=True) if d and not b.inside)
-    leads = any(b.inside and not b.around for b in found) and held >= outside
+    long = [p and not d and len(b.text) >= LONG_CHARS for b, p, d in zip(found, plain, dense, strict=True)]
+    size_of = lambda chosen: sum(len(b.text) for b, c in zip(found, chosen, strict=True) if c)
+    if 4 * size_of(dense) < size_of(long):
+        dense = [d or x for d, x in zip(dense, long, strict=True)]
+    held = size_of(p and b.inside for b, p in zip(found, plain, strict=True))
+    outside = size_of(d and not b.inside for b, d in zip(found, dense, strict=True))
+    articles = {b.article for b, d in zip(found, dense, strict=True) if d and b.inside}
+    first = next((b for b, d in zip(found, dense, strict=True) if d), None)
+    alone = len(articles) == 1 and first.inside
+    leads = any(b.inside and not b.around for b in found) and (alone or held >= outside)
     for b, share, thick in zip(found, links, dense, strict=True):
         size = len(b.text)
         if b.around or leads and not b.inside:
