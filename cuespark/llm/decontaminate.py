@@ -41,7 +41,7 @@ STEPS = (14, 20, 28)  # of a walk; the samples take these in turn
 FEW_TRIALS = 24  # words; shorter items have samples of their own, and one hit is enough
 SAMPLES_SHORT, PLACES_SHORT, STEPS_SHORT = 4, 5, 10
 SHORT_ITEM, GRAM_ITEM = 8, 12  # words; items between them meet both ways
-WINDOWS, PAIRS = 1 << 15, 256  # embedded and verified at a time
+WINDOWS, PAIRS, PAIR_WORDS = 1 << 15, 256, 1 << 17  # embedded and verified at a time, and words of the items of those
 BLOCK_BYTES = 2 << 20
 SLICE_BYTES = 2 << 20
 LEAKS = "array<struct<item_id:long,start:long,words:long,distance:long>>"
@@ -149,7 +149,7 @@ def letters_apart(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of benchmark items, ready for look-up; ``spelt`` are their words parted by blanks."""
+    """A block of benchmark items, ready for look-up; ``spelt`` are their words parted by blanks. Items stand one after another, so a long one takes no more than its own words."""
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -159,10 +159,8 @@ class Items:
         self.size = np.array([len(w) for w in self.words])
         self.edits = np.array([math.floor(SLACK * len(w) + 1e-9) for w in self.words])
         self.grams = self._short_grams()
-        width = int(self.size.max()) if len(self.words) else 0
-        self.table = np.zeros((len(self.words), width), np.uint64)
-        for i, w in enumerate(self.words):
-            self.table[i, : len(w)] = w
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.first = np.cumsum(self.size) - self.size
         self.sampled = self._sampled()
 
     def _short_grams(self) -> dict[int, tuple]:
@@ -230,13 +228,20 @@ class Items:
         r, i, s = self.windows(row, h, first, count)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         order = np.argsort(self.size[i], kind="stable")  # pairs of one length together
-        for a in range(0, len(r), PAIRS):
-            rr, ii, ss = (x[order[a : a + PAIRS]] for x in (r, i, s))
+        a = 0
+        while a < len(r):
+            n = PAIRS
+            while n > 1 and n * self.size[i[order[min(a + n, len(r)) - 1]]] > PAIR_WORDS:
+                n //= 2
+            rr, ii, ss = (x[order[a : a + n]] for x in (r, i, s))
+            a += n
             begin = np.maximum(0, ss - self.edits[ii])
             size = np.minimum(ss + self.size[ii] + self.edits[ii], count[rr]) - begin
             lane = np.arange(size.max())[None, :]
             around = np.where(lane < size[:, None], h[np.minimum((first[rr] + begin)[:, None] + lane, len(h) - 1)], np.uint64(0))
-            distance, end = edit_distance(self.table[ii], self.size[ii], around, size)
+            wide = np.arange(self.size[ii].max())[None, :]
+            items = np.where(wide < self.size[ii][:, None], self.flat[np.minimum(self.first[ii][:, None] + wide, len(self.flat) - 1)], np.uint64(0))
+            distance, end = edit_distance(items, self.size[ii], around, size)
             near = distance <= self.edits[ii]
             doubtful = np.flatnonzero(~near & (self.size[ii] >= SHORT_ITEM) & (distance <= CHAR_WORDS * self.size[ii])) if spell and self.spelt else []
             if len(doubtful):
