@@ -60,6 +60,8 @@ class Threshold:
     """Jaccard >= num / 100, in integers."""
 
     def __init__(self, num: int):
+        if not 67 <= num <= 100:
+            raise ValueError(f"the threshold must be a whole number from 67 to 100 (sizes of linked sets lie in neighbouring bands only there), not {num}")
         self.num = num
         bounds = [1]
         while bounds[-1] < 1 << 40:

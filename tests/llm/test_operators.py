@@ -6,9 +6,11 @@ import html.parser
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +222,13 @@ def test_jaccard_odd_cases(docs):
     assert jaccard.jaccard_components(docs([])).count() == 0
 
 
+def test_jaccard_threshold_is_checked():
+    for num in (66, 101, 0):
+        with pytest.raises(ValueError, match="threshold"):
+            jaccard.Threshold(num)
+    assert jaccard.Threshold(67).num == 67
+
+
 # --- 5 html
 
 
@@ -277,6 +286,26 @@ def test_html_article_is_a_teaser_or_holds_link_lists():
     assert html_op.main_text(foreign) == "標題\n" + "漢字" * 80
 
 
+def test_html_comments_after_a_short_article():
+    body = "This is the text of a short article that was written for all of us who want to read it to the end, and it is not long at all, but it is there."
+    comment = "I have read this and I think that it is not what they would have written if they had asked all of us about it at the time. "
+    page = f"<article><h1>Head</h1><p>{body}</p></article><div><p>{comment * 2}</p><p>{comment * 3}</p></div>"
+    assert html_op.main_text(page) == f"Head\n{body}"
+    # two articles with less than what stands beside them are teasers
+    cards = f"<article><p>{body}</p></article><article><p>{body}!</p></article><div><p>{comment.strip()}</p><p>{comment * 2} Ends.</p></div>"
+    assert html_op.main_text(cards).endswith("Ends.")
+    banner = f"<article><h1>Head</h1><div class='banner'>{body}</div><div class='ad banner'>{body}</div></article>"
+    assert html_op.main_text(banner) == f"Head\n{body}"
+
+
+def test_html_other_languages():
+    vietnamese = "Thành phố vừa công bố kế hoạch mở rộng tuyến đường sắt đô thị qua ba quận phía đông, dự kiến khởi công trong quý tới sau khi hoàn tất giải phóng mặt bằng, theo lời chủ tịch."
+    chinese = "市政府昨天宣布将延长东部三个区的城市轨道交通线路，预计下季度在完成土地征收后开工建设，" * 5
+    for prose in (vietnamese, chinese):
+        page = f"<div><a href=/>Menu</a> <a href=/x>Mục lục</a></div><h1>Tin</h1><p>{prose}</p><p>Ngắn.</p><p>{prose}</p><ul><li><a href=/y>{'Liên kết ' * 20}</a></li></ul>"
+        assert html_op.main_text(page) == f"Tin\n{prose}\nNgắn.\n{prose}"
+
+
 def test_html_attributes():
     """Names are not looked for in values, and a class counts as a whole."""
     for attribute in ('title="a hidden gem"', 'data-id="comments-count"', 'class="social-history"', 'alt="class=ad"', 'data-hidden=x'):
@@ -324,6 +353,23 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert all(got[k] == (0, k, True) for k in (900, 901, 902, 903, 904, 905))
 
 
+def test_planted_pairs_meet_at_six_bits(spark):
+    """With as many vectors as take six bits a bucket, the pairs just over the threshold are found, and nothing else."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = rng.standard_normal((2_000, 64))
+    turn -= (turn * base[:2_000]).sum(1, keepdims=True) * base[:2_000]
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.95, (2_000, 1))
+    x = np.concatenate([base, cosine * base[:2_000] + np.sqrt(1 - cosine**2) * turn])
+    assert embedding_dedup.plan_tables(len(x))[0] == 6
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64())), "label": np.zeros(len(x), np.int32)})
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_components(spark.createDataFrame(table)).collect()}
+    found = sum(got[12_000 + k]["component_id"] == k and got[k]["n_links"] == 1 for k in range(2_000))
+    assert found >= 1_980 and all(got[k]["n_links"] == 0 for k in range(2_000, 12_000))
+
+
 # --- 7 sharding
 
 
@@ -436,6 +482,22 @@ def test_leaks_odd_tables(spark, docs, sentences):
     assert decontaminate.leaks(docs([]), bench).count() == 0 and decontaminate.leaks(docs([(1, "x")]), bench.limit(0)).count() == 0
 
 
+def test_items_of_very_different_lengths():
+    """A long item among many short ones takes its own words only, and is found."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in [8] * 20_000 + [20_000]]
+    tracemalloc.start()
+    items = decontaminate.Items(np.arange(len(words)), words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    long = words[-1].copy()
+    long[rng.choice(len(long), 200, replace=False)] = 7
+    text = np.concatenate([rng.integers(1, 1 << 62, 300).astype(np.uint64), long, words[5], rng.integers(1, 1 << 62, 300).astype(np.uint64)])
+    got = {(i, s, n, d) for _, i, s, n, d in items.leaks(np.zeros(len(text), np.int64), text, 1)}
+    assert got == {(20_000, 300, 20_000, 200), (5, 20_300, 8, 0)}
+
+
 # --- 9 packing
 
 
