@@ -289,9 +289,9 @@ def pause_timeline(df: DataFrame, limit: int, text: str = "text") -> DataFrame:
 
 
 def wrapped(text: Column, width: int = 42, lines: int = 2) -> Column:
-    """At most ``lines`` lines of packed words; what is left over stays on the last."""
+    """At most ``lines`` lines of packed words; what is left over stays on the last. A first word over the width leaves one line."""
     p = packed_words(text, width)
-    return F.when(F.size(p) <= lines, F.array_join(p, "\n")).otherwise(F.concat(F.array_join(F.slice(p, 1, lines - 1), "\n"), F.lit("\n"), F.array_join(F.slice(p, F.lit(lines), F.size(p)), " ")))
+    return F.when(F.length(F.get(p, F.lit(0))) > width, F.array_join(p, " ")).when(F.size(p) <= lines, F.array_join(p, "\n")).otherwise(F.concat(F.array_join(F.slice(p, 1, lines - 1), "\n"), F.lit("\n"), F.array_join(F.slice(p, F.lit(lines), F.size(p)), " ")))
 
 
 def points_split(segments: DataFrame, cuts: DataFrame, margin_ms: int = 1500) -> DataFrame:

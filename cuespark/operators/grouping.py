@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespark.functions.text import clean_text
-from cuespark.operators.expand import allocate_time, caption_pieces, per_row
+from cuespark.functions.text import clean_text, has_cjk
+from cuespark.operators.expand import allocate_time, caption_pieces, solid_pieces
 from cuespark.operators.sequence import CLAUSE as PAUSED, KEY, STRONG as ENDED, folded_groups, greedy, too_far
 
 STRONG, CLAUSE = re.compile(r"[.!?…][\"')\]]*$"), re.compile(r"[,;:][\"')\]]*$")
@@ -324,19 +324,6 @@ def finalize_cues(cues: DataFrame, leaks: tuple[str, ...] = (), summaries: tuple
     return marked.where("kept").select(KEY, "cue_no", "start_ms", "end_ms", "text", "rules"), struck
 
 
-def readable_pieces(text: str, limit: int = 84) -> list[str]:
-    """Halves cut at the sentence end, clause end or space nearest the middle, until each piece fits."""
-    text = text.strip()
-    if len(text) <= limit:
-        return [text] if text else []
-    for pattern in (r"[.!?…]\s", r"[,;:]\s", r"\s"):
-        cuts = [m.end() for m in re.finditer(pattern, text) if 0 < m.end() < len(text)]
-        if cuts:
-            at = min(cuts, key=lambda c: (abs(c - len(text) / 2), c))
-            return readable_pieces(text[:at], limit) + readable_pieces(text[at:], limit)
-    return [text[:limit], *readable_pieces(text[limit:], limit)]
-
-
 # Ends of sentences and clauses, and words before which a text may be cut.
 SENTENCE_CUT, CLAUSE_CUT = re.compile(r"[.!?。！？]+\s+"), re.compile(r"[,;:—，；：]\s+")
 CONJUNCTIONS = (
@@ -411,12 +398,22 @@ def split_for_reading(segments: DataFrame, chars: int = 84, cps: float = 17.0) -
     return segments.withColumn("__p", run("text", "start_ms", "end_ms", timed)).select(*kept, F.inline("__p"))
 
 
+def long_cue_pieces(text: Column, chars: int) -> Column:
+    """Pieces that end after each mark, cut at every ``chars`` characters; texts with CJK lose their blanks."""
+    bare = F.when(has_cjk(text), F.regexp_replace(text, r"(?U)\s+", "")).otherwise(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    parts = solid_pieces(F.split(bare, r"(?<=[，。！？；：、,.!?;:])"))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / chars).cast("int")), lambda k: F.substring(p, k * chars + 1, F.lit(chars)))
+    return F.flatten(F.transform(parts, cut))
+
+
 def split_long_cues(cues: DataFrame, most_ms: int = 7000, chars: int = 48, floor_ms: int = 600) -> DataFrame:
-    """Cues over the time and the text limit, or far over the time with some text, are split for reading; the others are one piece."""
+    """Cues over the time and the text limit, or far over the time with some text, are split at their marks and share the time; the others are one piece."""
     span, n = F.col("end_ms") - F.col("start_ms"), F.length("text")
     over = (span > most_ms) & ((n > chars) | ((span > 12_000) & (n > 18)))
-    rest = cues.where(~over).select("*", F.lit(0).alias("piece_no"), F.col("text").alias("piece"), F.length("text").alias("weight"), F.col("start_ms").alias("part_start"), F.col("end_ms").alias("part_end"))
-    pieces = per_row(cues.where(over), lambda t: [(k, p, len(p)) for k, p in enumerate(readable_pieces(t, chars))], "piece_no:int,piece:string,weight:int")
+    marked = cues.withColumn("__p", F.when(over, long_cue_pieces(F.col("text"), chars)))
+    whole = F.coalesce(F.size("__p"), F.lit(0)) < 2
+    rest = marked.where(whole).drop("__p").select("*", F.lit(0).alias("piece_no"), F.col("text").alias("piece"), F.length("text").alias("weight"), F.col("start_ms").alias("part_start"), F.col("end_ms").alias("part_end"))
+    pieces = marked.where(~whole).select(*cues.columns, F.posexplode("__p").alias("piece_no", "piece")).withColumn("weight", F.length("piece"))
     split = allocate_time(pieces, floor_ms=floor_ms)
     return split.unionByName(rest.select(split.columns))
 

@@ -352,7 +352,7 @@ def lcs_length(left: list[str], right: list[str]) -> int:
 
 
 def match_tokens(expected: Column, actual: Column) -> Column:
-    """struct(coverage, extra_prefix, first_token, ok) of token arrays of any length.
+    """struct(coverage, extra_prefix, first_token, ok) of token arrays of any length, which are columns of the frame.
 
     ``coverage`` is the longest common subsequence over the expected tokens, ``extra_prefix`` the
     number of actual tokens before the first that is among the first three expected.

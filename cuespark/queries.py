@@ -169,9 +169,16 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", tx.speakable(F.col("html")).alias("text"))
 
 
-@query("txt15_strip_residue")
+_SIDES = "['=>', '->', '|', '/', ':']"
+_NO_CJK = r"NOT regexp_matches({0}, '[\x{{3400}}-\x{{9fff}}]')"
+
+
+@query("txt15_strip_residue", rf"""SELECT media_id, cue_no, CASE WHEN {_NO_CJK.format('m')} THEN m ELSE coalesce(list_filter(list_transform({_SIDES}, lambda s: CASE WHEN contains(m, s) THEN list_filter(list_transform(string_split(m, s), lambda x: trim(x)), lambda x: x <> '' AND {_NO_CJK.format('x')})[-1] END), lambda x: x IS NOT NULL)[1],
+  CASE WHEN regexp_matches(bare, '[A-Za-zÀ-ɏ]') THEN bare END, m) END AS text FROM (SELECT *, trim(regexp_replace(regexp_replace(m, '[\x{{3000}}-\x{{9fff}}\x{{ff00}}-\x{{ffef}}]+', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM (
+  SELECT media_id, cue_no, ['漢字 => ' || text, text || ' | 漢字', '漢字' || text || '漢，字', text, '漢字：字'][cue_no % 5 + 1] AS m FROM cues))""", CUES)
 def _(spark, d):
-    mixed = F.concat(F.lit("漢字 => "), F.col("text"))
+    t = F.col("text")
+    mixed = F.element_at(F.array(F.concat(F.lit("漢字 => "), t), F.concat(t, F.lit(" | 漢字")), F.concat(F.lit("漢字"), t, F.lit("漢，字")), t, F.lit("漢字：字")), (F.col("cue_no") % 5 + 1).cast("int"))
     return cues(spark, d).select("media_id", "cue_no", tx.strip_source_residue(mixed).alias("text"))
 
 
@@ -1146,7 +1153,8 @@ def _(spark, d):
     return ex.chunk_text(table(spark, d, "documents").select("doc_id", "text"), 3500, "paragraph")
 
 
-@query("exp8_wrap_lines")
+@query("exp8_wrap_lines", r"""SELECT media_id, cue_no, CASE WHEN length(w[1]) > 42 THEN array_to_string(w, ' ') ELSE list_reduce(w, lambda acc, x: CASE WHEN contains(acc, chr(10)) OR length(acc) + 1 + length(x) <= 42 THEN acc || ' ' || x ELSE acc || chr(10) || x END) END AS text FROM (
+  SELECT media_id, cue_no, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS w FROM cues)""", CUES)
 def _(spark, d):
     return cues(spark, d).select("media_id", "cue_no", ex.wrapped(F.col("text")).alias("text"))
 
@@ -1300,8 +1308,8 @@ def _(spark, d):
 @query("mat1_lcs_coverage")
 def _(spark, d):
     w = Window.partitionBy("media_id").orderBy("cue_no")
-    c = cues(spark, d).withColumn("nxt", F.lead("text").over(w)).where("nxt is not null")
-    m = c.select("media_id", "cue_no", st.match_tokens(tx.compare_tokens(F.col("text")), tx.compare_tokens(F.col("nxt"))).alias("m"))
+    c = cues(spark, d).select("media_id", "cue_no", tx.compare_tokens(F.col("text")).alias("said")).withColumn("heard", F.lead("said").over(w)).where("heard is not null")
+    m = c.select("media_id", "cue_no", st.match_tokens(F.col("said"), F.col("heard")).alias("m"))
     return m.select("media_id", "cue_no", F.round("m.coverage", 6).alias("coverage"), F.col("m.extra_prefix").cast("long").alias("extra_prefix"), "m.first_token", "m.ok")
 
 
@@ -1377,9 +1385,16 @@ def _(spark, d):
     return st.take_first(cues(spark, d).where("length(text) > 20"), ["media_id"], [F.col("cue_no")], 5).select("media_id", "cue_no")
 
 
-@query("jon6_best_overlap_match")
+_PLAIN = "regexp_replace(strip_accents({0}), '[^ -~]', '?', 'g')"
+
+
+@query("jon6_best_overlap_match", f"""SELECT media_id, a_id, b_id, ratio FROM (SELECT *, row_number() OVER (PARTITION BY media_id, a_id ORDER BY ratio DESC, b_id) AS r FROM (SELECT a.media_id, a_id, b_id, round(1 - levenshtein({_PLAIN.format('a_key')}, {_PLAIN.format('b_key')}) / greatest(length({_PLAIN.format('a_key')}), length({_PLAIN.format('b_key')}))::DOUBLE, 6) AS ratio
+  FROM a JOIN b ON a.media_id = b.media_id AND a_start - 600 < b_end AND b_start < a_end + 600)) WHERE r = 1""", CUES, _A, _B)
 def _(spark, d):
-    m = jo.overlap_join(*_sides(spark, d), pad_ms=600).withColumn("ratio", F.round(st.similarity_ratio(F.col("a_key"), F.col("b_key")), 6))
+    a, b = _sides(spark, d)
+    bare = lambda c: F.regexp_replace(tx.fold(F.col(c)), "[^ -~]", "?")
+    met = jo.overlap_join(a.withColumn("a_key", bare("a_key")), b.withColumn("b_key", bare("b_key")), pad_ms=600)
+    m = met.withColumn("ratio", F.round(st.similarity_ratio(F.col("a_key"), F.col("b_key")), 6))
     return st.pick_best(m, ["media_id", "a_id"], [F.desc("ratio"), F.col("b_id")]).select("media_id", "a_id", "b_id", "ratio")
 
 
@@ -1496,9 +1511,12 @@ def _(spark, d):
     return gr.finalize_cues(_repeated(spark, d), ("dans le",), ("ment",))[1]
 
 
-@query("exp4_split_long_cues")
+@query("exp4_split_long_cues", r"""SELECT media_id, cue_no, CASE WHEN n > 1 THEN k - 1 ELSE 0 END AS piece_no, CASE WHEN n > 1 THEN p[k] ELSE text END AS piece, CASE WHEN n > 1 THEN least(start_ms + upto - own, end_ms) ELSE start_ms END::BIGINT AS part_start, CASE WHEN n > 1 AND k < n THEN least(start_ms + upto, end_ms) ELSE end_ms END::BIGINT AS part_end FROM (
+  SELECT *, sum(own) OVER (PARTITION BY media_id, cue_no ORDER BY k) AS upto FROM (SELECT *, greatest(600, (end_ms - start_ms) * length(p[k]) // greatest(1, list_sum(list_transform(p, lambda x: length(x)))::BIGINT)) AS own FROM (SELECT *, len(p) AS n, unnest(range(1, CASE WHEN len(p) > 1 THEN len(p) ELSE 1 END + 1)) AS k FROM (
+  SELECT *, CASE WHEN end_ms - start_ms > 5000 AND length(text) > 30 THEN flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([，。！？；：、,.!?;:])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda s: list_transform(range((length(s) + 29) // 30), lambda j: substr(s, j * 30 + 1, 30)))) ELSE [] END AS p
+  FROM cues))))""", CUES)
 def _(spark, d):
-    return gr.split_long_cues(cues(spark, d)).select("media_id", "cue_no", "piece_no", "piece", "part_start", "part_end")
+    return gr.split_long_cues(cues(spark, d), 5000, 30).select("media_id", "cue_no", F.col("piece_no").cast("long").alias("piece_no"), "piece", "part_start", "part_end")
 
 
 def _worded(spark, d):

@@ -249,7 +249,8 @@ def test_groups(spark):
     assert got(gr.merge_short(c))[0][0] == "Hello there my friend. Yes." or got(gr.merge_short(c))[0][1] >= 2
     assert [r["text"] for r in gr.finalize_cues(c)[0].orderBy("start_ms").collect()][-1] == "sentence here. And more"
     assert got(gr.merge_tiny(c))[0] == ("Hello there my friend.", 2)
-    assert gr.readable_pieces("one two three, four five six", 16) == ["one two three,", "four five six"]
+    assert one(spark, "one two three, four five six", lambda x: gr.long_cue_pieces(x, 10)) == ["one two th", "ree,", "four five ", "six"]
+    assert one(spark, "漢字 漢字，abc", lambda x: gr.long_cue_pieces(x, 10)) == ["漢字漢字，", "abc"]
     pieces = gr.split_for_reading(c, 12).where("cue_no = 4").orderBy("piece_no").collect()
     assert pieces[0]["part_start"] == 9000 and pieces[-1]["part_end"] == 12000
 

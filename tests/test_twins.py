@@ -317,3 +317,168 @@ def test_captions(spark):
         got[r.doc_id].append(r.piece)
     for i, t in frame.collect():
         assert got[i] == plain_caption(t, 72), i
+
+
+# --- chunks, timelines, tokens
+
+
+def plain_request(text, limit=220):
+    text, out = text.strip(), []
+    while len(text) > limit:
+        ends = [i for i in range(int(limit * 0.55), limit + 1) if i and text[i - 1] in ".!?;,: \t\n\r\f\v" or i and text[i - 1].isspace()]
+        cut = max(ends, default=limit)
+        out.append(text[:cut].strip())
+        text = text[cut:].strip()
+    return [x for x in [*out, text] if x]
+
+
+def plain_lookback(text, limit=180):
+    out = []
+    while len(text) > limit:
+        places = [i for i in range(limit - 29, limit + 1) if text[i] in ".!?,; "]
+        cut = places[-1] + 1 if places else limit
+        out.append(text[:cut].strip())
+        text = text[cut:].strip()
+    return [x for x in [*out, text] if x]
+
+
+def plain_paragraphs(text, limit=3500):
+    out = []
+    while len(text) > limit:
+        for mark in ("\n\n", "\n"):
+            cut = text[: limit + len(mark)].rfind(mark)
+            if cut >= 0:
+                break
+        else:
+            cut = limit
+        out.append(text[:cut])
+        text = text[cut:].lstrip()
+    return out + ([text] if text else [])
+
+
+@pytest.mark.parametrize("name, plain, most", [("exp5_chunk_text", plain_request, 2000), ("exp5_chunk_lookback", plain_lookback, None), ("exp5_chunk_paragraphs", plain_paragraphs, None)])
+def test_chunks(spark, name, plain, most):
+    got = collections.defaultdict(list)
+    for r in QUERIES[name](spark, SF).orderBy("doc_id", "chunk_no").collect():
+        got[r.doc_id].append((r.chunk, r.error))
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        want = [(None, "text_too_long")] if most and len(r.text.strip()) > most else [(c, None) for c in plain(r.text)]
+        assert got[r.doc_id] == want, r.doc_id
+
+
+def test_timeline_rules():
+    long = "Trời đã tối rồi mà anh ấy vẫn chưa về nhà, nhưng lúc đó không ai biết chuyện gì đã xảy ra cả."
+    assert ex.timeline_pieces(long, 65) == [("Trời đã tối rồi mà anh ấy vẫn chưa về nhà.", 0.24), ("Nhưng khi đó không ai biết chuyện gì đã xảy ra cả.", 0.0)]
+    soft = "Cả nhà đã ngồi vào bàn ăn từ lâu rồi nhưng ông nội vẫn còn đứng ngoài sân nhìn trời."
+    assert ex.timeline_pieces(soft, 65) == [("Cả nhà đã ngồi vào bàn ăn từ lâu rồi", 0.08), ("nhưng ông nội vẫn còn đứng ngoài sân nhìn trời.", 0.0)]
+    clause = "Một hai ba bốn năm sáu bảy tám chín mười, mười một mười hai mười ba; mười bốn mười lăm mười sáu mười bảy mười tám mười chín."
+    got = ex.timeline_pieces(clause, 50)
+    assert got[0] == ("Một hai ba bốn năm sáu bảy tám chín mười,", 0.16) and " ".join(p for p, _ in got) == clause and got[-1][1] == 0.0
+    # a piece doesn't end in a weak word where a mark comes soon after it
+    weak = "Người ta nói rằng cô ấy là một người rất giỏi và, có thể nói như vậy, được mọi người yêu quý lắm đấy."
+    assert all(ex.plain_tokens(p)[-1] not in ex.WEAK_LAST for p, _ in ex.timeline_pieces(weak, 40))
+    assert ex.timeline_pieces("  ", 65) == [] and ex.timeline_pieces("Ngắn", 65) == [("Ngắn", 0.0)]
+
+
+def test_timelines_keep_the_text(spark):
+    rows = QUERIES["exp3_pause_timeline"](spark, SF).orderBy("conv_id", "turn", "piece_no").collect()
+    texts = collections.defaultdict(list)
+    for r in rows:
+        texts[r.conv_id, r.turn, r.text].append((r.piece, r.pause))
+    for (_, _, text), parts in texts.items():
+        assert " ".join(p for p, _ in parts).split() == text.split() and parts[-1][1] == 0.0 and all(s > 0 for _, s in parts[:-1])
+
+
+def test_token_coverage(spark):
+    def lcs(x, y):
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    c = cues(spark, SF).select("media_id", "cue_no", tx.compare_tokens(F.col("text")).alias("t"))
+    tokens = {(r.media_id, r.cue_no): r.t for r in c.collect()}
+    rows = QUERIES["mat1_lcs_coverage"](spark, SF).collect()
+    assert len(rows) > 100
+    for r in rows:
+        x, y = tokens[r.media_id, r.cue_no], tokens[r.media_id, r.cue_no + 1]
+        coverage = lcs(x, y) / max(1, len(x))
+        prefix = next((k for k, t in enumerate(y) if t in x[:3]), len(y))
+        assert (r.coverage, r.extra_prefix, r.first_token, r.ok) == (round(coverage, 6), prefix, bool(x and y and x[0] == y[0]), coverage >= 0.92 and prefix <= 1)
+
+
+def plain_merge(segments):
+    """(start, end, text) after folding short segments: a list is scanned and rebuilt after every merge."""
+    segs = [[s.start_ms, s.end_ms, s.text, s.speaker] for s in segments]
+    words = lambda t: len(t.split())
+    k = 0
+    while k < len(segs):
+        a, b, text, who = segs[k]
+        if b - a >= 1500 and len(text) >= 12 and words(text) >= 3:
+            k += 1
+            continue
+        tiny = b - a < 500 or len(text) < 4
+        reach = 2000 if tiny else 600
+        before, after = segs[k - 1] if k else None, segs[k + 1] if k + 1 < len(segs) else None
+        gaps = {"before": a - before[1] if before else None, "after": after[0] - b if after else None}
+        mine = {side: s for side, s in (("before", before), ("after", after)) if s and s[3] == who}
+        close = [side for side in mine if gaps[side] <= reach]
+        if len(close) == 2:
+            side = "before" if before[1] - before[0] <= after[1] - after[0] else "after"
+        elif close or mine:
+            side = (close or list(mine))[0]
+        elif before and after and tiny:
+            side = "before" if gaps["before"] <= gaps["after"] else "after"
+        else:
+            side = "before" if before else "after" if after else None
+        if side is None:
+            k += 1
+        elif side == "before":
+            segs[k - 1 : k + 1] = [[before[0], max(before[1], b), f"{before[2]} {text}", before[3]]]
+        else:
+            segs[k : k + 2] = [[min(a, after[0]), after[1], f"{text} {after[2]}", after[3]]]
+    again = any(b - a < 1500 or len(t) < 12 or words(t) < 3 for a, b, t, _ in segs)
+    done = [(a, b, " ".join(t.split())) for a, b, t, _ in segs]
+    return done if not again or len(segs) < 2 or len(segs) == len(segments) else plain_merge([Seg(*s) for s in segs])
+
+
+Seg = collections.namedtuple("Seg", "start_ms end_ms text speaker")
+
+
+def test_short_segments(spark):
+    c = cues(spark, SF)
+    got = collections.defaultdict(list)
+    for r in gr.merge_short(c).orderBy("media_id", "group_no").collect():
+        got[r.media_id].append((r.start_ms, r.end_ms, r.text))
+    assert dict(got) == {m: plain_merge(rows) for m, rows in by_media(c).items()}
+
+
+def test_corrected_tracks(spark):
+    """Glossary, replies under the guard, glossary again, clean-up: each as plain Python over a media's rows."""
+    from cuespark.operators.sequence import sample_context
+
+    c = q._repeated(spark, SF)
+    phrases = collections.defaultdict(dict)
+    for r in q._glossary(sample_context(c)).collect():
+        phrases[r.media_id][r.wrong] = r.correct
+
+    def mapped(m, t):
+        for wrong in sorted((w for w, x in phrases[m].items() if w and w != x), key=lambda w: (-len(w), w)):
+            t = t.replace(wrong, phrases[m][wrong])
+        return t
+
+    Row = collections.namedtuple("Row", "cue_no start_ms end_ms text")
+    want = {}
+    for m, rows in by_media(c).items():
+        fixed = []
+        for r in rows:
+            t = mapped(m, r.text)
+            reply = t.strip() + "."
+            ok = reply.strip() and "\n" not in reply and len(reply) <= max(len(t) + 28, int(len(t) * 1.75) + 8)
+            fixed.append(Row(r.cue_no, r.start_ms, r.end_ms, mapped(m, reply if ok else t)))
+        for i, (text, kept, rules) in plain_clean_up(fixed, ("dans le",), (), 80, 15_000).items():
+            if kept:
+                want[m, i] = (text, ",".join(rules))
+    got = {(r.media_id, r.cue_no): (r.text, r.rules) for r in QUERIES["udf3_correct_tracks"](spark, SF).collect()}
+    assert got == want
