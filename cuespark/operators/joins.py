@@ -7,6 +7,7 @@ its buckets, and no join compares all rows of a media.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -44,18 +45,20 @@ def near_duplicate(a: DataFrame, b: DataFrame, pad_ms: int = 2600) -> DataFrame:
 
 
 def assign_labels(segments: DataFrame, turns: DataFrame) -> DataFrame:
-    """The label of the turns that overlap a segment most; without any overlap, of the turn around its middle; ties by label."""
-    y = turns.withColumnRenamed("label", "b_label")
-    w = Window.partitionBy(KEY, "a_id").orderBy(F.desc("ms"), "b_label")
+    """The label of the turns that overlap a segment most; without any overlap, of the turn around its middle; ties by label.
 
-    def best(met: DataFrame) -> DataFrame:
-        sums = met.where("overlap_ms > 0").groupBy(KEY, "a_id", "b_label").agg(F.sum("overlap_ms").alias("ms"))
-        return sums.withColumn("r", F.row_number().over(w)).where("r = 1").select(KEY, "a_id", F.col("b_label").alias("label"))
-
-    whole = best(overlap_join(segments, y))
+    One join serves both: a segment meets turns over its span and its middle, and each label sums
+    what it has of either.
+    """
     middle = F.floor((F.col("a_start") + F.col("a_end")) / 2)
-    rest = segments.join(whole, [KEY, "a_id"], "left_anti").select(KEY, "a_id", middle.alias("a_start"), (middle + 1).alias("a_end"))
-    return segments.join(whole.unionByName(best(overlap_join(rest, y))), [KEY, "a_id"], "left")
+    wide = segments.select(
+        KEY, "a_id", F.least("a_start", middle).alias("a_start"), F.greatest(F.col("a_end"), middle + 1).alias("a_end"), F.col("a_start").alias("__s"), F.col("a_end").alias("__e"), middle.alias("__m")
+    )
+    met = overlap_join(wide, turns.withColumnRenamed("label", "b_label"))
+    shared = lambda lo, hi: F.greatest(F.lit(0), F.least(hi, F.col("b_end")) - F.greatest(lo, F.col("b_start")))
+    sums = met.groupBy(KEY, "a_id", "b_label").agg(F.sum(shared(F.col("__s"), F.col("__e"))).alias("ms"), F.sum(shared(F.col("__m"), F.col("__m") + 1)).alias("mid"))
+    best = sums.where("ms > 0 or mid > 0").groupBy(KEY, "a_id").agg(F.min(F.struct(-F.col("ms"), -F.col("mid"), "b_label"))["b_label"].alias("label"))
+    return segments.join(best, [KEY, "a_id"], "left")
 
 
 def speaker_name(label: Column) -> Column:
@@ -153,7 +156,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one only where none is set and the master is local (tests)."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cuespark-"))
     return context.getCheckpointDir()
