@@ -23,7 +23,7 @@ MERGED = "media_id long, group_no long, start_ms long, end_ms long, text string,
 
 
 def per_media(cues: DataFrame, f: Callable[[list[dict]], list[dict]], schema: str = MERGED, columns: tuple[str, ...] = ("cue_no", "start_ms", "end_ms", "text")) -> DataFrame:
-    """``f`` over each media's rows as dicts, in order; its rows are numbered as ``group_no``."""
+    """``f`` over each media's rows as dicts, in order; its rows are numbered as ``group_no``. A null text is empty, rows without media or times take no part."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -31,7 +31,8 @@ def per_media(cues: DataFrame, f: Callable[[list[dict]], list[dict]], schema: st
         out = [{KEY: part[KEY].iloc[0], "group_no": k, **r} for k, r in enumerate(f(rows))]
         return pd.DataFrame(out, columns=names)
 
-    return cues.select(KEY, *columns).groupBy(KEY).applyInPandas(run, schema)
+    timed = cues.where(F.col(KEY).isNotNull() & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
+    return timed.select(KEY, *[F.coalesce("text", F.lit("")).alias("text") if c == "text" else c for c in columns]).groupBy(KEY).applyInPandas(run, schema)
 
 
 def _texts(cues: DataFrame) -> DataFrame:
@@ -382,7 +383,7 @@ def split_for_reading(segments: DataFrame, chars: int = 84, cps: float = 17.0) -
     """Pieces (piece_no, piece, part_start, part_end, n_words) of at most ``chars`` characters and ``cps`` a second, where a cut exists.
 
     ``words``, an array of (text, start_ms, end_ms), gives the times of cuts where the segments have it; each
-    piece keeps the words on its side. Without words, time is shared by characters.
+    piece keeps the words on its side. Without words, time is shared by characters; a segment without times is one piece.
     """
     timed = F.col("words") if "words" in segments.columns else F.lit(None).cast("array<struct<text:string,start_ms:long,end_ms:long>>")
 
@@ -390,6 +391,9 @@ def split_for_reading(segments: DataFrame, chars: int = 84, cps: float = 17.0) -
     def run(text: pd.Series, start: pd.Series, end: pd.Series, words: pd.Series) -> pd.Series:
         out = []
         for t, a, b, w in zip(text.fillna(""), start, end, words, strict=True):
+            if pd.isna(a) or pd.isna(b):
+                out.append([(0, t.strip(), None, None, 0)])
+                continue
             pieces = reading_pieces(t, int(a), int(b), [(x["text"], x["start_ms"], x["end_ms"]) for x in w] if w is not None else [], chars, cps)
             out.append([(k, p, x, y, len(z)) for k, (p, x, y, z) in enumerate(pieces)])
         return pd.Series(out)

@@ -482,3 +482,24 @@ def test_corrected_tracks(spark):
                 want[m, i] = (text, ",".join(rules))
     got = {(r.media_id, r.cue_no): (r.text, r.rules) for r in QUERIES["udf3_correct_tracks"](spark, SF).collect()}
     assert got == want
+
+
+def test_nulls_and_empty_frames(spark):
+    """Rows without text, times or a media end no job, and empty frames give none."""
+    from cuespark.plans import jobs
+
+    n = spark.createDataFrame([(1, 1, 0, 1000, None), (1, 2, 1100, 2000, ""), (1, 3, 2100, 3000, "x"), (None, 4, 0, 10, "y"), (2, 5, None, None, "z")], "media_id long, cue_no long, start_ms long, end_ms long, text string")
+    spoken = n.withColumn("speaker", F.lit(None).cast("string"))
+    parts = n.selectExpr("media_id", "cue_no as a_id", "start_ms as a_start", "end_ms as a_end", "text")
+    lengths = n.selectExpr("media_id", "cue_no", "length(text) as chars", "cast(null as boolean) as force_single")
+    replies = spark.createDataFrame([(1, 2, None), (2, 0, ""), (3, 1, "[1] a"), (4, None, "[1] a"), (None, 1, "x")], "reply_id long, expected long, reply string")
+    heard = spark.createDataFrame([(1, 1, None, None, None, None), (1, 2, None, "ab", None, 1000), (3, 1, None, "ab", [[1, 2], None], 50)], "media_id long, row_no long, sentences array<struct<text:string,start:long,end:long>>, text string, timestamps array<array<long>>, duration_ms long")
+    jobs_ = [
+        (n, sq.group_cues, 3), (n, gr.group_smart, 4), (n, gr.group_natural, 4), (n, gr.segment_words, 1), (n, gr.marked_cues, 3), (n, gr.split_for_reading, 5), (n, gr.split_long_cues, 5), (spoken, gr.merge_short, 1),
+        (spoken, gr.merge_tiny, 4), (parts, lambda f: ex.split_at_cuts(f, f.selectExpr("media_id", "a_start + 100 as at_ms")), 5), (lengths, lambda f: ex.length_batches(f, F.col("media_id") % 3), 5), (replies, ex.parse_indexed_reply, 5),
+        (n, lambda f: ex.chunk_text(f, 10), 3), (n, lambda f: ex.pause_timeline(f, 20), 3), (n, ex.split_caption, 3), (heard, gr.funasr_segments, 2), (n, lambda f: jobs.apply_blocks(f, lambda x: [y.upper() for y in x], 4), 5),
+    ]
+    for frame, f, rows in jobs_:
+        assert f(frame).count() == rows, f
+        assert f(frame.limit(0)).count() == 0, f
+    assert [r.status for r in ex.parse_indexed_reply(replies).orderBy("reply_id").collect()] == ["lines", "BLOCK_COUNT_MISMATCH", "BLOCK_COUNT_MISMATCH", "indexed", "BLOCK_COUNT_MISMATCH"]
