@@ -26,3 +26,19 @@ def test_run(spark):
     assert out.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 2048").count()
     assert out.count() > 0 and full <= 1
+
+
+def test_stages_on_odd_tables(spark, docs, sentences):
+    """Repeated rows and ids, nulls, a very long text, clashing columns, and an empty table, in every stage."""
+    long = " ".join(sentences)
+    rows = [(1, long), (1, long), (1, "another text of the same id, long enough to be read by all of us"), (None, None), (None, long), (2, ""), (3, "word " * 60_000), (4, "x")]
+    table = docs(rows).selectExpr("*", "5 as n", "'y' as component_id", "6 as drop", "7 as kept", "8 as row")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns, name
+        assert out.count() <= len(rows), name
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+    near = sorted(map(str, (r["doc_id"] for r in cp.one_of_each_group(spark, table, SF).collect())))
+    assert near == ["1", "1", "2", "3", "4", "None"]  # one of the three equal long texts; texts without words all stay
+    pieces = cp.packed(spark, table, SF)
+    assert pieces.count() >= len(rows) and cp.packed(spark, table.limit(0), SF).count() == 0
