@@ -75,6 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the pieces of the training sequences of what they keep.
+
+    Each stage is written before the next one reads it. Columns beside the given ones are carried
+    to the last stage; rows without id or text, repeated rows and ids, and an empty table take the
+    defined results of the stages.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
