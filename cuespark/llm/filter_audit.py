@@ -35,7 +35,7 @@ from cuespark.llm.common import pieces, prefix_hash, span_hash, stored, utf8_par
 LETTERS = "ABCDE"
 A, B, C, D, E = (1 << k for k in range(5))
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, MARKS = 100, 80, 10, b"#$%&*|"
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 #: Words of shards, each shard's once, that meet in one bucket of the global dictionary.
 BUCKET_WORDS = 1 << 19
 
@@ -107,6 +107,7 @@ def local_shards(docs: DataFrame) -> DataFrame:
                     names=[x.split()[0] for x in SHARDS.split(", ")],
                 )
                 number += 1
+                pa.default_memory_pool().release_unused()  # else a worker keeps what its largest shard took
 
     return docs.select("doc_id", "text", "part").mapInArrow(run, SHARDS)
 
