@@ -7,6 +7,7 @@ generated stage. Null in gives null out unless a line says otherwise.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
@@ -77,12 +78,12 @@ def unescape_all(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Letters and marks composed. Only texts with characters from U+0300 on can change."""
+    """Letters and marks composed. Every text goes to Python once, so that what makes it is computed once."""
 
     def change(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+        return x.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return only_where(c, c.rlike(r"[^\x00-\x{2FF}]"), change)
+    return F.pandas_udf(change, "string")(c)
 
 
 def clean_text(c: Column, entities: str | None = "markup") -> Column:
@@ -113,7 +114,7 @@ def repair_mojibake(c: Column) -> Column:
 def normalize_text(c: Column, composed: bool = True) -> Column:
     """Text to be spoken: mojibake repaired, tags to blanks, no blank before a mark and one after it, numbers to 999 as words, composed characters."""
     c = collapse(F.regexp_replace(repair_mojibake(c), "<[^>]+>", " "))
-    c = F.regexp_replace(c, r"(?iU)\blàm\s*điêu\b", "làm điêu")
+    c = F.regexp_replace(c, r"(?iU)(?=l)\blàm\s*điêu\b", "làm điêu")
     c = F.regexp_replace(c, r"(?U)\s+([,.!?;:])", "$1")
     c = numbers_to_words(F.regexp_replace(c, r"(?U)([,.!?;:])(?=\S)", "$1 "))
     return F.trim(nfc(c) if composed else c)
@@ -159,8 +160,9 @@ def number_words(n: Column) -> Column:
 
 def numbers_to_words(c: Column) -> Column:
     """Every number of one to three digits that stands as a word of its own is read out."""
-    words = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^[0-9]{1,3}$"), number_words(w.cast("int"))).otherwise(w)), "")
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    read = lambda x: F.array_join(F.transform(words(x), lambda w: F.when(w.rlike(r"^[0-9]{1,3}$"), number_words(w.cast("int"))).otherwise(w)), "")
+    return let(c, lambda x: F.when(x.rlike("[0-9]"), read(x)).otherwise(x))
 
 
 def flags(*conditions: tuple[str, Column]) -> Column:
@@ -183,6 +185,7 @@ TOKEN_ALIASES = {
     "loi": "luoi", "lieng": "dieu", "yieu": "dieu", "yeu": "dieu", "hoa": "ngoa", "ngoai": "ngoa", "ty": "tuy", "ti": "tuy",
     "tiet": "tien", "thuc": "thuoc", "trong": "tram", "tre": "ke", "khe": "ke", "keo": "ke",
 }
+AS_READ = "\u0001"  # before a muoi that stays in any case
 DIGIT_TOKENS = ("mot", "hai", "ba", "bon", "nam", "sau", "bay", "tam", "chin")
 
 
@@ -195,18 +198,22 @@ def number_tokens(n: Column) -> Column:
 
 def compare_tokens(c: Column, aliases: Mapping[str, str] | None = TOKEN_ALIASES) -> Column:
     """Tokens of the folded text: numbers to 999 as words, ``aliases`` (a token to one or more) applied, ``muoi`` after a digit word left out."""
-    tokens = F.regexp_extract_all(fold(clean_text(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    folded = fold(clean_text(c))
     known = F.create_map(*[F.lit(x) for pair in (aliases or {"": ""}).items() for x in pair])
     number = lambda t: t.rlike("^0*[0-9]{1,3}$")
-    spelt = F.transform(
-        tokens,
-        lambda t: F.when(number(t), F.struct(F.lit(True).alias("whole"), number_tokens(t.cast("int")).alias("t"))).otherwise(
-            let(F.split(F.coalesce(F.try_element_at(known, t), t), " "), lambda x: F.struct((F.size(x) > 1).alias("whole"), x.alias("t")))
-        ),
-    )
-    none = F.array().cast("array<string>")
-    follows = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)).isin(*DIGIT_TOKENS), F.lit(False))
-    return F.aggregate(spelt, none, lambda acc, x: F.when(~x["whole"] & (x["t"][0] == "muoi") & follows(acc), acc).otherwise(F.concat(acc, x["t"])))
+    kept = lambda t: F.regexp_replace(t, rf"(?<![^ ]){AS_READ}(?=muoi(?![^ ]))", "")
+    held = lambda t: F.regexp_replace(t, r"(?<![^ ])muoi(?![^ ])", AS_READ + "muoi")
+
+    def spelt(tokens: Column) -> Column:
+        alias = lambda t: let(F.coalesce(F.try_element_at(known, t), t), lambda x: F.when(x.contains(" "), held(x)).otherwise(x))
+        return F.array_join(F.transform(tokens, lambda t: F.when(number(t), held(F.array_join(number_tokens(t.cast("int")), " "))).otherwise(alias(t))), " ")
+
+    # as one text: numbers and aliases where there are any, then each run of free muoi after a digit word goes
+    plain = F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+    special = "|".join(["0*[0-9]{1,3}", *map(re.escape, aliases or {})])
+    said = let(plain, lambda p: F.when(p.rlike(f"(?<![^ ])(?:{special})(?![^ ])"), spelt(F.split(p, " "))).otherwise(p))
+    said = let(said, lambda t: F.when(t.contains("muoi"), kept(F.regexp_replace(t, rf"(?<![^ ])({'|'.join(DIGIT_TOKENS)})(?: muoi(?![^ ]))+", "$1"))).otherwise(t))
+    return let(said, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def compact_key(c: Column, kind: str = "similarity") -> Column:
