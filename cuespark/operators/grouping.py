@@ -10,12 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespark.functions.text import clean_text, has_cjk
-from cuespark.operators.expand import allocate_time, caption_pieces, solid_pieces
+from cuespark.operators.expand import allocate_time, caption_pieces, in_slices, solid_pieces
 from cuespark.operators.sequence import CLAUSE as PAUSED, KEY, STRONG as ENDED, folded_groups, greedy, too_far
 
 STRONG, CLAUSE = re.compile(r"[.!?…][\"')\]]*$"), re.compile(r"[,;:][\"')\]]*$")
@@ -24,15 +23,17 @@ MERGED = "media_id long, group_no long, start_ms long, end_ms long, text string,
 
 def per_media(cues: DataFrame, f: Callable[[list[dict]], list[dict]], schema: str = MERGED, columns: tuple[str, ...] = ("cue_no", "start_ms", "end_ms", "text")) -> DataFrame:
     """``f`` over each media's rows as dicts, in order; its rows are numbered as ``group_no``. A null text is empty, rows without media or times take no part."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    fields = schema.split(", ")
+    held = ", ".join(f"{name}: {kind}" for name, kind in (c.split(" ", 1) for c in fields if not c.startswith(f"{KEY} ")))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(["start_ms", "cue_no"])[list(columns)].to_dict("records")
-        out = [{KEY: part[KEY].iloc[0], "group_no": k, **r} for k, r in enumerate(f(rows))]
-        return pd.DataFrame(out, columns=names)
+    def run(rows: list[dict]) -> list[dict]:
+        ordered = sorted(rows, key=lambda r: (r["start_ms"], r["cue_no"] is None, r["cue_no"]))
+        return [{"group_no": k, **r} for k, r in enumerate(f(ordered))]
 
     timed = cues.where(F.col(KEY).isNotNull() & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
-    return timed.select(KEY, *[F.coalesce("text", F.lit("")).alias("text") if c == "text" else c for c in columns]).groupBy(KEY).applyInPandas(run, schema)
+    rows = F.struct(*[F.coalesce("text", F.lit("")).alias("text") if c == "text" else F.col(c) for c in columns])
+    media = timed.groupBy(KEY).agg(F.collect_list(rows).alias("__rows"))
+    return media.select(F.col(KEY).cast("long").alias(KEY), F.inline(in_slices(run, f"array<struct<{held}>>", F.col("__rows"))))
 
 
 def _texts(cues: DataFrame) -> DataFrame:
@@ -387,19 +388,16 @@ def split_for_reading(segments: DataFrame, chars: int = 84, cps: float = 17.0) -
     """
     timed = F.col("words") if "words" in segments.columns else F.lit(None).cast("array<struct<text:string,start_ms:long,end_ms:long>>")
 
-    @F.pandas_udf("array<struct<piece_no:int,piece:string,part_start:long,part_end:long,n_words:int>>")
-    def run(text: pd.Series, start: pd.Series, end: pd.Series, words: pd.Series) -> pd.Series:
-        out = []
-        for t, a, b, w in zip(text.fillna(""), start, end, words, strict=True):
-            if pd.isna(a) or pd.isna(b):
-                out.append([(0, t.strip(), None, None, 0)])
-                continue
-            pieces = reading_pieces(t, int(a), int(b), [(x["text"], x["start_ms"], x["end_ms"]) for x in w] if w is not None else [], chars, cps)
-            out.append([(k, p, x, y, len(z)) for k, (p, x, y, z) in enumerate(pieces)])
-        return pd.Series(out)
+    def run(text: str | None, start: int | None, end: int | None, words: list[dict] | None) -> list[dict]:
+        text = "" if text is None else text
+        if start is None or end is None:
+            return [{"piece_no": 0, "piece": text.strip(), "part_start": None, "part_end": None, "n_words": 0}]
+        pieces = reading_pieces(text, int(start), int(end), [(x["text"], x["start_ms"], x["end_ms"]) for x in words or ()], chars, cps)
+        return [{"piece_no": k, "piece": p, "part_start": x, "part_end": y, "n_words": len(z)} for k, (p, x, y, z) in enumerate(pieces)]
 
     kept = [c for c in segments.columns if c != "words"]
-    return segments.withColumn("__p", run("text", "start_ms", "end_ms", timed)).select(*kept, F.inline("__p"))
+    pieces = in_slices(run, "array<struct<piece_no:int,piece:string,part_start:long,part_end:long,n_words:int>>", F.col("text"), F.col("start_ms"), F.col("end_ms"), timed)
+    return segments.withColumn("__p", pieces).select(*kept, F.inline("__p"))
 
 
 def long_cue_pieces(text: Column, chars: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.functions.text import apply_phrase_table
+from cuespark.operators.expand import in_slices
 from cuespark.operators.grouping import finalize_cues
 from cuespark.operators.joins import apply_corrections
 from cuespark.operators.sequence import sample_context
@@ -52,14 +53,14 @@ def apply_blocks(
     refuses) is asked ``tries`` times, then in halves down to ``least`` rows, or without ``halve``
     row by row at once. What fails still, by ``on_fail``: ``keep`` gives rows their own text,
     ``null`` no reply, for a placeholder, ``raise`` ends the job. Blocks are cut where they are, so
-    there are no further passes over the data.
+    there are no further passes over the data, and many of them go to Python in one Arrow batch.
     """
     if on_fail not in ("keep", "null", "raise"):
         raise ValueError(f"on_fail must be keep, null or raise, not {on_fail}")
     numbered = df.withColumn("__block", F.floor((F.col("cue_no") - 1) / block))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cue_no")
+    def run(numbers: list[int | None], texts: list[str | None]) -> list[dict]:
+        order = sorted(range(len(texts)), key=lambda k: (numbers[k] is None, numbers[k]))
 
         def ask(texts: list[str]) -> list[tuple[str | None, bool, str | None]]:
             why = None
@@ -81,11 +82,12 @@ def apply_blocks(
                 raise RuntimeError(f"{why}: {texts[0][:200] if texts[0] else ''}")
             return [(t if on_fail == "keep" else None, True, why) for t in texts]
 
-        got = ask(part[text].tolist())
-        return part.assign(reply=[x for x, _, _ in got], kept=[k for _, k, _ in got], error=[e for _, _, e in got]).drop(columns="__block")
+        got = dict(zip(order, ask([texts[k] for k in order]), strict=True))
+        return [dict(zip(("reply", "kept", "error"), got[k], strict=True)) for k in range(len(texts))]
 
-    fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema)
-    return numbered.groupBy(key, "__block").applyInPandas(run, f"{fields}, reply string, kept boolean, error string")
+    blocks = numbered.groupBy(key, "__block").agg(F.collect_list(F.struct(*df.columns)).alias("__rows"))
+    replies = in_slices(run, "array<struct<reply:string,kept:boolean,error:string>>", F.col("__rows.cue_no"), F.col("__rows")[text])
+    return blocks.withColumn("__got", replies).select(F.inline(F.arrays_zip("__rows", "__got"))).select("__rows.*", "__got.*")
 
 
 def correct_tracks(cues: DataFrame, glossary: Callable[[DataFrame], DataFrame], correct: Callable[[list[str]], list[str]], block: int = 40, leaks: tuple[str, ...] = (), summaries: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
