@@ -384,3 +384,31 @@ def test_sql_counts_edits_in_characters():
 def test_sql_of_repair_leaves_what_has_no_fewer_marks():
     docs = pd.DataFrame({"doc_id": [1, 2, 3, 4, 5], "text": ["Äau", "schön", "Ä schön", "plain “é”", None]})
     assert dict(registered("txt3_repair_mojibake", {"documents": docs})) == {1: "Ã\x84au", 2: "schön", 3: "Ä schön", 4: "plain “é”", 5: None}
+
+
+def test_compare_tokens_drops_muoi_without_a_fold(spark):
+    tokens = lambda t: one(spark, t, lambda c: F.array_join(tx.compare_tokens(c), " "))
+    assert tokens("hai muoi muoi ba") == "hai ba" and tokens("muoi muoi mot muoi muoia") == "muoi muoi mot muoia"
+    assert tokens("25 muoi 10 muoi") == tokens("hai lam muoi 10 muoi") and tokens("mot 10 ty") == "mot muoi tuy" and tokens("...") == ""
+    plan = spark.range(1).select(tx.compare_tokens(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan  # which copies all tokens for each one
+
+
+def test_normalised_text_is_computed_once(spark):
+    assert one(spark, "12 con, 1234 x5 7", tx.normalize_text) == "mười hai con, 1234 x5 bảy" and one(spark, "é ab", tx.normalize_text) == "é ab"
+    plan = spark.range(1).select(tx.normalize_text(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("làm điêu") == 1
+
+
+def test_python_holds_slices_of_an_arrow_batch(spark):
+    df = spark.range(3 * ex.SLICE + 1).repartition(1).select(F.concat(F.col("id"), F.lit(" b")).alias("text"))
+    seen = df.select(ex.in_slices(lambda t: [t, t], "array<string>", F.col("text")).alias("x"), "text")
+    assert seen.where("x[0] = text and size(x) = 2").count() == 3 * ex.SLICE + 1
+
+
+def test_blocks_share_an_arrow_batch(spark):
+    rows = [(m, n, f"{m}.{n}") for m in range(30) for n in range(5, 0, -1)] + [(1, None, "x"), (2, 9, None)]
+    df = spark.createDataFrame(rows, "media_id long, cue_no long, text string")
+    out = jobs.apply_blocks(df, lambda texts: [f"{k} {t}" for k, t in enumerate(texts)], 4)
+    assert out.where("not kept").count() == len(rows) and {r["reply"] for r in out.where("media_id = 3").collect()} == {"0 3.1", "1 3.2", "2 3.3", "3 3.4", "0 3.5"}
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
