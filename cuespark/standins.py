@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table of numbers that one task windows; few bytes in a shuffle, several sorts' memory in a task.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Into how many partitions ``rows``, a given table, is dealt, so that a task's share doesn't grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def running_start(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``start_ms`` and ``end_ms`` from ``duration_ms`` and ``gap_ms``, laid end to end within the key."""
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,13 +60,17 @@ lines AS (SELECT media_id, lang, line_no::BIGINT AS line_no, trim(t) AS text FRO
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    s = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("media_id"), F.row_number().over(order).cast("long").alias("cue_no"), (F.col("l_quantity") * 100).cast("long").alias("duration_ms"),
+    items = table(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    s = items.select(
+        F.col("l_orderkey").alias("media_id"), *order, (F.col("l_quantity") * 100).cast("long").alias("duration_ms"),
         (F.col("l_quantity") * 100 + F.col("l_quantity") * F.round(F.col("l_tax") * 100) * 5).cast("long").alias("audio_ms"),
         (F.round(F.col("l_discount") * 100) * 40).cast("long").alias("gap_ms"), F.col("l_returnflag").alias("label"),
     )
-    return running_start(s, "media_id", ["cue_no"]).drop("gap_ms")
+    s = s.repartition(tasks_for(items), "media_id")
+    # one sort gives both the number and the start
+    s = s.withColumn("cue_no", F.row_number().over(Window.partitionBy("media_id").orderBy(*order)).cast("long"))
+    return running_start(s, "media_id", order).select("media_id", "cue_no", "duration_ms", "audio_ms", "label", "start_ms", "end_ms")
 
 
 SLOTS = """

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import struct
 import wave
 
@@ -19,6 +20,8 @@ from cuespark.sources import readers as rd
 from cuespark.sources import writers as wr
 from cuespark.streaming import jobs as stream
 
+SMALLEST = "/root/testdata/sf0.001"
+
 
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first()["y"]
@@ -412,3 +415,16 @@ def test_blocks_share_an_arrow_batch(spark):
     out = jobs.apply_blocks(df, lambda texts: [f"{k} {t}" for k, t in enumerate(texts)], 4)
     assert out.where("not kept").count() == len(rows) and {r["reply"] for r in out.where("media_id = 3").collect()} == {"0 3.1", "1 3.2", "2 3.3", "3 3.4", "0 3.5"}
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["seq22_stitch_shorts", "seq16_pack_blocks"])
+def test_slots_are_dealt_by_their_rows(spark, monkeypatch, name):
+    """A task's share of the slots doesn't grow with the table: one exchange, into as many partitions as the rows ask for."""
+    from cuespark import queries, standins  # noqa: F401  fills the registry
+    from cuespark.registry import QUERIES
+
+    monkeypatch.setattr(standins, "TASK_ROWS", 100)
+    n = standins.table(spark, SMALLEST, "lineitem").count()
+    plan = QUERIES[name](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), (\w+)", plan)
+    assert n > 800 and dealt == [(str(-(-n // 100)), "REPARTITION_BY_NUM")]
