@@ -2,7 +2,8 @@
 
 Time joins meet in buckets of time: an interval stands in each bucket that it touches, and a
 pair counts in the first bucket that both share. A media with very many rows thus spreads over
-its buckets, and no join compares all rows of a media.
+its buckets, and no join compares all rows of a media. Rows of numbers take few bytes in a shuffle
+and many in a task, so a caller who knows its rows names the ``tasks`` of a join.
 """
 
 from __future__ import annotations
@@ -22,10 +23,16 @@ def _bucketed(df: DataFrame, start: Column, end: Column, width: int, name: str)
     return df.withColumn(f"{name}_lo", lo).withColumn("__bucket", F.explode(F.sequence(lo, hi)))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, pad_ms: int = 0, bucket_ms: int = 60_000, by: Sequence[str] = (KEY,)) -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """``df`` in ``tasks`` partitions by key, or in the session's number, below which a join deals again; as it is where no number is named."""
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), *by) if tasks else df
+
+
+def overlap_join(a: DataFrame, b: DataFrame, pad_ms: int = 0, bucket_ms: int = 60_000, by: Sequence[str] = (KEY,), tasks: int | None = None) -> DataFrame:
     """Pairs of ``a`` (a_id, a_start, a_end) and ``b`` (b_id, b_start, b_end) of equal ``by`` that overlap within the pad."""
     x = _bucketed(a, F.col("a_start") - pad_ms, F.col("a_end") + pad_ms, bucket_ms, "a")
     y = _bucketed(b, F.col("b_start"), F.col("b_end"), bucket_ms, "b")
+    x, y = (dealt(df, tasks, *by, "__bucket") for df in (x, y))
     met = x.join(y, [*by, "__bucket"]).where((F.col("a_start") - pad_ms < F.col("b_end")) & (F.col("b_start") < F.col("a_end") + pad_ms))
     met = met.where(F.col("__bucket") == F.greatest("a_lo", "b_lo")).drop("__bucket", "a_lo", "b_lo")
     return met.withColumn("overlap_ms", F.greatest(F.lit(0), F.least("a_end", "b_end") - F.greatest("a_start", "b_start")))
@@ -67,10 +74,11 @@ def speaker_name(label: Column) -> Column:
     return F.when(n != "", F.concat(F.lit("Speaker "), (n.cast("long") + 1).cast("string"))).otherwise(label)
 
 
-def points_in(segments: DataFrame, points: DataFrame, margin_ms: int = 0, bucket_ms: int = 60_000) -> DataFrame:
+def points_in(segments: DataFrame, points: DataFrame, margin_ms: int = 0, bucket_ms: int = 60_000, tasks: int | None = None) -> DataFrame:
     """Points (media_id, at_ms) strictly inside segments (media_id, a_id, a_start, a_end) by the margin."""
     x = _bucketed(segments, F.col("a_start"), F.col("a_end"), bucket_ms, "a").drop("a_lo")
     y = points.withColumn("__bucket", F.floor(F.col("at_ms") / bucket_ms))
+    x, y = (dealt(df, tasks, KEY, "__bucket") for df in (x, y))
     return x.join(y, [KEY, "__bucket"]).where((F.col("at_ms") > F.col("a_start") + margin_ms) & (F.col("at_ms") < F.col("a_end") - margin_ms)).drop("__bucket")
 
 

@@ -65,23 +65,25 @@ def merge_intervals(intervals: DataFrame, tolerance_ms: int = 0, by: Sequence[st
     return marked.groupBy(*by, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("members"))
 
 
-def subtract_intervals(base: DataFrame, allowed: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
+def subtract_intervals(base: DataFrame, allowed: DataFrame, bucket_ms: int = 3_600_000, tasks: int | None = None) -> DataFrame:
     """What of ``base`` (media_id, start_ms, end_ms, disjoint) no interval of ``allowed`` covers.
 
-    Both meet in buckets of time, so a media's intervals are never all held against each other.
+    Both meet in buckets of time, so a media's intervals are never all held against each other. An
+    interval's cuts and, after them, the interval itself are laid in one order: a cut ends the piece
+    before it, the interval ends the last one. ``tasks`` deals the join and that order.
     """
-    from cuespark.operators.joins import overlap_join
+    from cuespark.operators.joins import dealt, overlap_join
 
-    cuts = merge_intervals(allowed).select(KEY, F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
     asked = base.select(KEY, F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-    met = overlap_join(asked, cuts, bucket_ms=bucket_ms).select(KEY, F.col("a_start").alias("start_ms"), F.col("a_end").alias("end_ms"), F.col("b_start").alias("a"), F.col("b_end").alias("b"))
-    none = base.select(KEY, "start_ms", "end_ms").join(met.select(KEY, "start_ms", "end_ms").distinct(), [KEY, "start_ms", "end_ms"], "left_anti")
-    w = Window.partitionBy(KEY, "start_ms", "end_ms").orderBy("a")
-    low = F.coalesce(F.lag("b").over(w), F.col("start_ms"))
-    heads = met.select(KEY, F.greatest(low, "start_ms").alias("s"), F.least("a", "end_ms").alias("e"))
-    tails = met.groupBy(KEY, "start_ms", "end_ms").agg(F.max("b").alias("b")).select(KEY, F.col("b").alias("s"), F.col("end_ms").alias("e"))
-    pieces = heads.unionByName(tails).where("e > s").toDF(KEY, "start_ms", "end_ms")
-    return pieces.unionByName(none)
+    cuts = merge_intervals(allowed).select(KEY, F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    met = overlap_join(asked, cuts, bucket_ms=bucket_ms, tasks=tasks).select(KEY, F.col("a_start").alias("start_ms"), F.col("a_end").alias("end_ms"), F.col("b_start").alias("a"), F.col("b_end").alias("b"), F.lit(False).alias("last"))
+    none = F.lit(None).cast("long")
+    laid = met.unionByName(base.select(KEY, "start_ms", "end_ms", none.alias("a"), none.alias("b"), F.lit(True).alias("last")))
+    w = Window.partitionBy(KEY, "start_ms", "end_ms").orderBy("last", "a")
+    laid = dealt(laid, tasks, KEY, "start_ms", "end_ms").withColumn("done", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("again", F.coalesce(F.lag("last").over(w), F.lit(False)))
+    low, high = F.coalesce("done", "start_ms"), F.when(F.col("last"), F.col("end_ms")).otherwise(F.least("a", "end_ms"))
+    whole, piece = F.col("last") & F.col("done").isNull(), ~F.col("again") & (high > low)
+    return laid.where(whole | piece).select(KEY, low.alias("start_ms"), high.alias("end_ms"))
 
 
 def islands_between(silences: DataFrame, low_ms: int, high_ms: int, side_ms: int = 0, edge_ms: int | None = None) -> DataFrame:

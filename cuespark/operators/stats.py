@@ -372,15 +372,15 @@ def match_tokens(expected: Column, actual: Column) -> Column:
     return run(expected, actual)
 
 
-def unexplained_activity(activity: DataFrame, words: DataFrame, points: DataFrame, pad_ms: int = 40, least_ms: int = 75, rms: float = 0.006, peak: float = 0.08) -> DataFrame:
+def unexplained_activity(activity: DataFrame, words: DataFrame, points: DataFrame, pad_ms: int = 40, least_ms: int = 75, rms: float = 0.006, peak: float = 0.08, tasks: int | None = None) -> DataFrame:
     """What of the activity no padded word explains, if it lasts ``least_ms`` and its frames ``points(media_id, at_ms, rms, peak)`` are loud enough."""
     from cuespark.operators.joins import points_in
     from cuespark.operators.sequence import merge_intervals, subtract_intervals
 
     padded = words.select("media_id", (F.col("start_ms") - pad_ms).alias("start_ms"), (F.col("end_ms") + pad_ms).alias("end_ms"))
-    rest = subtract_intervals(merge_intervals(activity).select("media_id", "start_ms", "end_ms"), padded).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    rest = subtract_intervals(merge_intervals(activity).select("media_id", "start_ms", "end_ms"), padded, tasks=tasks).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
     rest = rest.select("media_id", F.col("start_ms").alias("a_id"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-    level = points_in(rest, points, -1).groupBy("media_id", "a_start", "a_end").agg(F.max("rms").alias("rms"), F.max("peak").alias("peak"))
+    level = points_in(rest, points, -1, tasks=tasks).groupBy("media_id", "a_start", "a_end").agg(F.max("rms").alias("rms"), F.max("peak").alias("peak"))
     return level.where((F.col("rms") >= rms) | (F.col("peak") >= peak)).select("media_id", F.col("a_start").alias("start_ms"), F.col("a_end").alias("end_ms"), "rms", "peak")
 
 

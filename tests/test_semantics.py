@@ -428,3 +428,30 @@ def test_slots_are_dealt_by_their_rows(spark, monkeypatch, name):
     plan = QUERIES[name](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), (\w+)", plan)
     assert n > 800 and dealt == [(str(-(-n // 100)), "REPARTITION_BY_NUM")]
+
+
+def test_unexplained_activity_deals_its_joins(spark, monkeypatch):
+    """Joins and the order of pieces go to as many partitions as the rows ask for, whatever they take in a shuffle."""
+    from cuespark import queries, standins  # noqa: F401  fills the registry
+    from cuespark.registry import QUERIES
+
+    monkeypatch.setattr(standins, "TASK_ROWS", 100)
+    n = -(-standins.table(spark, SMALLEST, "lineitem").count() // 100)
+    plan = QUERIES["mat7_unexplained_activity"](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(.*, (\d+)\), (\w+)", plan)
+    assert {(k, why) for k, why in dealt[1:]} == {(str(n), "REPARTITION_BY_NUM")}  # the first is the last aggregation's
+
+
+@pytest.mark.parametrize("tasks", [None, 7])
+def test_subtract_intervals_lays_cuts_in_one_order(spark, tasks):
+    from cuespark.operators import sequence as sq
+
+    kind = "media_id long, start_ms long, end_ms long"
+    base = [(1, 0, 100), (1, 100, 200), (2, 0, 50), (3, 5, 5), (4, None, None), (None, 0, 9), (5, 0, 10), (6, 0, 9_000_000)]
+    cuts = [(1, 10, 20), (1, 20, 30), (1, 90, 120), (1, 150, 150), (5, -5, 40), (9, 0, 1), (None, 0, 9), (6, 3_599_990, 3_600_010), (6, 8_000_000, 9_500_000)]
+    got = sq.subtract_intervals(spark.createDataFrame(base, kind), spark.createDataFrame(cuts, kind), tasks=tasks)
+    want = [(1, 0, 10), (1, 30, 90), (1, 120, 150), (1, 150, 200), (2, 0, 50), (3, 5, 5), (4, None, None), (None, 0, 9), (6, 0, 3_599_990), (6, 3_600_010, 8_000_000)]
+    order = lambda rows: sorted((tuple(-1 if v is None else v for v in r) for r in rows))
+    assert order(got.collect()) == order(want)
+    joins = got._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins == 1  # heads, tails and uncut intervals took three, and the first of them twice more
