@@ -39,14 +39,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Words(dict):
+    """Ids of words as bytes, all after ``lead``; an unknown word is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer: WordTokenizer, lead: str):
+        super().__init__()
+        self.tokenizer, self.lead, self.sign = tokenizer, lead, tokenizer.lead * len(lead)
+
+    def __missing__(self, word: str) -> bytes:
+        t = self.tokenizer
+        base = word.rstrip(t.MARKS)
+        if not base.isalpha():
+            if word.split() != [word]:
+                raise KeyError(word)
+            ids = t.plain([self.lead + word])[0]
+        elif len(base) < len(word):
+            ids = self[base] + t.tail(word[len(base) :])
+        else:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(t.signs)
+            ids = array(t.code, [x.id for x in t.model.tokenize(self.sign + shown)]).tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts as little-endian bytes, with the ids of words remembered.
 
     The vocabulary's pattern starts a new piece at a space before a visible character, and keeps
     a line feed between visible characters apart, so a text may be cut there and its words
     encoded one by one. An unknown word of letters, with marks after it, is two pieces and goes
-    straight to the merges; other unknown words are encoded many at a time, as the lines of one
-    text. A text with any other white space is cut before its words only and not remembered, and
+    straight to the merges, its letters once for all marks; other unknown words are encoded as
+    texts. A text with any other white space is cut before its words only and not remembered, and
     a text that spells one of the vocabulary's added tokens is encoded as a whole.
     """
 
@@ -59,75 +82,46 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.feed = self._plain(["\n"])[0]
-        self.bases: dict[str, bytes] = {}
+        self.feed = self.plain(["\n"])[0]
         self.tails: dict[str, bytes] = {"": b""}
         self.model = self.inner.model
         # byte-level vocabularies write bytes that have no visible Latin-1 sign from U+0100 on
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.signs = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
         self.lead = chr(self.signs[32])
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.later: dict[str, bytes] = {}  # words after a space
+        self.first, self.later = Words(self, ""), Words(self, " ")  # at the start of a line, after a space
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
-        sign, pieces, bases, tails, rest = self.lead * len(lead), self.model.tokenize, self.bases, self.tails, []
-        for w in words:
-            base = w.rstrip(self.MARKS)
-            if not base.isalpha():
-                rest.append(w)
-                continue
-            tail = w[len(base) :]
-            if tail not in tails:
-                if len(tails) > CACHED_WORDS:
-                    tails.clear()
-                tails[tail] = self._plain([tail])[0]
-            text = sign + base
-            ids = bases.get(text)
-            if ids is None:
-                plain = base if base.isascii() else base.encode().decode("latin-1").translate(self.signs)
-                ids = bases[text] = array(self.code, [x.id for x in pieces(sign + plain)]).tobytes()
-            known[w] = ids + tails[tail] if tail else ids
-        words = rest
-        feed = int(np.frombuffer(self.feed, self.dtype)[0])
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            ids = np.array(self.inner.encode("\n".join([lead + w for w in some]), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(ids == feed).tolist()
-            if len(cuts) != len(some) - 1:
-                known.update(zip(some, self._plain([lead + w for w in some]), strict=True))
-                continue
-            raw, wide, at = ids.tobytes(), self.dtype.itemsize, 0
-            for w, cut in zip(some, [*cuts, len(ids)], strict=True):
-                known[w] = raw[at * wide : cut * wide]
-                at = cut + 1
+    def tail(self, marks: str) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > CACHED_WORDS:
+                self.tails.clear()
+            ids = self.tails[marks] = self.plain([marks])[0]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) + len(self.bases) > CACHED_WORDS:
+        if len(self.first) + len(self.later) > CACHED_WORDS:
             self.first.clear()
             self.later.clear()
-            self.bases.clear()
         if any(s in t for s in self.special for t in texts):
             whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
-            done = dict(zip(whole, self._plain([texts[k] for k in whole]), strict=True))
+            done = dict(zip(whole, self.plain([texts[k] for k in whole]), strict=True))
             rest = iter(self.encode([t for k, t in enumerate(texts) if k not in done]))
             return [done[k] if k in done else next(rest) for k in range(len(texts))]
-        parts = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        heads = [[line.pop(0) for line in t] for t in parts]
-        for known, used, lead in ((self.first, set().union(*heads), ""), (self.later, set().union(*(line for t in parts for line in t)), " ")):
-            new = used.difference(known)
-            bad = {w for w in new if w.split() != [w]}
-            self._learn(known, list(new - bad), lead)
-        first, later = self.first, self.later
+        first, later, none = self.first.__getitem__, self.later.__getitem__, b""
         out: list[bytes] = []
-        for text, starts, lines in zip(texts, heads, parts, strict=True):
+        for text in texts:
             try:
-                out.append(self.feed.join([first[h] + b"".join(map(later.__getitem__, p)) for h, p in zip(starts, lines, strict=True)]))
+                lines = []
+                for line in text.split("\n"):
+                    head, *words = line.split(" ")
+                    lines.append(first(head) + none.join(map(later, words)))
+                out.append(self.feed.join(lines))
             except KeyError:
-                out.append(b"".join(self._plain(_BEFORE_WORD.split(text))))
+                out.append(none.join(self.plain(_BEFORE_WORD.split(text))))
         return out
 
 

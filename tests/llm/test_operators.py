@@ -538,6 +538,17 @@ def test_tokenizer_cuts_like_the_whole_text():
     assert [np.frombuffer(x, w.dtype).tolist() for x in w.encode(texts)] == want
 
 
+def test_words_are_encoded_when_first_asked_for():
+    """A word's letters are encoded once, whatever marks stand after it; only words that a text asks for are remembered."""
+    w = packing.WordTokenizer(packing.default_tokenizer())
+    asked = ["naïve", "naïve,", "naïve.", "b2b", "naïve"]
+    got = [np.frombuffer(w.later[x], w.dtype).tolist() for x in asked]
+    assert got == [w.inner.encode(" " + x, add_special_tokens=False).ids for x in asked]
+    assert set(w.later) == set(asked) and not w.first and set(w.tails) == {"", ",", "."}
+    with pytest.raises(KeyError):
+        w.later["a\tb"]
+
+
 def test_hilbert_curve_visits_neighbours():
     points = np.array(list(itertools.product(range(8), repeat=3)))
     key = packing.hilbert_key(points, 3)
