@@ -6,13 +6,15 @@ at least one part (pigeonhole), and its fingerprint is a key that both hold. k d
 size band; a set that may link with the band below also holds that band's keys. Sets for which
 too many parts are empty hold their prefix elements as keys as well, so no link is lost.
 
-Keys only say which sets meet. First each set is held against one that it met, and the links found are
-joined to components. Then the other firsts of its keys follow, where they are in another
-component, and what is left are keys whose members are in several components; these are the tiles, cut by size band and chunk where they are large. In a
-tile, bitmaps of hashed elements bound each overlap from above (every differing bit is a
-differing element), for pairs of different components only. All pairs that pass a bound are
-intersected exactly, as sorted arrays. A group of near copies thus costs a few intersections a
-member, and no tile emits pairs of sets that are joined already.
+Keys only say which sets meet, and at scale most meet by chance. So each set leaves the first pass with
+a sketch, one or two bits an element that hold the parity of the elements hashed to them: every bit
+that differs is a differing element, so sketches bound each overlap from above. First each set is held
+against one that it met, and the links found are joined to components. Then the other firsts of its
+keys follow, where they are in another component, and what is left are keys whose members are in
+several components, those with the same members once; these are the tiles, cut by size band and chunk
+where they are large, and held by sketches, for pairs of different components only. Only sets of pairs
+that pass the bound are read again and intersected exactly, as sorted arrays. A group of near copies
+thus costs a few intersections a member, and no tile emits pairs of sets that are joined already.
 
 Equal sets are joined by their digest and never compared. A key that several rows of a slice of
 ``BLOCK_BYTES`` of text hold leaves the slice once, so a key held by a third of all rows reaches
@@ -47,12 +49,12 @@ from cuespark.llm.common import (
     word_shingles,
 )
 
-SLICE_BYTES, BLOCK_BYTES = 2 << 20, 6 << 20  # text handled at once; text whose keys leave together
+SLICE_BYTES, BLOCK_BYTES = 1 << 20, 6 << 20  # text handled at once; text whose keys leave together
 BUCKETS = 4  # of keys, a shuffle partition
 FAN = 128  # sets held against one copy of another
 BAND_GROWTH = 1.5
 SPARE_PARTS = 3
-BITMAP_BITS = (512, 1 << 17)  # at least and at most; between them, 8 to 16 bits an element
+SKETCH_BITS = 64  # at least; a power of two, 1 to 2 bits an element
 TILE_ROWS = 4096
 
 
@@ -125,15 +127,35 @@ def _keys(rows: np.ndarray, hashes: np.ndarray, n: np.ndarray, t: Threshold) ->
     return np.concatenate(out_r), np.concatenate(out_k)
 
 
-def _sets(column: pa.Array, width: int, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, rows, hashes, sizes) slice by slice."""
     data, offsets = utf8_parts(column)
-    for i, j in pieces(offsets, size):
+    for i, j in pieces(offsets, SLICE_BYTES):
         part = lower_ascii(data[offsets[i] : offsets[j]])
         rows, hashes = distinct_per_row(*word_shingles(part, offsets[i : j + 1] - offsets[i], width))
         yield i, j, rows, hashes, np.bincount(rows, minlength=j - i)
 
 
+def _blocks(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for ``BLOCK_BYTES`` of text, whose shingles are still cut slice by slice: they take 50 times the memory of the sets."""
+    _, offsets = utf8_parts(column)
+    for i, j in pieces(offsets, BLOCK_BYTES):
+        parts = [(rows + a, hashes, n) for a, _, rows, hashes, n in _sets(column.slice(i, j - i), width)]
+        yield i, j, *(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def sketches(rows: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, size of each in bytes): a bit is the parity of the elements hashed to it, so a differing bit is a differing element."""
+    size = sketch_bits(n)
+    base = np.cumsum(size) - size
+    at = base[rows] + (hashes & (size[rows] - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=int(size.sum())) & 1).astype(np.uint8)), size // 8
+
+
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    return SKETCH_BITS << np.ceil(np.log2(np.maximum(n, SKETCH_BITS) / SKETCH_BITS)).astype(np.int64)
+
+
 def _digest(rows: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
     np.add.at(a, rows, mix64(hashes))
@@ -161,9 +183,9 @@ FIELDS = {SIZE: 4, KEY: 2, MEETING: 3}
 
 
 def set_blocks(docs: DataFrame, width: int, threshold: int, buckets: int) -> DataFrame:
-    """(bucket, kind, block): what a slice of documents has for each bucket of keys, as one packed block."""
+    """(bucket, kind, block, bits): what a slice of documents has for each bucket of keys, as one packed block; bits are the sketches of its sizes."""
 
-    def sliced(ids: np.ndarray, i: int, rows: np.ndarray, hashes: np.ndarray, n: np.ndarray, t: Threshold) -> Iterator[tuple[int, int, bytes]]:
+    def sliced(ids: np.ndarray, i: int, rows: np.ndarray, hashes: np.ndarray, n: np.ndarray, t: Threshold) -> Iterator[tuple[int, int, bytes, bytes | None]]:
         a, b = _digest(rows, hashes, n)
         seen: dict[tuple[int, int], int] = {}
         same = np.array([seen.setdefault((int(a[r]), int(b[r])), r) if n[r] else r for r in range(len(n))], np.int64)
@@ -180,31 +202,32 @@ def set_blocks(docs: DataFrame, width: int, threshold: int, buckets: int) -> Dat
         copies = np.flatnonzero(~fresh)
         u, v = np.concatenate([ids[r[~new]], ids[copies]]), np.concatenate([ids[lead[~new]], ids[same[copies]]])
         any_bucket = int(mix64(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-        yield any_bucket, SIZE, packed(ids, n.astype(np.int64), a, b)
+        yield any_bucket, SIZE, packed(ids, n.astype(np.int64), a, b), sketches(rows, hashes, n)[0].tobytes()
         if len(u):
-            yield any_bucket, MEETING, packed(np.concatenate([k[~new], np.zeros(len(copies), np.uint64)]), u, v)
+            yield any_bucket, MEETING, packed(np.concatenate([k[~new], np.zeros(len(copies), np.uint64)]), u, v), None
         # keys are sorted, so each bucket is a range of them
         k, held = k[new], ids[r[new]]
         bucket = ((k >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         at = np.flatnonzero(np.diff(bucket, prepend=-1))
         for x, y in zip(at, [*at[1:], len(k)], strict=False):
-            yield int(bucket[x]), KEY, packed(k[x:y], held[x:y])
+            yield int(bucket[x]), KEY, packed(k[x:y], held[x:y]), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Threshold(threshold)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j, rows, hashes, n in _sets(batch.column(1), width, BLOCK_BYTES):
+            for i, j, rows, hashes, n in _blocks(batch.column(1), width):
                 out = list(sliced(ids[i:j], int(ids[i]), rows, hashes, n, t))
-                where, kind, block = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind, pa.int8()), pa.array(block, pa.binary())], ["bucket", "kind", "block"])
+                where, kind, block, bits = zip(*out, strict=True)
+                columns = [pa.array(where, pa.int32()), pa.array(kind, pa.int8()), pa.array(block, pa.binary()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "block", "bits"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text"))
-    return texts.mapInArrow(run, "bucket int, kind tinyint, block binary")
+    return texts.mapInArrow(run, "bucket int, kind tinyint, block binary, bits binary")
 
 
 def meetings(blocks: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds, one bucket at a time: SIZE (doc, n, h1, h2) and MEETING (key, doc, lead), lead the key's least holder.
+    """Rows of two kinds, one bucket at a time: SIZE (doc, n, h1, h2, bits) and MEETING (key, doc, lead), lead the key's least holder.
 
     A key that one document holds leaves no row. Tasks hold the keys of one bucket.
     """
@@ -212,9 +235,10 @@ def meetings(blocks: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "key", "doc", "lead", "n", "h1", "h2"]
 
-        def rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+        def rows(kind: int, bits: pa.Array | None = None, **columns: np.ndarray) -> pa.RecordBatch:
             m = len(columns["doc"])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8))] + [_i64(columns.get(c, np.zeros(m, np.uint64))) for c in names[1:]], names)
+            fixed = [pa.array(np.full(m, kind, np.int8))] + [_i64(columns.get(c, np.zeros(m, np.uint64))) for c in names[1:]]
+            return pa.RecordBatch.from_arrays([*fixed, pa.nulls(m, pa.binary()) if bits is None else bits], [*names, "bits"])
 
         for table in runs(batches, "bucket"):
             kinds = table.column("kind").to_numpy()
@@ -225,7 +249,10 @@ def meetings(blocks: DataFrame, width: int) -> DataFrame:
             joined = {kind: [np.concatenate(c) for c in zip(*got, strict=True)] for kind, got in parts.items() if got}
             if SIZE in joined:
                 doc, n, a, b = joined[SIZE]
-                yield rows(SIZE, doc=doc, n=n, h1=a, h2=b)
+                ends = np.cumsum(np.concatenate([[0], sketch_bits(n.view(np.int64)) // 8]))
+                all_bits = pa.py_buffer(b"".join(x for x in table.column("bits").to_pylist() if x is not None))
+                bits = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), all_bits]).cast(pa.binary())
+                yield rows(SIZE, bits, doc=doc, n=n, h1=a, h2=b)
             if MEETING in joined:
                 key, doc, lead = joined[MEETING]
                 yield rows(MEETING, key=key, doc=doc, lead=lead)
@@ -239,38 +266,24 @@ def meetings(blocks: DataFrame, width: int) -> DataFrame:
                 met = lead != doc
                 yield rows(MEETING, key=key[met], doc=doc[met], lead=lead[met])
 
-    schema = "kind tinyint, key long, doc long, lead long, n long, h1 long, h2 long"
+    schema = "kind tinyint, key long, doc long, lead long, n long, h1 long, h2 long, bits binary"
     return blocks.repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
 
 
-def bitmap(elements: np.ndarray) -> bytes:
-    """Bits of hashed elements, a power of two of them."""
-    size = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (8 * max(1, len(elements)) - 1).bit_length()))
-    bits = np.zeros(size, np.uint8)
-    bits[(mix64(elements) & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
-
-
 def folded_bits(x: np.ndarray, words: int) -> np.ndarray:
-    """The bitmap that the same elements have in ``words`` 64-bit words."""
+    """The sketch that the same elements have in ``words`` 64-bit words."""
     while len(x) > words:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
 
 
-def quarter(bits: bytes) -> bytes:
-    """A coarser bitmap for the tiles, where each set stands many times; its bound holds as well."""
-    x = np.frombuffer(bits, np.uint64)
-    return folded_bits(x, max(BITMAP_BITS[0] // 64, len(x) // 4)).tobytes()
-
-
 def differing(x: np.ndarray, y: np.ndarray) -> int:
     words = min(len(x), len(y))
     return int(np.bitwise_count(folded_bits(x, words) ^ folded_bits(y, words)).sum(dtype=np.int64))
 
 
 def set_arrays(docs: DataFrame, width: int) -> DataFrame:
-    """(extra columns, n, bits, few_bits, elements) with the sorted set as bytes."""
+    """(extra columns, n, elements) with the sorted set as bytes."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,16 +292,14 @@ def set_arrays(docs: DataFrame, width: int) -> DataFrame:
             for i, j, rows, hashes, n in _sets(batch.column(at), width):
                 ends = np.cumsum(n)
                 sets = [hashes[e - m : e] for e, m in zip(ends, n, strict=True)]
-                bits = [bitmap(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
-                    + [pa.array(n.astype(np.int64)), pa.array(bits, pa.binary()), pa.array([quarter(x) for x in bits], pa.binary())]
-                    + [pa.array([x.tobytes() for x in sets], pa.binary())],
-                    [*kept, "n", "bits", "few_bits", "elements"],
+                    + [pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    [*kept, "n", "elements"],
                 )
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, f"{fields}, n long, bits binary, few_bits binary, elements binary")
+    return docs.mapInArrow(run, f"{fields}, n long, elements binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -311,7 +322,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _tile_pairs(table: pa.Table, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in a tile whose bitmaps allow a link."""
+    """Pairs of different components in a tile whose sketches allow a link."""
     rep, n, comp, side = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "side"))
     order = np.argsort(n, kind="stable")
     rep, n, comp, side = rep[order], n[order], comp[order], side[order]
@@ -377,8 +388,8 @@ def held_against(pairs: DataFrame, sets: DataFrame, column: str, judge) -> DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The (a, b) that link: bitmaps first, then the sorted arrays of those whose bound allows it."""
+def exact_links(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The (a, b) that link: sketches first, then the sorted sets of those whose bound allows it, which ``docs(rep, text)`` gives."""
     t = Threshold(threshold)
 
     def bounded(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
@@ -388,9 +399,11 @@ def exact_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def linked(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
         return t.links(len(np.intersect1d(x, y, assume_unique=True)), n, m)
 
-    passed = stored(held_against(pairs, sets, "bits", bounded), "bounded")
+    passed = stored(held_against(pairs, sketched, "bits", bounded), "bounded")
+    wanted = stored(passed.select(F.col("a").alias("rep")).unionByName(passed.select(F.col("b").alias("rep"))).distinct(), "wanted")
+    sets = stored(set_arrays(docs.join(small(wanted), "rep"), width), "sets")
     links = stored(held_against(passed, sets, "elements", linked), "exact")
-    discard(passed)
+    discard(passed, wanted, sets)
     return links
 
 
@@ -399,12 +412,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     docs = docs.select("doc_id", "text")
     width_ = shuffle_width(docs.sparkSession)
     held = stored(meetings(set_blocks(docs, width, threshold, BUCKETS * width_), width_), "held")
-    sizes = held.where(f"kind = {SIZE}").select("doc", "n", "h1", "h2")
+    sizes = held.where(f"kind = {SIZE}").select("doc", "n", "h1", "h2", "bits")
     meets = held.where(f"kind = {MEETING}").select("key", "doc", "lead")
     # one document stands for each set; only documents that met another take part
     met = stored(meets.select("doc", "lead").distinct(), "met")
     nodes = met.select("doc").unionByName(met.select(F.col("lead").alias("doc"))).distinct()
-    sets = stored(sizes.where("n > 0").join(nodes, "doc"), "nodes")
+    sets = stored(sizes.drop("bits").where("n > 0").join(nodes, "doc"), "nodes")
     reps = sets.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"))
     rep_of = stored(sets.join(reps, ["n", "h1", "h2"]).groupBy("doc").agg(F.min("rep").alias("rep")), "reps")
     end = lambda c, to: rep_of.select(F.col("doc").alias(c), F.col("rep").alias(to))
@@ -417,8 +430,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     wanted = stored(star.select(F.col("a").alias("rep")).unionByName(star.select(F.col("b").alias("rep"))).distinct(), "wanted")
     discard(sets, by_rep)
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
-    arrays = stored(set_arrays(text.join(small(wanted), "rep"), width), "sets")
-    links = exact_links(first_star, arrays, threshold)
+    sketched = stored(sizes.select(F.col("doc").alias("rep"), "n", "bits").join(small(wanted), "rep").distinct(), "sketches")
+    links = exact_links(first_star, sketched, text, width, threshold)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # keys whose members are still in several components
     comp_of = rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -429,9 +442,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     inside = meets.join(open_keys, "key", "left_semi")
     inside = inside.select("key", "doc").unionByName(inside.select("key", F.col("lead").alias("doc"))).join(comp_of, "doc").select("key", "rep", "comp").distinct()
     inside = stored(inside, "inside")
-    crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
-    bits = arrays.select("rep", "n", F.col("few_bits").alias("bits"))
-    open_ = inside.join(crowd.select("key", F.ceil(F.col("m") / tile_rows).cast("int").alias("chunks")), "key").join(bits, "rep")
+    members = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *members).where("m > 2 and lo <> hi")
+    # near copies share hundreds of keys: those with the same members name the same pairs
+    crowd = crowd.groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+    open_ = inside.join(crowd.select("key", F.ceil(F.col("m") / tile_rows).cast("int").alias("chunks")), "key").join(sketched, "rep")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("long")
     cells = open_.withColumn("band", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(band, band + 1))))
     cells = cells.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -442,9 +457,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, threshold: int = 85, til
     rest = star.join(first_star, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b")
     more = stored(more.unionByName(rest), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(exact_links(more, arrays, threshold))
+        links = links.unionByName(exact_links(more, sketched, text, width, threshold))
         joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    discard(arrays, inside, met, more, first_star, star, wanted)
+    discard(sketched, inside, met, more, first_star, star, wanted)
     place = rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("root"))
     known = sizes.join(place, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
     unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text")

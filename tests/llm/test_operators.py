@@ -630,3 +630,19 @@ def test_crossing_pairs_are_all_pairs_across_components(spark):
     for tile in (4, 1000):
         found = [tuple(sorted(r)) for r in line_dedup.crossing_pairs(inside, bits, 0.8, tile).collect()]
         assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_jaccard_sketches_bound_the_overlap():
+    """A sketch never shows more differing elements than there are, tells sets apart that met by chance, and takes a small part of the set."""
+    rng = np.random.default_rng(5)
+    t = jaccard.Threshold(85)
+    for m, edits in ((3, 1), (60, 4), (500, 30), (700, 700), (1023, 1023)):
+        x = np.unique(rng.integers(0, 1 << 63, m).astype(np.uint64))
+        y = np.unique(np.concatenate([x[edits:], rng.integers(0, 1 << 63, edits + m // 9).astype(np.uint64)]))
+        rows, n = np.repeat([0, 1], [len(x), len(y)]), np.array([len(x), len(y)])
+        data, size = jaccard.sketches(rows, np.concatenate([x, y]), n)
+        one, other = (np.frombuffer(part.tobytes(), np.uint64) for part in np.split(data, [size[0]]))
+        differ = jaccard.differing(one, other)
+        assert differ <= len(np.setxor1d(x, y)) and size.sum() * 8 <= 2 * max(64, n.max()) * 2
+        if edits == m and m > 60:
+            assert (n.sum() - differ) // 2 < int(t.least_overlap(n.sum()))
