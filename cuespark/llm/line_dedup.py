@@ -6,10 +6,12 @@ shingles; every pair of them is a band, so two lines meet if two of their smalle
 (of signatures as similar as 0.8 in 99 of 100 cases, of 0.65 in 94). In each band a line is held first against
 the band's first line and its predecessor in the order of the next smallest hash, which joins most
 groups at two comparisons a line. A band of more than three lines whose members then still lie in
-several components is reopened: all its pairs across components are compared in tiles of bounded
-size, so every two lines that meet in a band are decided. Pairs are verified by the exact Jaccard
-similarity of their distinct character 5-shingles (their counts, and in tiles a bitmap, bound it
-before), and verified pairs are joined by distributed components.
+several components is reopened, bands with the same members once: all its pairs across components are
+compared in tiles of bounded size, so every two lines that meet in a band are decided. Pairs are
+verified by the exact Jaccard similarity of their distinct character 5-shingles, and verified pairs are
+joined by distributed components. Before, the shingles' counts bound it, and in tiles a sketch of
+parities; of the pairs that a tile names each line's nearest come first, the others only if they still
+cross components.
 
 The shingles of a signature are, in long lines, the first ``ANCHORED`` characters from each word
 on, and in short lines those at every character; lengths near the border take both, so that
@@ -41,7 +43,7 @@ SHORT_CHARS, LONG_CHARS = 150, 120  # lines up to the first use every character,
 SHINGLE, ANCHORED = 9, 12
 VERIFIED = 5
 TILE = 128  # lines a chunk of a reopened band
-WORDS = 8  # of 64 bits in a line's bitmap of shingles
+WORDS = 8  # of 64 bits in a line's sketch of its shingles
 
 
 def folded_line(line: Column) -> Column:
@@ -109,24 +111,32 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 
 
 def _bitmap(grams: Column) -> Column:
-    """``WORDS`` words of bits of hashed shingles; the bits that differ between two sets bound their similarity."""
+    """``WORDS`` words of parities of hashed shingles; a bit that differs between two sets is a shingle that differs, also where a long line fills the words."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
-    word = lambda g, k: F.aggregate(F.filter(g, lambda x: F.pmod(x, F.lit(WORDS)) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    word = lambda g, k: F.aggregate(F.filter(g, lambda x: F.pmod(x, F.lit(WORDS)) == k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x)))
     # a lambda's argument is evaluated once, so the shingles are cut once and not once a word
-    return F.transform(F.array(grams), lambda g: F.array(*[word(g, k) for k in range(WORDS)]))[0]
+    return F.transform(F.array(F.array_distinct(grams)), lambda g: F.array(*[word(g, k) for k in range(WORDS)]))[0]
 
 
 def crossing_pairs(inside: DataFrame, bits: DataFrame, similarity: float, tile: int | None = None) -> DataFrame:
-    """(a, b) of different components in a band of ``inside(key, node, comp)`` whose ``bits(node, m, bits)`` allow the similarity.
+    """(a, b) of different components in a band of ``inside(key, node, comp)`` whose ``bits(node, m, bits)`` allow the similarity."""
+    return measured_pairs(inside, bits, similarity, tile).select("a", "b")
+
+
+def measured_pairs(inside: DataFrame, bits: DataFrame, similarity: float, tile: int | None = None) -> DataFrame:
+    """The same as (a, b, differ), with the number of bits that differ.
 
     A component of more than ``tile`` lines has chunks of its own, the others share chunks; tiles
     are pairs of chunks of a band, without those inside one component.
     """
     tile = tile or TILE
-    whole = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("w"))
+    marks = [F.bit_xor(F.xxhash64("node")).alias("mx"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("my")]
+    whole = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("w"), *marks)
     rest = F.sum(F.when(F.col("w") <= tile, F.col("w")).otherwise(0))
-    crowd = whole.groupBy("key").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("comps"), rest.alias("rest")).where("all > 3 and comps > 1").select("key", "rest")
-    sizes = whole.join(crowd, "key").withColumn("own", F.when(F.col("w") > tile, F.col("comp")))
+    crowd = whole.groupBy("key").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("comps"), rest.alias("rest"), F.bit_xor("mx").alias("mx"), F.bit_xor("my").alias("my"))
+    # lines that share three hashes share three bands: those with the same members name the same pairs
+    crowd = crowd.where("all > 3 and comps > 1").groupBy("all", "rest", "mx", "my").agg(F.min("key").alias("key")).select("key", "rest")
+    sizes = whole.drop("mx", "my").join(crowd, "key").withColumn("own", F.when(F.col("w") > tile, F.col("comp")))
     members = inside.join(sizes, ["key", "comp"]).join(bits, "node")
     part = lambda of, n: F.pmod(F.xxhash64(of), F.ceil(n / tile))
     chunk = F.when(F.col("own").isNotNull(), part("node", F.col("w"))).otherwise(part("comp", F.greatest("rest", F.lit(1))))
@@ -139,13 +149,15 @@ def crossing_pairs(inside: DataFrame, bits: DataFrame, similarity: float, tile:
     tiles = tiles.where("cx <= cy and not (ox is not null and oy is not null and ox = oy)").select("key", "cx", "cy")
     share = (1 - similarity) / (1 + similarity) + 1e-9
 
+    def differ(x: Column, y: Column) -> Column:
+        return sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(1, WORDS)), F.bit_count(x["bits"][0].bitwiseXOR(y["bits"][0])))
+
     def allowed(x: Column, y: Column) -> Column:
         total = x["m"] + y["m"]
-        differ = sum((F.bit_count(x["bits"][k].bitwiseXOR(y["bits"][k])) for k in range(1, WORDS)), F.bit_count(x["bits"][0].bitwiseXOR(y["bits"][0])))
         apart = (x["comp"] != y["comp"]) & ((F.col("cx") != F.col("cy")) | (x["node"] < y["node"]))
-        return apart & (F.abs(x["m"] - y["m"]) <= share * total) & (differ <= share * total)
+        return apart & (F.abs(x["m"] - y["m"]) <= share * total) & (differ(x, y) <= share * total)
 
-    ends = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    ends = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), differ(x, y).alias("differ"))
     found = F.flatten(F.transform("x", lambda x: F.transform(F.filter("y", lambda y: allowed(x, y)), lambda y: ends(x, y))))
     return tiles.join(one("x"), ["key", "cx"]).join(one("y"), ["key", "cy"]).select(F.inline(found)).distinct()
 
@@ -189,9 +201,20 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     crowd = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 3 and lo <> hi")
     inside = stored(inside.join(crowd.select("key"), "key", "left_semi"), "inside")
     crowded = stored(texts.join(inside.select("node").distinct(), "node", "left_semi").select("node", "m", _bitmap(_grams(F.col("line"), VERIFIED)).alias("bits")), "bits")
-    more = stored(crossing_pairs(inside, crowded, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
+    more = stored(measured_pairs(inside, crowded, similarity).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        groups = links(verified.unionByName(verified_pairs(more, texts, similarity)))
+        # a line's nearest first: most of the others then lie inside one component
+        nearest = lambda x, y: more.groupBy(x).agg(F.min(F.struct("differ", y))[y].alias(y)).select("a", "b")
+        near = stored(nearest("a", "b").unionByName(nearest("b", "a")).distinct(), "near")
+        known = stored(verified.unionByName(verified_pairs(near, texts, similarity)), "known")
+        groups = links(known)
+        of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias("comp_" + x))
+        crossing = F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")
+        rest = more.join(near, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(crossing).select("a", "b")
+        rest = stored(rest, "rest")
+        if not rest.isEmpty():
+            groups = links(known.unionByName(verified_pairs(rest, texts, similarity)))
+        discard(near, known, rest)
     discard(pairs, ends, texts, verified, inside, more)
     return places, nodes.select("node", "spot", "copies"), groups
 

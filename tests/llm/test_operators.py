@@ -646,3 +646,13 @@ def test_jaccard_sketches_bound_the_overlap():
         assert differ <= len(np.setxor1d(x, y)) and size.sum() * 8 <= 2 * max(64, n.max()) * 2
         if edits == m and m > 60:
             assert (n.sum() - differ) // 2 < int(t.least_overlap(n.sum()))
+
+
+def test_line_sketches_tell_long_lines_apart(spark):
+    """900 shingles fill the words of a sketch; parities still differ."""
+    rng = random.Random(3)
+    lines = [(k, "".join(rng.choice("abcdefghijklmnop ") for _ in range(900))) for k in range(4)]
+    lines.append((4, lines[0][1][:400] + "#" + lines[0][1][401:]))
+    bits = spark.createDataFrame(lines, "node long, line string").select("node", F.lit(890).alias("m"), line_dedup._bitmap(line_dedup._grams(F.col("line"), 5)).alias("bits"))
+    inside = spark.createDataFrame([(key, k, k) for key in (1, 2) for k in range(5)], "key long, node long, comp long")
+    assert [tuple(r) for r in line_dedup.crossing_pairs(inside, bits, 0.8).collect()] == [(0, 4)]
