@@ -366,6 +366,12 @@ def test_chunks(spark, name, plain, most):
         assert got[r.doc_id] == want, r.doc_id
 
 
+def test_chunks_hold_a_text_once(spark):
+    got = QUERIES["exp5_chunk_lookback"](spark, SF)
+    held = got.select(sum(F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, kind in got.dtypes if kind == "string")).first()[0]
+    assert held <= spark.read.parquet(f"{SF}/documents.parquet").select(F.sum(F.length("text"))).first()[0]
+
+
 def test_timeline_rules():
     long = "Trời đã tối rồi mà anh ấy vẫn chưa về nhà, nhưng lúc đó không ai biết chuyện gì đã xảy ra cả."
     assert ex.timeline_pieces(long, 65) == [("Trời đã tối rồi mà anh ấy vẫn chưa về nhà.", 0.24), ("Nhưng khi đó không ai biết chuyện gì đã xảy ra cả.", 0.0)]
